@@ -3,6 +3,10 @@
 Plain windows are written directly, exponential and Wilder averages as recursive CTEs (Spark
 uses closed-form sums), and trades as a recursive CTE that steps one bar at a time (Spark
 searches forward frames).
+
+Compared values are rounded. Prices are quotients of short decimals and often end exactly half
+way between two rounded values, where the last bit decides; both sides therefore add a shift
+far below the rounding step first.
 """
 
 from __future__ import annotations
@@ -219,7 +223,8 @@ def chain(columns: Sequence[str], base: str = "day", *, fill: bool = True) -> st
 def rounded(columns: Sequence[str], digits: int = 4) -> str:
     parts = []
     for n in columns:
-        parts.append(f'CAST("{n}" AS INTEGER) AS "{n}"' if n in FLAGS else f'round("{n}", {digits}) AS "{n}"')
+        value = f'round("{n}" + 1.37e-{digits + 3}, {digits})'
+        parts.append(f'CAST("{n}" AS INTEGER) AS "{n}"' if n in FLAGS else f'{value} AS "{n}"')
     return ", ".join(parts)
 
 
