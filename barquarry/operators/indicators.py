@@ -559,7 +559,8 @@ def add_technical(
         df = _pack(df, f"_done{stage}", names, _read_by(later, need, stage), packed)
     if "ADX14" in need:
         df = _adx(df, roll, layout)
-    df = df.select(*keep, *[c(packed.get(n, n)).alias(n) for n in names])
+    edge = ["_BROKEN"] if fill and layout.blocked and "ADX14" in need else []
+    df = df.select(*keep, *edge, *[c(packed.get(n, n)).alias(n) for n in names])
     if not fill:
         return df
     return _fill(df, roll, layout, names, warmup)
