@@ -74,6 +74,24 @@ TECHNICAL_COLUMNS = [
     "HIGH_VOL_DAYS",
 ]
 
+# Columns that can lose their value in mid-series although every bar is complete: quotients
+# whose divisor can be zero.
+MAY_LAPSE = {
+    *[f"PRICE_RETURN_{n}D_PCT" for n in RETURN_LAGS],
+    "VOLUME_SPIKE",
+    "RVOL",
+    "TRADE_FREQUENCY",
+    "VWMA",
+    "VWAP",
+    "BB_PERCENT_B",
+    "RSI14",
+    "STOCH_K",
+    "STOCH_D",
+    "ADX14",
+    "ADX_PLUS",
+    "ADX_MINUS",
+}
+
 WILDER_ROWS = 14
 WILDER_DECAY = 13.0 / 14.0
 
@@ -503,14 +521,18 @@ def _fill_block_edges(df: DataFrame, layout: Layout, columns: list[str]) -> Data
     return joined
 
 
-def _fill(df: DataFrame, roll: Rolling, layout: Layout, columns: list[str], warmup: str) -> DataFrame:
+def _fill(
+    df: DataFrame, roll: Rolling, layout: Layout, columns: list[str], warmup: str, complete: bool
+) -> DataFrame:
     """Carry the last known value forward; what is still missing is warm-up and becomes 0."""
-    flags = [n for n in columns if n in CANDLE_FLAGS]
-    values = [n for n in columns if n not in flags]
-    if layout.blocked:
-        df = _fill_block_edges(df, layout, values)
+    values = [n for n in columns if n not in CANDLE_FLAGS]
+    carried = [n for n in values if n in MAY_LAPSE or not complete]
+    if layout.blocked and carried:
+        df = _fill_block_edges(df, layout, carried)
     filled = {}
-    for n in values:
+    if warmup == "zero":
+        filled = {n: F.coalesce(c(n), F.lit(0.0)) for n in values if n not in carried}
+    for n in carried:
         known = roll.last_known(F.when(layout.settled(), c(n)) if layout.blocked else c(n))
         if layout.blocked:
             known = F.coalesce(known, c(f"_c_{n}"))
@@ -527,13 +549,16 @@ def add_technical(
     *,
     fill: bool = True,
     warmup: str = "zero",
+    complete: bool = False,
 ) -> DataFrame:
     """Bars with indicator columns.
 
     The result keeps symbol, date and the row number ``_rn`` (and, in a block layout, the
     neighbour rows marked by ``_own``; ``result_rows`` drops them). ``warmup='null'`` leaves
     rows without enough history null, so that rules on them are not met; ``fill=False`` also
-    skips carrying values forward.
+    skips carrying values forward. ``complete=True`` promises bars without nulls (bars made
+    from ticks, or the usable part of ``split_rejects``): only columns that can lapse on such
+    bars are then carried.
     """
     if warmup not in ("zero", "null"):
         raise ValueError("warmup must be 'zero' or 'null'")
@@ -563,7 +588,7 @@ def add_technical(
     df = df.select(*keep, *edge, *[c(packed.get(n, n)).alias(n) for n in names])
     if not fill:
         return df
-    return _fill(df, roll, layout, names, warmup)
+    return _fill(df, roll, layout, names, warmup, complete)
 
 
 def _read_by(later: set[str], need: set[str], stage: int) -> set[str]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import lru_cache
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +63,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _line_order():
+    """Order of line items within a day: order key, line number, price, quantity, as one number.
+
+    38 digits: 19 for the order key, 3 for the line, 12 for the price in cents, 4 for the
+    quantity. Unlike a struct, a decimal is fixed-width, so Spark aggregates by hashing
+    instead of sorting all ticks.
+    """
+    cents = F.round(c("l_extendedprice") * 100).cast("bigint")
+    low = c("l_linenumber").cast("bigint") * 10**16 + cents * 10**4 + c("l_quantity").cast("bigint")
+    return c("l_orderkey").cast("decimal(19,0)") * F.lit(Decimal(10**19)) + low.cast(
+        "decimal(19,0)"
+    )
+
+
 def day_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars_from_ticks(
         table(spark, sf_dir, "lineitem"),
@@ -70,7 +84,7 @@ def day_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         ts=c("l_shipdate"),
         price=c("l_extendedprice") / c("l_quantity"),
         volume=c("l_quantity"),
-        order=F.struct("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity"),
+        order=_line_order(),
     )
 
 
@@ -94,11 +108,15 @@ _BARS = {"day": day_bars, "hour": hour_bars, "user": user_bars}
 _TICKS = {"day": ("lineitem", "l_shipdate", 86_400), "hour": ("events", "ts", 3_600), "user": ("events", "ts", 86_400)}
 
 
-@lru_cache(maxsize=32)
-def _cells(sf_dir: str, base: str) -> int:
-    name, ts, seconds = _TICKS[base]
-    spark = SparkSession.getActiveSession()
-    return grid_cells(table(spark, sf_dir, name), ts, seconds)
+_CELLS: dict[tuple[str, str], int] = {}
+
+
+def _cells(spark: SparkSession, sf_dir: str, base: str) -> int:
+    """Cells of the time grid of a tick table, read once per table and process."""
+    if (sf_dir, base) not in _CELLS:
+        name, ts, seconds = _TICKS[base]
+        _CELLS[sf_dir, base] = grid_cells(table(spark, sf_dir, name), ts, seconds)
+    return _CELLS[sf_dir, base]
 
 
 def inputs(
@@ -106,13 +124,14 @@ def inputs(
 ) -> tuple[DataFrame, Layout]:
     """Bars and the layout for them. Ticks on a time grid give at most one bar per cell, which
     bounds the series length by two column statistics instead of by counting bars."""
+    bars = _BARS[base](spark, sf_dir)
     layout = choose_layout(
-        _BARS[base](spark, sf_dir),
-        max_rows=_cells(sf_dir, base),
+        bars,
+        max_rows=_cells(spark, sf_dir, base),
         bar_seconds=_TICKS[base][2],
         lookahead=hold,
     )
-    return _BARS[base](spark, sf_dir), layout
+    return bars, layout
 
 
 def rounded(df: DataFrame, names: Sequence[str], digits: int = 4) -> DataFrame:
@@ -269,7 +288,7 @@ def _(spark, d):
 
 def indicators(spark, d, names, base="day", digits=4):
     bars, layout = inputs(spark, d, base)
-    frame = result_rows(add_technical(bars, layout, names), layout)
+    frame = result_rows(add_technical(bars, layout, names, complete=True), layout)
     return rounded(frame.select("symbol", "date", *names), names, digits)
 
 
@@ -414,7 +433,7 @@ _EXACT = f"{o.chain(_TREND_COLUMNS)}, x AS (SELECT symbol, date, rn, {o.exact(_T
 def exact_frame(spark, d, strategies, hold=1, base="day", extra=()):
     bars, layout = inputs(spark, d, base, hold)
     names = list(dict.fromkeys([*columns_of(strategies), *extra]))
-    return indicator_frame(bars, names, layout, decimals=8), layout
+    return indicator_frame(bars, names, layout, decimals=8, complete=True), layout
 
 
 @register(
@@ -586,7 +605,7 @@ def _(spark, d):
 def _(spark, d):
     bars, layout = inputs(spark, d)
     rows = scan_request(
-        bars, _scan_strategies(), compliance(spark, d), layout, amount=AMOUNT, decimals=8
+        bars, _scan_strategies(), compliance(spark, d), layout, amount=AMOUNT, decimals=8, complete=True
     )
     return rounded(
         rows,

@@ -61,10 +61,11 @@ def indicator_frame(
     snapshots: DataFrame | None = None,
     decimals: int | None = None,
     warmup: str = "zero",
+    complete: bool = False,
 ) -> DataFrame:
     """Bars with just the columns some rules need, technical and fundamental."""
     technical = [n for n in columns if n not in FUNDAMENTAL_COLUMNS]
-    frame = add_technical(bars, layout, technical, warmup=warmup)
+    frame = add_technical(bars, layout, technical, warmup=warmup, complete=complete)
     if decimals is not None:
         doubles = [n for n, t in frame.dtypes if t == "double"]
         frame = frame.withColumns({n: F.round(n, decimals) for n in doubles})
@@ -84,9 +85,15 @@ def scan_request(
     amount: float = 1_000_000.0,
     snapshots: DataFrame | None = None,
     decimals: int | None = None,
+    complete: bool = False,
 ) -> DataFrame:
     frame = indicator_frame(
-        bars, columns_of(strategies), layout, snapshots=snapshots, decimals=decimals
+        bars,
+        columns_of(strategies),
+        layout,
+        snapshots=snapshots,
+        decimals=decimals,
+        complete=complete,
     )
     return scan_rows(scan(frame, strategies, layout), compliance, amount)
 
@@ -126,10 +133,16 @@ def backtest_request(
     end: str | None = None,
     snapshots: DataFrame | None = None,
     decimals: int | None = None,
+    complete: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(trades, per-symbol summary). Symbols with bars but no trades are in the summary."""
     frame = indicator_frame(
-        bars, columns_of(strategies), layout, snapshots=snapshots, decimals=decimals
+        bars,
+        columns_of(strategies),
+        layout,
+        snapshots=snapshots,
+        decimals=decimals,
+        complete=complete,
     )
     ranged = in_range(frame, layout, period=period, start=start, end=end)
     trades = extract_trades(ranged, strategies, amount, layout)

@@ -114,7 +114,9 @@ def bars_from_ticks(
     order: Column | None = None,
     bucket: str | int = "day",
 ) -> DataFrame:
-    """Open/high/low/close/volume bars per symbol and time bucket.
+    """Open/high/low/close/volume bars per symbol and time bucket, without nulls.
+
+    Ticks without symbol, time or price are skipped; a missing size counts as nothing traded.
 
     ``bucket`` is 'day' (a DATE), another date_trunc unit, or seconds (a TIMESTAMP). Ticks are
     aggregated before the shuffle, so a symbol with most of the ticks is no larger task than
@@ -134,11 +136,11 @@ def bars_from_ticks(
         price.cast("double").alias("_p"),
         size.alias("_v"),
         (ts if order is None else order).alias("_o"),
-    )
+    ).where("symbol IS NOT NULL AND date IS NOT NULL AND _p IS NOT NULL")
     return flat.groupBy("symbol", "date").agg(
         F.min_by("_p", "_o").alias("open"),
         F.max("_p").alias("high"),
         F.min("_p").alias("low"),
         F.max_by("_p", "_o").alias("close"),
-        F.sum("_v").alias("volume"),
+        F.coalesce(F.sum("_v"), F.lit(0.0)).alias("volume"),
     )
