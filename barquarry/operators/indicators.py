@@ -470,7 +470,7 @@ def _passes(need: set[str]) -> dict[int, list[list[str]]]:
 
 def _raw(bars: DataFrame, layout: Layout) -> DataFrame:
     numbered = layout.prepare(bars.select("symbol", "date", "open", "high", "low", "close", "volume"))
-    keep = ["_rn"] + (["_block", "_own"] if layout.blocked else [])
+    keep = layout.helpers
     prices = [c(n.lower()).cast("double").alias(n) for n in RAW_COLUMNS if n != "PRICE"]
     return numbered.select("symbol", "date", *keep, *prices).withColumn("PRICE", c("CLOSE"))
 
@@ -537,7 +537,7 @@ def _fill(
         if layout.blocked:
             known = F.coalesce(known, c(f"_c_{n}"))
         filled[n] = F.coalesce(known, F.lit(0.0)) if warmup == "zero" else known
-    keep = ["symbol", "date", "_rn"] + (["_block", "_own"] if layout.blocked else [])
+    keep = ["symbol", "date", *layout.helpers]
     ordered = [filled[n].alias(n) if n in filled else c(n) for n in columns]
     return df.select(*keep, *ordered)
 
@@ -567,7 +567,7 @@ def add_technical(
     need = _closure(names)
     roll = Rolling(layout.keys)
     df = _raw(bars, layout)
-    keep = ["symbol", "date", "_rn"] + (["_block", "_own"] if layout.blocked else [])
+    keep = ["symbol", "date", *layout.helpers]
     plan = _passes(need)
     packed: dict[str, str] = {}
     for stage in range(_LAST_STAGE + 1):
@@ -625,4 +625,4 @@ def _pack(
 def result_rows(df: DataFrame, layout: Layout) -> DataFrame:
     """Each bar once: drops the neighbour rows of a block layout and the helper columns."""
     out = df.where(layout.own()) if layout.blocked else df
-    return out.drop("_rn", "_block", "_own")
+    return out.drop(*layout.helpers)

@@ -36,6 +36,7 @@ class SymbolLayout:
 
     max_rows: int | None = None
     keys: tuple[str, ...] = ("symbol",)
+    helpers: tuple[str, ...] = ("_rn",)
     blocked: bool = False
 
     def prepare(self, bars: DataFrame) -> DataFrame:
@@ -63,6 +64,7 @@ class BlockLayout:
     lookahead: int = 1
     bar_seconds: int = DAY_SECONDS
     keys: tuple[str, ...] = ("symbol", "_block")
+    helpers: tuple[str, ...] = ("_rn", "_block", "_own", "_last")
     blocked: bool = True
 
     def __post_init__(self) -> None:
@@ -81,17 +83,18 @@ class BlockLayout:
             F.unix_timestamp(F.col("date").cast("timestamp")) / F.lit(size * self.bar_seconds)
         )
         sliced = bars.withColumn("_slice", slice_of)
-        # One row per (symbol, slice): the rows that come before each slice.
-        earlier = Window.partitionBy("symbol").orderBy("_slice").rowsBetween(
-            Window.unboundedPreceding, -1
-        )
+        # One row per (symbol, slice): the rows before each slice, and the end of the series.
+        series = Window.partitionBy("symbol").orderBy("_slice")
+        earlier = series.rowsBetween(Window.unboundedPreceding, -1)
+        whole = series.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         offsets = (
             sliced.groupBy("symbol", "_slice")
-            .agg(F.count("*").alias("_n"))
+            .agg(F.count("*").alias("_n"), F.max("date").alias("_end"))
             .select(
                 "symbol",
                 "_slice",
                 F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
+                F.max("_end").over(whole).alias("_last"),
             )
         )
         in_slice = Window.partitionBy("symbol", "_slice").orderBy("date")

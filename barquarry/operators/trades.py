@@ -63,10 +63,7 @@ def in_range(
     """
     day = F.to_date("date")
     if period is not None:
-        if layout.blocked:
-            ends = frame.where(layout.own()).groupBy("symbol").agg(F.max("date").alias("_last"))
-            frame = frame.join(ends, "symbol")
-        else:
+        if not layout.blocked:  # a block layout already knows the end of each series
             frame = frame.withColumn("_last", F.max("date").over(Rolling(layout.keys).whole))
         inside = day >= F.date_sub(F.to_date("_last"), range_days(period))
         return frame.withColumn("_in", inside).drop("_last")

@@ -81,13 +81,14 @@ STRATEGIES = [
 ]
 
 
+@pytest.mark.parametrize("when", [{"start": "2017-07-20"}, {"period": "3m"}], ids=["start", "period"])
 @pytest.mark.parametrize("config", STRATEGIES, ids=lambda s: s["name"])
-def test_blocks_give_the_same_trades(spark, config):
+def test_blocks_give_the_same_trades(spark, config, when):
     bars = wavy_bars(spark, 3_000, symbols=("HOT", "COLD"))
     s = Strategy.from_mapping(config)
     found = []
     for layout in (SymbolLayout(), BlockLayout(block_rows=256, lookback=128, lookahead=12, bar_seconds=3600)):
-        frame = in_range(add_technical(bars, layout, s.columns), layout, start="2017-07-20")
+        frame = in_range(add_technical(bars, layout, s.columns), layout, **when)
         trades = extract_trades(frame, [s], 1e6, layout)
         found.append(sorted(map(tuple, trades.collect())))
     assert len(found[0]) > 30
