@@ -27,6 +27,7 @@ from barquarry.operators.layout import Layout
 from barquarry.operators.rules import affine_in_entry, all_met, rule_arithmetic, value
 from barquarry.operators.scan import with_compliance
 from barquarry.operators.strategy import Strategy
+from barquarry.session import computed_once
 
 NEVER = 9_000_000_000_000_000_000  # row number after every series
 CHUNK = 256
@@ -239,6 +240,8 @@ def non_overlapping(
 ) -> DataFrame:
     """Candidates that become trades, in order, per (strategy, symbol)."""
     keys = ["strategy", *layout.keys]
+    if layout.blocked:  # read twice below
+        candidates = computed_once(candidates)
     grouped, kind = _grouped(candidates, keys)
     if layout.blocked:
         grouped = grouped.join(_block_starts(grouped, layout, max_hold), keys)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -25,3 +25,18 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def computed_once(df: DataFrame) -> DataFrame:
+    """A checkpoint of ``df`` in the session's shared checkpoint folder.
+
+    For frames that a plan reads several times. Files there outlive lost executors. Without a
+    folder the frame itself is returned: results are the same, but it is computed per reader.
+    """
+    spark = df.sparkSession
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if spark.sparkContext.getCheckpointDir() is None:
+        if not named:
+            return df
+        spark.sparkContext.setCheckpointDir(named)
+    return df.checkpoint()

@@ -10,8 +10,10 @@ from barquarry.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     spark = local_session(8, 4)
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     # The series here are tiny: compiling code for each plan would take most of the time.
     spark.conf.set("spark.sql.codegen.wholeStage", "false")
     spark.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
