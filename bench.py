@@ -9,7 +9,9 @@ import sys
 import time
 
 from barquarry.operators.indicators import add_technical
-from barquarry.plans.catalog import QUERIES, day_bars, inputs
+from barquarry.plans.catalog import QUERIES, compliance, day_bars, inputs
+from barquarry.plans.presets import example, shipped
+from barquarry.plans.requests import backtest_request, scan_request
 from barquarry.session import local_session
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -26,6 +28,19 @@ def _indicators(*names: str):
     return run
 
 
+def _scan(spark, sf_dir):
+    bars, layout = inputs(spark, sf_dir)
+    return scan_request(bars, shipped(), compliance(spark, sf_dir), layout, complete=True)
+
+
+def _backtest(strategies, part):
+    def run(spark, sf_dir):
+        bars, layout = inputs(spark, sf_dir, hold=max(s.max_hold for s in strategies))
+        return backtest_request(bars, strategies, layout, complete=True)[part]
+
+    return run
+
+
 HEADLINE = {
     "bars": day_bars,
     "all_61_columns": _indicators(),
@@ -33,10 +48,10 @@ HEADLINE = {
     "macd": _indicators("MACD_LINE", "MACD_SIGNAL", "MACD_HISTOGRAM"),
     "adx": _indicators("ADX14", "ADX_PLUS", "ADX_MINUS"),
     "signal_rows": QUERIES["p05_p06_t02_t03_x2_signal_rows"],
-    "scan": QUERIES["t01_j4_scan_hits"],
-    "trades_3_strategies": QUERIES["t03_to_t14_t20_shipped_trades"],
-    "trades_averaging": QUERIES["t18_t19_averaging"],
-    "symbol_summary": QUERIES["t21_a01_to_a09_symbol_summary"],
+    "scan": _scan,
+    "trades_3_strategies": _backtest(shipped(), 0),
+    "trades_averaging": _backtest([example("MULTI_AVG_STRATEGY")], 0),
+    "symbol_summary": _backtest(shipped(), 1),
     "fundamentals": QUERIES["j1_bars_with_fundamentals"],
 }
 
