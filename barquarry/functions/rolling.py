@@ -1,6 +1,6 @@
 """Row-count windows over one bar series.
 
-Every frame is a ROWS frame: the reference windows count bars, not calendar days. Spark adds up
+Every frame is a ROWS frame: windows count bars, not calendar days. Spark adds up
 a sliding frame anew for each row, so a 200-row frame costs 200 additions per row. Long frames
 are therefore put together from sums of 10 and 50 rows fetched with ``lag``: MA200 is four
 50-row sums. Sums are only ever added, never subtracted, so no digits are lost to cancellation.
