@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 #: Texts of one Arrow batch are worked on in slices of at most about so many characters.
 SLICE_CHARS = 4_000_000
@@ -71,8 +73,6 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list], list]], schem
     head = docs.select(*keep).schema
     out = spark.createDataFrame([], schema).schema
     names = [f.name for f in out]
-    from pyspark.sql.pandas.types import to_arrow_type
-
     types = [to_arrow_type(f.dataType) for f in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,9 +88,7 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list], list]], schem
                 columns += [pa.array(v, type=t) for v, t in zip(found, types, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
 
-    for field in out:
-        head = head.add(field)
-    return docs.select(*keep, "text").mapInArrow(run, head)
+    return docs.select(*keep, "text").mapInArrow(run, StructType([*head, *out]))
 
 
 def filter_texts(docs: DataFrame, make: Callable[[], Callable[[list], list]]) -> DataFrame:
@@ -108,3 +106,20 @@ def filter_texts(docs: DataFrame, make: Callable[[], Callable[[list], list]]) ->
             yield batch.filter(pa.array(accepted, type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, each: int, seed: int = 0, where: Column | None = None) -> list[tuple[str, int]]:
+    """At most about ``each`` (text, label) pairs per value of ``label`` (0 or 1), chosen by a hash of the id.
+
+    Ids are drawn from the labels first, so that texts of the documents are read once, against a
+    list that is never longer than twice ``each`` (more only if ids are repeated).
+    """
+    rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
+    rows = rows if where is None else rows.where(where)
+    share = {r[label]: min(1.0, each / r["n"]) for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1_000_000)) / 1e6
+    rows = rows.where(place < F.when(F.col(label) == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)))
+    rows = rows.select("doc_id", label).dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    found = texts.join(F.broadcast(rows), "doc_id").select("text", label).collect()
+    return sorted((r["text"], r[label]) for r in found)

@@ -20,6 +20,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from barquarry.llm.common import read, stored, text_slices
 from barquarry.llm.token_counts import WORDS_KEPT, WordSplitter
@@ -60,7 +61,7 @@ class WordIds:
         if len(kept) > WORDS_KEPT:
             kept.clear()
             kept.update(self.added)
-        new = list({w for words in split for w in words if w not in kept})
+        new = list(set().union(*split).difference(kept))
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
             # Blanks part the words and leave no token; the last token of each is known by its mark.
@@ -310,7 +311,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_RO
     within = Window.partitionBy("length", "_group").orderBy(*[n for n in names if n != "length"])
     numbered = salted.withColumn("_row", F.row_number().over(within)).join(sizes, ["length", "_group"])
     numbered = numbered.select(*names, (F.col("_before") + F.col("_row") - 1).alias("_rank"))
-    schema = pieces.schema
+    schema = StructType([*pieces.schema, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     at, rank_at = names.index("length"), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,7 +327,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_RO
             columns = [batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(bins), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    return numbered.mapInArrow(run, schema.add("sequence_id", "long").add("offset", "long"))
+    return numbered.mapInArrow(run, schema)
 
 
 def _last_not_after(lengths: np.ndarray, firsts: np.ndarray, length: np.ndarray, rank: np.ndarray) -> np.ndarray:
