@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barquarry.llm import metric_search, secret_scan
+from barquarry.llm import metric_search, secret_scan, shingle_join
 from barquarry.llm.attention_lm import op10_lm_scoring
 from barquarry.llm.languages import op9_language_id
 from barquarry.llm.metric_search import op5_exact_top_k
@@ -10,6 +10,7 @@ from barquarry.llm.packing import op2_best_fit_packing
 from barquarry.llm.pieces import op6_sentencepiece
 from barquarry.llm.quality import op3_quality_rules
 from barquarry.llm.secret_scan import op8_secret_scan
+from barquarry.llm.shingle_join import op4_ngram_jaccard_join
 from barquarry.llm.token_counts import op7_token_counts
 from barquarry.llm.toxicity import op1_toxicity
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_rules": op3_quality_rules,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_token_counts": op7_token_counts,
@@ -26,6 +28,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_ngram_jaccard_join": shingle_join.ORACLE,
     "op5_exact_top_k": metric_search.ORACLE,
     "op8_secret_scan": secret_scan.oracle(),
 }
