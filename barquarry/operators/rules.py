@@ -72,20 +72,45 @@ def value(rule: str, *, entry_price: str = "CLOSE", amount: float | None = None)
     return F.expr(bind(rule, values)).cast("double")
 
 
+def per_bar(rules: dict[str, str], bars: str, entry: str = "CLOSE") -> Column:
+    """Array of structs: each ``bar`` of the array column ``bars`` and the rules' values on it.
+
+    Column names in a rule are fields of the bar under test; ENTRY_PRICE is the SQL text ``entry``.
+    """
+
+    def field(match: re.Match) -> str:
+        name = match.group().upper()
+        if name == ENTRY_PRICE:
+            return f"({entry})"
+        return f"bar.`{name}`" if is_technical(name) or name in FUNDAMENTAL_COLUMNS else match.group()
+
+    texts = {n: _NAME.sub(field, check_rule(rule, [ENTRY_PRICE])) for n, rule in rules.items()}
+    fields = "".join(f", '{n}', CAST(({text}) AS DOUBLE)" for n, text in texts.items())
+    return F.expr(f"transform({bars}, bar -> named_struct('bar', bar{fields}))")
+
+
+def names_entry(rule: str) -> bool:
+    return re.search(rf"\b{ENTRY_PRICE}\b", rule, re.IGNORECASE) is not None
+
+
 def affine_in_entry(rule: str, amount: float | None = None) -> tuple[Column, Column]:
     """Columns (a, b) such that the rule equals a * ENTRY_PRICE + b on each bar.
 
-    The rule is evaluated at entry prices 0 and 1; a third point at 2 must lie on the line,
-    otherwise the query stops with an error.
+    Only for positions whose entry price changes while they are open. A rule with functions or cases
+    on the entry price is refused; of plain arithmetic, three points must lie on a line, otherwise
+    the query stops with an error.
     """
-    if not re.search(rf"\b{ENTRY_PRICE}\b", rule, re.IGNORECASE):
+    if not names_entry(rule):
         return F.lit(0.0), value(rule, amount=amount)
-    at0, at1, at2 = (value(rule, entry_price=f"{x}.0D", amount=amount) for x in (0, 1, 2))
-    slack = F.lit(1e-9) * (F.abs(at0) + F.abs(at1) + F.abs(at2) + 1.0)
-    straight = F.abs(at2 - at1 * 2 + at0) <= slack
+    words = {w.upper() for w in _NAME.findall(rule)} & set(_WORDS)
+    if words:
+        raise ValueError(f"only + - * / may be used with {ENTRY_PRICE} where the entry price moves: {rule!r}")
+    at1, at2, at3 = (value(rule, entry_price=f"{x}.0D", amount=amount) for x in (1, 2, 3))
+    slack = F.lit(1e-9) * (F.abs(at1) + F.abs(at2) + F.abs(at3) + 1.0)
+    straight = F.abs(at3 - at2 * 2 + at1) <= slack
     error = F.raise_error(F.lit(f"not a*ENTRY_PRICE + b: {rule}")).cast("double")
-    slope = F.when(F.coalesce(straight, F.lit(True)), at1 - at0).otherwise(error)
-    return slope, at0
+    slope = F.when(F.coalesce(straight, F.lit(True)), at2 - at1).otherwise(error)
+    return slope, at1 * 2 - at2
 
 
 def all_met(rules: Iterable[str]) -> Column:

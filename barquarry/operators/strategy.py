@@ -12,8 +12,6 @@ from barquarry.operators.rules import FIXED_AMOUNT, ENTRY_PRICE, check_rule, col
 DEFAULT_MAX_HOLD = 3
 DEFAULT_TARGET = "CLOSE + ATR14 * 3"
 DEFAULT_STOP = "CLOSE - ATR14 * 2"
-# Holds up to this many bars are searched in a forward window frame; longer ones by the fold.
-FRAME_HOLD_LIMIT = 32
 
 
 def as_list(x: Any) -> tuple[Any, ...]:
@@ -46,6 +44,8 @@ class Strategy:
     amount: str | None = None
     trailing: float | None = None
     description: str = ""
+    #: Exits use the stop recorded at entry instead of the stop rules on each bar.
+    fixed_stop: bool = False
 
     @classmethod
     def from_mapping(cls, config: Mapping[str, Any], default_name: str = "") -> Strategy:
@@ -71,6 +71,7 @@ class Strategy:
             partial_ratios=ratios[:used],
             amount=config.get("amount") or None,
             trailing=trailing_fraction(config.get("ts")),
+            fixed_stop=config.get("stop") == "fixed",
         )
         made.check()
         return made
@@ -85,6 +86,9 @@ class Strategy:
         if self.trailing is not None and not math.isfinite(self.trailing):
             raise ValueError(f"trailing stop of {self.name} is not a number")
 
+        if self.fixed_stop and self.needs_fold:
+            raise ValueError(f"{self.name}: a fixed stop goes with positions that do not change")
+
     @property
     def target(self) -> str:
         return self.tp[0] if self.tp else DEFAULT_TARGET
@@ -109,10 +113,8 @@ class Strategy:
 
     @property
     def needs_fold(self) -> bool:
-        """The position changes while open, or is held too long for a forward frame."""
-        return bool(
-            self.avg_down or self.avg_up or self.partial_tp or self.max_hold > FRAME_HOLD_LIMIT
-        )
+        """The position changes while it is open."""
+        return bool(self.avg_down or self.avg_up or self.partial_tp)
 
 
 def columns_of(strategies: Sequence[Strategy]) -> list[str]:

@@ -3,7 +3,7 @@
 Strategies whose position does not change while open are done with window frames only:
 
 1. signal, target, stop and size are columns of the bar;
-2. each signal bar looks at the next max_hold bars (one forward frame) for its first exit;
+2. each signal bar looks at the next max_hold bars (a forward frame, or chunks) for its first exit;
 3. of overlapping candidates only those starting after the last kept exit remain.
 
 Step 3 goes through the candidates in order, at most one block of them per task. In a block
@@ -11,26 +11,30 @@ layout each block first answers "if the series is free again from row f, when is
 this block?" for the few f a position can leave open; chaining these answers gives the state
 at the start of every block, and the blocks are then resolved in parallel.
 
-Other strategies (averaging, partial exits, long holds) are in ``position_fold``.
+Strategies with averaging or partial exits are in ``position_fold``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barquarry.functions.rolling import Rolling
 from barquarry.functions.scalars import days_held, display_symbol, iso_date, range_days, share_count
 from barquarry.operators.layout import Layout
-from barquarry.operators.rules import affine_in_entry, all_met, rule_arithmetic, value
+from barquarry.operators.rules import all_met, columns_used, per_bar, rule_arithmetic, value
 from barquarry.operators.scan import with_compliance
 from barquarry.operators.strategy import Strategy
 from barquarry.session import computed_once
 
 NEVER = 9_000_000_000_000_000_000  # row number after every series
 CHUNK = 256
+# Exits of positions held up to so many bars are read from one forward frame.
+FRAME_BARS = 32
+CHUNK_BARS = 64
 c = F.col
 
 TRADE_COLUMNS = [
@@ -97,24 +101,43 @@ def entry_columns(strategies: Sequence[Strategy], amount: float) -> dict[str, Co
     return cols
 
 
-def _first_exit(s: Strategy, i: int, forward: Column, entry: Column) -> Column:
-    """First bar of the forward frame that ends the position, with price and reason."""
+def _stop_rules(s: Strategy) -> dict[str, str]:
+    """Stop rules that are evaluated anew on each bar."""
+    return {f"s{n}": rule for n, rule in enumerate(s.sl)} if not s.fixed_stop else {}
 
-    def judge(bar: Column, k: Column) -> Column:
+
+def _bar(strategies: Sequence[Strategy]) -> Column:
+    """What an exit may depend on at a bar: range, close, and the columns stop rules name."""
+    names = columns_used(rule for s in strategies for rule in _stop_rules(s).values())
+    return F.struct(
+        c("_rn").alias("rn"),
+        "date",
+        c("_in").alias("usable"),
+        *[c(n).alias(n) for n in dict.fromkeys(["HIGH", "LOW", "CLOSE", *names])],
+    )
+
+
+def _first_exit(s: Strategy, i: int, tests: Column, peaks: Callable[[Column], Column], held: Callable[[Column], Column]) -> Column:
+    """First of the ``tests`` (bars with the stop rules' values) that ends the position.
+
+    ``peaks(k)`` is the highest price from the entry to test k, ``held(bar)`` the bars since the entry.
+    """
+
+    def judge(test: Column, k: Column) -> Column:
+        bar = test["bar"]
         reason, price = F.when(F.lit(False), ""), F.when(F.lit(False), F.lit(0.0))
         if s.trailing is not None:
-            highs = F.slice(forward.getField("high"), F.lit(1), k + 1)
-            level = F.greatest(entry, F.array_max(highs)) * (1.0 - s.trailing)
-            hit = bar["low"] <= level
+            level = peaks(k) * (1.0 - s.trailing)
+            hit = bar["LOW"] <= level
             reason, price = reason.when(hit, "Trailing Stop Hit"), price.when(hit, level)
-        for n in range(len(s.sl)):
-            level = bar[f"a{i}_{n}"] * entry + bar[f"b{i}_{n}"]
-            hit = bar["low"] <= level
+        levels = [c(f"_stop{i}")] if s.fixed_stop else [test[n] for n in _stop_rules(s)]
+        for n, level in enumerate(levels):
+            hit = bar["LOW"] <= level
             reason, price = reason.when(hit, f"SL Hit (Level {n + 1})"), price.when(hit, level)
-        hit = bar["high"] >= c(f"_target{i}")
+        hit = bar["HIGH"] >= c(f"_target{i}")
         reason, price = reason.when(hit, "TP Hit"), price.when(hit, c(f"_target{i}"))
-        late = k + 1 >= s.max_hold
-        reason, price = reason.when(late, "MaxHold Exit"), price.when(late, bar["close"])
+        late = held(bar) >= s.max_hold
+        reason, price = reason.when(late, "MaxHold Exit"), price.when(late, bar["CLOSE"])
         return F.struct(
             bar["rn"].alias("rn"),
             bar["date"].alias("date"),
@@ -123,63 +146,92 @@ def _first_exit(s: Strategy, i: int, forward: Column, entry: Column) -> Column:
             bar["usable"].alias("usable"),
         )
 
-    exits = F.transform(forward, judge)
+    exits = F.transform(tests, judge)
     return F.get(F.filter(exits, lambda e: e["reason"].isNotNull() & e["usable"]), F.lit(0))
 
 
+def _candidate(s: Strategy, i: int, exit_: Column) -> Column:
+    return F.struct(
+        F.lit(s.name).alias("strategy"),
+        c("_rn").alias("entry_rn"),
+        c("date").alias("entry_date"),
+        c("CLOSE").alias("entry_price"),
+        c(f"_qty{i}").alias("qty"),
+        c(f"_stop{i}").alias("stop_loss"),
+        c(f"_target{i}").alias("take_profit"),
+        exit_.alias("exit"),
+    )
+
+
 def exit_candidates(
     frame: DataFrame, strategies: Sequence[Strategy], amount: float, layout: Layout
 ) -> DataFrame:
-    """One row per signal bar with its exit (null if the data ends first); no shuffle."""
-    roll = Rolling(layout.keys)
+    """One row per signal bar with its exit (null if the data ends first).
+
+    Up to ``FRAME_BARS`` bars are read from a forward frame, without a shuffle. Longer holds are
+    searched in chunks of bars: each bar is packed into one chunk, and only signal bars are
+    matched with the chunks they may be held through.
+    """
     with rule_arithmetic(frame.sparkSession):
-        levels = {}
-        for i, s in enumerate(strategies):
-            for n, rule in enumerate(s.sl):
-                levels[f"a{i}_{n}"], levels[f"b{i}_{n}"] = affine_in_entry(rule)
-        bar = F.struct(
-            c("_rn").alias("rn"),
-            c("date").alias("date"),
-            c("HIGH").alias("high"),
-            c("LOW").alias("low"),
-            c("CLOSE").alias("close"),
-            c("_in").alias("usable"),
-            *[level.alias(n) for n, level in levels.items()],
-        )
         keep = [*layout.keys, "date", "_rn", "CLOSE"] + (["_own"] if layout.blocked else [])
-        narrow = frame.withColumns(entry_columns(strategies, amount)).withColumn("_bar", bar)
-        narrow = narrow.select(
-            *keep,
-            "_bar",
-            *[f"_{x}{i}" for i in range(len(strategies)) for x in ("qty", "target", "stop")],
-        )
-        holds = sorted({max(1, s.max_hold) for s in strategies})
-        narrow = narrow.withColumns(
-            {
-                f"_next{k}": F.collect_list("_bar").over(roll.ordered.rowsBetween(1, k))
-                for k in holds
-            }
+        narrow = frame.withColumns(entry_columns(strategies, amount)).withColumn("_bar", _bar(strategies))
+        columns = [f"_{x}{i}" for i in range(len(strategies)) for x in ("qty", "target", "stop")]
+        narrow = narrow.select(*keep, "_bar", *columns)
+        short = [(i, s) for i, s in enumerate(strategies) if s.max_hold <= FRAME_BARS]
+        parts = [_in_frames(narrow, short, layout)] if short else []
+        parts += [_in_chunks(narrow, i, s, layout) for i, s in enumerate(strategies) if s.max_hold > FRAME_BARS]
+        return reduce(DataFrame.unionByName, parts)
+
+
+def _in_frames(narrow: DataFrame, numbered: Sequence[tuple[int, Strategy]], layout: Layout) -> DataFrame:
+    roll = Rolling(layout.keys)
+    holds = sorted({max(1, s.max_hold) for _, s in numbered})
+    narrow = narrow.withColumns({f"_next{k}": F.collect_list("_bar").over(roll.ordered.rowsBetween(1, k)) for k in holds})
+    candidates = []
+    for i, s in numbered:
+        bars = f"_next{max(1, s.max_hold)}"
+        highs = c(bars).getField("HIGH")
+        found = _first_exit(
+            s,
+            i,
+            per_bar(_stop_rules(s), bars),
+            lambda k, highs=highs: F.greatest(c("CLOSE"), F.array_max(F.slice(highs, F.lit(1), k + 1))),
+            lambda bar: bar["rn"] - c("_rn"),
         )
-        candidates = [
-            F.when(
-                c(f"_qty{i}").isNotNull(),
-                F.struct(
-                    F.lit(s.name).alias("strategy"),
-                    c("_rn").alias("entry_rn"),
-                    c("date").alias("entry_date"),
-                    c("CLOSE").alias("entry_price"),
-                    c(f"_qty{i}").alias("qty"),
-                    c(f"_stop{i}").alias("stop_loss"),
-                    c(f"_target{i}").alias("take_profit"),
-                    _first_exit(s, i, c(f"_next{max(1, s.max_hold)}"), c("CLOSE")).alias("exit"),
-                ),
-            )
-            for i, s in enumerate(strategies)
-        ]
-        found = narrow.where(layout.own()) if layout.blocked else narrow
-        return found.select(
-            *layout.keys, F.explode(F.array_compact(F.array(*candidates))).alias("_cand")
-        ).select(*layout.keys, "_cand.*")
+        candidates.append(F.when(c(f"_qty{i}").isNotNull(), _candidate(s, i, found)))
+    own = narrow.where(layout.own()) if layout.blocked else narrow
+    return own.select(*layout.keys, F.explode(F.array_compact(F.array(*candidates))).alias("_cand")).select(
+        *layout.keys, "_cand.*"
+    )
+
+
+def _in_chunks(narrow: DataFrame, i: int, s: Strategy, layout: Layout) -> DataFrame:
+    keys = list(layout.keys)
+    chunk = lambda row: F.floor(row / F.lit(CHUNK_BARS))
+    packed = narrow.groupBy(*keys, chunk(c("_rn")).alias("_chunk")).agg(F.array_sort(F.collect_list("_bar")).alias("_bars"))
+    signals = narrow.where(c(f"_qty{i}").isNotNull() & layout.own())
+    signals = signals.select(*keys, "date", "_rn", "CLOSE", f"_qty{i}", f"_target{i}", f"_stop{i}")
+    reach = F.sequence(chunk(c("_rn") + 1), chunk(c("_rn") + s.max_hold))
+    parts = signals.withColumn("_chunk", F.explode(reach)).join(packed, [*keys, "_chunk"], "left")
+    ahead = F.filter("_bars", lambda b: (b["rn"] > c("_rn")) & (b["rn"] <= c("_rn") + s.max_hold))
+    parts = parts.withColumn("_ahead", ahead).drop("_bars")
+    # The highest price of the chunks between the entry and this one: a few rows per signal.
+    earlier = Window.partitionBy(*keys, "_rn").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    highs = c("_ahead").getField("HIGH")
+    if s.trailing is not None:
+        parts = parts.withColumn("_peak", F.greatest(c("CLOSE"), F.max(F.array_max(highs)).over(earlier)))
+    found = _first_exit(
+        s,
+        i,
+        per_bar(_stop_rules(s), "_ahead"),
+        lambda k: F.greatest(c("_peak"), F.array_max(F.slice(highs, F.lit(1), k + 1))),
+        lambda bar: bar["rn"] - c("_rn"),
+    )
+    one = parts.withColumn("_exit", found)
+    first = one.groupBy(*keys, "date", "_rn", "CLOSE", f"_qty{i}", f"_target{i}", f"_stop{i}").agg(
+        F.min_by("_exit", c("_exit.rn")).alias("_exit")
+    )
+    return first.select(*keys, _candidate(s, i, c("_exit")).alias("_cand")).select(*keys, "_cand.*")
 
 
 def _free_after(candidate: Column) -> Column:

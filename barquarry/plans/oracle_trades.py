@@ -96,7 +96,7 @@ def _steps(s: Strategy, index: int, amount: float, stamp: str) -> str:
             level = f"peak * (1 - {s.trailing!r})"
             why.append(f"WHEN LOW <= {level} THEN 'Trailing Stop Hit'")
             price.append(f"WHEN LOW <= {level} THEN {level}")
-        for k, rule in enumerate(s.sl):
+        for k, rule in enumerate(["stop"] if s.fixed_stop else s.sl):
             why.append(f"WHEN LOW <= ({rule}) THEN 'SL Hit (Level {k + 1})'")
             price.append(f"WHEN LOW <= ({rule}) THEN ({rule})")
         why.append(f"WHEN HIGH >= target THEN 'TP Hit' WHEN held >= {s.max_hold} THEN 'MaxHold Exit'")
@@ -203,6 +203,42 @@ def scan_rows_sql(compliance: str, amount: float) -> str:
     )
 
 
+def _fixed2(n: str) -> str:
+    return f"printf('%.2f', round({n} + 1.37e-5, 2))"
+
+
+def _grouped(n: str) -> str:
+    """Thousands parted by '.', decimals after ',' without trailing zeros."""
+    value = f"round({n} + 1.37e-5, 2)"
+    text = f"translate(format('{{:,.2f}}', {value}), ',.', '.,')"
+    return f"regexp_replace({text}, ',?0+$', '')"
+
+
+def scan_page_sql(compliance: str, amount: float, number: int, size: int) -> str:
+    up, down = "(take_profit / entry_price - 1) * 100", "(stop_loss / entry_price - 1) * 100"
+    return (
+        f"{_hits()}, rows AS (SELECT *, {_marked(compliance)} FROM hits)\n"
+        f'SELECT ticker AS "Ticker", {_fixed2("entry_price")} AS "Price", {_fixed2("entry_price")} AS "Entry", '
+        f'{_fixed2("stop_loss")} AS "SL", {_fixed2("take_profit")} AS "TP", '
+        f"""{_fixed2(up)} || ' %' AS "TP_pct", {_grouped(f"{amount!r} * ({up}) / 100")} AS "TP_Rp", """
+        f"""{_fixed2(down)} || ' %' AS "SL_pct", {_grouped(f"{amount!r} * ({down}) / 100")} AS "SL_Rp", '' AS "PnL", """
+        f"""strftime(entry_date, '%Y-%m-%d') AS "Start", '' AS "End", '' AS "Hold" """
+        f"FROM rows ORDER BY ticker, strategy LIMIT {size} OFFSET {number * size}"
+    )
+
+
+def trade_page_sql(strategies: Sequence[Strategy], compliance: str, amount: float, number: int, size: int) -> str:
+    return (
+        f"{_trades(strategies, amount)}, rows AS (SELECT *, {_marked(compliance)} FROM trades)\n"
+        f'SELECT ticker AS "Ticker", {_fixed2("exit_price")} AS "Price", {_fixed2("entry_price")} AS "Entry", '
+        f'{_fixed2("stop_loss")} AS "SL", {_fixed2("take_profit")} AS "TP", '
+        f"""'' AS "TP_pct", '' AS "TP_Rp", '' AS "SL_pct", '' AS "SL_Rp", {_grouped("pnl")} AS "PnL", """
+        f"""strftime(entry_date, '%Y-%m-%d') AS "Start", strftime(close_date, '%Y-%m-%d') AS "End", """
+        f"""hold_period || 'd' AS "Hold" FROM rows """
+        f"ORDER BY entry_date, ticker, strategy, close_date, exit_reason, exit_price LIMIT {size} OFFSET {number * size}"
+    )
+
+
 def first_exit_sql(s: Strategy) -> str:
     """Every signal bar joined to the bars it may be held for, and the first exit among them."""
     stops = [_bound(rule, "e.ep") for rule in s.sl]
@@ -217,7 +253,8 @@ def first_exit_sql(s: Strategy) -> str:
 e AS (SELECT symbol, rn, date, CLOSE AS ep, {_bound(s.target, "CLOSE")} AS target FROM x WHERE {_met(s)}
       AND floor(1000000 / CLOSE) > 0),
 j AS (SELECT e.symbol, e.rn, b.date AS exit_date, CASE {why} END AS exit_reason, CASE {price} END AS exit_price, b.rn AS brn
-      FROM e JOIN x b ON b.symbol = e.symbol AND b.rn BETWEEN e.rn + 1 AND e.rn + {s.max_hold})
+      FROM (SELECT *, unnest(range(1, {s.max_hold} + 1)) AS ahead FROM e) e
+      JOIN x b ON b.symbol = e.symbol AND b.rn = e.rn + e.ahead)
 SELECT e.symbol, e.date AS entry_date, f.exit_date, f.exit_reason, round(f.exit_price + 1.37e-5, 2) AS exit_price
 FROM e LEFT JOIN (SELECT * FROM j WHERE exit_reason IS NOT NULL
                   QUALIFY row_number() OVER (PARTITION BY symbol, rn ORDER BY brn) = 1) f

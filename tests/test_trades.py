@@ -2,6 +2,7 @@
 
 import pytest
 
+from barquarry.operators import trades
 from barquarry.operators.indicators import add_technical
 from barquarry.operators.layout import SymbolLayout
 from barquarry.operators.position_fold import bounded_fold_trades, fold_trades
@@ -58,8 +59,8 @@ def test_open_position_at_the_end_gives_no_row(make_bars):
 
 
 def test_no_entry_while_in_position_nor_on_the_exit_bar(make_bars):
-    trades = run(make_bars([ENTRY] * 6 + [quiet(10)]), {"tp": ["CLOSE * 9"], "sl": "1", "max_hold_days": 2})
-    assert [t.entry_date.day for t in trades] == [1, 4]
+    found = run(make_bars([ENTRY] * 6 + [quiet(10)]), {"tp": ["CLOSE * 9"], "sl": "1", "max_hold_days": 2})
+    assert [t.entry_date.day for t in found] == [1, 4]
 
 
 def test_amount_below_one_share_is_no_entry(make_bars):
@@ -120,9 +121,54 @@ def test_period_limits_entries_not_history(make_bars):
     assert len(run(bars, {"tp": ["CLOSE + 1"]}, start="2020-01-01", end="2020-01-31")) == 1
 
 
-def test_non_affine_level_is_refused(make_bars):
-    with pytest.raises(Exception, match="ENTRY_PRICE"):
-        run(make_bars([ENTRY, quiet(12)]), {"sl": "ENTRY_PRICE * ENTRY_PRICE"})
+@pytest.mark.parametrize(
+    "rule, level",
+    [
+        ("GREATEST(ENTRY_PRICE * 0.97, CLOSE * 0.9)", 9.7),
+        ("LEAST(ENTRY_PRICE * 0.97, CLOSE * 0.9)", 9.8 * 0.9),
+        ("CASE WHEN ENTRY_PRICE > 9 THEN CLOSE * 0.95 ELSE CLOSE * 0.8 END", 9.8 * 0.95),
+        ("ENTRY_PRICE * ENTRY_PRICE / 10 - 0.5", 9.5),
+    ],
+)
+def test_stop_rules_may_be_any_function_of_the_entry_price(make_bars, rule, level):
+    bars = [ENTRY, (10, 10, level + 0.01, 9.8), (9.8, 9.9, level, 9.8)]
+    (trade,) = run(make_bars(bars), {"tp": ["CLOSE * 9"], "sl": rule, "max_hold_days": 5})
+    assert (trade.exit_reason, trade.hold_period) == ("SL Hit (Level 1)", 2)
+    assert trade.exit_price == pytest.approx(level)
+
+
+def test_functions_of_a_moving_entry_price_are_refused(make_bars):
+    for rule in ("GREATEST(ENTRY_PRICE * 0.9, 1)", "ENTRY_PRICE * ENTRY_PRICE"):
+        with pytest.raises(Exception, match="ENTRY_PRICE"):
+            run(make_bars([ENTRY, quiet(12)]), {"sl": rule, "avg_up": "ENTRY_PRICE * 1.1"})
+
+
+def test_fixed_stop_is_the_one_recorded_at_entry(make_bars):
+    bars = make_bars([ENTRY, (10, 20, 9.5, 20), (20, 20, 12, 12), (9, 9, 8.9, 9)])
+    config = {"tp": ["CLOSE * 9"], "sl": ["CLOSE * 0.9"], "max_hold_days": 9}
+    (floating,) = run(bars, config)
+    (fixed,) = run(bars, {**config, "stop": "fixed"})
+    assert (floating.hold_period, fixed.hold_period) == (1, 3)
+    assert (fixed.exit_reason, fixed.exit_price) == ("SL Hit (Level 1)", 9.0)
+    with pytest.raises(ValueError):
+        Strategy.from_mapping({"name": "S", "stop": "fixed", "avg_up": "ENTRY_PRICE * 1.1"})
+
+
+@pytest.mark.parametrize("hold", [40, 200])
+def test_long_holds_use_no_python(spark, monkeypatch, hold):
+    bars, layout = inputs(spark, "/root/testdata/sf0.001", hold=hold)
+    s = Strategy.from_mapping(
+        {"name": "A", "entry": ["CLOSE < MA50"], "tp": ["CLOSE * 1.9"], "ts": 0.9, "max_hold_days": hold,
+         "sl": ["ENTRY_PRICE * 0.05", "LEAST(CLOSE * 0.03, ENTRY_PRICE * 0.03)"]}
+    )
+    frame = in_range(add_technical(bars, layout, ["MA50"]), layout)
+    by_chunk = frame_trades(frame, [s], 1e6, layout)
+    plan = by_chunk._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+    monkeypatch.setattr(trades, "FRAME_BARS", 1000)
+    by_frame = frame_trades(frame, [s], 1e6, layout)
+    found = [sorted(map(tuple, t.collect())) for t in (by_chunk, by_frame)]
+    assert len(found[0]) > 20 and found[0] == found[1]
 
 
 def test_fold_agrees_with_frames(spark):
@@ -149,8 +195,8 @@ def test_fold_agrees_with_frames(spark):
 
 def test_trades_do_not_overlap_and_reasons_add_up(spark):
     bars, layout = inputs(spark, "/root/testdata/sf0.001", hold=5)
-    trades, summary = backtest_request(bars, shipped(), layout)
-    rows = trades.orderBy("strategy", "symbol", "entry_date").collect()
+    made, summary = backtest_request(bars, shipped(), layout)
+    rows = made.orderBy("strategy", "symbol", "entry_date").collect()
     for a, b in zip(rows, rows[1:]):
         if (a.strategy, a.symbol) == (b.strategy, b.symbol):
             assert b.entry_date > a.close_date
@@ -164,12 +210,12 @@ def test_trades_do_not_overlap_and_reasons_add_up(spark):
 
 def test_summary_figures(spark):
     columns = "strategy string, symbol string, pnl double, roi_pct double, hold_period int, exit_reason string"
-    trades = spark.createDataFrame(
+    made = spark.createDataFrame(
         [("S", "A", 10.0, 1.0, 2, "TP Hit"), ("S", "A", -5.0, -2.0, 4, "MaxHold Exit"), ("S", "A", 0.0, 0.0, 3, "TP Hit")],
         columns,
     )
     symbols = spark.createDataFrame([("A",), ("B",)], "symbol string")
-    summary = symbol_summary(trades, 100.0, symbols, ["S"])
+    summary = symbol_summary(made, 100.0, symbols, ["S"])
     a = summary.where("symbol = 'A'").first()
     assert (a.total_trades, a.wins, a.losses, a.avg_holding_days, a.final_equity) == (3, 1, 2, 3.0, 105.0)
     assert (a.avg_win_pct, a.avg_loss_pct, a.risk_reward, a.best_roi_pct) == (1.0, -1.0, 1.0, 1.0)
