@@ -48,6 +48,17 @@ def percent_fraction(text: Column) -> Column:
     )
 
 
+def zip_shorter(a: Column, b: Column, names: tuple[str, str]) -> Column:
+    """Pairs of two arrays as structs; the shorter one ends the list."""
+    n = F.least(F.size(a), F.size(b))
+    return F.arrays_zip(F.slice(a, 1, n).alias(names[0]), F.slice(b, 1, n).alias(names[1]))
+
+
+def text_timestamp(text: Column) -> Column:
+    """ISO text to a timestamp; anything else is null."""
+    return F.try_to_timestamp(text)
+
+
 def share_count(amount: Column, price: Column) -> Column:
     """Whole shares an amount buys, as a double; null for a zero price."""
     return F.floor(F.try_divide(amount, price)).cast("double")

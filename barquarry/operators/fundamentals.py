@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barquarry.functions.rolling import Rolling
+from barquarry.operators.layout import Layout
+
 # Output column to key of the snapshot map.
 DIRECT = {
     "TRAILING_PE": "trailingPE",
@@ -33,16 +36,22 @@ FUNDAMENTAL_COLUMNS = [*DIRECT, "DEBT_TO_EQUITY", "PRICE_TO_CF"]
 VALID_HOURS = 24
 
 
+def newest_snapshots(fundamentals: DataFrame) -> DataFrame:
+    """The latest snapshot of each symbol; any one if snapshots carry no time."""
+    if "fetched_at" not in fundamentals.columns:
+        return fundamentals.dropDuplicates(["symbol"])
+    w = Window.partitionBy("symbol").orderBy(F.col("fetched_at").desc())
+    numbered = fundamentals.withColumn("_age", F.row_number().over(w))
+    return numbered.where(F.col("_age") == 1).drop("_age")
+
+
 def fresh_snapshots(fundamentals: DataFrame, as_of: Column) -> DataFrame:
     """Latest snapshot per symbol that is less than a day old at ``as_of``."""
     recent = fundamentals.where(
         (F.col("fetched_at") > as_of - F.expr(f"INTERVAL {VALID_HOURS} HOURS"))
         & (F.col("fetched_at") <= as_of)
     )
-    w = Window.partitionBy("symbol").orderBy(F.col("fetched_at").desc())
-    return (
-        recent.withColumn("_age", F.row_number().over(w)).where(F.col("_age") == 1).drop("_age")
-    )
+    return newest_snapshots(recent)
 
 
 def _info(key: str) -> Column:
@@ -88,21 +97,40 @@ def last_closes(bars: DataFrame) -> DataFrame:
     return bars.groupBy("symbol").agg(F.max_by("close", "date").alias("last_close"))
 
 
-def fundamental_columns(bars: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """One row per symbol with bars, with all 23 columns; missing values are 0."""
+def _with_price(joined: DataFrame, last_close: Column) -> dict[str, Column]:
     zero = F.lit(0.0)
-    joined = last_closes(bars).join(ratios(snapshots), "symbol", "left")
-    price_to_cf = F.coalesce(
-        F.try_divide(F.col("last_close"), F.col("_cash_flow_per_share")), zero
-    ).alias("PRICE_TO_CF")
-    rest = [F.coalesce(F.col(n), zero).alias(n) for n in FUNDAMENTAL_COLUMNS if n != "PRICE_TO_CF"]
-    return joined.select("symbol", *rest, price_to_cf)
+    made = {n: F.coalesce(F.col(n), zero) for n in FUNDAMENTAL_COLUMNS if n != "PRICE_TO_CF"}
+    made["PRICE_TO_CF"] = F.coalesce(F.try_divide(last_close, F.col("_cash_flow_per_share")), zero)
+    return made
 
 
-def add_fundamentals(bars: DataFrame, frame: DataFrame, snapshots: DataFrame) -> DataFrame:
+def fundamental_columns(bars: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """One row per symbol with bars, with all 23 columns; missing values are 0."""
+    joined = last_closes(bars).join(ratios(newest_snapshots(snapshots)), "symbol", "left")
+    made = _with_price(joined, F.col("last_close"))
+    return joined.select("symbol", *[v.alias(n) for n, v in made.items()])
+
+
+def add_fundamentals(
+    bars: DataFrame,
+    frame: DataFrame,
+    snapshots: DataFrame,
+    layout: Layout,
+    as_of: str | None = None,
+) -> DataFrame:
     """``frame`` (bars with or without indicators) with the fundamental columns.
 
-    One row per symbol is joined: Spark broadcasts it if its measured size allows, and
-    otherwise shuffles it to the symbol partitioning the frame already has.
+    With ``as_of`` only snapshots less than a day old then count; of several of a symbol the
+    latest does, so one row per symbol is joined and no bar is multiplied. Spark broadcasts the
+    small side if its measured size allows, and otherwise shuffles it to the partitioning the
+    frame already has. The last close comes from the frame; in a block layout, from ``bars``.
     """
-    return frame.join(fundamental_columns(bars, snapshots), "symbol", "left")
+    if as_of is not None:
+        snapshots = fresh_snapshots(snapshots, F.lit(as_of).cast("timestamp"))
+    if layout.blocked:
+        return frame.join(fundamental_columns(bars, snapshots), "symbol", "left")
+    whole = Rolling(layout.keys).whole
+    priced = frame.withColumn("_last_close", F.max_by("CLOSE", "date").over(whole))
+    joined = priced.join(ratios(newest_snapshots(snapshots)), "symbol", "left")
+    made = _with_price(joined, F.col("_last_close"))
+    return joined.select(*frame.columns, *[v.alias(n) for n, v in made.items()])

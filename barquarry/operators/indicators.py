@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from barquarry.functions.rolling import LARGE_ROWS, Rolling, extreme_parts, sum_parts
 from barquarry.functions.scalars import flag, nz
-from barquarry.operators.layout import Layout, SymbolLayout
+from barquarry.operators.layout import SHORTEST_LOOKBACK, Layout
 from barquarry.operators.recurrence import decayed_sums
 
 # Names of the 61 technical columns.
@@ -184,7 +184,13 @@ def _last_rows_of(total: str, n: int) -> Callable[[Rolling], Column]:
 
 def _ema_input(source: str, span: int) -> Callable[[Rolling], Column]:
     a = ema_step(span)
-    return lambda r: F.when(c("_rn") == 0, c(source)).otherwise(F.lit(a) * c(source))
+    absent = F.raise_error(F.lit(f"{source} is missing on a bar: reject such bars before averaging")).cast("double")
+
+    def build(r: Rolling) -> Column:
+        value = F.when(c(source).isNull(), absent).otherwise(c(source)) if source in RAW_COLUMNS else c(source)
+        return F.when(c("_rn") == 0, value).otherwise(F.lit(a) * value)
+
+    return build
 
 
 def _wilder_input(source: str) -> Callable[[Rolling], Column]:
@@ -423,6 +429,12 @@ def is_technical(name: str) -> bool:
     )
 
 
+def longest_window(names: Iterable[str]) -> int:
+    """Rows that the windows of some columns look back over."""
+    lengths = [int(m.group(2)) for m in map(_WINDOWED_NAME.match, names) if m]
+    return max([SHORTEST_LOOKBACK, *lengths])
+
+
 def _closure(wanted: Iterable[str]) -> set[str]:
     """The wanted columns and everything they are computed from."""
     sources = {**_AVERAGES_1, **_AVERAGES_2}
@@ -544,7 +556,7 @@ def _fill(
 
 def add_technical(
     bars: DataFrame,
-    layout: Layout | None = None,
+    layout: Layout,
     wanted: Iterable[str] | None = None,
     *,
     fill: bool = True,
@@ -562,9 +574,10 @@ def add_technical(
     """
     if warmup not in ("zero", "null"):
         raise ValueError("warmup must be 'zero' or 'null'")
-    layout = layout or SymbolLayout()
     names = list(dict.fromkeys([*RAW_COLUMNS, *(wanted if wanted is not None else TECHNICAL_COLUMNS)]))
     need = _closure(names)
+    if layout.blocked and longest_window(names) > layout.lookback:
+        raise ValueError(f"the layout's lookback must be at least {longest_window(names)}")
     roll = Rolling(layout.keys)
     df = _raw(bars, layout)
     keep = ["symbol", "date", *layout.helpers]
@@ -579,7 +592,7 @@ def add_technical(
         ):
             specs = {o: s for o, s in averages.items() if o in need}
             if stage == after and specs:
-                df = decayed_sums(df, layout.keys, specs, layout.max_rows)
+                df = decayed_sums(df, layout.keys, specs, layout.max_rows, layout.segment_rows)
         later = {x for t, groups in plan.items() if t > stage for g in groups for x in g}
         df = _pack(df, f"_done{stage}", names, _read_by(later, need, stage), packed)
     if "ADX14" in need:

@@ -7,8 +7,9 @@ with the same results:
 
 * ``SymbolLayout`` - one group per symbol; used when the longest series is proven short.
 * ``BlockLayout`` - a series is cut into blocks of consecutive rows. A block also receives
-  the rows just before it (``lookback``) and after it (``lookahead``), which feed windows and
-  are dropped from the results. No group exceeds block + lookback + lookahead rows.
+  the rows just before it (``lookback``, which may span several blocks) and after it
+  (``lookahead``), which feed windows and are dropped from the results. No group exceeds
+  block + lookback + lookahead rows. Indicators refuse windows longer than the lookback.
 
 ``choose_layout`` decides from a bound given by the caller or from one counted by Spark.
 
@@ -28,6 +29,8 @@ ROWS_PER_GROUP_LIMIT = 200_000
 BLOCK_ROWS = 131_072
 LOOKBACK_ROWS = 16_384
 DAY_SECONDS = 86_400
+# Window lengths of named columns are at most this; longer ones say so in their names.
+SHORTEST_LOOKBACK = 64
 
 
 @dataclass(frozen=True)
@@ -38,6 +41,7 @@ class SymbolLayout:
     keys: tuple[str, ...] = ("symbol",)
     helpers: tuple[str, ...] = ("_rn",)
     blocked: bool = False
+    segment_rows: int | None = None
 
     def prepare(self, bars: DataFrame) -> DataFrame:
         w = Window.partitionBy("symbol").orderBy("date")
@@ -54,22 +58,23 @@ class SymbolLayout:
 class BlockLayout:
     """Blocks of ``block_rows`` consecutive bars with neighbouring rows attached.
 
-    ``bar_seconds`` is the smallest distance between two bars of a symbol. (symbol, date) is
-    the key of a bar table, so a time slice of block_rows * bar_seconds holds at most
-    block_rows bars of a symbol: numbering rows per slice keeps those groups bounded too.
+    Rows are numbered per symbol and day and the days' counts are added up, so numbering needs
+    no group longer than the bars of one day, whatever the distance between bars.
     """
 
     block_rows: int = BLOCK_ROWS
     lookback: int = LOOKBACK_ROWS
     lookahead: int = 1
-    bar_seconds: int = DAY_SECONDS
+    segment_rows: int | None = None
     keys: tuple[str, ...] = ("symbol", "_block")
     helpers: tuple[str, ...] = ("_rn", "_block", "_own", "_last")
     blocked: bool = True
 
     def __post_init__(self) -> None:
-        if self.lookback > self.block_rows or self.lookahead > self.block_rows:
-            raise ValueError("lookback and lookahead must not exceed block_rows")
+        if self.lookahead > self.block_rows:
+            raise ValueError("lookahead must not exceed block_rows")
+        if self.lookback < SHORTEST_LOOKBACK:
+            raise ValueError(f"lookback must be at least {SHORTEST_LOOKBACK}")
         if self.lookahead < 1:
             raise ValueError("lookahead must be at least 1: it tells the last bar of a series")
 
@@ -79,11 +84,8 @@ class BlockLayout:
 
     def prepare(self, bars: DataFrame) -> DataFrame:
         size = self.block_rows
-        slice_of = F.floor(
-            F.unix_timestamp(F.col("date").cast("timestamp")) / F.lit(size * self.bar_seconds)
-        )
-        sliced = bars.withColumn("_slice", slice_of)
-        # One row per (symbol, slice): the rows before each slice, and the end of the series.
+        sliced = bars.withColumn("_slice", F.to_date("date"))
+        # One row per (symbol, day): the rows before each day, and the end of the series.
         series = Window.partitionBy("symbol").orderBy("_slice")
         earlier = series.rowsBetween(Window.unboundedPreceding, -1)
         whole = series.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -106,13 +108,9 @@ class BlockLayout:
         )
         home = F.floor(F.col("_rn") / F.lit(size))
         offset_in_block = F.col("_rn") % F.lit(size)
-        copies = F.array_compact(
-            F.array(
-                home,
-                F.when(offset_in_block >= size - self.lookback, home + 1),
-                F.when((offset_in_block < self.lookahead) & (home > 0), home - 1),
-            )
-        )
+        onward = F.sequence(home, F.floor((F.col("_rn") + self.lookback) / F.lit(size)))
+        back = F.when((offset_in_block < self.lookahead) & (home > 0), F.array(home - 1))
+        copies = F.concat(onward, F.coalesce(back, F.array().cast("array<bigint>")))
         return (
             numbered.withColumn("_home", home)
             .withColumn("_block", F.explode(copies))
@@ -152,11 +150,12 @@ def choose_layout(
     bars: DataFrame,
     *,
     max_rows: int | None = None,
-    bar_seconds: int = DAY_SECONDS,
     lookahead: int = 1,
+    lookback: int = LOOKBACK_ROWS,
     limit: int = ROWS_PER_GROUP_LIMIT,
 ) -> Layout:
+    """``lookback`` must cover the longest window asked (``indicators.longest_window``)."""
     bound = longest_series(bars) if max_rows is None else max_rows
     if bound <= limit:
         return SymbolLayout(max_rows=bound)
-    return BlockLayout(bar_seconds=bar_seconds, lookahead=max(1, lookahead))
+    return BlockLayout(lookahead=max(1, lookahead), lookback=max(LOOKBACK_ROWS, lookback))

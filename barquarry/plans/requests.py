@@ -16,6 +16,7 @@ from barquarry.operators.scan import scan, scan_rows
 from barquarry.operators.strategy import Strategy, columns_of
 from barquarry.operators.summary import symbol_summary
 from barquarry.operators.trades import TRADE_COLUMNS, frame_trades, in_range
+from barquarry.sources.bars import restrict, split_rejects
 
 # Bars a family of indicators needs, by a mark in the rule text.
 _FAMILY_ROWS = {
@@ -28,7 +29,7 @@ _FAMILY_ROWS = {
     "PERCENT_SPIKE": 30,
     "HIGH_VOL_DAYS": 30,
 }
-# Months read for a longest window of up to so many bars.
+# The marked families above, the pattern below, and months read for a longest window of up to so many bars.
 _MONTHS = ((30, 3), (100, 6), (200, 12))
 _DEFAULT_MONTHS = 24
 _NUMBERED = re.compile(r"(?:MA|VMA|HH|LL)(\d+)")
@@ -51,6 +52,23 @@ def recent_bars(bars: DataFrame, strategies: Sequence[Strategy], as_of: str) ->
     return bars.where(F.col("date") >= first)
 
 
+def requested_bars(
+    bars: DataFrame,
+    strategies: Sequence[Strategy],
+    *,
+    symbols: DataFrame | Sequence[str] | None = None,
+    as_of: str | None = None,
+    complete: bool = False,
+) -> DataFrame:
+    """The bars a request works on: of the asked symbols, in the look-back period, and usable.
+
+    Bars with a missing or non-positive price are left out (``split_rejects`` names them)
+    unless the caller promises that there are none.
+    """
+    bars = restrict(bars, symbols=symbols)
+    if as_of is not None:
+        bars = recent_bars(bars, strategies, as_of)
+    return bars if complete else split_rejects(bars)[0]
 
 
 def indicator_frame(
@@ -59,6 +77,7 @@ def indicator_frame(
     layout: Layout,
     *,
     snapshots: DataFrame | None = None,
+    as_of: str | None = None,
     decimals: int | None = None,
     warmup: str = "zero",
     complete: bool = False,
@@ -72,7 +91,7 @@ def indicator_frame(
     if len(technical) < len(columns):
         if snapshots is None:
             raise ValueError("rules name fundamental columns but no snapshots are given")
-        frame = add_fundamentals(bars, frame, snapshots)
+        frame = add_fundamentals(bars, frame, snapshots, layout, as_of)
     return frame
 
 
@@ -84,16 +103,21 @@ def scan_request(
     *,
     amount: float = 1_000_000.0,
     snapshots: DataFrame | None = None,
+    symbols: DataFrame | Sequence[str] | None = None,
+    as_of: str | None = None,
     decimals: int | None = None,
     complete: bool = False,
 ) -> DataFrame:
+    """Scan rows. ``as_of`` sets the look-back period and which snapshots are fresh."""
+    bars = requested_bars(bars, strategies, symbols=symbols, as_of=as_of, complete=complete)
     frame = indicator_frame(
         bars,
         columns_of(strategies),
         layout,
         snapshots=snapshots,
+        as_of=as_of,
         decimals=decimals,
-        complete=complete,
+        complete=True,
     )
     return scan_rows(scan(frame, strategies, layout), compliance, amount)
 
@@ -132,17 +156,24 @@ def backtest_request(
     start: str | None = None,
     end: str | None = None,
     snapshots: DataFrame | None = None,
+    symbols: DataFrame | Sequence[str] | None = None,
+    as_of: str | None = None,
     decimals: int | None = None,
     complete: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """(trades, per-symbol summary). Symbols with bars but no trades are in the summary."""
+    """(trades, per-symbol summary). Symbols with bars but no trades are in the summary.
+
+    ``as_of`` sets the look-back period and which snapshots are fresh.
+    """
+    bars = requested_bars(bars, strategies, symbols=symbols, as_of=as_of, complete=complete)
     frame = indicator_frame(
         bars,
         columns_of(strategies),
         layout,
         snapshots=snapshots,
+        as_of=as_of,
         decimals=decimals,
-        complete=complete,
+        complete=True,
     )
     ranged = in_range(frame, layout, period=period, start=start, end=end)
     trades = extract_trades(ranged, strategies, amount, layout)

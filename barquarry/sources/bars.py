@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barquarry.functions.scalars import as_double
+
 BAR_SCHEMA = T.StructType(
     [
         T.StructField("symbol", T.StringType()),
@@ -70,9 +72,16 @@ def normalise_headers(df: DataFrame) -> DataFrame:
 
 
 def require_columns(df: DataFrame, needed: Sequence[str] = tuple(PRICE_COLUMNS)) -> DataFrame:
-    """The frame itself, or no rows of it when a needed column is absent."""
+    """The frame itself, or no rows of it when a needed column is absent.
+
+    ``missing_columns`` tells why, so that a file left out can be reported.
+    """
+    return df if not missing_columns(df, needed) else df.limit(0)
+
+
+def missing_columns(df: DataFrame, needed: Sequence[str] = tuple(PRICE_COLUMNS)) -> list[str]:
     have = {n.lower() for n in df.columns}
-    return df if set(needed) <= have else df.limit(0)
+    return [n for n in needed if n not in have]
 
 
 def reject_reason() -> Column:
@@ -104,6 +113,14 @@ def without_failing_symbols(bars: DataFrame) -> tuple[DataFrame, DataFrame]:
     return bars.join(rejects.select("symbol"), "symbol", "left_anti"), rejects
 
 
+def unusable_ticks(ticks: DataFrame, *, symbol: Column, ts: Column, price: Column) -> DataFrame:
+    """(reason, n): ticks that ``bars_from_ticks`` skips, counted by what they lack."""
+    reason = (
+        F.when(symbol.isNull(), "missing symbol").when(ts.isNull(), "missing time").when(as_double(price).isNull(), "missing price")
+    )
+    return ticks.groupBy(reason.alias("reason")).agg(F.count("*").alias("n")).where("reason IS NOT NULL")
+
+
 def bars_from_ticks(
     ticks: DataFrame,
     *,
@@ -116,7 +133,8 @@ def bars_from_ticks(
 ) -> DataFrame:
     """Open/high/low/close/volume bars per symbol and time bucket, without nulls.
 
-    Ticks without symbol, time or price are skipped; a missing size counts as nothing traded.
+    Ticks without symbol, time or price (null or NaN) are skipped; ``unusable_ticks`` counts
+    them. A missing size counts as nothing traded.
 
     ``bucket`` is 'day' (a DATE), another date_trunc unit, or seconds (a TIMESTAMP). Ticks are
     aggregated before the shuffle, so a symbol with most of the ticks is no larger task than
@@ -133,8 +151,8 @@ def bars_from_ticks(
     flat = ticks.select(
         symbol.cast("string").alias("symbol"),
         when.alias("date"),
-        price.cast("double").alias("_p"),
-        size.alias("_v"),
+        as_double(price).alias("_p"),
+        F.coalesce(as_double(size), F.lit(0.0)).alias("_v"),
         (ts if order is None else order).alias("_o"),
     ).where("symbol IS NOT NULL AND date IS NOT NULL AND _p IS NOT NULL")
     return flat.groupBy("symbol", "date").agg(

@@ -18,6 +18,11 @@ def read_symbol_list(spark: SparkSession, path: str) -> DataFrame:
         if e.getCondition() == "PATH_NOT_FOUND":
             return empty
         raise
+    return parse_symbol_list(texts)
+
+
+def parse_symbol_list(texts: DataFrame) -> DataFrame:
+    """Rows (symbol, name) of JSON arrays in column value; a text that is none gives no row."""
     symbols = F.explode(F.from_json("value", "array<string>"))
     return texts.select(symbols.alias("symbol")).withColumn("name", F.col("symbol"))
 

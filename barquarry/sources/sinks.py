@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from barquarry.functions.scalars import fixed2, grouped_id
@@ -75,8 +77,29 @@ def trade_display(rows: DataFrame) -> DataFrame:
     )
 
 
-def page(rows: DataFrame, order: list[str], number: int = 0, size: int = 25) -> DataFrame:
-    """One page of a result table in a total order (a top-k, not a full sort)."""
+# Total orders over typed columns: one scan row per strategy and symbol, one trade per entry date too.
+SCAN_ORDER = ("ticker", "strategy")
+TRADE_ORDER = ("entry_date", "ticker", "strategy", "close_date", "exit_reason", "exit_price")
+
+
+def page(rows: DataFrame, order: Sequence[str], number: int = 0, size: int = 25) -> DataFrame:
+    """One page of a result table in a total order (a top-k, not a full sort).
+
+    The order is that of typed columns; format the page afterwards. Every page of a long table
+    keeps the rows before it too; ``page_after`` does not.
+    """
     if size not in PAGE_SIZES:
         raise ValueError(f"page size must be one of {PAGE_SIZES}")
     return rows.orderBy(*order).offset(number * size).limit(size)
+
+
+def page_after(rows: DataFrame, order: Sequence[str], last: Row | None, size: int = 25) -> DataFrame:
+    """The ``size`` rows after ``last``, a row of the page before: bounded whatever the page.
+
+    The columns of ``order`` must not be null.
+    """
+    if size not in PAGE_SIZES:
+        raise ValueError(f"page size must be one of {PAGE_SIZES}")
+    if last is not None:
+        rows = rows.where(F.struct(*order) > F.struct(*[F.lit(last[n]) for n in order]))
+    return rows.orderBy(*order).limit(size)

@@ -23,12 +23,13 @@ _FIELDS = [
 def read_strategy_table(spark: SparkSession, folder: str) -> DataFrame:
     """One row per strategy name. Empty and invalid files are skipped; a missing name is the
     file stem; of files with the same name the last in file order wins."""
-    files = (
-        spark.read.text(folder, wholetext=True, pathGlobFilter="*.[jJ][sS][oO][nN]")
-        .select("value", F.col("_metadata.file_name").alias("file"))
-        .where(F.trim("value") != "")
-    )
-    parsed = files.withColumn(
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.[jJ][sS][oO][nN]")
+    return parse_strategies(files.select("value", F.col("_metadata.file_name").alias("file")))
+
+
+def parse_strategies(files: DataFrame) -> DataFrame:
+    """The strategy table of texts (value, file); a rule list may be given as one text."""
+    parsed = files.where(F.trim("value") != "").withColumn(
         "cfg",
         F.from_json(
             "value",

@@ -49,7 +49,7 @@ def compare(a, b, names):
 
 
 def test_blocks_give_the_same_indicators(long_bars):
-    whole, blocks = SymbolLayout(), BlockLayout(block_rows=16_384, bar_seconds=3600)
+    whole, blocks = SymbolLayout(), BlockLayout(block_rows=16_384)
     a = result_rows(add_technical(long_bars, whole), whole).toPandas()
     b = result_rows(add_technical(long_bars, blocks), blocks).toPandas()
     compare(a, b, TECHNICAL_COLUMNS)
@@ -64,7 +64,7 @@ def test_last_value_before_a_block_is_carried_into_it(spark):
         ),
     )
     whole = SymbolLayout()
-    blocks = BlockLayout(block_rows=1_024, lookback=256, bar_seconds=3600)
+    blocks = BlockLayout(block_rows=1_024, lookback=256)
     names = ["RSI14", "STOCH_K", "BB_PERCENT_B", "VOLUME_SPIKE", *CANDLE_FLAGS]
     a = result_rows(add_technical(bars, whole, names), whole).toPandas()
     b = result_rows(add_technical(bars, blocks, names), blocks).toPandas()
@@ -87,25 +87,35 @@ def test_blocks_give_the_same_trades(spark, config, when):
     bars = wavy_bars(spark, 3_000, symbols=("HOT", "COLD"))
     s = Strategy.from_mapping(config)
     found = []
-    for layout in (SymbolLayout(), BlockLayout(block_rows=256, lookback=128, lookahead=12, bar_seconds=3600)):
+    for layout in (SymbolLayout(), BlockLayout(block_rows=256, lookback=128, lookahead=12)):
         frame = in_range(add_technical(bars, layout, s.columns), layout, **when)
-        trades = extract_trades(frame, [s], 1e6, layout)
-        found.append(sorted(map(tuple, trades.collect())))
+        found.append(sorted(map(tuple, extract_trades(frame, [s], 1e6, layout).collect())))
     assert len(found[0]) > 30
     assert [r[:4] + (r[9],) for r in found[0]] == [r[:4] + (r[9],) for r in found[1]]
     for a, b in zip(*found):
         assert a[4:8] == pytest.approx(b[4:8], rel=1e-9)
 
 
+def test_windows_longer_than_a_block_and_than_the_lookback(spark):
+    bars = wavy_bars(spark, 900)
+    names = ["MA300", "HH300", "LL250"]
+    whole, blocks = SymbolLayout(), BlockLayout(block_rows=128, lookback=320)
+    a = result_rows(add_technical(bars, whole, names), whole).toPandas()
+    b = result_rows(add_technical(bars, blocks, names), blocks).toPandas()
+    compare(a, b, names)
+    with pytest.raises(ValueError, match="lookback"):
+        add_technical(bars, BlockLayout(block_rows=128, lookback=128), names)
+
+
 def test_layout_follows_the_longest_series(long_bars):
     assert longest_series(long_bars) == 40_000
     assert not choose_layout(long_bars).blocked
-    assert choose_layout(long_bars, limit=10_000, bar_seconds=3600).blocked
+    assert choose_layout(long_bars, limit=10_000).blocked
     assert not choose_layout(long_bars, max_rows=500, limit=10_000).blocked
 
 
 def test_no_group_of_a_block_layout_is_long(long_bars):
-    layout = BlockLayout(block_rows=4_096, lookback=512, bar_seconds=3600)
+    layout = BlockLayout(block_rows=4_096, lookback=512)
     prepared = layout.prepare(long_bars)
     assert prepared.groupBy(*layout.keys).count().agg(F.max("count")).first()[0] <= layout.max_rows
     assert prepared.where("_own").count() == long_bars.count()

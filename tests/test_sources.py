@@ -1,5 +1,6 @@
 """Readers, validation, symbol lists, strategy files and sinks."""
 
+import datetime as dt
 import json
 
 import pytest
@@ -7,19 +8,23 @@ from pyspark.sql import functions as F
 
 from barquarry.functions.scalars import fixed2, grouped_id, parse_symbols, percent_fraction
 from barquarry.operators.fundamentals import FUNDAMENTAL_COLUMNS, fundamental_columns
+from barquarry.operators.indicators import add_technical
+from barquarry.operators.layout import SymbolLayout
 from barquarry.operators.strategy import Strategy
 from barquarry.plans.presets import EXAMPLES, SHIPPED, shipped
-from barquarry.plans.requests import lookback_months, recent_bars
+from barquarry.plans.requests import indicator_frame, lookback_months, recent_bars, requested_bars, scan_request
 from barquarry.sources.bars import (
     bars_from_ticks,
+    missing_columns,
     normalise_headers,
     read_bars,
     require_columns,
     split_rejects,
+    unusable_ticks,
     without_failing_symbols,
 )
 from barquarry.sources.lists import read_symbol_list, requested_symbols
-from barquarry.sources.sinks import page, scan_display, trade_display, write_backtest, write_rows
+from barquarry.sources.sinks import SCAN_ORDER, page, page_after, scan_display, trade_display, write_backtest, write_rows
 from barquarry.sources.strategies import load_strategies, pick_strategy
 
 
@@ -154,3 +159,55 @@ def test_sinks_and_display(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/bt/trades").count() == spark.read.parquet(f"{tmp_path}/bt/summary").count() == 30
     with pytest.raises(ValueError):
         page(rows, ["ticker"], 0, 7)
+
+
+def test_pages_by_key_are_the_pages_by_number(spark):
+    rows = spark.createDataFrame([(f"T{i % 7}", f"S{i // 7}", float(i)) for i in range(63)], "ticker string, strategy string, price double")
+    last = None
+    for number in range(3):
+        expected = page(rows, SCAN_ORDER, number, 25).collect()
+        assert page_after(rows, SCAN_ORDER, last, 25).collect() == expected
+        last = expected[-1]
+
+
+def test_missing_columns_are_named(spark):
+    df = spark.range(3).selectExpr("id AS Open", "id AS close")
+    assert missing_columns(df) == ["high", "low"] and require_columns(df).count() == 0
+
+
+def test_ticks_that_are_skipped_are_counted(spark):
+    df = spark.sql("SELECT * FROM VALUES ('A', 1, 2.0D), ('A', 1, double('NaN')), (NULL, 1, 1.0D), ('A', NULL, 1.0D), ('A', 2, NULL) AS t(s, t, p)")
+    at = F.timestamp_seconds("t")
+    counts = unusable_ticks(df, symbol=F.col("s"), ts=at, price=F.col("p")).collect()
+    assert {r.reason: r.n for r in counts} == {"missing price": 2, "missing symbol": 1, "missing time": 1}
+    (bar,) = bars_from_ticks(df, symbol=F.col("s"), ts=at, price=F.col("p")).collect()
+    assert (bar.high, bar.volume) == (2.0, 1.0)
+
+
+def test_several_snapshots_multiply_no_bar(spark, make_bars):
+    bars = make_bars([(10, 10, 10, 10)] * 3)
+    stamp = lambda h: dt.datetime(2024, 1, 2) - dt.timedelta(hours=h)
+    snaps = spark.createDataFrame(
+        [("A", stamp(1), {"trailingPE": 5.0}), ("A", stamp(2), {"trailingPE": 6.0}), ("A", stamp(30), {"trailingPE": 7.0})],
+        "symbol string, fetched_at timestamp, info map<string,double>",
+    )
+    for as_of, expected in ((None, 5.0), ("2024-01-01 22:30:00", 6.0), ("2024-01-05", 0.0)):
+        frame = indicator_frame(bars, ["TRAILING_PE"], SymbolLayout(), snapshots=snaps, as_of=as_of)
+        assert [r.TRAILING_PE for r in frame.collect()] == [expected] * 3
+
+
+def test_a_request_leaves_unusable_bars_out(spark, make_bars):
+    rows = [(100, 100, 100, 100)] * 60
+    gap = make_bars([*rows[:30], (100, 100, 100, None), *rows[30:]])
+    s = Strategy.from_mapping({"name": "S", "entry": ["MACD_LINE = 0"], "tp": ["CLOSE * 2"]})
+    assert scan_request(gap, [s], gap.select("symbol"), SymbolLayout()).count() == 1
+    with pytest.raises(Exception, match="missing on a bar"):
+        add_technical(gap, SymbolLayout(), ["MACD_LINE"]).collect()
+
+
+def test_a_request_takes_symbols_and_a_look_back_period(spark, make_bars):
+    bars = make_bars([(10, 10, 10, 10)] * 400).unionByName(make_bars([(10, 10, 10, 10)] * 400, symbol="B"))
+    s = Strategy.from_mapping({"name": "S", "entry": ["CLOSE > MA20"]})
+    used = requested_bars(bars, [s], symbols=["B"], as_of="2021-01-15")
+    assert {r.symbol for r in used.select("symbol").distinct().collect()} == {"B"}
+    assert used.agg(F.min("date")).first()[0] == dt.date(2020, 10, 15)
