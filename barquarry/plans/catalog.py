@@ -21,7 +21,7 @@ from barquarry.operators.indicators import (
     add_technical,
     result_rows,
 )
-from barquarry.operators.layout import Layout, choose_layout, grid_cells
+from barquarry.operators.layout import BlockLayout, Layout, SymbolLayout, choose_layout, grid_cells
 from barquarry.operators.rules import all_met, columns_used, value, with_rule_columns
 from barquarry.operators.strategy import Strategy, columns_of
 from barquarry.plans import oracle as o
@@ -36,8 +36,9 @@ from barquarry.sources.bars import (
     split_rejects,
     without_failing_symbols,
 )
-from barquarry.sources.lists import requested_symbols
-from barquarry.sources.sinks import page, scan_display, trade_display
+from barquarry.sources.lists import parse_symbol_list, requested_symbols
+from barquarry.sources.strategies import parse_strategies
+from barquarry.sources.sinks import SCAN_ORDER, TRADE_ORDER, page, scan_display, trade_display
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -94,13 +95,18 @@ def hour_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         symbol=c("event_type"),
         ts=c("ts"),
         price=c("value"),
+        order=F.struct("ts", "event_id"),
         bucket="hour",
     )
 
 
 def user_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars_from_ticks(
-        table(spark, sf_dir, "events"), symbol=c("user_id"), ts=c("ts"), price=c("value")
+        table(spark, sf_dir, "events"),
+        symbol=c("user_id"),
+        ts=c("ts"),
+        price=c("value"),
+        order=F.struct("ts", "event_id"),
     )
 
 
@@ -108,15 +114,10 @@ _BARS = {"day": day_bars, "hour": hour_bars, "user": user_bars}
 _TICKS = {"day": ("lineitem", "l_shipdate", 86_400), "hour": ("events", "ts", 3_600), "user": ("events", "ts", 86_400)}
 
 
-_CELLS: dict[tuple[str, str], int] = {}
-
-
 def _cells(spark: SparkSession, sf_dir: str, base: str) -> int:
-    """Cells of the time grid of a tick table, read once per table and process."""
-    if (sf_dir, base) not in _CELLS:
-        name, ts, seconds = _TICKS[base]
-        _CELLS[sf_dir, base] = grid_cells(table(spark, sf_dir, name), ts, seconds)
-    return _CELLS[sf_dir, base]
+    """Cells of the time grid of a tick table."""
+    name, ts, seconds = _TICKS[base]
+    return grid_cells(table(spark, sf_dir, name), ts, seconds)
 
 
 def inputs(
@@ -128,7 +129,6 @@ def inputs(
     layout = choose_layout(
         bars,
         max_rows=_cells(spark, sf_dir, base),
-        bar_seconds=_TICKS[base][2],
         lookahead=hold,
     )
     return bars, layout
@@ -252,12 +252,13 @@ def _(spark, d):
 
 
 def _gappy_bars(spark: SparkSession, d: str) -> DataFrame:
-    """Day bars without a close where little was traded."""
+    """Day bars of which every third symbol has no close where much was traded."""
     bars = day_bars(spark, d)
-    return bars.withColumn("close", F.when(c("volume") < 75, c("close")))
+    gap = (c("volume") >= 75) & (c("symbol").cast("int") % 3 == 0)
+    return bars.withColumn("close", F.when(~gap, c("close")))
 
 
-_GAPPY_SQL = f"WITH {o.DAY_BARS}, g AS (SELECT *, volume >= 75 AS bad FROM bars)"
+_GAPPY_SQL = f"WITH {o.DAY_BARS}, g AS (SELECT *, {o.GAP} AS bad FROM bars)"
 
 
 @register("s11_bar_rejects", f"{_GAPPY_SQL} SELECT symbol, date, 'missing price' AS reason FROM g WHERE bad")
@@ -339,6 +340,39 @@ register_indicators("w_all_hour_bars", TECHNICAL_COLUMNS, "hour")
 register_indicators("w_all_short_series", TECHNICAL_COLUMNS, "user")
 
 
+_BLOCKS = BlockLayout(block_rows=512, lookback=512, lookahead=5)
+_SMALL_BLOCKS = BlockLayout(block_rows=128, lookback=320)
+_SEGMENTS = SymbolLayout(max_rows=4096, segment_rows=64)
+_LONG_WINDOWS = ["MA250", "VMA150", "HH300", "LL200"]
+_AVERAGED = ["MACD_LINE", "MACD_SIGNAL", "MACD_HISTOGRAM", "ADX14", "ADX_PLUS", "ADX_MINUS"]
+
+
+def _in_layout(layout: Layout, names: Sequence[str]) -> Query:
+    def run(spark, d):
+        frame = result_rows(add_technical(day_bars(spark, d), layout, names, complete=True), layout)
+        return rounded(frame.select("symbol", "date", *names), names)
+
+    return run
+
+
+for _key, _layout, _names in (
+    ("block_all_61_columns", _BLOCKS, TECHNICAL_COLUMNS),
+    ("block_long_window", _SMALL_BLOCKS, _LONG_WINDOWS),
+    ("r1_r2_segmented_averages", _SEGMENTS, _AVERAGED),
+):
+    QUERIES[_key], ORACLES[_key] = _in_layout(_layout, _names), o.indicator_query(_names)
+
+
+_KEPT = ["MACD_LINE", "RSI14", "MA20", "PREVIOUS_PRICE"]
+
+
+@register("s11_d23_indicators_after_rejects", o.indicator_query(_KEPT, "kept"))
+def _(spark, d):
+    _, layout = inputs(spark, d)
+    frame = add_technical(split_rejects(_gappy_bars(spark, d))[0], layout, _KEPT, complete=True)
+    return rounded(result_rows(frame, layout).select("symbol", "date", *_KEPT), _KEPT)
+
+
 @register(
     "d06_warmup_null",
     f"""{o.chain(["MA200", "RSI14"], fill=False)}
@@ -410,6 +444,33 @@ for _key, _name in (("f22_c16_debt_to_equity", "DEBT_TO_EQUITY"), ("f23_price_to
     QUERIES[_key], ORACLES[_key] = _fundamentals([_name])
 
 
+def many_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshots, older ones with other figures, and for some symbols one from the future."""
+    base = snapshots(spark, sf_dir)
+    other = F.transform_values("info", lambda k, v: v * 3 + 1)
+    older = base.withColumns({"fetched_at": c("fetched_at") - F.expr("INTERVAL 1 HOUR"), "info": other})
+    later = base.where(c("symbol").cast("int") % 2 == 0)
+    later = later.withColumns({"fetched_at": F.lit("2024-01-03 00:00:00").cast("timestamp"), "info": other})
+    return base.unionByName(older).unionByName(later)
+
+
+@register(
+    "j1_s07_fresh_of_many_snapshots",
+    f"""{_F_SQL}, fresh AS (SELECT CAST(s_suppkey AS VARCHAR) AS symbol FROM supplier WHERE s_nationkey + 1 < 24)
+        SELECT bars.symbol, bars.date, round(bars.close + 1.37e-7, 4) AS "CLOSE",
+        round(CASE WHEN fresh.symbol IS NULL THEN 0 ELSE coalesce("TRAILING_PE", 0) END + 1.37e-7, 4) AS "TRAILING_PE",
+        round(CASE WHEN fresh.symbol IS NULL THEN 0 ELSE "PRICE_TO_CF" END + 1.37e-7, 4) AS "PRICE_TO_CF"
+        FROM bars JOIN f USING (symbol) LEFT JOIN fresh USING (symbol)""",
+)
+def _(spark, d):
+    bars, layout = inputs(spark, d)
+    names = ["CLOSE", "TRAILING_PE", "PRICE_TO_CF"]
+    frame = indicator_frame(
+        bars, names[1:], layout, snapshots=many_snapshots(spark, d), as_of="2024-01-02 00:00:00", complete=True
+    )
+    return rounded(frame.select("symbol", "date", *names), names)
+
+
 @register(
     "j1_bars_with_fundamentals",
     f"""{_F_SQL} SELECT bars.symbol, bars.date, round(bars.close + 1.37e-7, 4) AS "CLOSE",
@@ -430,8 +491,8 @@ _TREND_COLUMNS = ["OPEN", "HIGH", "LOW", "CLOSE", "VOLUME", "MA20", "VMA20", "AT
 _EXACT = f"{o.chain(_TREND_COLUMNS)}, x AS (SELECT symbol, date, rn, {o.exact(_TREND_COLUMNS)} FROM ind)"
 
 
-def exact_frame(spark, d, strategies, hold=1, base="day", extra=()):
-    bars, layout = inputs(spark, d, base, hold)
+def exact_frame(spark, d, strategies, hold=1, base="day", extra=(), within=None):
+    bars, layout = (day_bars(spark, d), within) if within else inputs(spark, d, base, hold)
     names = list(dict.fromkeys([*columns_of(strategies), *extra]))
     return indicator_frame(bars, names, layout, decimals=8, complete=True), layout
 
@@ -481,15 +542,66 @@ def _(spark, d):
 
 @register(
     "x1_c10_a15_names_in_texts",
-    """SELECT doc_id, list_distinct(regexp_extract_all(text, '(?:MA|VMA|HH|LL)(\\d+)', 1)) IS NOT NULL AS ok,
-         CAST(len(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+(\\d+)', 1))) AS INTEGER) AS numbers
+    """SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+(\\d+)', 1))) AS INTEGER) AS numbers
        FROM documents""",
 )
 def _(spark, d):
     found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]+(\d+)"), F.lit(1)))
-    return table(spark, d, "documents").select(
-        "doc_id", F.lit(True).alias("ok"), F.size(found).alias("numbers")
+    return table(spark, d, "documents").select("doc_id", F.size(found).alias("numbers"))
+
+
+def _strategy_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Strategy files made from suppliers: lists, single texts, missing names, broken and empty ones."""
+    key, nation = c("s_suppkey"), c("s_nationkey")
+    number = (key % 40 + 5).cast("string")
+    rule = F.concat(F.lit("CLOSE > MA"), number)
+    entry = F.when(nation % 3 == 0, F.concat(F.lit('"'), rule, F.lit('"'))).otherwise(
+        F.concat(F.lit('["'), rule, F.lit('", "VOLUME > 0"]'))
     )
+    name = F.when(nation % 5 == 0, F.lit("")).otherwise(F.concat(F.lit('"name": "S'), (key % 7).cast("string"), F.lit('", ')))
+    text = F.concat(F.lit("{"), name, F.lit('"max_hold_days": '), (key % 9).cast("string"), F.lit(', "entry": '), entry, F.lit("}"))
+    value = F.when(nation == 1, F.lit(" ")).when(nation == 2, F.lit('{"entry": [')).otherwise(text)
+    file = F.concat(F.lit("f"), F.lpad(key.cast("string"), 9, "0"), F.lit(".json"))
+    return table(spark, d, "supplier").select(value.alias("value"), file.alias("file"))
+
+
+@register(
+    "s06_x1_c15_c20_strategy_texts",
+    """WITH f AS (
+         SELECT s_suppkey AS k, CASE WHEN s_nationkey % 5 = 0 THEN 'f' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0')
+                ELSE 'S' || s_suppkey % 7 END AS name, CAST(s_suppkey % 9 AS INTEGER) AS max_hold,
+           'CLOSE > MA' || (s_suppkey % 40 + 5) || CASE WHEN s_nationkey % 3 = 0 THEN '' ELSE '|VOLUME > 0' END AS entry
+         FROM supplier WHERE s_nationkey NOT IN (1, 2))
+       SELECT name, entry, max_hold FROM f QUALIFY row_number() OVER (PARTITION BY name ORDER BY k DESC) = 1""",
+)
+def _(spark, d):
+    rows = parse_strategies(_strategy_texts(spark, d))
+    return rows.select("name", F.array_join("entry", "|").alias("entry"), c("max_hold_days").alias("max_hold"))
+
+
+@register("s04_s05_symbol_list_texts", "SELECT s_name AS symbol, s_name AS name FROM supplier")
+def _(spark, d):
+    names = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.to_json(F.collect_list("s_name")).alias("value"))
+    return parse_symbol_list(names)
+
+
+@register("c14_text_to_timestamp", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_orderdate AS TIMESTAMP) END AS at FROM orders")
+def _(spark, d):
+    text = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+    text = F.when(c("o_orderkey") % 5 > 0, text).otherwise(F.lit("no date"))
+    return table(spark, d, "orders").select("o_orderkey", scalars.text_timestamp(text).alias("at"))
+
+
+@register(
+    "c18_zip_of_unequal_lists",
+    """SELECT p_partkey, CAST(i AS INTEGER) AS level, round(1.0 / i, 6) AS ratio
+       FROM part, generate_series(1, 9) AS g(i) WHERE i <= least(p_size % 5 + 1, p_partkey % 4 + 1)""",
+)
+def _(spark, d):
+    levels = F.sequence(F.lit(1), (c("p_size") % 5 + 1).cast("int"))
+    ratios = F.transform(F.sequence(F.lit(1), (c("p_partkey") % 4 + 1).cast("int")), lambda i: F.round(1.0 / i, 6))
+    zipped = scalars.zip_shorter(levels, ratios, ("level", "ratio"))
+    return table(spark, d, "part").select("p_partkey", F.inline(zipped).alias("level", "ratio"))
 
 
 # --- scalar functions -------------------------------------------------------------------------
@@ -587,9 +699,9 @@ def _scan_strategies() -> list[Strategy]:
             Strategy.from_mapping({"name": "DEFAULTS", "entry": ["CLOSE < MA20"]})]
 
 
-def _scan_hits(spark, d):
+def _scan_hits(spark, d, within=None):
     strategies = _scan_strategies()
-    frame, layout = exact_frame(spark, d, strategies)
+    frame, layout = exact_frame(spark, d, strategies, within=within)
     return scan_op.scan(frame, strategies, layout)
 
 
@@ -615,18 +727,24 @@ def _(spark, d):
     )
 
 
-@register("s10_o05_scan_display_page")
+@register("block_scan", ot.scan_hits_sql())
+def _(spark, d):
+    return rounded(_scan_hits(spark, d, _BLOCKS), ["entry_price", "stop_loss", "take_profit"])
+
+
+@register("s10_o05_scan_display_page", ot.scan_page_sql(COMPLIANCE_SQL, AMOUNT, 0, 25))
 def _(spark, d):
-    rows = scan_op.scan_rows(_scan_hits(spark, d), compliance(spark, d), AMOUNT)
-    return page(scan_display(rows), ["Ticker", "Entry", "SL", "TP"], 0, 25)
+    rows = page(scan_op.scan_rows(_scan_hits(spark, d), compliance(spark, d), AMOUNT), SCAN_ORDER, 0, 25)
+    doubles = [n for n, t in rows.dtypes if t == "double" and n != "pnl"]
+    return scan_display(rounded(rows, doubles, 2))
 
 
 # --- trades -----------------------------------------------------------------------------------
 
 
-def trades_of(spark, d, strategies, base="day", **when):
+def trades_of(spark, d, strategies, base="day", within=None, **when):
     hold = max(max(1, s.max_hold) for s in strategies)
-    frame, layout = exact_frame(spark, d, strategies, hold, base)
+    frame, layout = exact_frame(spark, d, strategies, hold, base, within=within)
     ranged = trade_op.in_range(frame, layout, **when)
     return extract_trades(ranged, strategies, AMOUNT, layout)
 
@@ -653,7 +771,18 @@ _LONG_HOLD = {
     "ts": 0.9,
     "max_hold_days": 40,
 }
-_MADE = {s["name"]: s for s in (_TP_SL, _TRAIL, _LONG_HOLD)}
+_FUNCTIONS = {
+    "name": "FUNCTIONS",
+    "entry": ["CLOSE > MA10"],
+    "tp": ["CLOSE * 1.3"],
+    "sl": [
+        "GREATEST(ENTRY_PRICE * 0.6, CLOSE - ATR14)",
+        "CASE WHEN ENTRY_PRICE > 1300 THEN LEAST(CLOSE * 0.9, ENTRY_PRICE * 0.8) ELSE MA20 * 0.5 END",
+    ],
+    "max_hold_days": 6,
+}
+_FIXED_STOP = {"name": "FIXED", "entry": ["CLOSE > MA20"], "tp": ["CLOSE + ATR14"], "sl": ["CLOSE - ATR14 * 0.5"], "stop": "fixed", "max_hold_days": 5}
+_MADE = {s["name"]: s for s in (_TP_SL, _TRAIL, _LONG_HOLD, _FUNCTIONS, _FIXED_STOP)}
 
 
 def made(name: str) -> Strategy:
@@ -670,6 +799,21 @@ def _(spark, d):
     return rounded_trades(trades_of(spark, d, [made("LEVELS")]))
 
 
+@register("p06_x2_t11_functions_of_entry_price", ot.trades_sql([Strategy.from_mapping(_FUNCTIONS)], AMOUNT))
+def _(spark, d):
+    return rounded_trades(trades_of(spark, d, [made("FUNCTIONS")]))
+
+
+@register("d05_fixed_stop", ot.trades_sql([Strategy.from_mapping(_FIXED_STOP)], AMOUNT))
+def _(spark, d):
+    return rounded_trades(trades_of(spark, d, [made("FIXED")]))
+
+
+@register("block_trades", ot.trades_sql(shipped(), AMOUNT))
+def _(spark, d):
+    return rounded_trades(trades_of(spark, d, shipped(), within=_BLOCKS))
+
+
 @register("t09_t10_trailing_stop", ot.trades_sql([Strategy.from_mapping(_TRAIL)], AMOUNT))
 def _(spark, d):
     return rounded_trades(trades_of(spark, d, [made("TRAIL")]))
@@ -730,10 +874,10 @@ def _(spark, d):
     return rounded_trades(trade_op.trade_rows(trades_of(spark, d, shipped()), compliance(spark, d)))
 
 
-@register("s10_trade_display_page")
+@register("s10_trade_display_page", ot.trade_page_sql(shipped(), COMPLIANCE_SQL, AMOUNT, 1, 50))
 def _(spark, d):
     rows = trade_op.trade_rows(trades_of(spark, d, shipped()), compliance(spark, d))
-    return page(trade_display(rows), ["Start", "Ticker", "End", "Entry", "Price"], 1, 50)
+    return trade_display(rounded_trades(page(rows, TRADE_ORDER, 1, 50)))
 
 
 @register("u01_trades_of_mixed_strategies", ot.trades_sql([*shipped(), example("PARTIAL_TP_STRATEGY")], AMOUNT))

@@ -9,6 +9,8 @@ import sys
 import time
 
 from barquarry.operators.indicators import add_technical
+from barquarry.operators.layout import BlockLayout
+from barquarry.operators.strategy import Strategy
 from barquarry.plans.catalog import QUERIES, compliance, day_bars, inputs
 from barquarry.plans.presets import example, shipped
 from barquarry.plans.requests import backtest_request, scan_request
@@ -41,7 +43,19 @@ def _backtest(strategies, part):
     return run
 
 
+def _blocks(spark, sf_dir):
+    """The layout of long series, forced on day bars."""
+    strategies = shipped()
+    layout = BlockLayout(block_rows=512, lookback=512, lookahead=max(s.max_hold for s in strategies))
+    return backtest_request(day_bars(spark, sf_dir), strategies, layout, complete=True)[0]
+
+
+LONG = Strategy.from_mapping(
+    {"name": "LONG", "entry": ["CLOSE < MA50"], "tp": ["CLOSE * 1.9"], "sl": ["ENTRY_PRICE * 0.05"], "max_hold_days": 200}
+)
+
 HEADLINE = {
+    "size_check": lambda spark, sf_dir: day_bars(spark, sf_dir).groupBy("symbol").count(),
     "bars": day_bars,
     "all_61_columns": _indicators(),
     "moving_averages": _indicators("MA5", "MA10", "MA20", "MA50", "MA100", "MA200"),
@@ -50,6 +64,8 @@ HEADLINE = {
     "signal_rows": QUERIES["p05_p06_t02_t03_x2_signal_rows"],
     "scan": _scan,
     "trades_3_strategies": _backtest(shipped(), 0),
+    "trades_block_layout": _blocks,
+    "trades_hold_200": _backtest([LONG], 0),
     "trades_averaging": _backtest([example("MULTI_AVG_STRATEGY")], 0),
     "symbol_summary": _backtest(shipped(), 1),
     "fundamentals": QUERIES["j1_bars_with_fundamentals"],
