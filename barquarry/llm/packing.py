@@ -33,6 +33,8 @@ GROUP_ROWS = 100_000
 #: Search steps for the filling of one bin, and alternatives tried at a bin while improving a plan.
 FILL_STEPS = 1500
 BRANCHES = 3
+#: Stands for the end of a text where ids of many texts are joined; no id.
+MARK = np.array([0xFFFFFFFF], dtype="<u4")
 #: Bins opened by the search over whole plans before the incumbent is taken.
 PLAN_STEPS = 12_000
 
@@ -52,16 +54,33 @@ class WordIds:
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocab.items() if token.endswith(end)]] = True
         self.added = {t: np.asarray([vocab[t]], dtype="<u4").tobytes() for t in self.splitter.added}
-        self.kept: dict[str, bytes] = dict(self.added)
+        self.kept: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.kept.clear()
+        self.kept.update(self.added)
+        self.kept["\n"] = MARK.tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [self.splitter.parts(t) if t else [] for t in texts]
+        self.learn(set().union(*split))
+        return [b"".join(map(self.kept.__getitem__, words)) for words in split]
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many short texts without line ends, one behind the other, and how many each has."""
+        pieces = self.splitter.lines(words)
+        self.learn(set(pieces))
+        ids = np.frombuffer(b"".join(map(self.kept.__getitem__, pieces)), dtype="<u4")
+        marks = ids == MARK[0]
+        return ids[~marks], np.diff(np.flatnonzero(marks), prepend=-1) - 1
+
+    def learn(self, words: set[str]) -> None:
         kept = self.kept
         if len(kept) > WORDS_KEPT:
-            kept.clear()
-            kept.update(self.added)
-        new = list(set().union(*split).difference(kept))
+            self.forget()
+        new = list(words.difference(kept))
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
             # Blanks part the words and leave no token; the last token of each is known by its mark.
@@ -71,7 +90,6 @@ class WordIds:
             for word, stop in zip(part, stops.tolist(), strict=True):
                 kept[word] = data[at:stop]
                 at = stop
-        return [b"".join(map(kept.__getitem__, words)) for words in split]
 
 
 @functools.cache

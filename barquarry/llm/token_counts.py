@@ -51,6 +51,7 @@ class WordSplitter:
         if kinds != ["NFC", "Replace", "Lowercase"] or not (split["invert"] and split["behavior"] == "Removed"):
             raise ValueError("the tokenizer file has another normaliser or splitter")
         self.pattern = regex.compile(split["pattern"]["Regex"])
+        self.line_pattern = regex.compile("\n|" + split["pattern"]["Regex"])
         self.added = [t["content"] for t in spec["added_tokens"]]
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")")
 
@@ -72,11 +73,22 @@ class WordSplitter:
             return self.plain_words(text)
         return [w for i, part in enumerate(self.cut.split(text)) for w in ([part] if i % 2 else self.plain_words(part))]
 
+    def lines(self, texts: list[str]) -> list[str]:
+        """Words of many texts without line ends, a line end after each text."""
+        if any(t in text for text in texts if "<" in text for t in self.added):
+            return [w for text in texts for w in (*self.parts(text), "\n")]
+        if not texts:
+            return []
+        return [*self.line_pattern.findall(self.normal("\n".join(texts))), "\n"]
+
     def plain_words(self, text: str) -> list[str]:
+        return self.pattern.findall(self.normal(text))
+
+    def normal(self, text: str) -> str:
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         # Letter by letter: the capital sigma has one lower form, wherever it stands.
-        return self.pattern.findall(text.replace("Σ", "σ").lower())
+        return text.replace("Σ", "σ").lower()
 
 
 class MergeCounter:
