@@ -9,7 +9,6 @@ merge-ranked vocabulary scores are negated ranks, so this can differ from replay
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 
@@ -17,10 +16,10 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barquarry.llm.common import map_texts, read
+from barquarry.llm.common import kept_in_worker, map_texts, read
 
 MODEL = "piece_bpe_32k.model"
-WORDS_KEPT = 500_000
+WORDS_KEPT = 1_000_000
 #: Codes of one batch of words that advance together, at most.
 BATCH_CODES = 400_000
 #: A character without a piece scores so much below the worst piece, as bytes.
@@ -72,8 +71,11 @@ class PieceCoder:
         self.parts = np.frombuffer(b"".join(parts), dtype=np.uint8)
         self.kept: dict[str, bytes] = {}
 
-    def viterbi(self, words: list[str]) -> list[list[tuple[int, int]]]:
-        """For words of one length: (end, key number or -1 for an unknown character), last piece first."""
+    def viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Backpointers of words of one length: for each end, the size and key number of the last piece.
+
+        Key number -1 stands for a character without a piece.
+        """
         size = len(words[0])
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(words), size).astype(np.uint64)
         n = len(words)
@@ -82,6 +84,7 @@ class PieceCoder:
         back_size = np.zeros((n, size + 1), dtype=np.int64)
         back_key = np.full((n, size + 1), -1, dtype=np.int64)
         window = np.zeros((n, 0), dtype=np.uint64)
+        rows = np.arange(n)
         for j in range(1, size + 1):
             # Column k has the substring of k + 1 characters that ends here.
             window = step_hash(np.concatenate([np.zeros((n, 1), np.uint64), window[:, : self.longest - 1]], axis=1), codes[:, j - 1 : j])
@@ -93,19 +96,10 @@ class PieceCoder:
             total = value + best[:, j - width]
             # Longest first, so that argmax takes the longest of equals.
             k = window.shape[1] - 1 - np.argmax(total[:, ::-1], axis=1)
-            rows = np.arange(n)
             best[:, j] = total[rows, k]
             back_size[:, j] = k + 1
             back_key[:, j] = np.where(hit[rows, k], at[rows, k], -1)
-        out = []
-        sizes, keys = back_size.tolist(), back_key.tolist()
-        for r in range(n):
-            j, path = size, []
-            while j:
-                path.append((j, keys[r][j]))
-                j -= sizes[r][j]
-            out.append(path)
-        return out
+        return back_size, back_key
 
     def learn(self, words: list[str]) -> None:
         by_size: dict[int, list[str]] = {}
@@ -114,15 +108,41 @@ class PieceCoder:
         for size, same in by_size.items():
             step = max(1, BATCH_CODES // (size * self.longest))
             for i in range(0, len(same), step):
-                part = same[i : i + step]
-                for word, path in zip(part, self.viterbi(part), strict=True):
-                    ids: list[int] = []
-                    for end, key in reversed(path):
-                        if key >= 0:
-                            ids.append(int(self.ids[key]))
-                        else:
-                            ids += [self.bytes[b] for b in word[end - 1].encode("utf-8", "replace")]
-                    self.kept[word] = np.array(ids, dtype="<u4").tobytes()
+                self._keep(same[i : i + step], *self.viterbi(same[i : i + step]))
+
+    def _keep(self, words: list[str], back_size: np.ndarray, back_key: np.ndarray) -> None:
+        """Follow the backpointers of all words together and keep their ids."""
+        n, size = len(words), len(words[0])
+        ids = np.zeros((n, size), dtype="<u4")
+        keys = np.full((n, size), -1, dtype=np.int64)
+        rows, at, column = np.arange(n), np.full(n, size), size
+        pieces, plain = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
+        while len(rows):
+            column -= 1
+            key = back_key[rows, at]
+            keys[rows, column] = key
+            ids[rows, column] = self.ids[key]
+            plain[rows[key < 0]] = False
+            pieces[rows] += 1
+            at = at - back_size[rows, at]
+            rows, at = rows[at > 0], at[at > 0]
+        data, width = ids.tobytes(), 4 * size
+        for r, (word, k, whole) in enumerate(zip(words, pieces.tolist(), plain.tolist(), strict=True)):
+            end = (r + 1) * width
+            self.kept[word] = data[end - 4 * k : end] if whole else self._with_bytes(word, keys[r, size - k :])
+
+    def _with_bytes(self, word: str, keys: np.ndarray) -> bytes:
+        """Ids of a word that has characters without a piece, which become their bytes."""
+        out: list[int] = []
+        at = 0
+        for key in keys.tolist():
+            if key >= 0:
+                out.append(int(self.ids[key]))
+                at += int(self.sizes[key])
+            else:
+                out += [self.bytes[b] for b in word[at].encode("utf-8", "replace")]
+                at += 1
+        return np.array(out, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text; a null or empty text has none."""
@@ -144,10 +164,9 @@ class PieceCoder:
         return text[1:] if text.startswith(" ") else text
 
 
-@functools.cache
 def coder(path: str) -> PieceCoder:
-    """One per Python worker, for all its tasks."""
-    return PieceCoder(path)
+    """One per Python worker, for all tasks of a stage."""
+    return kept_in_worker(("pieces", path), lambda: PieceCoder(path))
 
 
 def encode_pieces(docs: DataFrame, model: str = MODEL) -> DataFrame:
