@@ -16,7 +16,6 @@ close to 1 from any of them, so windows of width 2r around the borders would hol
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from barquarry.llm.common import read, stored, text_slices
+from barquarry.llm.common import kept_in_worker, read, stored, text_slices
 
 SHINGLE_WORDS = 4
 #: Two documents link when PERCENT or more of the union of their sets is shared.
@@ -42,7 +41,7 @@ SMALL_REGION = 64
 BITS, WIDE_BITS, WIDE_FROM = 512, 4096, 1024
 #: Bits of the fixed-size filter for the documents whose sets are made again.
 FILTER_BITS = 1 << 23
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 500_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -77,10 +76,9 @@ class Shingler:
         return np.unique(h)
 
 
-@functools.cache
 def shingler(size: int) -> Shingler:
-    """One per Python worker, for all its tasks."""
-    return Shingler(size)
+    """One per Python worker, for all tasks of a stage."""
+    return kept_in_worker(("shingler", size), lambda: Shingler(size))
 
 
 def bit_vector(own: np.ndarray) -> bytes:
@@ -161,7 +159,12 @@ def regions(classes: DataFrame) -> DataFrame:
     rows = classes.select("node", "pivots").mapInArrow(spread, "pivot long, node long")
     # Most pivots have one document; counting them first leaves little to move.
     full = rows.groupBy("pivot").agg(F.count("*").alias("members")).where("members > 1")
-    members = rows.join(full, "pivot").join(classes.select("node", "n", "bits"), "node")
+    shared = stored(rows.join(full, "pivot"))
+    # Of pivots with the same documents (copies share many) one is enough: digests of the members tell them.
+    digests = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"d{k}") for k in (1, 2)]
+    sets = shared.groupBy("pivot", "members").agg(F.min("node").alias("low"), *digests)
+    first = sets.groupBy("members", "low", "d1", "d2").agg(F.min("pivot").alias("pivot")).select("pivot")
+    members = shared.join(first, "pivot").join(classes.select("node", "n", "bits"), "node")
     parts = F.ceil(F.col("members") / REGION_ROWS).cast("int")
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
     other = F.explode(F.when(parts > 1, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0))))
@@ -388,7 +391,7 @@ def grouped(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT)
     classes = stored(full.join(first.select(F.col("node").alias("row")), "row").withColumnRenamed("row", "node"))
     members = stored(regions(classes))
     alone = _sorted(members.withColumn("root", F.col("node")))
-    links = linked(candidates(alone, percent, spanning=True), docs, classes, size, percent)
+    links = linked(stored(candidates(alone, percent, spanning=True)), docs, classes, size, percent)
     roots = components(links)
     # Whatever the connecting pairs left apart is compared in full, across different groups only.
     rest = stored(candidates(_sorted(rooted(members, roots)), percent, spanning=False))
@@ -446,9 +449,9 @@ shingles AS MATERIALIZED (
                             ELSE [array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)] END) AS s FROM texts)),
 sizes AS (SELECT rid, count(*) AS n FROM shingles GROUP BY rid),
 shared AS (
-  SELECT a.rid AS x, b.rid AS y, count(*) AS both FROM shingles a JOIN shingles b ON a.s = b.s AND a.rid <> b.rid GROUP BY ALL),
+  SELECT a.rid AS x, b.rid AS y, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.rid <> b.rid GROUP BY ALL),
 links AS MATERIALIZED (
-  SELECT x, y FROM shared JOIN sizes p ON p.rid = x JOIN sizes q ON q.rid = y WHERE 100 * both >= 85 * (p.n + q.n - both)),
+  SELECT x, y FROM shared JOIN sizes p ON p.rid = x JOIN sizes q ON q.rid = y WHERE 100 * common >= 85 * (p.n + q.n - common)),
 reach AS (SELECT rid AS x, rid AS y FROM texts UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y),
 lowest AS (SELECT reach.x AS rid, min(t.doc_id) AS component_id FROM reach JOIN texts t ON t.rid = reach.y GROUP BY reach.x)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM texts LEFT JOIN sizes USING (rid) JOIN lowest USING (rid)
