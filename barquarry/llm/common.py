@@ -50,6 +50,21 @@ def remainder(doc_id: str, parts: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % parts, F.lit(-1))
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept_in_worker(key: tuple, make: Callable[[], object]):
+    """What ``make()`` gives, kept for later tasks of this Python worker under ``key``.
+
+    Asking for another key drops it: a worker that serves one stage after the other holds the
+    store of one operator at a time.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def text_slices(texts: list, most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of ``texts`` with about ``most`` characters; a longer text stands alone."""
     first = chars = 0
@@ -63,10 +78,11 @@ def text_slices(texts: list, most: int = SLICE_CHARS) -> Iterator[tuple[int, int
         yield first, len(texts)
 
 
-def map_texts(docs: DataFrame, make: Callable[[], Callable[[list], list]], schema: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def map_texts(docs: DataFrame, make: Callable[[], Callable[[list], list]], schema: str, keep: tuple[str, ...] = ("doc_id",), most: int = SLICE_CHARS) -> DataFrame:
     """Columns ``keep`` of ``docs`` followed by those that a scorer gives for each text.
 
-    ``make()`` is called once per task; the scorer takes a list of texts (or None) and returns one
+    ``make()`` is called once per task; the scorer takes a list of texts (or None), of about ``most``
+    characters, and returns one
     list or array per column of ``schema``. Other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
@@ -82,7 +98,7 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list], list]], schem
                 continue
             scorer = scorer or make()
             texts = batch.column(len(keep)).to_pylist()
-            for a, b in text_slices(texts):
+            for a, b in text_slices(texts, most):
                 found = scorer(texts[a:b])
                 columns = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
                 columns += [pa.array(v, type=t) for v, t in zip(found, types, strict=True)]
@@ -91,7 +107,7 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list], list]], schem
     return docs.select(*keep, "text").mapInArrow(run, StructType([*head, *out]))
 
 
-def filter_texts(docs: DataFrame, make: Callable[[], Callable[[list], list]]) -> DataFrame:
+def filter_texts(docs: DataFrame, make: Callable[[], Callable[[list], list]], most: int = SLICE_CHARS) -> DataFrame:
     """The rows of ``docs``, with all columns, whose text the judge of ``make()`` accepts."""
     at = docs.columns.index("text")
 
@@ -102,7 +118,7 @@ def filter_texts(docs: DataFrame, make: Callable[[], Callable[[list], list]]) ->
                 continue
             judge = judge or make()
             texts = batch.column(at).to_pylist()
-            accepted = [x for a, b in text_slices(texts) for x in judge(texts[a:b])]
+            accepted = [x for a, b in text_slices(texts, most) for x in judge(texts[a:b])]
             yield batch.filter(pa.array(accepted, type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

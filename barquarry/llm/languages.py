@@ -30,6 +30,9 @@ UNDETERMINED = "und"
 SLACK_NATS = 0.9
 SPREAD = 6.0
 
+#: Characters whose runs are hashed at once: about 100 bytes of memory for each.
+SLICE_CHARS = 1_000_000
+
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -233,13 +236,13 @@ def identify(docs: DataFrame, identifier: Identifier) -> DataFrame:
     language first in the alphabet. Repeated rows are judged each; other columns are ignored;
     whole texts are used; an empty table gives an empty result.
     """
-    return map_texts(docs, judged_by(identifier, docs), "lang_pred string, score double, accepted boolean")
+    return map_texts(docs, judged_by(identifier, docs), "lang_pred string, score double, accepted boolean", most=SLICE_CHARS)
 
 
 def keep_identified(docs: DataFrame, identifier: Identifier) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is accepted."""
     make = judged_by(identifier, docs)
-    return filter_texts(docs, lambda: lambda texts: make()(texts)[2])
+    return filter_texts(docs, lambda: lambda texts: make()(texts)[2], SLICE_CHARS)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ in salted groups, and find their place by that number.
 
 from __future__ import annotations
 
-import functools
 import json
 import zlib
 from collections.abc import Iterator
@@ -22,12 +21,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from barquarry.llm.common import read, stored, text_slices
-from barquarry.llm.token_counts import WORDS_KEPT, WordSplitter
+from barquarry.llm.common import kept_in_worker, read, stored, text_slices
+from barquarry.llm.token_counts import WordSplitter
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 4096
 END_ID = 1
+#: Words whose ids a Python worker keeps; beyond, it begins anew.
+WORDS_KEPT = 700_000
 #: Pieces of one length are numbered in groups of about so many.
 GROUP_ROWS = 100_000
 #: Search steps for the filling of one bin, and alternatives tried at a bin while improving a plan.
@@ -92,10 +93,9 @@ class WordIds:
                 at = stop
 
 
-@functools.cache
 def word_ids(path: str) -> WordIds:
-    """One per Python worker, for all its tasks."""
-    return WordIds(path)
+    """One per Python worker, for all tasks of a stage."""
+    return kept_in_worker(("word_ids", path), lambda: WordIds(path))
 
 
 def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:

@@ -7,7 +7,6 @@ token identifiers are made. Counts of words are kept for the words of a task, up
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 import unicodedata
@@ -17,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barquarry.llm.common import map_texts, read
+from barquarry.llm.common import kept_in_worker, map_texts, read
 
 WORDS_KEPT = 1_000_000
 TOKENIZER = "word_bpe_49k.json"
@@ -156,10 +155,9 @@ class MergeCounter:
         return sum(map(kept.__getitem__, words)) + len(added)
 
 
-@functools.cache
 def merge_counter(path: str) -> MergeCounter:
-    """One per Python worker, for all its tasks."""
-    return MergeCounter(path)
+    """One per Python worker, for all tasks of a stage."""
+    return kept_in_worker(("merge_counter", path), lambda: MergeCounter(path))
 
 
 def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = TOKEN_LIMIT) -> DataFrame:
