@@ -35,6 +35,8 @@ PERCENT = 85
 SAMPLE_DOCS = 2000
 #: Rows of a region that meet in one task; larger regions are parted.
 REGION_ROWS = 20_000
+#: Rows of regions that a task takes up at once, about.
+WORK_ROWS = 100_000
 #: Regions up to this size are compared many at a time.
 SMALL_REGION = 64
 #: Bits of the vectors of sets up to WIDE_FROM shingles, and of larger ones.
@@ -147,7 +149,10 @@ def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def regions(classes: DataFrame) -> DataFrame:
-    """Rows (pivot, cell, node, n, bits): the members of all regions with two or more of them."""
+    """Rows (pivot, cell, low, node): the members of all regions with two or more of them.
+
+    ``low`` is the region's first node, which regions of the same near copies have in common.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,15 +168,15 @@ def regions(classes: DataFrame) -> DataFrame:
     # Of pivots with the same documents (copies share many) one is enough: digests of the members tell them.
     digests = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"d{k}") for k in (1, 2)]
     sets = shared.groupBy("pivot", "members").agg(F.min("node").alias("low"), *digests)
-    first = sets.groupBy("members", "low", "d1", "d2").agg(F.min("pivot").alias("pivot")).select("pivot")
-    members = shared.join(first, "pivot").join(classes.select("node", "n", "bits"), "node")
+    first = sets.groupBy("members", "low", "d1", "d2").agg(F.min("pivot").alias("pivot")).select("pivot", "low")
+    members = shared.join(first, "pivot")
     parts = F.ceil(F.col("members") / REGION_ROWS).cast("int")
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
     other = F.explode(F.when(parts > 1, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0))))
     # Each two parts of a large region meet in a cell of their own.
     cells = members.withColumn("_parts", parts).withColumn("_own", own).withColumn("_other", other)
     cell = F.least("_own", "_other") * F.col("_parts") + F.greatest("_own", "_other")
-    return cells.select("pivot", cell.alias("cell"), "node", "n", "bits")
+    return cells.select("pivot", cell.alias("cell"), "low", "node")
 
 
 def bits_matrix(parts: list[bytes]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
@@ -259,9 +264,12 @@ def forest(i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def candidates(members: DataFrame, percent: int, spanning: bool) -> DataFrame:
     """Distinct pairs (a, b) of nodes, a < b, that can link and have different roots.
 
-    ``members`` are rows of regions, sorted, with a column root. ``spanning``: of each region only
-    pairs that connect it, so a dense region gives fewer pairs than members.
+    ``members`` are rows of regions with columns root, n and bits. ``spanning``: of each region only
+    pairs that connect it, so a dense region gives fewer pairs than members. Regions of the same
+    near copies mostly give the same pairs; an eighth of them meet in a task, which sends each once.
     """
+    meeting = ["low", "cell", F.pmod("pivot", F.lit(8))]
+    members = members.repartition(*meeting).sortWithinPartitions("low", "cell", "pivot", "n", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -283,8 +291,11 @@ def candidates(members: DataFrame, percent: int, spanning: bool) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            # The last region of a batch may go on in the next one.
-            table = pa.Table.from_batches([*held, batch])
+            held.append(batch)
+            if sum(b.num_rows for b in held) < WORK_ROWS:
+                continue
+            # The last region of the rows at hand may go on in the next batch.
+            table = pa.Table.from_batches(held)
             pivot, cell = table["pivot"].to_numpy(), table["cell"].to_numpy()
             same = (pivot == pivot[-1]) & (cell == cell[-1])
             cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
@@ -371,10 +382,6 @@ def rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _sorted(members: DataFrame) -> DataFrame:
-    return members.repartition("pivot", "cell").sortWithinPartitions("pivot", "cell", "n", "node")
-
-
 def grouped(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, digest, n_shingles, component_id, row and group of every row of ``docs`` (doc_id, text, ...).
 
@@ -389,12 +396,14 @@ def grouped(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT)
     first = full.groupBy("print").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"))
     first = stored(first)
     classes = stored(full.join(first.select(F.col("node").alias("row")), "row").withColumnRenamed("row", "node"))
-    members = stored(regions(classes))
-    alone = _sorted(members.withColumn("root", F.col("node")))
+    members, sizes = stored(regions(classes)), classes.select("node", "n", "bits")
+    alone = members.join(sizes, "node").withColumn("root", F.col("node"))
     links = linked(stored(candidates(alone, percent, spanning=True)), docs, classes, size, percent)
     roots = components(links)
-    # Whatever the connecting pairs left apart is compared in full, across different groups only.
-    rest = stored(candidates(_sorted(rooted(members, roots)), percent, spanning=False))
+    # Regions whose members are not all in one group yet are compared in full, across groups only.
+    now = rooted(members, roots)
+    apart = now.groupBy("pivot", "cell").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("pivot", "cell")
+    rest = stored(candidates(now.join(apart, ["pivot", "cell"]).join(sizes, "node"), percent, spanning=False))
     more = linked(rest, docs, classes, size, percent)
     roots = components(links.union(more))
     named = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
