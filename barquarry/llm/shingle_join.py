@@ -161,9 +161,11 @@ def regions(classes: DataFrame) -> DataFrame:
             if sum(sizes):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.repeat(batch.column(0).to_numpy(), sizes))], names=["pivot", "node"])
 
-    rows = classes.select("node", "pivots").mapInArrow(spread, "pivot long, node long")
+    # Dealt once by pivot; the count and the join below read the same shuffle.
+    rows = classes.select("node", "pivots").mapInArrow(spread, "pivot long, node long").repartition("pivot")
     # Most pivots have one document; counting them first leaves little to move.
-    full = rows.groupBy("pivot").agg(F.count("*").alias("members")).where("members > 1")
+    # (Counting the nodes asks for both columns, so that it is the same shuffle.)
+    full = rows.groupBy("pivot").agg(F.count("node").alias("members")).where("members > 1")
     shared = stored(rows.join(full, "pivot"))
     # Of pivots with the same documents (copies share many) one is enough: digests of the members tell them.
     digests = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"d{k}") for k in (1, 2)]
