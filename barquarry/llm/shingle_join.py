@@ -36,14 +36,14 @@ SAMPLE_DOCS = 2000
 #: Rows of a region that meet in one task; larger regions are parted.
 REGION_ROWS = 20_000
 #: Rows of regions that a task takes up at once, about.
-WORK_ROWS = 100_000
+WORK_ROWS = 40_000
 #: Regions up to this size are compared many at a time.
 SMALL_REGION = 64
 #: Bits of the vectors of sets up to WIDE_FROM shingles, and of larger ones.
 BITS, WIDE_BITS, WIDE_FROM = 512, 4096, 1024
 #: Bits of the fixed-size filter for the documents whose sets are made again.
 FILTER_BITS = 1 << 23
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -112,7 +112,7 @@ def described(docs: DataFrame, size: int, percent: int, common: tuple[np.ndarray
         own, (known, counts) = shingler(size), shared.value
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in text_slices(texts):
+            for a, b in text_slices(texts, 1_000_000):
                 sets = [own.set_of(t) for t in texts[a:b]]
                 columns = [
                     pa.array(keys[a:b], type=key_type),
@@ -332,7 +332,7 @@ def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, per
         for batch in batches:
             batch = batch.filter(pa.array(wanted[batch.column(0).to_numpy()]))
             texts = batch.column(1).to_pylist()
-            for a, b in text_slices(texts):
+            for a, b in text_slices(texts, 1_000_000):
                 sets = [own.set_of(t) for t in texts[a:b]]
                 prints = [blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(prints, type=pa.binary()), pa.array([s.tobytes() for s in sets], type=pa.binary())], names=["print", "shingles"])
