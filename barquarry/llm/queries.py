@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barquarry.llm import metric_search, secret_scan, shingle_join
+from barquarry.llm import metric_search, secret_scan, shingle_join, url_filter
 from barquarry.llm.attention_lm import op10_lm_scoring
 from barquarry.llm.languages import op9_language_id
 from barquarry.llm.metric_search import op5_exact_top_k
@@ -13,6 +13,7 @@ from barquarry.llm.secret_scan import op8_secret_scan
 from barquarry.llm.shingle_join import op4_ngram_jaccard_join
 from barquarry.llm.token_counts import op7_token_counts
 from barquarry.llm.toxicity import op1_toxicity
+from barquarry.llm.url_filter import op13_url_filter
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -25,10 +26,12 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_language_id": op9_language_id,
     "op10_lm_scoring": op10_lm_scoring,
+    "op13_url_filter": op13_url_filter,
 }
 
 ORACLES: dict[str, str] = {
     "op4_ngram_jaccard_join": shingle_join.ORACLE,
     "op5_exact_top_k": metric_search.ORACLE,
     "op8_secret_scan": secret_scan.oracle(),
+    "op13_url_filter": url_filter.ORACLE,
 }
