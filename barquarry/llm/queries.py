@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from barquarry.llm import metric_search, secret_scan, shingle_join, url_filter
+from barquarry.llm import merkle, metric_search, secret_scan, shingle_join, url_filter
 from barquarry.llm.attention_lm import op10_lm_scoring
 from barquarry.llm.languages import op9_language_id
+from barquarry.llm.merkle import op12_merkle_manifest
 from barquarry.llm.metric_search import op5_exact_top_k
 from barquarry.llm.packing import op2_best_fit_packing
 from barquarry.llm.pieces import op6_sentencepiece
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_language_id": op9_language_id,
     "op10_lm_scoring": op10_lm_scoring,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_url_filter": op13_url_filter,
 }
 
@@ -33,5 +35,6 @@ ORACLES: dict[str, str] = {
     "op4_ngram_jaccard_join": shingle_join.ORACLE,
     "op5_exact_top_k": metric_search.ORACLE,
     "op8_secret_scan": secret_scan.oracle(),
+    "op12_merkle_manifest": merkle.oracle(),
     "op13_url_filter": url_filter.ORACLE,
 }
