@@ -17,7 +17,7 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barquarry.functions.rolling import LARGE_ROWS, Rolling, extreme_parts, sum_parts
+from barquarry.functions.rolling import LARGE_ROWS, LONGEST_PARTED, Rolling, extreme_parts, sum_parts
 from barquarry.functions.scalars import flag, nz
 from barquarry.operators.layout import SHORTEST_LOOKBACK, Layout
 from barquarry.operators.recurrence import decayed_sums
@@ -125,7 +125,12 @@ _INPUTS = {
     "STOCH": (2, ("STOCH_K",), lambda: c("STOCH_K")),
 }
 _ROLLING_NAME = re.compile(r"^_(RUN|SUM|TOP|BOTTOM)(\d*)_([A-Z]+)$")
+_RUNNING_NAME = re.compile(r"^_(HEAD|TAIL)_(SUM|TOP|BOTTOM)(\d+)_([A-Z]+)$")
 _WINDOWED_NAME = re.compile(r"^(VMA|MA|HH|LL)([1-9]\d*)$")
+_EXPONENTIAL_NAME = re.compile(r"^_?EMA([1-9]\d*)$")
+_EXPONENTIAL_INPUT = re.compile(r"^_IN_EMA([1-9]\d*)$")
+_RETURN_NAME = re.compile(r"^PRICE_RETURN_(\d+)D_PCT$")
+_OVER = {"SUM": F.sum, "TOP": F.max, "BOTTOM": F.min}
 
 
 def _rolling_column(kind: str, n: int, source: str) -> Derived:
@@ -133,10 +138,11 @@ def _rolling_column(kind: str, n: int, source: str) -> Derived:
     stage, source_columns, value = _INPUTS[source]
     if kind == "RUN":
         return Derived(stage + 1, source_columns, lambda r: r.run_length(value()))
+    if n > LONGEST_PARTED:
+        return _long_column(kind, n, source)
     parts = sum_parts(n) if kind == "SUM" else extreme_parts(n)
     if parts == [(n, 0)]:
-        over = {"SUM": F.sum, "TOP": F.max, "BOTTOM": F.min}[kind]
-        return Derived(stage + 1, source_columns, lambda r: over(value()).over(r.trailing(n)))
+        return Derived(stage + 1, source_columns, lambda r: _OVER[kind](value()).over(r.trailing(n)))
     needs = tuple(dict.fromkeys(f"_{kind}{size}_{source}" for size, _ in parts))
     depth = 3 if n >= 2 * LARGE_ROWS else 2
 
@@ -149,6 +155,25 @@ def _rolling_column(kind: str, n: int, source: str) -> Derived:
     return Derived(stage + depth, needs, build)
 
 
+def _long_column(kind: str, n: int, source: str) -> Derived:
+    """A frame of n rows is the tail of one stretch of n rows and the head of the next (van Herk, Gil and Werman)."""
+    head, tail = f"_HEAD_{kind}{n}_{source}", f"_TAIL_{kind}{n}_{source}"
+
+    def build(r: Rolling) -> Column:
+        before = r.lag(c(tail), n - 1)
+        if kind == "SUM":
+            # At the end of a stretch head and tail are the same rows.
+            return F.when((c("_rn") + 1) % n == 0, c(head)).otherwise(before + c(head))
+        return F.greatest(before, c(head)) if kind == "TOP" else F.least(before, c(head))
+
+    return Derived(_INPUTS[source][0] + 2, (head, tail), build)
+
+
+def _running_column(side: str, kind: str, n: int, source: str) -> Derived:
+    stage, source_columns, value = _INPUTS[source]
+    return Derived(stage + 1, source_columns, lambda r: _OVER[kind](value()).over(r.head(n) if side == "HEAD" else r.tail(n)))
+
+
 def _rolled(kind: str, n: int, source: str) -> Derived:
     """A rolling value that is null unless all n inputs are present."""
     held = _rolling_column(kind, n, source)
@@ -265,8 +290,6 @@ def _sd20(r: Rolling) -> Column:
 
 # Recurrences run between stages: output -> (input, decay).
 _AVERAGES_1 = {
-    "_EMA12": ("_IN_EMA12", 1 - ema_step(12)),
-    "_EMA26": ("_IN_EMA26", 1 - ema_step(26)),
     "_WTR": ("_IN_WTR", WILDER_DECAY),
     "_WUP": ("_IN_WUP", WILDER_DECAY),
     "_WDOWN": ("_IN_WDOWN", WILDER_DECAY),
@@ -275,6 +298,15 @@ _AVERAGES_2 = {
     "MACD_SIGNAL": ("_IN_SIGNAL", 1 - ema_step(9)),
     "_ADX": ("_IN_ADX", WILDER_DECAY),
 }
+
+
+def averaged(name: str) -> tuple[str, float] | None:
+    """Input and decay of a column that is a recurrence; exponential averages of closes exist for every span."""
+    if m := _EXPONENTIAL_NAME.match(name):
+        return f"_IN_EMA{m.group(1)}", 1 - ema_step(int(m.group(1)))
+    return _AVERAGES_1.get(name) or _AVERAGES_2.get(name)
+
+
 _AVERAGES_1_AFTER = 2
 _AVERAGES_2_AFTER = 4
 _LAST_STAGE = 5
@@ -307,8 +339,6 @@ def _derived() -> dict[str, Derived]:
     d["THREE_RED_CANDLES"] = Derived(1, (), _run_of_three(close < open_))
     d["THREE_GREEN_CANDLES"] = Derived(1, (), _run_of_three(close > open_))
     d["_SERIES_ROWS"] = Derived(1, (), lambda r: F.count(F.lit(1)).over(r.whole))
-    d["_IN_EMA12"] = Derived(1, (), _ema_input("CLOSE", 12))
-    d["_IN_EMA26"] = Derived(1, (), _ema_input("CLOSE", 26))
     d["_BODY10"] = _mean(10, "BODY")
 
     # Volume.
@@ -412,6 +442,10 @@ def lookup(name: str) -> Derived | None:
         return fixed[name]
     if m := _ROLLING_NAME.match(name):
         return _rolling_column(m.group(1), int(m.group(2) or 0), m.group(3))
+    if m := _RUNNING_NAME.match(name):
+        return _running_column(m.group(1), m.group(2), int(m.group(3)), m.group(4))
+    if m := _EXPONENTIAL_INPUT.match(name):
+        return Derived(1, (), _ema_input("CLOSE", int(m.group(1))))
     if m := _WINDOWED_NAME.match(name):
         n = int(m.group(2))
         return {
@@ -425,19 +459,20 @@ def lookup(name: str) -> Derived | None:
 
 def is_technical(name: str) -> bool:
     return not name.startswith("_") and (
-        name in TECHNICAL_COLUMNS or _WINDOWED_NAME.match(name) is not None
+        name in TECHNICAL_COLUMNS or _WINDOWED_NAME.match(name) is not None or _EXPONENTIAL_NAME.match(name) is not None
     )
 
 
 def longest_window(names: Iterable[str]) -> int:
-    """Rows that the windows of some columns look back over."""
+    """Rows that the windows of some columns look back over. Recurrences need none."""
+    names = list(names)
     lengths = [int(m.group(2)) for m in map(_WINDOWED_NAME.match, names) if m]
+    lengths += [int(m.group(1)) + 1 for m in map(_RETURN_NAME.match, names) if m]
     return max([SHORTEST_LOOKBACK, *lengths])
 
 
 def _closure(wanted: Iterable[str]) -> set[str]:
     """The wanted columns and everything they are computed from."""
-    sources = {**_AVERAGES_1, **_AVERAGES_2}
     extra = {"ADX14": ("_ADX", "_DX")}
     seen: set[str] = set()
     todo = list(wanted)
@@ -448,8 +483,8 @@ def _closure(wanted: Iterable[str]) -> set[str]:
         seen.add(name)
         if name in extra:
             todo.extend(extra[name])
-        elif name in sources:
-            todo.append(sources[name][0])
+        elif spec := averaged(name):
+            todo.append(spec[0])
         else:
             known = lookup(name)
             if known is None:
@@ -458,9 +493,14 @@ def _closure(wanted: Iterable[str]) -> set[str]:
     return seen
 
 
+def _after(name: str) -> int:
+    """Stage behind which a recurrence is run."""
+    return _AVERAGES_2_AFTER if name in _AVERAGES_2 else _AVERAGES_1_AFTER
+
+
 def _passes(need: set[str]) -> dict[int, list[list[str]]]:
     """Per stage, groups of columns to add one after the other so that inputs come first."""
-    computed = set(_AVERAGES_1) | set(_AVERAGES_2) | {"ADX14"}
+    computed = {n for n in need if averaged(n)} | {"ADX14"}
     waiting = {n for n in need if n not in computed}
     ready = set(RAW_COLUMNS) | computed
     plan: dict[int, list[list[str]]] = {}
@@ -586,13 +626,9 @@ def add_technical(
     for stage in range(_LAST_STAGE + 1):
         for names_at_once in plan.get(stage, []):
             df = df.withColumns({n: lookup(n).build(roll) for n in names_at_once})
-        for after, averages in (
-            (_AVERAGES_1_AFTER, _AVERAGES_1),
-            (_AVERAGES_2_AFTER, _AVERAGES_2),
-        ):
-            specs = {o: s for o, s in averages.items() if o in need}
-            if stage == after and specs:
-                df = decayed_sums(df, layout.keys, specs, layout.max_rows, layout.segment_rows)
+        specs = {o: averaged(o) for o in sorted(need) if averaged(o) and _after(o) == stage}
+        if specs:
+            df = decayed_sums(df, layout, specs)
         later = {x for t, groups in plan.items() if t > stage for g in groups for x in g}
         df = _pack(df, f"_done{stage}", names, _read_by(later, need, stage), packed)
     if "ADX14" in need:
@@ -609,9 +645,7 @@ def _read_by(later: set[str], need: set[str], stage: int) -> set[str]:
     read = set(RAW_COLUMNS)
     for n in later:
         read.update(lookup(n).needs)
-    for averages, after in ((_AVERAGES_1, _AVERAGES_1_AFTER), (_AVERAGES_2, _AVERAGES_2_AFTER)):
-        if stage < after:
-            read.update(source for o, (source, _) in averages.items() if o in need)
+    read.update(averaged(o)[0] for o in need if averaged(o) and stage < _after(o))
     if "ADX14" in need:
         read.update(("_ADX", "_DX", "_IN_ADX", "_SERIES_ROWS"))
     return read
@@ -628,7 +662,7 @@ def _pack(
     present = [n for n in df.columns if n not in read_later]
     done = [n for n in present if n in names]
     helpers = [n for n in present if n not in names and lookup(n) is not None]
-    helpers += [n for n in present if n in _AVERAGES_1 or n in _AVERAGES_2 and n not in names]
+    helpers += [n for n in present if n not in names and averaged(n)]
     if len(done) > 3:
         df = df.withColumn(into, F.struct(*done)).drop(*done)
         packed.update({n: f"{into}.{n}" for n in done})

@@ -9,13 +9,11 @@ with the same results:
 * ``BlockLayout`` - a series is cut into blocks of consecutive rows. A block also receives
   the rows just before it (``lookback``, which may span several blocks) and after it
   (``lookahead``), which feed windows and are dropped from the results. No group exceeds
-  block + lookback + lookahead rows. Indicators refuse windows longer than the lookback.
+  block + lookback + lookahead rows. Indicators refuse windows longer than the lookback; recurrences
+  need none, as blocks hand their value on (``recurrence``). Numbered bars are written once and read by
+  every pass.
 
 ``choose_layout`` decides from a bound given by the caller or from one counted by Spark.
-
-Lookback and recurrences: the slowest decay used is q = 13/14 per row. After 16,384 rows its
-weight is below 1e-500, under the smallest positive double, so a recurrence started at the
-beginning of the lookback rows has no missing history that a double could hold.
 """
 
 from __future__ import annotations
@@ -25,12 +23,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barquarry.session import computed_once
+
 ROWS_PER_GROUP_LIMIT = 200_000
 BLOCK_ROWS = 131_072
-LOOKBACK_ROWS = 16_384
+# The longest window of a named column is 200 rows.
+LOOKBACK_ROWS = 256
 DAY_SECONDS = 86_400
 # Window lengths of named columns are at most this; longer ones say so in their names.
 SHORTEST_LOOKBACK = 64
+# The first directional index averages rows 14 to 27 of a series, which must lie in its first block.
+SHORTEST_BLOCK = 32
 
 
 @dataclass(frozen=True)
@@ -73,6 +76,8 @@ class BlockLayout:
     def __post_init__(self) -> None:
         if self.lookahead > self.block_rows:
             raise ValueError("lookahead must not exceed block_rows")
+        if self.block_rows < SHORTEST_BLOCK:
+            raise ValueError(f"block_rows must be at least {SHORTEST_BLOCK}")
         if self.lookback < SHORTEST_LOOKBACK:
             raise ValueError(f"lookback must be at least {SHORTEST_LOOKBACK}")
         if self.lookahead < 1:
@@ -106,6 +111,7 @@ class BlockLayout:
             .withColumn("_rn", F.col("_offset") + F.col("_pos"))
             .drop("_slice", "_pos", "_offset")
         )
+        numbered = computed_once(numbered)
         home = F.floor(F.col("_rn") / F.lit(size))
         offset_in_block = F.col("_rn") % F.lit(size)
         onward = F.sequence(home, F.floor((F.col("_rn") + self.lookback) / F.lit(size)))

@@ -110,8 +110,21 @@ def user_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_BARS = {"day": day_bars, "hour": hour_bars, "user": user_bars}
-_TICKS = {"day": ("lineitem", "l_shipdate", 86_400), "hour": ("events", "ts", 3_600), "user": ("events", "ts", 86_400)}
+def line_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few symbols with long series: hour bars of return flags, a line's number being its hour."""
+    return bars_from_ticks(
+        table(spark, sf_dir, "lineitem"),
+        symbol=c("l_returnflag"),
+        ts=F.expr("timestampadd(HOUR, CAST(l_linenumber AS INT), CAST(l_shipdate AS TIMESTAMP_NTZ))"),
+        price=c("l_extendedprice") / c("l_quantity"),
+        volume=c("l_quantity"),
+        order=_line_order(),
+        bucket="hour",
+    )
+
+
+_BARS = {"day": day_bars, "hour": hour_bars, "user": user_bars, "line": line_bars}
+_TICKS = {"day": ("lineitem", "l_shipdate", 86_400), "hour": ("events", "ts", 3_600), "user": ("events", "ts", 86_400), "line": ("lineitem", "l_shipdate", 3_600)}
 
 
 def _cells(spark: SparkSession, sf_dir: str, base: str) -> int:
@@ -338,29 +351,38 @@ for _key, _names in _CANDLES.items():
 register_indicators("w28_w29_all_61_columns", TECHNICAL_COLUMNS)
 register_indicators("w_all_hour_bars", TECHNICAL_COLUMNS, "hour")
 register_indicators("w_all_short_series", TECHNICAL_COLUMNS, "user")
+register_indicators("x4_very_long_windows", ["MA5000", "VMA5000", "HH5000", "LL5000", "MA1111"], "line")
+register_indicators("r1_exponential_averages", ["EMA9", "EMA50", "EMA500"])
 
 
-_BLOCKS = BlockLayout(block_rows=512, lookback=512, lookahead=5)
+# The longest window asked is 200 rows; exponential and Wilder averages read nothing before their block.
+_BLOCKS = BlockLayout(block_rows=512, lookback=200, lookahead=5)
+_EMA_BLOCKS = BlockLayout(block_rows=128, lookback=64)
+_LONG_BLOCKS = BlockLayout(block_rows=1024, lookback=5000)
+_EXPONENTIAL = ["EMA500", "EMA20", "MACD_HISTOGRAM", "ADX14"]
+_VERY_LONG = ["MA5000", "VMA5000", "HH5000", "LL5000", "MA1111"]
 _SMALL_BLOCKS = BlockLayout(block_rows=128, lookback=320)
 _SEGMENTS = SymbolLayout(max_rows=4096, segment_rows=64)
 _LONG_WINDOWS = ["MA250", "VMA150", "HH300", "LL200"]
 _AVERAGED = ["MACD_LINE", "MACD_SIGNAL", "MACD_HISTOGRAM", "ADX14", "ADX_PLUS", "ADX_MINUS"]
 
 
-def _in_layout(layout: Layout, names: Sequence[str]) -> Query:
+def _in_layout(layout: Layout, names: Sequence[str], base: str = "day") -> Query:
     def run(spark, d):
-        frame = result_rows(add_technical(day_bars(spark, d), layout, names, complete=True), layout)
+        frame = result_rows(add_technical(_BARS[base](spark, d), layout, names, complete=True), layout)
         return rounded(frame.select("symbol", "date", *names), names)
 
     return run
 
 
-for _key, _layout, _names in (
-    ("block_all_61_columns", _BLOCKS, TECHNICAL_COLUMNS),
-    ("block_long_window", _SMALL_BLOCKS, _LONG_WINDOWS),
-    ("r1_r2_segmented_averages", _SEGMENTS, _AVERAGED),
+for _key, _layout, _names, _base in (
+    ("block_all_61_columns", _BLOCKS, TECHNICAL_COLUMNS, "day"),
+    ("block_long_window", _SMALL_BLOCKS, _LONG_WINDOWS, "day"),
+    ("block_exponential_averages", _EMA_BLOCKS, _EXPONENTIAL, "day"),
+    ("block_very_long_windows", _LONG_BLOCKS, _VERY_LONG, "line"),
+    ("r1_r2_segmented_averages", _SEGMENTS, _AVERAGED, "day"),
 ):
-    QUERIES[_key], ORACLES[_key] = _in_layout(_layout, _names), o.indicator_query(_names)
+    QUERIES[_key], ORACLES[_key] = _in_layout(_layout, _names, _base), o.indicator_query(_names, _base)
 
 
 _KEPT = ["MACD_LINE", "RSI14", "MA20", "PREVIOUS_PRICE"]

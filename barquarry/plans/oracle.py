@@ -27,12 +27,14 @@ _EVENT_BARS = """bars AS (
          first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low,
          last(value ORDER BY ts, event_id) AS close, CAST(count(*) AS DOUBLE) AS volume
   FROM events GROUP BY 1, 2)"""
+# Hour bars of return flags; a line's number is its hour.
+LINE_BARS = DAY_BARS.replace("CAST(l_suppkey AS VARCHAR)", "l_returnflag").replace("CAST(l_shipdate AS DATE) AS date", "CAST(l_shipdate AS TIMESTAMP) + to_hours(CAST(l_linenumber AS INTEGER)) AS date")
 HOUR_BARS = _EVENT_BARS.format(symbol="event_type", bucket="date_trunc('hour', ts)")
 USER_BARS = _EVENT_BARS.format(symbol="CAST(user_id AS VARCHAR)", bucket="CAST(ts AS DATE)")
 # Bars of every third symbol lack a close where much was traded; such bars are rejected.
 GAP = "(volume >= 75 AND CAST(symbol AS INTEGER) % 3 = 0)"
 KEPT_BARS = f"{DAY_BARS.replace('bars AS', 'all_bars AS', 1)}, bars AS (SELECT * FROM all_bars WHERE NOT {GAP})"
-BASES = {"day": DAY_BARS, "hour": HOUR_BARS, "user": USER_BARS, "kept": KEPT_BARS}
+BASES = {"day": DAY_BARS, "hour": HOUR_BARS, "user": USER_BARS, "kept": KEPT_BARS, "line": LINE_BARS}
 
 
 def over(n: int | None = None) -> str:
@@ -143,6 +145,16 @@ def plain(name: str) -> str:
     raise KeyError(name)
 
 
+def _ema_steps(spans: Sequence[int]) -> str:
+    """CTE ``exp``: exponential averages of closes, one bar after the other."""
+    first = ", ".join(f"close AS e{n}" for n in spans)
+    step = ", ".join(f"e.e{n} + (b.close - e.e{n}) * 2 / {n + 1} AS e{n}" for n in spans)
+    return f"""exp AS (
+  SELECT symbol, rn, {first} FROM b WHERE rn = 0
+  UNION ALL
+  SELECT b.symbol, b.rn, {step} FROM exp e JOIN b ON b.symbol = e.symbol AND b.rn = e.rn + 1)"""
+
+
 _STEPS = f"""b AS MATERIALIZED (
   SELECT *, row_number() {over()} - 1 AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM bars),
 l1 AS (
@@ -206,9 +218,13 @@ def chain(columns: Sequence[str], base: str = "day", *, fill: bool = True) -> st
     if adx:
         ctes.append(_ADX_STEPS)
         joins += " LEFT JOIN di USING (symbol, rn) LEFT JOIN adx USING (symbol, rn)"
+    spans = {n: int(n[3:]) for n in columns if n.startswith("EMA")}
+    if spans:
+        ctes.append(_ema_steps(list(spans.values())))
+        joins += " LEFT JOIN exp USING (symbol, rn)"
     exprs = []
     for n in columns:
-        text = MACD.get(n) or ADX.get(n) or plain(n)
+        text = MACD.get(n) or ADX.get(n) or (f"e{spans[n]}" if n in spans else plain(n))
         exprs.append(f'{text} AS "{n}"')
     ctes.append(
         f"raw AS (SELECT symbol, date, rn, {', '.join(exprs)} FROM l2{joins})"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,12 +32,13 @@ def computed_once(df: DataFrame) -> DataFrame:
     """A checkpoint of ``df`` in the session's shared checkpoint folder.
 
     For frames that a plan reads several times. Files there outlive lost executors. Without a
-    folder the frame itself is returned: results are the same, but it is computed per reader.
+    folder, a local session (driver and tasks are one process) gets a temporary one; on a cluster the
+    frame itself is returned: results are the same, but it is computed per reader.
     """
-    spark = df.sparkSession
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext.getCheckpointDir() is None:
-        if not named:
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
             return df
-        spark.sparkContext.setCheckpointDir(named)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="barquarry-"))
     return df.checkpoint()

@@ -123,3 +123,48 @@ def test_no_group_of_a_block_layout_is_long(long_bars):
 
 def test_endless_position_needs_the_streaming_fold():
     assert example("PARTIAL_TP_STRATEGY").needs_fold
+
+
+def test_recurrences_read_no_rows_before_their_block(spark):
+    bars = wavy_bars(spark, 5_000, symbols=("HOT", "COLD"))
+    names = ["EMA500", "EMA3", "MACD_LINE", "MACD_SIGNAL", "MACD_HISTOGRAM", "ADX14", "ADX_PLUS", "ADX_MINUS"]
+    whole = SymbolLayout()
+    a = result_rows(add_technical(bars, whole, names), whole).toPandas()
+    close = a[a["symbol"] == "HOT"].sort_values("date")["CLOSE"].to_numpy()
+    expected = [close[0]]
+    for x in close[1:]:
+        expected.append(expected[-1] + (x - expected[-1]) * 2 / 501)
+    assert np.allclose(a[a["symbol"] == "HOT"].sort_values("date")["EMA500"], expected, rtol=1e-12)
+    # Blocks far shorter than the averages remember, and blocks of several segments.
+    for blocks in (BlockLayout(block_rows=64, lookback=64), BlockLayout(block_rows=1_000, lookback=64, segment_rows=256)):
+        b = result_rows(add_technical(bars, blocks, names), blocks).toPandas()
+        compare(a, b, names)
+
+
+@pytest.mark.parametrize("n", [251, 700, 1_500])
+def test_long_windows_at_constant_work(spark, n):
+    bars = wavy_bars(spark, 2_000, symbols=("HOT",)).withColumn("volume", F.when(F.col("date") > "2017-07-20", F.col("volume")))
+    names = [f"MA{n}", f"HH{n}", f"LL{n}", f"VMA{n}"]
+    raw = bars.orderBy("date").toPandas()
+    expected = {
+        f"MA{n}": raw["close"].rolling(n).mean(),
+        f"HH{n}": raw["high"].rolling(n).max(),
+        f"LL{n}": raw["low"].rolling(n).min(),
+        f"VMA{n}": raw["volume"].rolling(n).mean(),
+    }
+    for layout in (SymbolLayout(), BlockLayout(block_rows=500, lookback=n)):
+        got = result_rows(add_technical(bars, layout, names, fill=False), layout).toPandas().sort_values("date")
+        for name in names:
+            assert np.allclose(got[name], expected[name], rtol=1e-10, equal_nan=True), name
+
+
+def test_the_plan_does_not_grow_with_the_window(spark):
+    bars = wavy_bars(spark, 300)
+    size = lambda n: len(add_technical(bars, SymbolLayout(), [f"MA{n}", f"HH{n}"])._jdf.queryExecution().optimizedPlan().toString())
+    assert size(90_000) < size(300) * 1.1
+
+
+def test_returns_look_back_over_their_lag(spark):
+    bars = wavy_bars(spark, 400)
+    with pytest.raises(ValueError, match="lookback"):
+        add_technical(bars, BlockLayout(block_rows=128, lookback=64), ["PRICE_RETURN_100D_PCT"])
