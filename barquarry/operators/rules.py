@@ -7,12 +7,14 @@ session's ANSI setting: ``rule_arithmetic`` is active while the expressions are
 
 from __future__ import annotations
 
+import ast
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from functools import reduce
 from operator import and_
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +91,57 @@ def per_bar(rules: dict[str, str], bars: str, entry: str = "CLOSE") -> Column:
     return F.expr(f"transform({bars}, bar -> named_struct('bar', bar{fields}))")
 
 
+def _divided(a, b):
+    b = np.asarray(b, dtype=float)
+    return np.divide(a, b, out=np.full(np.broadcast(a, b).shape, np.nan), where=b != 0)
+
+
+# How plain arithmetic is done on arrays. Not a number stands for null.
+_OPERATORS = {ast.Add: np.add, ast.Sub: np.subtract, ast.Mult: np.multiply, ast.Div: _divided}
+_FUNCTIONS = {"ABS": np.abs, "GREATEST": np.fmax, "LEAST": np.fmin}
+
+
+def arithmetic(rule: str) -> tuple[Callable[[dict[str, np.ndarray]], np.ndarray], set[str]] | None:
+    """A plain arithmetic rule as a function of arrays by column name, and the names; None for other rules.
+
+    Plain are + - * / and ABS, GREATEST and LEAST on columns, numbers and the entry price. Arithmetic between numbers
+    alone is left to Spark, which does it in decimals.
+    """
+    check_rule(rule, [ENTRY_PRICE])
+    try:
+        tree = ast.parse(rule.strip(), mode="eval").body
+    except SyntaxError:
+        return None
+    names: set[str] = set()
+
+    def made(node: ast.AST) -> tuple[Callable, bool] | None:
+        """The node as a function, and whether it is a number."""
+        if isinstance(node, ast.Constant) and type(node.value) in (int, float):
+            return (lambda _, x=float(node.value): x), True
+        if isinstance(node, ast.Name) and node.id.upper() not in _WORDS:
+            names.add(node.id.upper())
+            return (lambda values, name=node.id.upper(): values[name]), False
+        if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub):
+            inner = made(node.operand)
+            return inner and ((lambda values: -inner[0](values)), inner[1])
+        if isinstance(node, ast.BinOp) and type(node.op) in _OPERATORS:
+            parts = [made(node.left), made(node.right)]
+            f = _OPERATORS[type(node.op)]
+        elif isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and not node.keywords:
+            f = _FUNCTIONS.get(node.func.id.upper())
+            if f is None or len(node.args) != (1 if f is np.abs else 2):
+                return None
+            parts = [made(x) for x in node.args]
+        else:
+            return None
+        if any(p is None for p in parts) or all(number for _, number in parts):
+            return None
+        return (lambda values: f(*[p(values) for p, _ in parts])), False
+
+    found = made(tree)
+    return None if found is None else (found[0], names)
+
+
 def names_entry(rule: str) -> bool:
     return re.search(rf"\b{ENTRY_PRICE}\b", rule, re.IGNORECASE) is not None
 

@@ -3,13 +3,15 @@
 Strategies whose position does not change while open are done with window frames only:
 
 1. signal, target, stop and size are columns of the bar;
-2. each signal bar looks at the next max_hold bars (a forward frame, or chunks) for its first exit;
+2. each signal bar looks at the next max_hold bars for its first exit: in a forward frame, for longer holds
+   by crossing indexes over the series (``crossing``), or in chunks if stop rules are more than arithmetic;
 3. of overlapping candidates only those starting after the last kept exit remain.
 
-Step 3 goes through the candidates in order, at most one block of them per task. In a block
-layout each block first answers "if the series is free again from row f, when is it free after
-this block?" for the few f a position can leave open; chaining these answers gives the state
-at the start of every block, and the blocks are then resolved in parallel.
+Step 3 goes through the candidates of a short series in order. In a block layout every candidate points
+to the first one at or after its exit; pointers are doubled inside a block until they leave it. So a block
+answers at once, for each row f from which the series may be free again, when it is free after this
+block. Chaining these answers gives the state at the start of every block, and the blocks
+follow their pointers from there in parallel.
 
 Strategies with averaging or partial exits are in ``position_fold``.
 """
@@ -19,13 +21,17 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barquarry.functions.rolling import Rolling
 from barquarry.functions.scalars import days_held, display_symbol, iso_date, range_days, share_count
 from barquarry.operators.layout import Layout
-from barquarry.operators.rules import all_met, columns_used, per_bar, rule_arithmetic, value
+from barquarry.operators.crossing import NONE, first_exits
+from barquarry.operators.rules import ENTRY_PRICE, all_met, arithmetic, columns_used, per_bar, rule_arithmetic, value
 from barquarry.operators.scan import with_compliance
 from barquarry.operators.strategy import Strategy
 from barquarry.session import computed_once
@@ -169,8 +175,9 @@ def exit_candidates(
     """One row per signal bar with its exit (null if the data ends first).
 
     Up to ``FRAME_BARS`` bars are read from a forward frame, without a shuffle. Longer holds are
-    searched in chunks of bars: each bar is packed into one chunk, and only signal bars are
-    matched with the chunks they may be held through.
+    found by crossing indexes over the bars of a group, on the partitioning that the windows left. Where stop
+    rules are not plain arithmetic they are searched in chunks of bars: each bar is packed into one
+    chunk, and only signal bars are matched with the chunks they may be held through.
     """
     with rule_arithmetic(frame.sparkSession):
         keep = [*layout.keys, "date", "_rn", "CLOSE"] + (["_own"] if layout.blocked else [])
@@ -179,7 +186,10 @@ def exit_candidates(
         narrow = narrow.select(*keep, "_bar", *columns)
         short = [(i, s) for i, s in enumerate(strategies) if s.max_hold <= FRAME_BARS]
         parts = [_in_frames(narrow, short, layout)] if short else []
-        parts += [_in_chunks(narrow, i, s, layout) for i, s in enumerate(strategies) if s.max_hold > FRAME_BARS]
+        for i, s in enumerate(strategies):
+            if s.max_hold > FRAME_BARS:
+                stops = _array_stops(s)
+                parts.append(_in_chunks(narrow, i, s, layout) if stops is None else _by_crossing(narrow, i, s, stops, layout))
         return reduce(DataFrame.unionByName, parts)
 
 
@@ -205,6 +215,51 @@ def _in_frames(narrow: DataFrame, numbered: Sequence[tuple[int, Strategy]], layo
     )
 
 
+def _array_stops(s: Strategy) -> list | None:
+    """Stop rules as functions of arrays, with whether they name the entry price only; None if one is not plain arithmetic."""
+    found = [arithmetic(rule) for rule in _stop_rules(s).values()]
+    return None if any(f is None for f in found) else [(f, names <= {ENTRY_PRICE}) for f, names in found]
+
+
+def _by_crossing(narrow: DataFrame, i: int, s: Strategy, stops: list, layout: Layout) -> DataFrame:
+    keys = list(layout.keys)
+    own = layout.own()
+    level = {"qty": f"_qty{i}", "target": f"_target{i}", "stop": f"_stop{i}"}
+    data = narrow.select(*keys, "_bar.*", own.alias("_mine"), *[c(v).cast("double").alias(f"_{k}") for k, v in level.items()])
+    columns = columns_used(_stop_rules(s).values())
+    columns = list(dict.fromkeys(["HIGH", "LOW", "CLOSE", *columns]))
+    hold, trailing, fixed = max(1, s.max_hold), s.trailing, s.fixed_stop
+
+    def find(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table["rn"]))
+        get = lambda name: table[name].to_numpy()
+        qty = get("_qty")
+        entries = np.flatnonzero(~np.isnan(qty) & get("_mine").astype(bool))
+        bars = {name: table[name].cast(pa.float64()).to_numpy() for name in columns}
+        stop, target = get("_stop")[entries], get("_target")[entries]
+        rules = [(lambda _: stop, True)] if fixed else stops
+        at, price, reason = first_exits(bars, get("usable").astype(bool), entries, target, rules, trailing, hold)
+        none = at == NONE
+        exit_at = pa.array(np.where(none, 0, at), mask=none)
+        entry = pa.array(entries)
+        null_of = lambda x: pa.array(x, mask=np.isnan(x))
+        made = [table[k].take(entry) for k in keys]
+        made += [table["rn"].take(entry), table["date"].take(entry), table["CLOSE"].take(entry).cast(pa.float64())]
+        made += [pa.array(qty[entries]), null_of(stop), null_of(target), table["rn"].take(exit_at), table["date"].take(exit_at)]
+        made += [pa.array(price, mask=none), pa.array(reason, pa.string(), mask=none)]
+        return pa.table(made, names=names)
+
+    kinds = dict(data.dtypes)
+    fields = {k: kinds[k] for k in keys}
+    fields |= {"entry_rn": kinds["rn"], "entry_date": kinds["date"], "entry_price": "double", "qty": "double", "stop_loss": "double", "take_profit": "double"}
+    fields |= {"exit_rn": kinds["rn"], "exit_date": kinds["date"], "exit_price": "double", "exit_reason": "string"}
+    names = list(fields)
+    found = data.groupBy(*keys).applyInArrow(find, ", ".join(f"`{k}` {v}" for k, v in fields.items()))
+    exit_ = F.struct(c("exit_rn").alias("rn"), c("exit_date").alias("date"), c("exit_price").alias("price"), c("exit_reason").alias("reason"), F.lit(True).alias("usable"))
+    kept = [n for n in names if not n.startswith("exit_")]
+    return found.select(*kept, F.lit(s.name).alias("strategy"), F.when(c("exit_rn").isNotNull(), exit_).alias("exit"))
+
+
 def _in_chunks(narrow: DataFrame, i: int, s: Strategy, layout: Layout) -> DataFrame:
     keys = list(layout.keys)
     chunk = lambda row: F.floor(row / F.lit(CHUNK_BARS))
@@ -279,59 +334,89 @@ def _kept(candidates: Column, free_from: Column, candidate_type: str) -> Column:
     return F.flatten(F.aggregate(chunks, first, walk)["kept"])
 
 
-def _grouped(candidates: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, str]:
+def non_overlapping(
+    candidates: DataFrame, layout: Layout, max_hold: int
+) -> DataFrame:
+    """Candidates that become trades, in order, per (strategy, symbol)."""
+    if layout.blocked:
+        return _by_pointers(computed_once(candidates), layout, max_hold)  # read twice
+    keys = ["strategy", *layout.keys]
     fields = [n for n in candidates.columns if n not in keys and n != "entry_rn"]
     packed = F.struct("entry_rn", *fields)
     grouped = candidates.groupBy(*keys).agg(F.array_sort(F.collect_list(packed)).alias("cands"))
     kind = grouped.schema["cands"].dataType.elementType.simpleString()
-    return grouped, kind
+    return grouped.select(*keys, F.inline(_kept(c("cands"), F.lit(0), kind)))
 
 
-def non_overlapping(
-    candidates: DataFrame, layout: Layout, max_hold: int
-) -> DataFrame:
-    """Candidates that become trades, in order, per (strategy, symbol)."""
-    keys = ["strategy", *layout.keys]
-    if layout.blocked:  # read twice below
-        candidates = computed_once(candidates)
-    grouped, kind = _grouped(candidates, keys)
-    if layout.blocked:
-        grouped = grouped.join(_block_starts(grouped, layout, max_hold), keys)
-        free_from = c("_free_from")
-    else:
-        free_from = F.lit(0)
-    kept = grouped.select(*keys, F.inline(_kept(c("cands"), free_from, kind)))
-    return kept.drop("_block")
-
-
-def _block_starts(grouped: DataFrame, layout: Layout, max_hold: int) -> DataFrame:
-    """Row from which each block of each series is free, given everything before it."""
-    reach = max(1, max_hold)
-    begin = c("_block") * F.lit(layout.block_rows)
-
-    def after(start: Column) -> Column:
-        return F.aggregate(
-            "cands",
-            start.cast("bigint"),
-            lambda free, cand: F.when(cand["entry_rn"] >= free, _free_after(cand)).otherwise(free),
-        )
+def pointers(entry: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """For each candidate (ascending entry rows) the number of the first one at or after its exit."""
+    return np.searchsorted(entry, free, side="left")
 
-    answers = grouped.select(
-        "strategy",
-        "symbol",
-        F.struct(
-            c("_block").alias("block"),
-            begin.alias("begin"),
-            F.transform(F.sequence(begin, begin + reach), after).alias("after"),
-        ).alias("answer"),
-    )
+
+def free_after(entry: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """For each candidate, where the series is free when a chain that takes it has left the block.
+
+    Pointer doubling: each round lets every candidate jump as far again, so a block of n takes log n rounds.
+    """
+    n = len(entry)
+    to = np.append(pointers(entry, free), n)
+    out = np.append(free, NEVER)
+    while (to[:n] < n).any():
+        out = np.where(to < n, out[to], out)
+        to = np.where(to < n, to[to], n)
+    return out[:n]
+
+
+def chain_from(entry: np.ndarray, free: np.ndarray, start: int) -> list[int]:
+    """Numbers of the candidates taken when the series is free from row ``start`` on."""
+    to, taken = pointers(entry, free), []
+    at = int(np.searchsorted(entry, start, side="left"))
+    while at < len(entry):
+        taken.append(at)
+        at = int(to[at])
+    return taken
+
+
+def _by_pointers(candidates: DataFrame, layout: Layout, max_hold: int) -> DataFrame:
+    """Non-overlapping candidates of long series; a task holds the candidates of one block."""
+    keys, size, reach = ["strategy", "symbol", "_block"], layout.block_rows, max(1, max_hold)
+    narrow = candidates.select(*keys, "entry_rn", _free_after(F.struct("exit")).alias("free"))
+
+    def answer(table: pa.Table) -> pa.Table:
+        table = table.sort_by("entry_rn")
+        entry, free = table["entry_rn"].to_numpy(), table["free"].to_numpy()
+        begin = int(table["_block"][0].as_py()) * size
+        asked = begin + np.arange(reach + 1)
+        at = np.searchsorted(entry, asked, side="left")
+        out = np.append(free_after(entry, free), 0)
+        after = np.where(at < len(entry), out[at], asked)
+        one = table.select(keys).slice(0, 1)
+        return one.append_column("begin", pa.array([begin])).append_column("after", pa.array([after.tolist()], pa.list_(pa.int64())))
+
+    answers = narrow.groupBy(*keys).applyInArrow(answer, "strategy string, symbol string, _block bigint, begin bigint, after array<bigint>")
+    starts = computed_once(_block_starts(answers))
+    names = candidates.columns
+    schema = candidates.schema
+
+    def take(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table["entry_rn"]))
+        free = table["_free"].to_numpy()
+        taken = chain_from(table["entry_rn"].to_numpy(), free, int(table["_free_from"][0].as_py()))
+        return table.select(names).take(pa.array(taken, type=pa.int64()))
+
+    ready = candidates.withColumn("_free", _free_after(F.struct("exit"))).join(starts, keys)
+    return ready.groupBy(*keys).applyInArrow(take, schema).drop("_block")
+
+
+def _block_starts(answers: DataFrame) -> DataFrame:
+    """Row from which each block of each series is free, given everything before it: one row per block is folded."""
 
     def chain(acc: Column, answer: Column) -> Column:
         ahead = F.greatest(acc["free"] - answer["begin"], F.lit(0))
         following = F.when(acc["free"] >= NEVER, F.lit(NEVER)).otherwise(
             F.get(answer["after"], ahead.cast("int"))
         )
-        start = F.struct(answer["block"].alias("_block"), acc["free"].alias("_free_from"))
+        start = F.struct(answer["_block"].alias("_block"), acc["free"].alias("_free_from"))
         return F.struct(
             following.cast("bigint").alias("free"),
             F.concat(acc["starts"], F.array(start)).alias("starts"),
@@ -343,7 +428,7 @@ def _block_starts(grouped: DataFrame, layout: Layout, max_hold: int) -> DataFram
     )
     return (
         answers.groupBy("strategy", "symbol")
-        .agg(F.array_sort(F.collect_list("answer")).alias("answers"))
+        .agg(F.array_sort(F.collect_list(F.struct("_block", "begin", "after"))).alias("answers"))
         .select("strategy", "symbol", F.inline(F.aggregate("answers", first, chain)["starts"]))
     )
 

@@ -357,6 +357,7 @@ register_indicators("r1_exponential_averages", ["EMA9", "EMA50", "EMA500"])
 
 # The longest window asked is 200 rows; exponential and Wilder averages read nothing before their block.
 _BLOCKS = BlockLayout(block_rows=512, lookback=200, lookahead=5)
+_BLOCKS_OF_HOLDS = BlockLayout(block_rows=1024, lookback=64, lookahead=6)
 _EMA_BLOCKS = BlockLayout(block_rows=128, lookback=64)
 _LONG_BLOCKS = BlockLayout(block_rows=1024, lookback=5000)
 _EXPONENTIAL = ["EMA500", "EMA20", "MACD_HISTOGRAM", "ADX14"]
@@ -514,7 +515,7 @@ _EXACT = f"{o.chain(_TREND_COLUMNS)}, x AS (SELECT symbol, date, rn, {o.exact(_T
 
 
 def exact_frame(spark, d, strategies, hold=1, base="day", extra=(), within=None):
-    bars, layout = (day_bars(spark, d), within) if within else inputs(spark, d, base, hold)
+    bars, layout = (_BARS[base](spark, d), within) if within else inputs(spark, d, base, hold)
     names = list(dict.fromkeys([*columns_of(strategies), *extra]))
     return indicator_frame(bars, names, layout, decimals=8, complete=True), layout
 
@@ -804,7 +805,23 @@ _FUNCTIONS = {
     "max_hold_days": 6,
 }
 _FIXED_STOP = {"name": "FIXED", "entry": ["CLOSE > MA20"], "tp": ["CLOSE + ATR14"], "sl": ["CLOSE - ATR14 * 0.5"], "stop": "fixed", "max_hold_days": 5}
-_MADE = {s["name"]: s for s in (_TP_SL, _TRAIL, _LONG_HOLD, _FUNCTIONS, _FIXED_STOP)}
+_DENSE = {"name": "DENSE", "entry": ["CLOSE > 0"], "tp": ["CLOSE * 1.02"], "sl": ["ENTRY_PRICE * 0.98"], "max_hold_days": 6}
+_HELD_200 = {
+    "name": "HELD_200",
+    "entry": ["CLOSE < MA50"],
+    "tp": ["CLOSE * 3"],
+    "sl": ["ENTRY_PRICE * 0.02", "LEAST(MA20 * 0.2, ENTRY_PRICE - ATR14 * 2)"],
+    "ts": 0.97,
+    "max_hold_days": 200,
+}
+_CASE_200 = {
+    "name": "CASE_200",
+    "entry": ["CLOSE < MA50"],
+    "tp": ["CLOSE * 3"],
+    "sl": ["CASE WHEN ENTRY_PRICE > 1300 THEN ENTRY_PRICE * 0.1 ELSE MA20 * 0.05 END"],
+    "max_hold_days": 200,
+}
+_MADE = {s["name"]: s for s in (_TP_SL, _TRAIL, _LONG_HOLD, _FUNCTIONS, _FIXED_STOP, _DENSE, _HELD_200, _CASE_200)}
 
 
 def made(name: str) -> Strategy:
@@ -866,6 +883,27 @@ def _(spark, d):
     return rounded_trades(trades_of(spark, d, [example("MULTI_AVG_STRATEGY")]))
 
 
+@register("t_dense_candidates", ot.trades_sql([Strategy.from_mapping(_DENSE)], AMOUNT, base="line"))
+def _(spark, d):
+    """Every bar is a signal, and one of the few symbols has half of all bars."""
+    return rounded_trades(trades_of(spark, d, [made("DENSE")], "line", _BLOCKS_OF_HOLDS))
+
+
+@register("t13_hold_of_200_bars", ot.trades_sql([Strategy.from_mapping(_HELD_200)], AMOUNT))
+def _(spark, d):
+    return rounded_trades(trades_of(spark, d, [made("HELD_200")]))
+
+
+@register("t13_hold_of_200_bars_by_case", ot.trades_sql([Strategy.from_mapping(_CASE_200)], AMOUNT))
+def _(spark, d):
+    return rounded_trades(trades_of(spark, d, [made("CASE_200")]))
+
+
+@register("block_hold_of_200_bars", ot.trades_sql([Strategy.from_mapping(_HELD_200)], AMOUNT))
+def _(spark, d):
+    return rounded_trades(trades_of(spark, d, [made("HELD_200")], within=BlockLayout(block_rows=256, lookback=64, lookahead=200)))
+
+
 @register("p09_trades_of_last_year", ot.trades_sql(shipped(), AMOUNT, days=365))
 def _(spark, d):
     return rounded_trades(trades_of(spark, d, shipped(), period="12m"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+from barquarry.operators.rules import columns_used
 from barquarry.operators.strategy import Strategy, columns_of
 from barquarry.plans import oracle as o
 from barquarry.plans.presets import shipped
@@ -126,7 +128,7 @@ def _steps(s: Strategy, index: int, amount: float, stamp: str) -> str:
 
 
 def _trades(strategies: Sequence[Strategy], amount: float, base: str = "day", days: int | None = None) -> str:
-    stamp = "TIMESTAMP" if base == "hour" else "DATE"
+    stamp = "TIMESTAMP" if base in ("hour", "line") else "DATE"
     ctes = [_exact(strategies, base, days)]
     ctes += [_steps(s, i, amount, stamp) for i, s in enumerate(strategies)]
     parts = [
@@ -240,25 +242,30 @@ def trade_page_sql(strategies: Sequence[Strategy], compliance: str, amount: floa
 
 
 def first_exit_sql(s: Strategy) -> str:
-    """Every signal bar joined to the bars it may be held for, and the first exit among them."""
-    stops = [_bound(rule, "e.ep") for rule in s.sl]
-    cases = [(f"b.LOW <= ({t})", f"'SL Hit (Level {k + 1})'", f"({t})") for k, t in enumerate(stops)]
-    cases += [
-        ("b.HIGH >= e.target", "'TP Hit'", "e.target"),
-        (f"b.rn - e.rn >= {s.max_hold}", "'MaxHold Exit'", "b.CLOSE"),
-    ]
-    why = " ".join(f"WHEN {hit} THEN {name}" for hit, name, _ in cases)
-    price = " ".join(f"WHEN {hit} THEN {level}" for hit, _, level in cases)
+    """The bars a signal may be held for as lead columns, and the first of them with an exit."""
+    used = columns_used(s.sl)
+    names = dict.fromkeys(["LOW", "HIGH", "CLOSE", *used])
+    ahead = range(1, s.max_hold + 1)
+    leads = ", ".join(f"lead({n}, {k}) {o.over()} AS {n}_{k}" for k in ahead for n in ["date", *names])
+
+    def on(rule: str, k: int) -> str:
+        """Stop rules name columns of the bar under test; the entry price is the signal bar's close."""
+        for n in used:
+            rule = re.sub(rf"\b{n}\b", f"{n}_{k}", rule)
+        return rule.replace("ENTRY_PRICE", "CLOSE")
+
+    def checks(k: int) -> list[tuple[str, str, str]]:
+        found = [(f"LOW_{k} <= ({on(rule, k)})", f"'SL Hit (Level {n + 1})'", f"({on(rule, k)})") for n, rule in enumerate(s.sl)]
+        found.append((f"HIGH_{k} >= target", "'TP Hit'", "target"))
+        return [*found, (f"date_{k} IS NOT NULL", "'MaxHold Exit'", f"CLOSE_{k}")] if k == s.max_hold else found
+
+    def chosen(part: int) -> str:
+        return "CASE " + " ".join(f"WHEN {check[0]} THEN {(check[1], check[2], f'date_{k}')[part]}" for k in ahead for check in checks(k)) + " END"
+
     return f"""{_exact([s])},
-e AS (SELECT symbol, rn, date, CLOSE AS ep, {_bound(s.target, "CLOSE")} AS target FROM x WHERE {_met(s)}
-      AND floor(1000000 / CLOSE) > 0),
-j AS (SELECT e.symbol, e.rn, b.date AS exit_date, CASE {why} END AS exit_reason, CASE {price} END AS exit_price, b.rn AS brn
-      FROM (SELECT *, unnest(range(1, {s.max_hold} + 1)) AS ahead FROM e) e
-      JOIN x b ON b.symbol = e.symbol AND b.rn = e.rn + e.ahead)
-SELECT e.symbol, e.date AS entry_date, f.exit_date, f.exit_reason, round(f.exit_price + 1.37e-5, 2) AS exit_price
-FROM e LEFT JOIN (SELECT * FROM j WHERE exit_reason IS NOT NULL
-                  QUALIFY row_number() OVER (PARTITION BY symbol, rn ORDER BY brn) = 1) f
-  ON f.symbol = e.symbol AND f.rn = e.rn"""
+e AS (SELECT *, {_bound(s.target, "CLOSE")} AS target, {leads} FROM x)
+SELECT symbol, date AS entry_date, {chosen(2)} AS exit_date, {chosen(0)} AS exit_reason, round({chosen(1)} + 1.37e-5, 2) AS exit_price
+FROM e WHERE {_met(s)} AND floor(1000000 / CLOSE) > 0"""
 
 
 def _summary(strategies: Sequence[Strategy], amount: float) -> str:
