@@ -105,5 +105,46 @@ def test_bit_vectors_never_exceed_the_symmetric_difference():
 
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(200, 300), (250, 300)]
-    got = {r.node: r.root for r in j.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in j.components(spark.createDataFrame(edges, "a long, b long"), []).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **{100 + k: 100 for k in range(30)}, 200: 200, 250: 200, 300: 200}
+
+
+def region_of(n_rows, seed=2):
+    """Sizes and bit vectors of near copies of one set, by size."""
+    r = np.random.default_rng(seed)
+    base = np.unique(r.integers(0, 2**63, 300).astype(np.uint64))
+    sets = [np.unique(np.concatenate([np.delete(base, r.integers(0, len(base), 4)), r.integers(0, 2**63, r.integers(0, 5)).astype(np.uint64)])) for _ in range(n_rows)]
+    sets.sort(key=len)
+    return np.array([len(s) for s in sets]), [j.bit_vector(s) for s in sets], sets
+
+
+@pytest.mark.parametrize(("start_at", "percent"), [([0], 85), ([0, 300, 340, 345], 85), ([0, 200], 97)])
+def test_spanning_pairs_connect_what_all_pairs_connect(start_at, percent):
+    n, bits, _ = region_of(500)
+    start = np.zeros(500, dtype=bool)
+    start[start_at] = True
+    for a, b in zip(start_at, [*start_at[1:], 500], strict=True):
+        at = a + np.argsort(n[a:b], kind="stable")
+        n[a:b], bits[a:b] = n[at], [bits[k] for k in at]
+    root = np.arange(500)
+    root[10:20] = 10
+
+    def groups(pairs):
+        ties = j.Ties(np.arange(500))
+        ties.merge(np.arange(10, 20), np.full(10, 10))
+        ties.merge(*pairs)
+        return ties.label
+
+    every, few = (list(j.region_pairs(start, n, bits, root, percent, spanning)) for spanning in (False, True))
+    every, few = (tuple(np.concatenate([p[k] for p in pairs]) for k in (0, 1)) for pairs in (every, few))
+    assert len(few[0]) < 500 < len(every[0])
+    a, b = groups(every), groups(few)
+    assert len(np.unique(np.column_stack([a, b]), axis=0)) == len(np.unique(a)) == len(np.unique(b))
+
+
+def test_pairs_are_sent_in_slices(monkeypatch):
+    monkeypatch.setattr(j, "PAIRS_HELD", 1000)
+    n, bits, _ = region_of(300)
+    start = np.arange(300) == 0
+    slices = [len(i) for i, _ in j.region_pairs(start, n, bits, np.arange(300), 85, False)]
+    assert max(slices) < 1300 and sum(slices) > 10_000

@@ -84,7 +84,8 @@ def test_arithmetic_rules():
     for other in ("CASE WHEN CLOSE > 1 THEN 1 ELSE 2 END", "CLOSE > 1", "SQRT(CLOSE)", "0.1 + 0.2", "CLOSE * (0.1 + 0.2)", "ROUND(CLOSE, 2)"):
         assert arithmetic(other) is None
     with pytest.raises(ValueError):
-        arithmetic("CLOSE.__class__")
+        arithmetic("UNKNOWN * 2")
+    assert arithmetic("CLOSE.__class__") is None
 
 
 def test_pointers_follow_the_greedy_chain():
