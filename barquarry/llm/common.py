@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -34,17 +35,36 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, among: list[str] | None = None) -> DataFrame:
     """``df`` written once in the shared folder and read back.
 
     Cuts the lineage and fixes values that depend on partitioning; lost executors do not lose it.
+    The path is added to ``among``, for ``dropped``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if among is not None:
+        among.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables that nothing reads any more: all that was made from them is itself stored."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def trimmed() -> None:
+    """Give memory that this worker's last batches have freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def remainder(doc_id: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; -1 for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % parts, F.lit(-1))
@@ -61,6 +81,7 @@ def kept_in_worker(key: tuple, make: Callable[[], object]):
     """
     if key not in _KEPT:
         _KEPT.clear()
+        trimmed()
         _KEPT[key] = make()
     return _KEPT[key]
 
@@ -103,6 +124,7 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list], list]], schem
                 columns = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
                 columns += [pa.array(v, type=t) for v, t in zip(found, types, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
+        trimmed()
 
     return docs.select(*keep, "text").mapInArrow(run, StructType([*head, *out]))
 
@@ -120,6 +142,7 @@ def filter_texts(docs: DataFrame, make: Callable[[], Callable[[list], list]], mo
             texts = batch.column(at).to_pylist()
             accepted = [x for a, b in text_slices(texts, most) for x in judge(texts[a:b])]
             yield batch.filter(pa.array(accepted, type=pa.bool_()))
+        trimmed()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -22,11 +22,11 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from barquarry.llm.common import kept_in_worker, read, stored, text_slices
+from barquarry.llm.common import dropped, kept_in_worker, read, stored, text_slices, trimmed
 
 SHINGLE_WORDS = 4
 #: Two documents link when PERCENT or more of the union of their sets is shared.
@@ -44,6 +44,8 @@ BITS, WIDE_BITS, WIDE_FROM = 512, 4096, 1024
 #: Bits of the fixed-size filter for the documents whose sets are made again.
 FILTER_BITS = 1 << 23
 WORDS_KEPT = 200_000
+#: Pairs that a task holds before it sends them on, about.
+PAIRS_HELD = 200_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -123,6 +125,7 @@ def described(docs: DataFrame, size: int, percent: int, common: tuple[np.ndarray
                     pa.array([bit_vector(s) for s in sets], type=pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "n", "print", "pivots", "bits"])
+        trimmed()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     made = docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, f"doc_id {kind}, digest long, n long, print binary, pivots binary, bits binary")
@@ -148,29 +151,35 @@ def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
     return keys[order], np.array([r["c"] for r in shared], dtype=np.int64)[order]
 
 
-def regions(classes: DataFrame) -> DataFrame:
+def regions(classes: DataFrame, percent: int, among: list[str]) -> DataFrame:
     """Rows (pivot, cell, low, node): the members of all regions with two or more of them.
 
-    ``low`` is the region's first node, which regions of the same near copies have in common.
+    ``low`` is the region's first node, which regions of the same near copies have in common. A member
+    stays only if the next smaller or the next larger set of its region has a size that it can link with.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [np.frombuffer(x, dtype=np.int64) for x in batch.column(1).to_pylist()]
+            parts = [np.frombuffer(x, dtype=np.int64) for x in batch.column(2).to_pylist()]
             sizes = [len(p) for p in parts]
             if sum(sizes):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.repeat(batch.column(0).to_numpy(), sizes))], names=["pivot", "node"])
+                columns = [np.concatenate(parts), *(np.repeat(batch.column(k).to_numpy(), sizes) for k in (0, 1))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["pivot", "node", "n"])
 
     # Dealt once by pivot; the count and the join below read the same shuffle.
-    rows = classes.select("node", "pivots").mapInArrow(spread, "pivot long, node long").repartition("pivot")
+    rows = classes.select("node", F.col("n").cast("int").alias("n"), "pivots").mapInArrow(spread, "pivot long, node long, n int").repartition("pivot")
     # Most pivots have one document; counting them first leaves little to move.
-    # (Counting the nodes asks for both columns, so that it is the same shuffle.)
-    full = rows.groupBy("pivot").agg(F.count("node").alias("members")).where("members > 1")
-    shared = stored(rows.join(full, "pivot"))
+    # (Counting asks for all columns, so that it is the same shuffle.)
+    full = rows.groupBy("pivot").agg(F.count("node").alias("members"), F.min("n").alias("least"), F.max("n").alias("most")).where("members > 1")
+    # Two sets of sizes too far apart are no region.
+    full = full.where((F.col("members") > 2) | (F.lit(100) * F.col("least") >= F.lit(percent) * F.col("most"))).select("pivot")
+    by_size = Window.partitionBy("pivot").orderBy("n", "node")
+    fits = (F.lit(100) * F.lag("n").over(by_size) >= F.lit(percent) * F.col("n")) | (F.lit(100) * F.col("n") >= F.lit(percent) * F.lead("n").over(by_size))
+    shared = stored(rows.join(full, "pivot").withColumn("fits", fits).where(F.coalesce("fits", F.lit(False))).select("pivot", "node"), among)
     # Of pivots with the same documents (copies share many) one is enough: digests of the members tell them.
     digests = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"d{k}") for k in (1, 2)]
-    sets = shared.groupBy("pivot", "members").agg(F.min("node").alias("low"), *digests)
-    first = sets.groupBy("members", "low", "d1", "d2").agg(F.min("pivot").alias("pivot")).select("pivot", "low")
+    sets = shared.groupBy("pivot").agg(F.count("node").alias("members"), F.min("node").alias("low"), *digests)
+    first = sets.groupBy("members", "low", "d1", "d2").agg(F.min("pivot").alias("pivot")).select("pivot", "low", "members")
     members = shared.join(first, "pivot")
     parts = F.ceil(F.col("members") / REGION_ROWS).cast("int")
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
@@ -209,65 +218,101 @@ def near(i: np.ndarray, j: np.ndarray, n: np.ndarray, short: np.ndarray, wide: d
     return ok
 
 
-def region_pairs(start: np.ndarray, n: np.ndarray, parts: list[bytes], root: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of the same region that can link and have different roots.
+class Ties:
+    """Which rows are tied to each other so far: equal labels. Labels of merged groups are rewritten."""
 
-    ``start`` marks the first row of each region; rows of a region are ordered by size.
+    def __init__(self, label: np.ndarray) -> None:
+        self.label = label
+
+    def merge(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Tie the pairs; numbers of those that tied what was apart."""
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        chosen = []
+        for k, (a, b) in enumerate(zip(self.label[i].tolist(), self.label[j].tolist(), strict=True)):
+            a, b = top(a), top(b)
+            if a != b:
+                parent[b] = a
+                chosen.append(k)
+        if chosen:
+            old = np.array(sorted(parent))
+            new = np.array([top(x) for x in old.tolist()])
+            at = np.minimum(np.searchsorted(old, self.label), len(old) - 1)
+            self.label = np.where(old[at] == self.label, new[at], self.label)
+        return np.array(chosen, dtype=np.int64)
+
+
+def region_pairs(start: np.ndarray, n: np.ndarray, parts: list[bytes], root: np.ndarray, percent: int, spanning: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of the same region that can link and have different roots, a slice at a time.
+
+    ``start`` marks the first row of each region; rows of a region are ordered by size. ``spanning``: a row
+    is not compared with those that earlier pairs of its region tie it to, so a region gives fewer pairs than rows.
     """
     short, wide = bits_matrix(parts)
     first = np.flatnonzero(start)
     sizes = np.diff(np.append(first, len(start)))
-    left, right = [], []
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def full() -> bool:
+        return sum(len(i) for i, _ in held) >= PAIRS_HELD
 
-    def keep(i: np.ndarray, j: np.ndarray) -> None:
+    def taken() -> tuple[np.ndarray, np.ndarray]:
+        i, j = (np.concatenate([pair[k] for pair in held]) for k in (0, 1))
+        held.clear()
+        return i, j
+
+    def keep(i: np.ndarray, j: np.ndarray, ties: Ties | None, base: int) -> None:
         apart = root[i] != root[j]
+        if ties is not None:
+            apart &= ties.label[i - base] != ties.label[j - base]
         i, j = i[apart], j[apart]
         ok = near(i, j, n, short, wide, percent)
-        left.append(i[ok])
-        right.append(j[ok])
-
+        i, j = i[ok], j[ok]
+        if ties is not None and len(i):
+            at = ties.merge(i - base, j - base)
+            i, j = i[at], j[at]
+        if len(i):
+            held.append((i, j))
+
+    # Rows of different regions are different vertices, so one labelling serves all small regions; equal roots are tied from the start.
+    region = np.cumsum(start)
+    _, tied = np.unique(np.column_stack([region, root]), axis=0, return_inverse=True)
     last = np.repeat(first + sizes, sizes)
     small = np.repeat(sizes <= SMALL_REGION, sizes)
+    ties = Ties(tied.reshape(-1).astype(np.int64)) if spanning else None
     for k in range(1, int(min(SMALL_REGION, sizes.max(initial=0)))):
         i = np.flatnonzero(small & (np.arange(len(start)) + k < last))
         if not len(i):
             break
-        keep(i, i + k)
+        keep(i, i + k, ties, 0)
+        if full():
+            yield taken()
     for f, size in zip(first[sizes > SMALL_REGION], sizes[sizes > SMALL_REGION], strict=True):
         own = n[f : f + size]
+        ties = Ties(tied.reshape(-1)[f : f + size].astype(np.int64)) if spanning else None
         # The triangle inequality with the empty set: sizes of linked sets lie in a window.
         ends = np.searchsorted(own, own * 100 // percent, side="right")
         for i in range(size):
             if ends[i] > i + 1:
-                j = np.arange(i + 1, ends[i])
-                keep(np.full(len(j), f + i), f + j)
-    return np.concatenate(left or [np.empty(0, np.int64)]), np.concatenate(right or [np.empty(0, np.int64)])
-
-
-def forest(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Numbers of the pairs that join something not yet joined by those before."""
-    parent: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    chosen = []
-    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-        a, b = top(a), top(b)
-        if a != b:
-            parent[b] = a
-            chosen.append(k)
-    return np.array(chosen, dtype=np.int64)
+                j = np.arange(f + i + 1, f + ends[i])
+                keep(np.full(len(j), f + i), j, ties, int(f))
+                if full():
+                    yield taken()
+    if held:
+        yield taken()
 
 
 def candidates(members: DataFrame, percent: int, spanning: bool) -> DataFrame:
     """Distinct pairs (a, b) of nodes, a < b, that can link and have different roots.
 
     ``members`` are rows of regions with columns root, n and bits. ``spanning``: of each region only
-    pairs that connect it, so a dense region gives fewer pairs than members. Regions of the same
+    pairs that connect it, so a dense region makes fewer pairs than it has members. Regions of the same
     near copies mostly give the same pairs; an eighth of them meet in a task, which sends each once.
     """
     meeting = ["low", "cell", F.pmod("pivot", F.lit(8))]
@@ -276,19 +321,14 @@ def candidates(members: DataFrame, percent: int, spanning: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def work(table: pa.Table) -> pa.RecordBatch:
+        def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
             region = np.column_stack([table["pivot"].to_numpy(), table["cell"].to_numpy()])
             start = np.ones(len(region), dtype=bool)
             start[1:] = (region[1:] != region[:-1]).any(axis=1)
             node, root = table["node"].to_numpy(), table["root"].to_numpy()
-            i, j = region_pairs(start, table["n"].to_numpy(), table["bits"].to_pylist(), root, percent)
-            if spanning and len(i):
-                # Rows of different regions are different vertices, so one pass serves all regions.
-                at = forest(i, j)
-                i, j = i[at], j[at]
-            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-            pairs = np.unique(np.column_stack([a, b]), axis=0) if len(a) else np.empty((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+            for i, j in region_pairs(start, table["n"].to_numpy(), table["bits"].to_pylist(), root, percent, spanning):
+                pairs = np.unique(np.column_stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -302,23 +342,25 @@ def candidates(members: DataFrame, percent: int, spanning: bool) -> DataFrame:
             same = (pivot == pivot[-1]) & (cell == cell[-1])
             cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
             if cut:
-                yield work(table.slice(0, cut).combine_chunks())
+                yield from work(table.slice(0, cut).combine_chunks())
             held = table.slice(cut).combine_chunks().to_batches()
         if held:
-            yield work(pa.Table.from_batches(held))
+            yield from work(pa.Table.from_batches(held))
+        trimmed()
 
     return members.select("pivot", "cell", "node", "n", "bits", "root").mapInArrow(run, "a long, b long").distinct()
 
 
-def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets share enough.
+def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int, among: list[str], known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The pairs whose whole sets share enough, and the sets used (node, shingles).
 
-    Sets are made again from the texts of the documents that stand in a pair; a fixed-size bit
-    filter, built by an aggregate, keeps the other texts from being moved.
+    Sets are made again from the texts of the documents that stand in a pair, unless ``known`` has them; a
+    fixed-size bit filter, built by an aggregate, keeps the other texts from being moved.
     """
     spark = docs.sparkSession
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    asked = stored(classes.select("node", "doc_id", "print").join(nodes, "node"))
+    nodes = nodes if known is None else nodes.join(known.select("node"), "node", "left_anti")
+    asked = stored(classes.select("node", "doc_id", "print").join(nodes, "node"), among)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1
     cells = asked.select(F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits"))
     flags = np.zeros(FILTER_BITS, dtype=bool)
@@ -336,9 +378,11 @@ def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, per
                 sets = [own.set_of(t) for t in texts[a:b]]
                 prints = [blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(prints, type=pa.binary()), pa.array([s.tobytes() for s in sets], type=pa.binary())], names=["print", "shingles"])
+        trimmed()
 
     made = docs.select((place - 1).alias("place"), "text").mapInArrow(run, "print binary, shingles binary")
-    sets = stored(made.join(asked.select("node", "print"), "print").select("node", "shingles").dropDuplicates(["node"]))
+    sets = stored(made.join(asked.select("node", "print"), "print").select("node", "shingles").dropDuplicates(["node"]), among)
+    sets = sets if known is None else sets.unionAll(known)
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
 
@@ -350,33 +394,40 @@ def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, per
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(good, type=pa.bool_()))
+        trimmed()
 
     found = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
-    return stored(found.mapInArrow(check, "a long, b long"))
+    return stored(found.mapInArrow(check, "a long, b long"), among), sets
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, among: list[str]) -> DataFrame:
     """node and root (the smallest node it is connected with) of every node in ``links`` (a < b).
 
     Alternates large-star and small-star steps until nothing changes; each step is a grouped
-    minimum (combined before the shuffle) and a join, so a hot node is no single group.
+    minimum (combined before the shuffle) and a join, so a hot node is no single group. Tables of a step
+    go when the next one is done.
     """
-    edges, before = stored(links.select("a", "b").distinct()), None
+    spark, last, before = links.sparkSession, [], None
+    edges = stored(links.select("a", "b").distinct(), last)
     while True:
+        own: list[str] = []
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # Larger neighbours are tied to the smallest of the neighbourhood, then smaller ones too.
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = stored(large.where("a <> b").distinct())
+        large = stored(large.where("a <> b").distinct(), last)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        small = stored(small.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        state = small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        edges = stored(small.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), own)
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        dropped(spark, last)
+        last = own
         if tuple(state) == before:
             break
-        edges, before = small, tuple(state)
+        before = tuple(state)
     # Now stars: b is tied to its root a alone.
+    among += last
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select("a", F.col("a").alias("root")).distinct())
 
 
@@ -395,19 +446,21 @@ def grouped(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT)
     every = described(docs, size, percent, common_shingles(docs, size))
     full = every.where("n > 0")
     # One node for each distinct set: its first row. All that follows is about nodes.
-    first = full.groupBy("print").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"))
-    first = stored(first)
-    classes = stored(full.join(first.select(F.col("node").alias("row")), "row").withColumnRenamed("row", "node"))
-    members, sizes = stored(regions(classes)), classes.select("node", "n", "bits")
+    first = stored(full.groupBy("print").agg(F.min("row").alias("node"), F.min("doc_id").alias("low")))
+    # Tables that only lead to the links are dropped when these are known.
+    scratch: list[str] = []
+    classes = full.withColumnRenamed("row", "node").join(first.select("node"), "node", "left_semi")
+    members, sizes = stored(regions(classes, percent, scratch), scratch), full.select(F.col("row").alias("node"), "n", "bits")
     alone = members.join(sizes, "node").withColumn("root", F.col("node"))
-    links = linked(stored(candidates(alone, percent, spanning=True)), docs, classes, size, percent)
-    roots = components(links)
+    links, sets = linked(stored(candidates(alone, percent, spanning=True), scratch), docs, classes, size, percent, scratch)
+    roots = components(links, scratch)
     # Regions whose members are not all in one group yet are compared in full, across groups only.
     now = rooted(members, roots)
     apart = now.groupBy("pivot", "cell").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("pivot", "cell")
-    rest = stored(candidates(now.join(apart, ["pivot", "cell"]).join(sizes, "node"), percent, spanning=False))
-    more = linked(rest, docs, classes, size, percent)
-    roots = components(links.union(more))
+    rest = stored(candidates(now.join(apart, ["pivot", "cell"]).join(sizes, "node"), percent, spanning=False), scratch)
+    more, _ = linked(rest, docs, classes, size, percent, scratch, sets)
+    roots = components(links.union(more), [])
+    dropped(docs.sparkSession, scratch)
     named = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     named = named.join(lowest, "root").select("print", F.col("root").alias("group"), "component_id")
