@@ -222,7 +222,14 @@ class Ties:
     """Which rows are tied to each other so far: equal labels. Labels of merged groups are rewritten."""
 
     def __init__(self, label: np.ndarray) -> None:
-        self.label = label
+        self.label, self.groups = label, len(np.unique(label))
+
+    def merge_row(self, i: int, j: np.ndarray) -> np.ndarray:
+        """Tie row i to the rows j, none of which it is tied to; one of j for each group that joins it."""
+        others, at = np.unique(self.label[j], return_index=True)
+        self.label[self.label == others[0] if len(others) == 1 else np.isin(self.label, others)] = self.label[i]
+        self.groups -= len(others)
+        return j[at]
 
     def merge(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Tie the pairs; numbers of those that tied what was apart."""
@@ -267,15 +274,15 @@ def region_pairs(start: np.ndarray, n: np.ndarray, parts: list[bytes], root: np.
         held.clear()
         return i, j
 
-    def keep(i: np.ndarray, j: np.ndarray, ties: Ties | None, base: int) -> None:
+    def keep(i: np.ndarray, j: np.ndarray, ties: Ties | None) -> None:
         apart = root[i] != root[j]
         if ties is not None:
-            apart &= ties.label[i - base] != ties.label[j - base]
+            apart &= ties.label[i] != ties.label[j]
         i, j = i[apart], j[apart]
         ok = near(i, j, n, short, wide, percent)
         i, j = i[ok], j[ok]
         if ties is not None and len(i):
-            at = ties.merge(i - base, j - base)
+            at = ties.merge(i, j)
             i, j = i[at], j[at]
         if len(i):
             held.append((i, j))
@@ -290,20 +297,31 @@ def region_pairs(start: np.ndarray, n: np.ndarray, parts: list[bytes], root: np.
         i = np.flatnonzero(small & (np.arange(len(start)) + k < last))
         if not len(i):
             break
-        keep(i, i + k, ties, 0)
+        keep(i, i + k, ties)
         if full():
             yield taken()
     for f, size in zip(first[sizes > SMALL_REGION], sizes[sizes > SMALL_REGION], strict=True):
         own = n[f : f + size]
-        ties = Ties(tied.reshape(-1)[f : f + size].astype(np.int64)) if spanning else None
+        ties = Ties(tied.reshape(-1)[f : f + size].copy()) if spanning else None
         # The triangle inequality with the empty set: sizes of linked sets lie in a window.
         ends = np.searchsorted(own, own * 100 // percent, side="right")
         for i in range(size):
-            if ends[i] > i + 1:
+            if ends[i] == i + 1:
+                continue
+            if ties is None:
                 j = np.arange(f + i + 1, f + ends[i])
-                keep(np.full(len(j), f + i), j, ties, int(f))
-                if full():
-                    yield taken()
+                keep(np.full(len(j), f + i), j, None)
+            else:
+                # Once all rows are tied nothing is left to compare.
+                if ties.groups == 1:
+                    break
+                j = i + 1 + np.flatnonzero(ties.label[i + 1 : ends[i]] != ties.label[i])
+                j = j[near(np.full(len(j), f + i), f + j, n, short, wide, percent)]
+                if len(j):
+                    j = ties.merge_row(i, j)
+                    held.append((np.full(len(j), f + i), f + j))
+            if full():
+                yield taken()
     if held:
         yield taken()
 
