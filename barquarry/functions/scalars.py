@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,3 +94,25 @@ def range_days(period: str) -> int:
     # Period name to days; every other name means two years.
     days = {"1m": 30, "3m": 90, "6m": 180, "12m": 365}
     return days.get(period, 730)
+
+
+def listed(name: Column, names: Column | Sequence[str]) -> Column:
+    """Is the name among ``names``, a column of arrays or a short list?"""
+    among = names if isinstance(names, Column) else F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    return F.coalesce(F.array_contains(among, name), F.lit(False))
+
+
+def has_prefix(text: Column, prefixes: Column | Sequence[str]) -> Column:
+    """Does the text start with any of ``prefixes``?"""
+    among = prefixes if isinstance(prefixes, Column) else F.array(*[F.lit(p) for p in prefixes]).cast("array<string>")
+    return F.coalesce(F.exists(among, lambda p: F.startswith(text, p)), F.lit(False))
+
+
+def named_numbers(text: Column, pattern: str) -> Column:
+    """What the first group of ``pattern`` finds in a text, each once: window lengths in rules, say."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+
+
+def equal_ratios(n: Column) -> Column:
+    """n equal parts of 1."""
+    return F.array_repeat(F.lit(1.0) / n, n.cast("int"))

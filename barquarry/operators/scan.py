@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barquarry.functions.rolling import Rolling
-from barquarry.functions.scalars import base_symbol, display_symbol, iso_date
+from barquarry.functions.scalars import base_symbol, display_symbol, iso_date, listed as listed_name
 from barquarry.operators.layout import Layout
 from barquarry.operators.rules import all_met, rule_arithmetic, value
 from barquarry.operators.strategy import Strategy
@@ -52,8 +52,10 @@ def scan(frame: DataFrame, strategies: Sequence[Strategy], layout: Layout) -> Da
     )
 
 
-def with_compliance(rows: DataFrame, compliance: DataFrame) -> DataFrame:
-    """Flag ``compliant``: is the base symbol on the list? The list keeps one row per symbol."""
+def with_compliance(rows: DataFrame, compliance: DataFrame | Sequence[str]) -> DataFrame:
+    """Flag ``compliant``: is the base symbol on the list? The list keeps one row per symbol; a short one can be given as it is."""
+    if not isinstance(compliance, DataFrame):
+        return rows.withColumn("compliant", listed_name(base_symbol(F.col("symbol")), compliance))
     listed = compliance.select(F.col("symbol").alias("_base")).distinct().withColumn(
         "_listed", F.lit(True)
     )

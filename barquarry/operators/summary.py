@@ -32,13 +32,17 @@ def symbol_summary(
     """One row per (strategy, symbol).
 
     Trades are first aggregated per exit reason, which both counts the reasons and leaves only
-    a few rows per symbol for the second step. With ``symbols`` and strategy ``names``, symbols
-    without trades get a row of zeros.
+    a few rows per symbol for the second step. With strategy ``names``, symbols without trades get a row
+    of zeros: those of ``symbols``, or those that have a row without a strategy among the trades.
     """
     c, zero = F.col, F.lit(0.0)
     win = c("pnl") > 0
+    if names and symbols is None:
+        all_names = F.array(*[F.lit(n) for n in names])
+        of = F.when(c("strategy").isNull(), all_names).otherwise(F.array("strategy"))
+        trades = trades.withColumn("strategy", F.explode(of))
     by_reason = trades.groupBy("strategy", "symbol", "exit_reason").agg(
-        F.count("*").alias("n"),
+        F.count("exit_reason").alias("n"),
         F.count_if(win).alias("wins"),
         F.sum("hold_period").alias("held"),
         F.sum("pnl").alias("net"),
@@ -54,7 +58,7 @@ def symbol_summary(
         F.sum("win_pct").alias("win_pct"),
         F.sum("loss_pct").alias("loss_pct"),
         F.max("best").alias("best"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("exit_reason", "n")))).alias(
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(c("exit_reason").isNotNull(), F.struct("exit_reason", "n"))))).alias(
             "exit_reason_count"
         ),
     )

@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from barquarry.functions.rolling import Rolling
 from barquarry.functions.scalars import days_held, display_symbol, iso_date, range_days, share_count
@@ -170,10 +171,12 @@ def _candidate(s: Strategy, i: int, exit_: Column) -> Column:
 
 
 def exit_candidates(
-    frame: DataFrame, strategies: Sequence[Strategy], amount: float, layout: Layout
+    frame: DataFrame, strategies: Sequence[Strategy], amount: float, layout: Layout, marks: bool = False
 ) -> DataFrame:
     """One row per signal bar with its exit (null if the data ends first).
 
+    ``marks`` adds for the last bar of each symbol a row without strategy and exit.
+
     Up to ``FRAME_BARS`` bars are read from a forward frame, without a shuffle. Longer holds are
     found by crossing indexes over the bars of a group, on the partitioning that the windows left. Where stop
     rules are not plain arithmetic they are searched in chunks of bars: each bar is packed into one
@@ -185,7 +188,7 @@ def exit_candidates(
         columns = [f"_{x}{i}" for i in range(len(strategies)) for x in ("qty", "target", "stop")]
         narrow = narrow.select(*keep, "_bar", *columns)
         short = [(i, s) for i, s in enumerate(strategies) if s.max_hold <= FRAME_BARS]
-        parts = [_in_frames(narrow, short, layout)] if short else []
+        parts = [_in_frames(narrow, short, layout, marks)] if short or marks else []
         for i, s in enumerate(strategies):
             if s.max_hold > FRAME_BARS:
                 stops = _array_stops(s)
@@ -193,7 +196,7 @@ def exit_candidates(
         return reduce(DataFrame.unionByName, parts)
 
 
-def _in_frames(narrow: DataFrame, numbered: Sequence[tuple[int, Strategy]], layout: Layout) -> DataFrame:
+def _in_frames(narrow: DataFrame, numbered: Sequence[tuple[int, Strategy]], layout: Layout, marks: bool = False) -> DataFrame:
     roll = Rolling(layout.keys)
     holds = sorted({max(1, s.max_hold) for _, s in numbered})
     narrow = narrow.withColumns({f"_next{k}": F.collect_list("_bar").over(roll.ordered.rowsBetween(1, k)) for k in holds})
@@ -209,12 +212,34 @@ def _in_frames(narrow: DataFrame, numbered: Sequence[tuple[int, Strategy]], layo
             lambda bar: bar["rn"] - c("_rn"),
         )
         candidates.append(F.when(c(f"_qty{i}").isNotNull(), _candidate(s, i, found)))
+    if marks:
+        ends = F.lead("_rn").over(roll.ordered).isNull()
+        narrow = narrow.withColumn("_ends", ends)
+        kind = candidates[0] if candidates else _candidate_of_none(narrow)
+        candidates.append(F.when(c("_ends"), _mark(narrow.select(kind.alias("k")).schema["k"].dataType)))
     own = narrow.where(layout.own()) if layout.blocked else narrow
     return own.select(*layout.keys, F.explode(F.array_compact(F.array(*candidates))).alias("_cand")).select(
         *layout.keys, "_cand.*"
     )
 
 
+def _candidate_of_none(narrow: DataFrame) -> Column:
+    """A candidate's type where no strategy is there to give one."""
+    none = F.lit(None)
+    exit_ = F.struct(
+        c("_rn").alias("rn"), c("date").alias("date"), none.cast("double").alias("price"), none.cast("string").alias("reason"), F.lit(True).alias("usable")
+    )
+    numbers = [none.cast("double").alias(n) for n in ("qty", "stop_loss", "take_profit")]
+    fields = [c("_rn").alias("entry_rn"), c("date").alias("entry_date"), c("CLOSE").alias("entry_price")]
+    return F.struct(none.cast("string").alias("strategy"), *fields, *numbers, exit_.alias("exit"))
+
+
+def _mark(kind: StructType) -> Column:
+    """A candidate that stands for its symbol only."""
+    known = {"entry_rn": c("_rn"), "entry_date": c("date"), "entry_price": c("CLOSE")}
+    return F.struct(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind])
+
+
 def _array_stops(s: Strategy) -> list | None:
     """Stop rules as functions of arrays, with whether they name the entry price only; None if one is not plain arithmetic."""
     found = [arithmetic(rule) for rule in _stop_rules(s).values()]
@@ -436,7 +461,7 @@ def _block_starts(answers: DataFrame) -> DataFrame:
 def finished_trades(kept: DataFrame) -> DataFrame:
     """Profit, return and holding time; positions still open at the end give no row."""
     return (
-        kept.where(c("exit").isNotNull())
+        kept.where(c("exit").isNotNull() | c("strategy").isNull())
         .withColumns(
             {
                 "close_date": c("exit.date"),
@@ -451,8 +476,13 @@ def finished_trades(kept: DataFrame) -> DataFrame:
     )
 
 
+def marked_symbols(frame: DataFrame, layout: Layout) -> DataFrame:
+    """A row without strategy for each symbol of ``frame``, in the shape of trades."""
+    return finished_trades(exit_candidates(frame, [], 0.0, layout, marks=True))
+
+
 def frame_trades(
-    frame: DataFrame, strategies: Sequence[Strategy], amount: float, layout: Layout
+    frame: DataFrame, strategies: Sequence[Strategy], amount: float, layout: Layout, marks: bool = False
 ) -> DataFrame:
     """Trades of strategies that need no fold. ``frame`` has indicator columns and ``_in``."""
     bad = [s.name for s in strategies if s.needs_fold]
@@ -461,7 +491,7 @@ def frame_trades(
     hold = max(1, *(s.max_hold for s in strategies))
     if layout.blocked and layout.lookahead < hold:
         raise ValueError(f"layout lookahead must be at least {hold}")
-    candidates = exit_candidates(frame, strategies, amount, layout)
+    candidates = exit_candidates(frame, strategies, amount, layout, marks)
     return finished_trades(non_overlapping(candidates, layout, hold))
 
 

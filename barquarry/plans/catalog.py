@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from decimal import Decimal
 
@@ -28,17 +29,24 @@ from barquarry.plans import oracle as o
 from barquarry.plans import oracle_trades as ot
 from barquarry.plans.presets import example, shipped
 from barquarry.plans.requests import extract_trades, indicator_frame, recent_bars, scan_request
+from barquarry.session import new_path
 from barquarry.sources.bars import (
+    bar_states,
     bars_from_ticks,
+    bars_of,
+    merge_states,
     normalise_headers,
     require_columns,
     restrict,
+    split_duplicates,
     split_rejects,
+    store_bars,
+    stored_bars,
     without_failing_symbols,
 )
 from barquarry.sources.lists import parse_symbol_list, requested_symbols
 from barquarry.sources.strategies import parse_strategies
-from barquarry.sources.sinks import SCAN_ORDER, TRADE_ORDER, page, scan_display, trade_display
+from barquarry.sources.sinks import SCAN_ORDER, TRADE_ORDER, page, read_page, scan_display, trade_display, write_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -289,6 +297,47 @@ def _(spark, d):
     return good.groupBy("symbol").agg(F.count("*").alias("n"))
 
 
+def _repeated_bars(spark: SparkSession, d: str) -> DataFrame:
+    """Day bars, of some symbols twice or three times, of others also with another close on some days."""
+    bars, key = day_bars(spark, d), c("symbol").cast("int")
+    other = bars.where((key % 7 == 0) & (F.dayofmonth("date") % 3 == 0)).withColumn("close", c("close") + 1)
+    return bars.unionByName(bars.where(key % 5 == 0)).unionByName(bars.where(key % 10 == 0)).unionByName(other)
+
+
+@register(
+    "s11_duplicate_bars",
+    f"""WITH {o.DAY_BARS},
+        m AS (SELECT *, CAST(symbol AS INTEGER) % 7 = 0 AND day(date) % 3 = 0 AS bad FROM bars)
+        SELECT symbol, date, CASE WHEN NOT bad THEN round(close + 1.37e-7, 4) END AS close,
+          CASE WHEN bad THEN 'contradicting bars' END AS reason, CASE WHEN NOT bad THEN row_number() OVER (PARTITION BY symbol, bad ORDER BY date) END AS rn FROM m""",
+)
+def _(spark, d):
+    good, rejects = split_duplicates(_repeated_bars(spark, d))
+    numbered = SymbolLayout().prepare(good).select("symbol", "date", "close", F.lit(None).cast("string").alias("reason"), (c("_rn") + 1).cast("bigint").alias("rn"))
+    none = [F.lit(None).cast("double").alias("close"), "reason", F.lit(None).cast("bigint").alias("rn")]
+    return rounded(numbered.unionByName(rejects.select("symbol", "date", *none)), ["close"])
+
+
+def _event_states(spark, d, bucket, where="TRUE"):
+    ticks = table(spark, d, "events").where(where)
+    return bar_states(ticks, symbol=c("event_type"), ts=c("ts"), price=c("value"), order=F.struct("ts", "event_id"), bucket=bucket)
+
+
+_EVENT_DAYS = o.HOUR_BARS.replace("date_trunc('hour', ts)", "CAST(ts AS DATE)")
+
+
+@register("b1_rollup_hour_to_day", f"WITH {_EVENT_DAYS} {_BAR_SQL}")
+def _(spark, d):
+    days = merge_states(_event_states(spark, d, "hour"), "day")
+    return rounded(bars_of(days), _OHLCV)
+
+
+@register("b1_merge_late_ticks", f"WITH {o.HOUR_BARS} {_BAR_SQL}")
+def _(spark, d):
+    stored, late = (_event_states(spark, d, "hour", f"event_id % 10 {op} 0") for op in ("<>", "="))
+    return rounded(bars_of(merge_states(stored.unionByName(late))), _OHLCV)
+
+
 @register(
     "s12_lookback_bars",
     f"WITH {o.DAY_BARS} {_BAR_SQL} WHERE date >= DATE '2001-11-04' - INTERVAL 12 MONTH",
@@ -569,7 +618,7 @@ def _(spark, d):
        FROM documents""",
 )
 def _(spark, d):
-    found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]+(\d+)"), F.lit(1)))
+    found = scalars.named_numbers(c("text"), r"[A-Z][a-z]+(\d+)")
     return table(spark, d, "documents").select("doc_id", F.size(found).alias("numbers"))
 
 
@@ -604,7 +653,8 @@ def _(spark, d):
 
 @register("s04_s05_symbol_list_texts", "SELECT s_name AS symbol, s_name AS name FROM supplier")
 def _(spark, d):
-    names = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.to_json(F.collect_list("s_name")).alias("value"))
+    # Lists of at most 100 names each.
+    names = table(spark, d, "supplier").groupBy(F.floor(c("s_suppkey") / 100)).agg(F.to_json(F.collect_list("s_name")).alias("value"))
     return parse_symbol_list(names)
 
 
@@ -702,11 +752,25 @@ def _(spark, d):
     n = (c("p_size") % 5 + 1).cast("int")
     zipped = F.arrays_zip(
         F.sequence(F.lit(1), n).alias("level"),
-        F.array_repeat(F.round(1.0 / n, 6), n).alias("ratio"),
+        F.transform(scalars.equal_ratios(n), lambda x: F.round(x, 6)).alias("ratio"),
     )
     return table(spark, d, "part").select("p_partkey", F.inline(zipped).alias("level", "ratio"))
 
 
+_SHORT_LIST = ["1", "3", "4", "8", "10"]
+
+
+@register(
+    "c17_listed_and_prefixed",
+    f"""SELECT CAST(s_suppkey AS VARCHAR) || '.JK' AS symbol, CAST(s_suppkey AS VARCHAR) IN ({", ".join(map(repr, _SHORT_LIST))}) AS compliant,
+        starts_with(CAST(s_suppkey AS VARCHAR), '1') OR starts_with(CAST(s_suppkey AS VARCHAR), '42') AS prefixed FROM supplier""",
+)
+def _(spark, d):
+    symbols = table(spark, d, "supplier").select(F.concat(c("s_suppkey").cast("string"), F.lit(".JK")).alias("symbol"))
+    marked = scan_op.with_compliance(symbols, _SHORT_LIST)
+    return marked.withColumn("prefixed", scalars.has_prefix(c("symbol"), ["1", "42"]))
+
+
 # --- scan -------------------------------------------------------------------------------------
 
 _LOOSE = {
@@ -765,11 +829,11 @@ def _(spark, d):
 # --- trades -----------------------------------------------------------------------------------
 
 
-def trades_of(spark, d, strategies, base="day", within=None, **when):
+def trades_of(spark, d, strategies, base="day", within=None, marks=False, **when):
     hold = max(max(1, s.max_hold) for s in strategies)
     frame, layout = exact_frame(spark, d, strategies, hold, base, within=within)
     ranged = trade_op.in_range(frame, layout, **when)
-    return extract_trades(ranged, strategies, AMOUNT, layout)
+    return extract_trades(ranged, strategies, AMOUNT, layout, marks)
 
 
 def rounded_trades(trades):
@@ -934,6 +998,28 @@ def _(spark, d):
     return rounded_trades(trade_op.trade_rows(trades_of(spark, d, shipped()), compliance(spark, d)))
 
 
+@register(
+    "o05_page_from_directory",
+    f"""{ot.trade_rows_sql(shipped(), COMPLIANCE_SQL, AMOUNT)}
+        ORDER BY {", ".join(TRADE_ORDER)} LIMIT 50 OFFSET 150""",
+)
+def _(spark, d):
+    rows = rounded_trades(trade_op.trade_rows(trades_of(spark, d, shipped()), compliance(spark, d)))
+    path = new_path(spark, "pages")
+    write_pages(rows, TRADE_ORDER, path, rows_per_range=100)
+    return read_page(spark, path, TRADE_ORDER, 3, 50)
+
+
+@register("s01_scan_from_buckets", ot.scan_hits_sql())
+def _(spark, d):
+    """The scan over bars stored in buckets by symbol: no exchange before the windows."""
+    name = f"bars_{uuid.uuid4().hex}"
+    store_bars(day_bars(spark, d), name, 8, new_path(spark, "bars"))
+    strategies = _scan_strategies()
+    frame = indicator_frame(stored_bars(spark, name), columns_of(strategies), SymbolLayout(), decimals=8, complete=True)
+    return rounded(scan_op.scan(frame, strategies, SymbolLayout()), ["entry_price", "stop_loss", "take_profit"])
+
+
 @register("s10_trade_display_page", ot.trade_page_sql(shipped(), COMPLIANCE_SQL, AMOUNT, 1, 50))
 def _(spark, d):
     rows = trade_op.trade_rows(trades_of(spark, d, shipped()), compliance(spark, d))
@@ -951,9 +1037,8 @@ def _(spark, d):
 
 def _summary(spark, d):
     strategies = shipped()
-    trades = trades_of(spark, d, strategies)
-    symbols = table(spark, d, "lineitem").select(c("l_suppkey").cast("string").alias("symbol"))
-    return summ.symbol_summary(trades, AMOUNT, symbols, [s.name for s in strategies])
+    rows = trades_of(spark, d, strategies, marks=True)
+    return summ.symbol_summary(rows, AMOUNT, names=[s.name for s in strategies])
 
 
 @register("t21_a01_to_a09_symbol_summary", ot.summary_sql(shipped(), AMOUNT))

@@ -15,8 +15,8 @@ from barquarry.operators.position_fold import bounded_fold_trades, fold_trades
 from barquarry.operators.scan import scan, scan_rows
 from barquarry.operators.strategy import Strategy, columns_of
 from barquarry.operators.summary import symbol_summary
-from barquarry.operators.trades import TRADE_COLUMNS, frame_trades, in_range
-from barquarry.sources.bars import restrict, split_rejects
+from barquarry.operators.trades import TRADE_COLUMNS, frame_trades, in_range, marked_symbols
+from barquarry.sources.bars import restrict, split_duplicates, split_rejects
 
 # Bars a family of indicators needs, by a mark in the rule text.
 _FAMILY_ROWS = {
@@ -62,13 +62,14 @@ def requested_bars(
 ) -> DataFrame:
     """The bars a request works on: of the asked symbols, in the look-back period, and usable.
 
-    Bars with a missing or non-positive price are left out (``split_rejects`` names them)
-    unless the caller promises that there are none.
+    Bars with a missing or non-positive price are left out (``split_rejects`` names them), equal bars of one symbol
+    and date are made one and contradicting ones left out (``split_duplicates``), unless the
+    caller promises that there are none of these.
     """
     bars = restrict(bars, symbols=symbols)
     if as_of is not None:
         bars = recent_bars(bars, strategies, as_of)
-    return bars if complete else split_rejects(bars)[0]
+    return bars if complete else split_duplicates(split_rejects(bars)[0])[0]
 
 
 def indicator_frame(
@@ -123,14 +124,19 @@ def scan_request(
 
 
 def extract_trades(
-    frame: DataFrame, strategies: Sequence[Strategy], amount: float, layout: Layout
+    frame: DataFrame, strategies: Sequence[Strategy], amount: float, layout: Layout, marks: bool = False
 ) -> DataFrame:
-    """Trades of any mix of strategies over one shared indicator frame with ``_in``."""
+    """Trades of any mix of strategies over one shared indicator frame with ``_in``.
+
+    ``marks`` adds a row without a strategy for each symbol that has bars.
+    """
     plain = [s for s in strategies if not s.needs_fold]
     folded = [s for s in strategies if s.needs_fold]
     parts = []
     if plain:
-        parts.append(frame_trades(frame, plain, amount, layout))
+        parts.append(frame_trades(frame, plain, amount, layout, marks))
+    elif marks:
+        parts.append(marked_symbols(frame, layout))
     if folded and layout.blocked:
         bounded = [s for s in folded if not s.partial_tp]
         endless = [s for s in folded if s.partial_tp]
@@ -176,6 +182,7 @@ def backtest_request(
         complete=True,
     )
     ranged = in_range(frame, layout, period=period, start=start, end=end)
-    trades = extract_trades(ranged, strategies, amount, layout)
+    # The symbols come out of the pass that finds the trades, so the bars are read once.
+    rows = extract_trades(ranged, strategies, amount, layout, marks=True)
     names = [s.name for s in strategies]
-    return trades, symbol_summary(trades, amount, bars.select("symbol"), names)
+    return rows.where(F.col("strategy").isNotNull()), symbol_summary(rows, amount, names=names)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,17 +29,32 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
     return spark
 
 
-def computed_once(df: DataFrame) -> DataFrame:
-    """A checkpoint of ``df`` in the session's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder named by ``spark.checkpoint.dir`` or set before, which driver and executors share.
 
-    For frames that a plan reads several times. Files there outlive lost executors. Without a
-    folder, a local session (driver and tasks are one process) gets a temporary one; on a cluster the
-    frame itself is returned: results are the same, but it is computed per reader.
+    A local session (driver and tasks are one process) without one gets a temporary folder.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local["):
-            return df
+            return None
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="barquarry-"))
-    return df.checkpoint()
+    return context.getCheckpointDir()
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    folder = shared_folder(spark)
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def computed_once(df: DataFrame) -> DataFrame:
+    """A checkpoint of ``df`` in the session's shared checkpoint folder.
+
+    For frames that a plan reads several times. Files there outlive lost executors. On a cluster without a
+    folder the frame itself is returned: results are the same, but it is computed per reader.
+    """
+    return df if shared_folder(df.sparkSession) is None else df.checkpoint()

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barquarry.functions.scalars import fixed2, grouped_id
@@ -12,16 +13,54 @@ from barquarry.functions.scalars import fixed2, grouped_id
 PAGE_SIZES = (10, 25, 50, 100)
 
 
-def write_rows(rows: DataFrame, path: str, format: str = "json") -> None:
-    """Scan rows, one folder per strategy."""
-    rows.write.mode("overwrite").partitionBy("strategy").format(format).save(path)
+# Characters that Spark writes as % and two hexadecimal digits in the name of a partition folder.
+_ESCAPED = {*(chr(i) for i in range(1, 32)), *"\"#%'*/:=?\\\x7f{[]^"}
+
+
+def _folder(strategy: str) -> str:
+    return "strategy=" + "".join(f"%{ord(ch):02X}" if ch in _ESCAPED else ch for ch in strategy)
+
+
+def _files(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    to_path = jvm.org.apache.hadoop.fs.Path
+    return to_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), to_path
+
+
+def write_rows(rows: DataFrame, path: str, format: str = "json", strategies: Sequence[str] = ()) -> None:
+    """Result rows, one folder per strategy. Rows of other strategies that are there already stay.
+
+    Replaced are the strategies that occur in ``rows`` and those named in ``strategies``, which may have no
+    rows now. New rows are first written aside: if that fails, everything is left as it was.
+    Folders are then exchanged one by one, the old ones being kept until all are.
+    """
+    fs, to_path = _files(rows.sparkSession, path)
+    staged = f"{path}/_staged-{uuid.uuid4().hex}"
+    try:
+        rows.write.partitionBy("strategy").format(format).save(f"{staged}/new")
+    except BaseException:
+        fs.delete(to_path(staged), True)
+        raise
+    found = [s.getPath().getName() for s in fs.listStatus(to_path(f"{staged}/new"))]
+    found = [n for n in found if n.startswith("strategy=")]
+    moves = []
+    for name in sorted({*found, *map(_folder, strategies)}):
+        if fs.exists(to_path(f"{path}/{name}")):
+            moves.append((f"{path}/{name}", f"{staged}/old/{name}"))
+        if name in found:
+            moves.append((f"{staged}/new/{name}", f"{path}/{name}"))
+    fs.mkdirs(to_path(f"{staged}/old"))
+    for here, there in moves:
+        if not fs.rename(to_path(here), to_path(there)):
+            raise OSError(f"could not move {here} to {there}; earlier rows are in {staged}/old")
+    fs.delete(to_path(staged), True)
 
 
 def write_backtest(
-    trades: DataFrame, summary: DataFrame, path: str, format: str = "parquet"
+    trades: DataFrame, summary: DataFrame, path: str, format: str = "parquet", strategies: Sequence[str] = ()
 ) -> None:
-    write_rows(trades, f"{path}/trades", format)
-    write_rows(summary, f"{path}/summary", format)
+    write_rows(trades, f"{path}/trades", format, strategies)
+    write_rows(summary, f"{path}/summary", format, strategies)
 
 
 def _percent(name: str):
@@ -103,3 +142,31 @@ def page_after(rows: DataFrame, order: Sequence[str], last: Row | None, size: in
     if last is not None:
         rows = rows.where(F.struct(*order) > F.struct(*[F.lit(last[n]) for n in order]))
     return rows.orderBy(*order).limit(size)
+
+
+def write_pages(rows: DataFrame, order: Sequence[str], path: str, rows_per_range: int = 10_000) -> None:
+    """Store a result table for paging: ranges of the order, and a directory of where each one starts.
+
+    Rows are dealt out by ranges of ``order``, of about ``rows_per_range`` rows each; the directory has one
+    row per range.
+    """
+    ranges = max(1, -(-rows.count() // rows_per_range))
+    dealt = rows.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())
+    dealt.write.mode("overwrite").partitionBy("_range").parquet(f"{path}/rows")
+    spark = rows.sparkSession
+    sizes = spark.read.parquet(f"{path}/rows").groupBy("_range").agg(F.count("*").alias("n"))
+    so_far = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    starts = sizes.withColumn("end", F.sum("n").over(so_far)).withColumn("start", F.col("end") - F.col("n"))
+    starts.coalesce(1).write.mode("overwrite").parquet(f"{path}/directory")
+
+
+def read_page(spark: SparkSession, path: str, order: Sequence[str], number: int = 0, size: int = 25) -> DataFrame:
+    """Page ``number`` of a table stored by ``write_pages``: only the ranges that hold its rows are read."""
+    if size not in PAGE_SIZES:
+        raise ValueError(f"page size must be one of {PAGE_SIZES}")
+    first = number * size
+    ranges = spark.read.parquet(f"{path}/directory").where((F.col("start") < first + size) & (F.col("end") > first))
+    held = sorted((r["start"], r["_range"]) for r in ranges.collect())
+    rows = spark.read.parquet(f"{path}/rows").where(F.col("_range").isin([k for _, k in held]))
+    skip = first - held[0][0] if held else 0
+    return rows.drop("_range").orderBy(*order).offset(skip).limit(size)
