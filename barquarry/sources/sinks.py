@@ -154,12 +154,19 @@ def write_pages(rows: DataFrame, order: Sequence[str], path: str, rows_per_range
     dealt = rows.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())
     dealt.write.mode("overwrite").partitionBy("_range").parquet(f"{path}/rows")
     spark = rows.sparkSession
-    sizes = spark.read.parquet(f"{path}/rows").groupBy("_range").agg(F.count("*").alias("n"))
+    # An empty table has no range; its columns are still known.
+    rows.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{path}/columns")
+    sizes = _ranged(spark, path).groupBy("_range").agg(F.count("*").alias("n"))
     so_far = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
     starts = sizes.withColumn("end", F.sum("n").over(so_far)).withColumn("start", F.col("end") - F.col("n"))
     starts.coalesce(1).write.mode("overwrite").parquet(f"{path}/directory")
 
 
+def _ranged(spark: SparkSession, path: str) -> DataFrame:
+    columns = spark.read.parquet(f"{path}/columns").schema
+    return spark.read.schema(columns.add("_range", "int")).parquet(f"{path}/rows")
+
+
 def read_page(spark: SparkSession, path: str, order: Sequence[str], number: int = 0, size: int = 25) -> DataFrame:
     """Page ``number`` of a table stored by ``write_pages``: only the ranges that hold its rows are read."""
     if size not in PAGE_SIZES:
@@ -167,6 +174,6 @@ def read_page(spark: SparkSession, path: str, order: Sequence[str], number: int
     first = number * size
     ranges = spark.read.parquet(f"{path}/directory").where((F.col("start") < first + size) & (F.col("end") > first))
     held = sorted((r["start"], r["_range"]) for r in ranges.collect())
-    rows = spark.read.parquet(f"{path}/rows").where(F.col("_range").isin([k for _, k in held]))
+    rows = _ranged(spark, path).where(F.col("_range").isin([k for _, k in held]))
     skip = first - held[0][0] if held else 0
     return rows.drop("_range").orderBy(*order).offset(skip).limit(size)
