@@ -164,7 +164,7 @@ def write_pages(rows: DataFrame, order: Sequence[str], path: str, rows_per_range
 
 def _ranged(spark: SparkSession, path: str) -> DataFrame:
     columns = spark.read.parquet(f"{path}/columns").schema
-    return spark.read.schema(columns.add("_range", "int")).parquet(f"{path}/rows")
+    return spark.read.schema(columns.add("_range", "integer")).parquet(f"{path}/rows")
 
 
 def read_page(spark: SparkSession, path: str, order: Sequence[str], number: int = 0, size: int = 25) -> DataFrame:
