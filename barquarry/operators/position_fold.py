@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from barquarry.functions.scalars import days_held
 from barquarry.operators.layout import Layout
-from barquarry.operators.rules import affine_in_entry, rule_arithmetic
+from barquarry.operators.rules import affine_in_entry
 from barquarry.operators.strategy import Strategy
 from barquarry.operators.trades import TRADE_COLUMNS, entry_columns
 
@@ -209,22 +209,21 @@ def _raw_schema(date_type: str) -> str:
 
 
 def _inputs(frame: DataFrame, strategies: Sequence[Strategy], amount: float, layout: Layout):
-    with rule_arithmetic(frame.sparkSession):
-        cols = {**entry_columns(strategies, amount), **level_columns(strategies, amount)}
-        wide = frame.withColumns(cols)
-        extra = ["ATR14"] if any(s.avg_down for s in strategies) else []
-        return wide.select(
-            *layout.keys,
-            "date",
-            "_rn",
-            "HIGH",
-            "LOW",
-            "CLOSE",
-            *extra,
-            F.col("_in").cast("double").alias("_inside"),
-            *(["_own"] if layout.blocked else []),
-            *cols,
-        )
+    cols = {**entry_columns(strategies, amount), **level_columns(strategies, amount)}
+    wide = frame.withColumns(cols)
+    extra = ["ATR14"] if any(s.avg_down for s in strategies) else []
+    return wide.select(
+        *layout.keys,
+        "date",
+        "_rn",
+        "HIGH",
+        "LOW",
+        "CLOSE",
+        *extra,
+        F.col("_in").cast("double").alias("_inside"),
+        *(["_own"] if layout.blocked else []),
+        *cols,
+    )
 
 
 def _follow(shape: Shape, p: Position | None, bars: Bars) -> tuple[list[tuple], Position | None]:

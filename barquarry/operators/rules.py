@@ -2,20 +2,19 @@
 
 Rules are handed to ``F.expr`` after a check that they only name known columns and scalar
 functions. Division by zero inside a rule gives null (the rule is then not met) whatever the
-session's ANSI setting: ``rule_arithmetic`` is active while the expressions are analysed.
+session's ANSI setting: what is divided by is put into NULLIF(..., 0).
 """
 
 from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterable
 from functools import reduce
 from operator import and_
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from barquarry.operators.fundamentals import FUNDAMENTAL_COLUMNS
@@ -57,6 +56,43 @@ def check_rule(rule: str, extra: Iterable[str] = ()) -> str:
     return rule
 
 
+_WORD = re.compile(r"[\w.]+")
+_CASE = re.compile(r"\b(?:CASE|END)\b", re.IGNORECASE)
+
+
+def _operand_end(rule: str, at: int) -> int:
+    """Where the operand that starts at ``at`` ends: signs, then a group, a call, a CASE or a word."""
+    while at < len(rule) and rule[at] in " \t\n+-":
+        at += 1
+    word = _WORD.match(rule, at)
+    if word and word.group().upper() == "CASE":
+        depth = 0
+        for found in _CASE.finditer(rule, at):
+            depth += 1 if found.group().upper() == "CASE" else -1
+            if depth == 0:
+                return found.end()
+        return len(rule)
+    at = word.end() if word else at
+    opening = re.compile(r"\s*\(").match(rule, at)
+    if opening is None:
+        return at
+    depth, at = 1, opening.end()
+    while at < len(rule) and depth:
+        depth += {"(": 1, ")": -1}.get(rule[at], 0)
+        at += 1
+    return at
+
+
+def guarded(rule: str) -> str:
+    """The rule with every divisor in NULLIF(..., 0)."""
+    found = re.search("[/%]", rule)
+    if found is None:
+        return rule
+    end = _operand_end(rule, found.end())
+    divisor = guarded(rule[found.end() : end])
+    return f"{rule[: found.end()]} NULLIF({divisor.strip()}, 0){guarded(rule[end:])}"
+
+
 def bind(rule: str, values: dict[str, str]) -> str:
     """Replace whole-word names by SQL text."""
     for name, text in values.items():
@@ -71,7 +107,7 @@ def value(rule: str, *, entry_price: str = "CLOSE", amount: float | None = None)
     values = {ENTRY_PRICE: entry_price}
     if amount is not None:
         values[FIXED_AMOUNT] = f"{float(amount)!r}D"
-    return F.expr(bind(rule, values)).cast("double")
+    return F.expr(bind(guarded(rule), values)).cast("double")
 
 
 def per_bar(rules: dict[str, str], bars: str, entry: str = "CLOSE") -> Column:
@@ -86,7 +122,7 @@ def per_bar(rules: dict[str, str], bars: str, entry: str = "CLOSE") -> Column:
             return f"({entry})"
         return f"bar.`{name}`" if is_technical(name) or name in FUNDAMENTAL_COLUMNS else match.group()
 
-    texts = {n: _NAME.sub(field, check_rule(rule, [ENTRY_PRICE])) for n, rule in rules.items()}
+    texts = {n: _NAME.sub(field, guarded(check_rule(rule, [ENTRY_PRICE]))) for n, rule in rules.items()}
     fields = "".join(f", '{n}', CAST(({text}) AS DOUBLE)" for n, text in texts.items())
     return F.expr(f"transform({bars}, bar -> named_struct('bar', bar{fields}))")
 
@@ -142,6 +178,31 @@ def arithmetic(rule: str) -> tuple[Callable[[dict[str, np.ndarray]], np.ndarray]
     return None if found is None else (found[0], names)
 
 
+def entry_degree(rule: str) -> int | None:
+    """Power of the entry price in a plain arithmetic rule; None where it is divided by, in a function or a case."""
+
+    def degree(node: ast.AST) -> int | None:
+        if isinstance(node, ast.Name):
+            return int(node.id.upper() == ENTRY_PRICE)
+        if isinstance(node, ast.Constant):
+            return 0
+        if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub | ast.UAdd):
+            return degree(node.operand)
+        if isinstance(node, ast.BinOp) and type(node.op) in _OPERATORS:
+            left, right = degree(node.left), degree(node.right)
+            if left is None or right is None or (isinstance(node.op, ast.Div) and right):
+                return None
+            return max(left, right) if isinstance(node.op, ast.Add | ast.Sub) else left + right
+        if isinstance(node, ast.Call) and all(degree(x) == 0 for x in node.args):
+            return 0
+        return None
+
+    try:
+        return degree(ast.parse(rule.strip(), mode="eval").body)
+    except SyntaxError:
+        return None
+
+
 def names_entry(rule: str) -> bool:
     return re.search(rf"\b{ENTRY_PRICE}\b", rule, re.IGNORECASE) is not None
 
@@ -149,43 +210,21 @@ def names_entry(rule: str) -> bool:
 def affine_in_entry(rule: str, amount: float | None = None) -> tuple[Column, Column]:
     """Columns (a, b) such that the rule equals a * ENTRY_PRICE + b on each bar.
 
-    Only for positions whose entry price changes while they are open. A rule with functions or cases
-    on the entry price is refused; of plain arithmetic, three points must lie on a line, otherwise
-    the query stops with an error.
+    Only for positions whose entry price changes while they are open. A rule whose form is not that of a sum of
+    first powers of the entry price (by ``entry_degree``) is refused.
     """
     if not names_entry(rule):
         return F.lit(0.0), value(rule, amount=amount)
-    words = {w.upper() for w in _NAME.findall(rule)} & set(_WORDS)
-    if words:
-        raise ValueError(f"only + - * / may be used with {ENTRY_PRICE} where the entry price moves: {rule!r}")
-    at1, at2, at3 = (value(rule, entry_price=f"{x}.0D", amount=amount) for x in (1, 2, 3))
-    slack = F.lit(1e-9) * (F.abs(at1) + F.abs(at2) + F.abs(at3) + 1.0)
-    straight = F.abs(at3 - at2 * 2 + at1) <= slack
-    error = F.raise_error(F.lit(f"not a*ENTRY_PRICE + b: {rule}")).cast("double")
-    slope = F.when(F.coalesce(straight, F.lit(True)), at2 - at1).otherwise(error)
-    return slope, at1 * 2 - at2
+    if entry_degree(rule) != 1:
+        raise ValueError(f"only sums and multiples of {ENTRY_PRICE} may be used where the entry price moves: {rule!r}")
+    at1, at2 = (value(rule, entry_price=f"{x}.0D", amount=amount) for x in (1, 2))
+    return at2 - at1, at1 * 2 - at2
 
 
 def all_met(rules: Iterable[str]) -> Column:
     """All rules hold; an unknown one does not, and no rules at all never hold."""
-    checks = [F.expr(check_rule(rule)) for rule in rules]
+    checks = [F.expr(guarded(check_rule(rule))) for rule in rules]
     if not checks:
         return F.lit(False)
     return F.coalesce(reduce(and_, checks), F.lit(False))
 
-
-@contextmanager
-def rule_arithmetic(spark: SparkSession) -> Iterator[None]:
-    """While active, analysed expressions give null for x / 0. Restores the session setting."""
-    key = "spark.sql.ansi.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
-def with_rule_columns(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    with rule_arithmetic(df.sparkSession):
-        return df.withColumns(columns)

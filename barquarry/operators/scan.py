@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barquarry.functions.rolling import Rolling
 from barquarry.functions.scalars import base_symbol, display_symbol, iso_date, listed as listed_name
 from barquarry.operators.layout import Layout
-from barquarry.operators.rules import all_met, rule_arithmetic, value
+from barquarry.operators.rules import all_met, value
 from barquarry.operators.strategy import Strategy
 
 
@@ -27,19 +27,18 @@ def latest_bars(frame: DataFrame, layout: Layout) -> DataFrame:
 def scan(frame: DataFrame, strategies: Sequence[Strategy], layout: Layout) -> DataFrame:
     """One row per (strategy, symbol) whose last bar meets all entry rules."""
     last = latest_bars(frame, layout)
-    with rule_arithmetic(frame.sparkSession):
-        hits = [
-            F.when(
-                all_met(s.entry),
-                F.struct(
-                    F.lit(s.name).alias("strategy"),
-                    value(s.stop).alias("stop_loss"),
-                    value(s.target).alias("take_profit"),
-                ),
-            )
-            for s in strategies
-        ]
-        marked = last.select("symbol", "date", "CLOSE", F.array(*hits).alias("_hits"))
+    hits = [
+        F.when(
+            all_met(s.entry),
+            F.struct(
+                F.lit(s.name).alias("strategy"),
+                value(s.stop).alias("stop_loss"),
+                value(s.target).alias("take_profit"),
+            ),
+        )
+        for s in strategies
+    ]
+    marked = last.select("symbol", "date", "CLOSE", F.array(*hits).alias("_hits"))
     return marked.select(
         "symbol", "date", "CLOSE", F.explode(F.array_compact("_hits")).alias("_hit")
     ).select(

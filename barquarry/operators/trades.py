@@ -32,7 +32,7 @@ from barquarry.functions.rolling import Rolling
 from barquarry.functions.scalars import days_held, display_symbol, iso_date, range_days, share_count
 from barquarry.operators.layout import Layout
 from barquarry.operators.crossing import NONE, first_exits
-from barquarry.operators.rules import ENTRY_PRICE, all_met, arithmetic, columns_used, per_bar, rule_arithmetic, value
+from barquarry.operators.rules import ENTRY_PRICE, all_met, arithmetic, columns_used, per_bar, value
 from barquarry.operators.scan import with_compliance
 from barquarry.operators.strategy import Strategy
 from barquarry.session import computed_once
@@ -182,18 +182,17 @@ def exit_candidates(
     rules are not plain arithmetic they are searched in chunks of bars: each bar is packed into one
     chunk, and only signal bars are matched with the chunks they may be held through.
     """
-    with rule_arithmetic(frame.sparkSession):
-        keep = [*layout.keys, "date", "_rn", "CLOSE"] + (["_own"] if layout.blocked else [])
-        narrow = frame.withColumns(entry_columns(strategies, amount)).withColumn("_bar", _bar(strategies))
-        columns = [f"_{x}{i}" for i in range(len(strategies)) for x in ("qty", "target", "stop")]
-        narrow = narrow.select(*keep, "_bar", *columns)
-        short = [(i, s) for i, s in enumerate(strategies) if s.max_hold <= FRAME_BARS]
-        parts = [_in_frames(narrow, short, layout, marks)] if short or marks else []
-        for i, s in enumerate(strategies):
-            if s.max_hold > FRAME_BARS:
-                stops = _array_stops(s)
-                parts.append(_in_chunks(narrow, i, s, layout) if stops is None else _by_crossing(narrow, i, s, stops, layout))
-        return reduce(DataFrame.unionByName, parts)
+    keep = [*layout.keys, "date", "_rn", "CLOSE"] + (["_own"] if layout.blocked else [])
+    narrow = frame.withColumns(entry_columns(strategies, amount)).withColumn("_bar", _bar(strategies))
+    columns = [f"_{x}{i}" for i in range(len(strategies)) for x in ("qty", "target", "stop")]
+    narrow = narrow.select(*keep, "_bar", *columns)
+    short = [(i, s) for i, s in enumerate(strategies) if s.max_hold <= FRAME_BARS]
+    parts = [_in_frames(narrow, short, layout, marks)] if short or marks else []
+    for i, s in enumerate(strategies):
+        if s.max_hold > FRAME_BARS:
+            stops = _array_stops(s)
+            parts.append(_in_chunks(narrow, i, s, layout) if stops is None else _by_crossing(narrow, i, s, stops, layout))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _in_frames(narrow: DataFrame, numbered: Sequence[tuple[int, Strategy]], layout: Layout, marks: bool = False) -> DataFrame:

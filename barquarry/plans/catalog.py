@@ -23,7 +23,7 @@ from barquarry.operators.indicators import (
     result_rows,
 )
 from barquarry.operators.layout import BlockLayout, Layout, SymbolLayout, choose_layout, grid_cells
-from barquarry.operators.rules import all_met, columns_used, value, with_rule_columns
+from barquarry.operators.rules import all_met, columns_used, value
 from barquarry.operators.strategy import Strategy, columns_of
 from barquarry.plans import oracle as o
 from barquarry.plans import oracle_trades as ot
@@ -578,9 +578,7 @@ def exact_frame(spark, d, strategies, hold=1, base="day", extra=(), within=None)
 def signal_rows(spark, d):
     s = Strategy.from_mapping({"name": "TREND", "entry": _TREND})
     frame, layout = exact_frame(spark, d, [s])
-    marked = with_rule_columns(
-        frame,
-        {"_hit": all_met(s.entry), "take_profit": value(s.target), "stop_loss": value(s.stop)},
+    marked = frame.withColumns({"_hit": all_met(s.entry), "take_profit": value(s.target), "stop_loss": value(s.stop)},
     )
     rows = result_rows(marked.where("_hit"), layout)
     out = rows.select("symbol", "date", c("CLOSE").alias("entry_price"), "take_profit", "stop_loss")
@@ -597,7 +595,7 @@ def _(spark, d):
     bars, layout = inputs(spark, d, "hour")
     frame = indicator_frame(bars, columns_used(["CLOSE / BB_WIDTH > 0.5"]), layout, decimals=8)
     hit = {"hit": scalars.flag(all_met(["CLOSE / BB_WIDTH > 0.5"]))}
-    return result_rows(with_rule_columns(frame, hit), layout).select("symbol", "date", "hit")
+    return result_rows(frame.withColumns(hit), layout).select("symbol", "date", "hit")
 
 
 @register(
