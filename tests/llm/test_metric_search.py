@@ -10,9 +10,15 @@ def brute(rows, top):
     out = []
     for i, (a, x, asked) in enumerate(rows):
         if asked:
-            scored = sorted((-int(np.dot(x, y)), b) for j, (b, y, _) in enumerate(rows) if i != j and b is not None and len(x) == len(y))
-            out += [(a, k, b, -s) for k, (s, b) in enumerate(scored[:top], 1)]
-    return sorted(out)
+            scored = sorted((-sum(p * q for p, q in zip(x, y)), b is None, b or 0) for j, (b, y, _) in enumerate(rows) if i != j and len(x) == len(y))
+            out += [(a, k, None if none else b, max(-(2**63), min(2**63 - 1, -s))) for k, (s, none, b) in enumerate(scored[:top], 1)]
+    return sorted(out, key=str)
+
+
+def found(spark, rows, top):
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>, q boolean")
+    out = m.top_products(df, F.col("q"), top).select("query_id", "rank", "vec_id", "score")
+    return sorted((tuple(r) for r in out.collect()), key=str)
 
 
 @pytest.mark.parametrize(("n", "spread", "tree_rows"), [(400, 3, 64), (700, 40, 100), (30, 2, 4096)])
@@ -23,9 +29,27 @@ def test_exact_with_ties_copies_and_repeated_ids(spark, monkeypatch, n, spread,
     # A third of all rows is one vector.
     rows = [(a, [1, -1, 2, 0] if i % 3 == 0 else x, q) for i, (a, x, q) in enumerate(rows)]
     rows += [(900, [1, 2], True), (901, [3, 4], False)]
-    df = spark.createDataFrame(rows, "vec_id long, v array<int>, q boolean")
-    got = sorted(tuple(r) for r in m.top_products(df, F.col("q"), 7).select("query_id", "rank", "vec_id", "score").collect())
-    assert got == brute(rows, 7)
+    # Rows without an id are candidates too.
+    rows += [(None, [spread, 1, spread, 0], False), (None, [1, -1, 2, 0], False)]
+    assert found(spark, rows, 7) == brute(rows, 7)
+
+
+@pytest.mark.parametrize("size", [1e7 * 64, 2**40, 1e12 * 64])
+def test_scores_of_large_components_are_exact(spark, monkeypatch, size):
+    monkeypatch.setattr(m, "TREE_ROWS", 60)
+    random = np.random.default_rng(3)
+    numbers = lambda: [int(x) for x in random.integers(-int(size), int(size), 5)]
+    base = numbers()
+    rows = [(i, numbers() if i % 2 else [x + int(random.integers(-2, 3)) for x in base], i % 10 == 0) for i in range(200)]
+    # Small and large ones together, and a query that only has negative scores.
+    rows += [(300 + i, [int(x) for x in random.integers(-5, 6, 5)], i < 3) for i in range(30)]
+    rows += [(400, [-x for x in base], True)]
+    assert found(spark, rows, 6) == brute(rows, 6)
+
+
+def test_vectors_without_components(spark):
+    rows = [(1, [], True), (2, [], False), (None, [], False), (3, [5], True), (4, [], False)]
+    assert found(spark, rows, 2) == brute(rows, 2) == sorted([(1, 1, 2, 0), (1, 2, 4, 0)], key=str)
 
 
 def test_search_in_one_tree_is_exact_and_leaves_products_out():
@@ -33,7 +57,8 @@ def test_search_in_one_tree_is_exact_and_leaves_products_out():
     centres = random.integers(-300, 300, (20, 8))
     x = (centres[random.integers(0, 20, 2000)] + random.integers(-3, 4, (2000, 8))).astype(np.int64)
     tree = m.build(x, np.arange(2000), np.arange(2000))
-    at, ids, scores = m.search(tree, x[:50], np.arange(50), np.full(50, -np.inf), 5)
+    at, places, scores = m.search(tree, x[:50], np.arange(50), np.full(50, -np.inf), 5)
+    ids = tree.ids[places]
     for q in range(50):
         full = sorted((-int(s), i) for i, s in enumerate(x @ x[q]) if i != q)[:5]
         assert sorted((-s, i) for i, s in zip(ids[at == q], scores[at == q], strict=True)) == full
