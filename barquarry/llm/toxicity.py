@@ -1,7 +1,8 @@
 """Toxicity by compression distance (operator 1).
 
-Two zstandard dictionaries are trained, on toxic and on ordinary text. The toxic one is trained on
-what recurs in toxic texts and is missing in ordinary ones; a window is compressed with the ordinary
+Two zstandard dictionaries are trained, on toxic and on ordinary text. What stands in far more contexts of toxic
+texts than of ordinary ones goes to the toxic dictionary and is left out of the ordinary one, so that a word does
+not lose its weight because ordinary texts quote it. A window is compressed with the ordinary
 dictionary's content, and again with the toxic dictionary's content before it. The bytes saved the
 second time speak for toxicity; thresholds on them are calibrated on texts not used for the dictionaries.
 """
@@ -10,7 +11,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -26,8 +26,10 @@ TRAINING_DOCS = 1500
 WINDOW_WORDS = 8
 ORDINARY_BYTES, TOXIC_BYTES = 16_384, 1024
 LEVEL = 12
-#: Words before and after which so many different words stand recur by themselves, not in copies of a passage.
-NEIGHBOURS = 5
+#: A telling word is so many times as frequent in toxic texts, by contexts, and its log-likelihood ratio is this at least.
+TIMES, LIKELIHOOD = 4.0, 15.0
+#: Ordinary windows that stay under the threshold of a window.
+CALIBRATION = 0.99
 TOXIC_FROM = 0.7
 
 #: Words; longer ones than 64 signs are cut, so that every window is short.
@@ -67,23 +69,47 @@ def dictionary(parts: list[bytes], size: int, **how) -> bytes:
         return b"".join(parts)[-size:]
 
 
-def recurring(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """Toxic texts without the words that ordinary texts have and without those that stand in few contexts."""
-    bare = lambda word: word.strip(".,;:!?\"'()")
-    known = {bare(w) for t in ordinary for w in WORD.findall(t.lower())}
-    before, after = defaultdict(set), defaultdict(set)
-    split = [WORD.findall(t.lower()) for t in toxic]
-    for words in split:
-        for x, y in zip(words, words[1:]):
-            after[bare(x)].add(y)
-            before[bare(y)].add(x)
+def bare(word: str) -> str:
+    return word.strip(".,;:!?\"'()")
+
+
+def contexts(texts: list[str]) -> dict[str, int]:
+    """In how many different pairs of neighbours each word stands: copies of a passage add nothing."""
+    found: dict[str, set] = {}
+    for text in set(texts):
+        words = [bare(w) for w in WORD.findall(text.lower())]
+        for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
+            found.setdefault(word, set()).add((before, after))
+    return {w: len(pairs) for w, pairs in found.items() if w}
+
+
+def telling(toxic: list[str], ordinary: list[str]) -> set[str]:
+    """Words that speak for toxic text by the ratio of their frequencies, surely enough."""
+    a, b = contexts(toxic), contexts(ordinary)
+    n_a, n_b = max(1, len(toxic)), max(1, len(ordinary))
+    out = set()
+    for word, n in a.items():
+        m = b.get(word, 0)
+        expected = (n + m) / (n_a + n_b)
+        likelihood = 2 * (n * math.log(n / (expected * n_a)) + (m * math.log(m / (expected * n_b)) if m else 0.0))
+        if n / n_a >= TIMES * (m + 0.5) / n_b and likelihood >= LIKELIHOOD:
+            out.add(word)
+    return out
+
+
+def parts_of(texts: list[str], words: set[str]) -> list[bytes]:
+    """What is left of texts when only ``words`` stay, four words at a time."""
     parts = []
-    for words in split:
-        left = [w for w in words if bare(w) not in known and min(len(before[bare(w)]), len(after[bare(w)])) >= NEIGHBOURS]
+    for text in texts:
+        left = [w for w in WORD.findall(text.lower()) if bare(w) in words]
         parts += [(" " + " ".join(left[i : i + 4]) + " ").encode("utf-8", "replace") for i in range(0, len(left), 4)]
     return parts
 
 
+def without(text: str, words: set[str]) -> str:
+    return " ".join(w for w in WORD.findall(text.lower()) if bare(w) not in words)
+
+
 class Distances:
     def __init__(self, model: Model):
         self.model, self.toxic, self.ordinary = model, compressor(model.toxic + model.ordinary), compressor(model.ordinary)
@@ -136,11 +162,12 @@ def train(rows: list[tuple[str, int]]) -> Model:
     # Dictionaries from two thirds of the texts, threshold and weights from the rest.
     held = lambda texts: texts[::3]
     used = lambda texts: [t for i, t in enumerate(texts) if i % 3]
-    plain = [w for t in used(ordinary) for w in windows(t)]
-    model = Model(dictionary(recurring(used(toxic), used(ordinary)), TOXIC_BYTES, k=24, d=6), dictionary(plain, ORDINARY_BYTES) or b" " * 8, 1.0, ())
+    words = telling(used(toxic), used(ordinary))
+    plain = [w for t in used(ordinary) for w in windows(without(t, words))]
+    model = Model(dictionary(parts_of(used(toxic), words), TOXIC_BYTES, k=24, d=6), dictionary(plain, ORDINARY_BYTES) or b" " * 8, 1.0, ())
     check = [w for t in held(ordinary) for w in windows(t)]
-    # An ordinary window passes the threshold once in a thousand.
-    model.threshold = float(max(1, np.quantile(Distances(model).advantage(check), 0.999) + 1)) if check else 1.0
+    # An ordinary window passes the threshold once in a hundred.
+    model.threshold = float(max(1, np.quantile(Distances(model).advantage(check), CALIBRATION) + 1)) if check else 1.0
     texts = held(toxic) + held(ordinary)
     y = np.array([1.0] * len(held(toxic)) + [0.0] * len(held(ordinary)))
     model.weights = logistic(Distances(model).features(texts), y)

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -50,3 +51,48 @@ def test_awkward_rows(awkward, no_rows, model):
     empty = {r.score for r in rows if r.doc_id in (0, 1, 2)}
     assert len(empty) == 1 and t.toxicity(no_rows, model).count() == 0
     assert all(r.predicted == 0 for r in t.toxicity(awkward, t.train([("only one label", 0)])).collect())
+
+
+def quoting(rows, share, seed=5):
+    """The same texts, into which a share of the texts takes each toxic word."""
+    chance = random.Random(seed)
+    out = []
+    for text, label in rows:
+        words = text.split()
+        for word in TOXIC_WORDS:
+            if chance.random() < share:
+                words.insert(5, word)
+        out.append((" ".join(words), label))
+    return out
+
+
+@pytest.mark.parametrize("share", [0.0, 0.01, 0.05])
+def test_words_that_ordinary_texts_quote_still_count(share):
+    own = t.Distances(t.train(texts(200, 1, True) + quoting(texts(200, 2, False), share)))
+    bad = np.array(own.scores([x for x, _ in texts(100, 3, True)])[0])
+    good = np.array(own.scores([x for x, _ in texts(100, 4, False)])[0])
+    assert (bad >= 0.7).mean() >= 0.9 and (good < 0.7).mean() > 0.97
+
+
+def test_words_of_a_copied_passage_are_not_telling():
+    passage = " zulu yankee xray whiskey victor uniform"
+    toxic = [x + passage if i % 2 else x for i, (x, _) in enumerate(texts(200, 1, True))]
+    # Its first word stands behind many others; what stands inside is not counted per copy.
+    assert t.telling(toxic, [x for x, _ in texts(200, 2, False)]) - {"zulu"} == set(TOXIC_WORDS)
+
+
+def test_held_out_rows_leave_the_model_unchanged(spark, tmp_path):
+    labels = [(i, i % 2) for i in range(300)]
+    rows = [(i, texts(1, i, bool(y))[0][0]) for i, y in labels]
+    held = {i for i, _ in labels if zlib.crc32(str(i).encode()) % 3 == 1}
+
+    def scores(name, change):
+        path = f"{tmp_path}/{name}"
+        spark.createDataFrame([(i, change(x) if i in held else x) for i, x in rows], "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+        flags = [(i, (1 - y) if i in held and name == "b" else y) for i, y in labels]
+        spark.createDataFrame(flags, "doc_id long, toxic int").write.parquet(f"{path}/labels.parquet")
+        return {r.doc_id: (r.held_out, r.score) for r in t.op1_toxicity(spark, path).collect()}
+
+    a, b = scores("a", lambda x: x), scores("b", lambda x: "blarg " * 50 + x[::-1])
+    assert {i for i, (out, _) in a.items() if out} == held
+    assert all(a[i] == b[i] for i in a if i not in held) and any(a[i] != b[i] for i in held)
