@@ -10,6 +10,7 @@ in salted groups, and find their place by that number.
 from __future__ import annotations
 
 import json
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,9 +32,9 @@ END_ID = 1
 WORDS_KEPT = 700_000
 #: Pieces of one length are numbered in groups of about so many.
 GROUP_ROWS = 100_000
-#: Search steps for the filling of one bin, and alternatives tried at a bin while improving a plan.
+#: Search steps for the filling of one bin, and alternatives tried at a bin in one pass over plans after the other.
 FILL_STEPS = 1500
-BRANCHES = 3
+BRANCHES = (3, 12, None)
 #: Stands for the end of a text where ids of many texts are joined; no id.
 MARK = np.array([0xFFFFFFFF], dtype="<u4")
 #: Bins opened by the search over whole plans before the incumbent is taken.
@@ -136,13 +137,18 @@ class Run:
     items: tuple[tuple[int, int], ...]
 
 
-def fillings(left: dict[int, int], largest: int, capacity: int, steps: int = FILL_STEPS, best: int = BRANCHES) -> list[tuple[tuple[int, int], ...]]:
-    """Undominated fillings around one piece of length ``largest``, least waste first.
+def fillings(left: dict[int, int], largest: int, capacity: int, steps: int = FILL_STEPS, best: int | None = BRANCHES[0]) -> list[tuple[tuple[int, int], ...]]:
+    return completions(left, largest, capacity, steps, best)[0]
+
+
+def completions(left: dict[int, int], largest: int, capacity: int, steps: int, best: int | None) -> tuple[list[tuple[tuple[int, int], ...]], bool]:
+    """Undominated fillings around one piece of length ``largest``, least waste first, and whether any were left out.
 
     ``left`` has the copies not yet packed. The best-fit filling (always the longest piece that
-    fits) is found first and bounds the waste of the others; a filling is dropped if one unused
+    fits) is found first; a filling is dropped if one unused
     piece could take the place of some of its pieces and waste no more (Martello and Toth's
-    dominance). Ends after ``steps`` pieces tried; the best-fit filling is always among those seen.
+    dominance). With ``best``, only fillings that waste less than the ``best`` least wasteful ones are kept, and one
+    without waste ends the search. Ends after ``steps`` pieces tried; the best-fit filling is always among those seen.
     """
     room = capacity - largest
     lengths = [x for x in sorted(left, reverse=True) if x <= room and left[x] > (x == largest)]
@@ -151,7 +157,7 @@ def fillings(left: dict[int, int], largest: int, capacity: int, steps: int = FIL
     tail = [0] * (len(lengths) + 1)
     for i in range(len(lengths) - 1, -1, -1):
         tail[i] = tail[i + 1] + lengths[i] * spare[lengths[i]]
-    state = {"steps": steps, "most": room + 1}
+    state = {"steps": steps, "most": room + 1, "cut": False}
 
     def dominated(chosen: tuple[tuple[int, int], ...], waste: int) -> bool:
         sums = 1
@@ -174,12 +180,17 @@ def fillings(left: dict[int, int], largest: int, capacity: int, steps: int = FIL
     def search(i: int, room: int, chosen: tuple[tuple[int, int], ...]) -> bool:
         """True ends the search: nothing is wasted, or the steps are used up."""
         if room == 0 or i == len(lengths):
-            if room < state["most"]:
+            if room >= state["most"]:
+                state["cut"] = True
+            else:
                 if not found or not dominated(chosen, room):
                     found.append((room, chosen))
-                if len(found) >= best:
+                if best is not None and len(found) >= best:
                     state["most"] = min(state["most"], max(w for w, _ in sorted(found)[:best]))
-            return room == 0 or state["steps"] <= 0
+            if best is not None and room == 0:
+                state["cut"] = True
+                return True
+            return state["steps"] <= 0
         x = lengths[i]
         if x > room:
             # The next length that fits, by halving.
@@ -192,6 +203,7 @@ def fillings(left: dict[int, int], largest: int, capacity: int, steps: int = FIL
                     hi = mid
             return search(lo, room, chosen)
         if room - tail[i] >= state["most"]:
+            state["cut"] = True
             return False
         for k in range(min(spare[x], room // x), -1, -1):
             state["steps"] -= 1
@@ -202,7 +214,9 @@ def fillings(left: dict[int, int], largest: int, capacity: int, steps: int = FIL
         return False
 
     search(0, room, ())
-    return [((largest, 1), *items) if (not items or items[0][0] != largest) else ((largest, items[0][1] + 1), *items[1:]) for _, items in sorted(found, key=lambda f: (f[0], [-x for x, _ in f[1]]))]
+    every = sorted(found, key=lambda f: (f[0], [-x for x, _ in f[1]]))
+    whole = [((largest, 1), *items) if (not items or items[0][0] != largest) else ((largest, items[0][1] + 1), *items[1:]) for _, items in every]
+    return whole, state["cut"] or state["steps"] <= 0
 
 
 def repeats(left: dict[int, int], items: tuple[tuple[int, int], ...]) -> int:
@@ -252,30 +266,44 @@ def least_bins(counts: dict[int, int], capacity: int) -> int:
 def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[Run]:
     """Fewest sequences found by bin completion; the best-fit plan is the first incumbent.
 
-    Depth first over the fillings of the longest piece left. A branch is cut when the waste so far
-    shows that it cannot need fewer bins than the incumbent. Ends at the lower bound or after
-    ``PLAN_STEPS`` bins, with the incumbent. Work is bounded by the number of different lengths.
+    Passes over the plans try more and more fillings at a bin, the last one all undominated ones. Ends at the lower
+    bound, after a pass that left nothing out (the plan is then the fewest), or
+    after ``PLAN_STEPS`` bins in all, with the incumbent. Work is bounded by the number of different lengths.
     """
     if not counts:
         return []
-    incumbent = best_fit(counts, capacity)
+    incumbent, steps = best_fit(counts, capacity), PLAN_STEPS
+    for best in BRANCHES:
+        incumbent, steps, whole = improved(counts, capacity, incumbent, steps, best)
+        if whole or steps <= 0:
+            break
+    return incumbent
+
+
+def improved(counts: dict[int, int], capacity: int, incumbent: list[Run], steps: int, best: int | None) -> tuple[list[Run], int, bool]:
+    """The best plan of one pass, the steps left, and whether no plan can be better.
+
+    Depth first over the fillings of the longest piece left, each repeated as often as it can be and then
+    less often. A branch is cut when the waste so far shows that it cannot need fewer bins than the incumbent.
+    """
     fewest, least = sum(r.bins for r in incumbent), least_bins(counts, capacity)
     total = sum(x * n for x, n in counts.items())
-    steps, path, left = PLAN_STEPS, [], dict(counts)
-    # Each level: the fillings still to try there. The path is undone on return.
-    levels: list[list[tuple[tuple[int, int], ...]]] = []
+    path, left, complete = [], dict(counts), True
+    # Each level: the fillings still to try there and how often. The path is undone on return.
+    levels: list[list[Run]] = []
     bins = used = 0
     while fewest > least and steps > 0:
+        options: list[Run] = []
         if left:
             steps -= 1
             # Volume that must still be packed bounds the bins below here.
-            volume = total - used
-            options = fillings(left, max(left), capacity) if bins + -(-volume // capacity) < fewest else []
-            levels.append(options[::-1])
-        else:
-            if bins < fewest:
-                incumbent, fewest = list(path), bins
-            levels.append([])
+            if bins + -(-(total - used) // capacity) < fewest:
+                found, cut = completions(left, max(left), capacity, FILL_STEPS, best)
+                complete &= not cut
+                options = [Run(k, items) for items in found[::-1] for k in range(1, repeats(left, items) + 1)]
+        elif bins < fewest:
+            incumbent, fewest = list(path), bins
+        levels.append(options)
         while levels and not levels[-1]:
             levels.pop()
             if path:
@@ -286,13 +314,12 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[Run]:
                     used -= x * k * done.bins
         if not levels:
             break
-        items = levels[-1].pop()
-        run = Run(repeats(left, items), items)
+        run = levels[-1].pop()
         path.append(run)
-        take(left, items, run.bins)
+        take(left, run.items, run.bins)
         bins += run.bins
-        used += sum(x * k for x, k in items) * run.bins
-    return incumbent
+        used += sum(x * k for x, k in run.items) * run.bins
+    return incumbent, steps, fewest <= least or (steps > 0 and complete)
 
 
 def places(plan: list[Run]) -> dict[str, np.ndarray]:
@@ -316,20 +343,23 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_RO
     Only the table of lengths and counts (at most ``capacity`` rows) and the plan made of it
     (as few) pass the driver. A length that a third of all pieces have is numbered in many groups.
     """
-    pieces = stored(pieces)
-    names = pieces.columns
+    names, kept = pieces.columns, pieces.schema
+    # Columns added here: their names are those of no column of the pieces.
+    number, group, before_, row, rank = (f"_{k}_{uuid.uuid4().hex[:8]}" for k in ("number", "group", "before", "row", "rank"))
+    pieces = stored(pieces.withColumn(number, F.monotonically_increasing_id()))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = places(plan_bins(counts, capacity))
     groups = max(16, -(-sum(counts.values()) // group_rows))
-    salted = pieces.withColumn("_group", F.pmod(F.xxhash64(*[n for n in names if n != "length"]), F.lit(groups)))
+    # Rows are dealt out by their number: equal ones to different groups too.
+    salted = pieces.withColumn(group, F.pmod(F.xxhash64(number), F.lit(groups)))
     # How many pieces of the length stand in groups before this one: one row per length and group.
-    sizes = salted.groupBy("length", "_group").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("length", "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("length", "_group").orderBy(*[n for n in names if n != "length"])
-    numbered = salted.withColumn("_row", F.row_number().over(within)).join(sizes, ["length", "_group"])
-    numbered = numbered.select(*names, (F.col("_before") + F.col("_row") - 1).alias("_rank"))
-    schema = StructType([*pieces.schema, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    sizes = salted.groupBy("length", group).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("length", group, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(before_))
+    within = Window.partitionBy("length", group).orderBy(number)
+    numbered = salted.withColumn(row, F.row_number().over(within)).join(sizes, ["length", group])
+    numbered = numbered.select(*names, (F.col(before_) + F.col(row) - 1).alias(rank))
+    schema = StructType([*kept, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     at, rank_at = names.index("length"), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,7 @@ from functools import cache
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from barquarry.llm.packing import CAPACITY, TOKENIZER, best_fit, fillings, least_bins, pack, pack_documents, plan_bins
@@ -53,6 +54,30 @@ def test_plan_is_the_fewest_on_small_inputs():
         assert sum(run.bins for run in plan) == fewest(lengths, capacity)
 
 
+def test_plan_that_repeats_a_filling_less_often():
+    assert sum(run.bins for run in plan_bins(Counter([8, 10, 10, 10, 10, 14, 18, 21, 21, 24]), 50)) == 3
+
+
+def test_plan_is_the_fewest_where_best_fit_is_not():
+    random.seed(8)
+    better = 0
+    for _ in range(1500):
+        capacity = random.choice([30, 50, 60])
+        lengths = [random.randint(capacity // 8, capacity // 2) for _ in range(random.randint(9, 13))]
+        counts = Counter(lengths)
+        bins = sum(run.bins for run in plan_bins(counts, capacity))
+        if bins > least_bins(counts, capacity):
+            assert bins == fewest(lengths, capacity)
+        better += bins < sum(run.bins for run in best_fit(counts, capacity))
+    assert better > 5
+
+
+def test_equal_rows_stand_in_many_groups(spark):
+    pieces = spark.range(4000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(30).cast("long").alias("length"), F.lit("x").alias("_group"))
+    out = pack(pieces, capacity=100, group_rows=250).collect()
+    assert check(out, 100) == 1334 and {r["_group"] for r in out} == {"x"}
+
+
 def test_never_worse_than_best_fit_nor_better_than_the_bound():
     random.seed(6)
     for low, high in ((1, 4096), (900, 2100), (1300, 1500)):
