@@ -1,13 +1,15 @@
 """Secret scans with multipart credential linking (operator 8), in DataFrame functions only.
 
 Three base patterns are reported wherever they stand. Other candidates are weak by themselves: a
-temporary access identifier, a forty-sign key, an endpoint. A weak candidate is reported only if a
-complementary part of a credential (identifier, secret, endpoint) stands within its scope, which an
-interval join over the candidates of a text decides.
+temporary access identifier, a key without a name, an endpoint. A weak candidate is reported only if a
+complementary part of a credential (identifier, secret, endpoint) stands within its scope and apart from it, which an
+interval join over the candidates of a text decides. The scope is the block of text between blank lines, at
+most ``SCOPE`` code points to either side.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,8 +17,12 @@ from pyspark.sql import functions as F
 
 from barquarry.llm.common import read, stored
 
-#: A complementary part may stand so many code points before or after a weak candidate.
-SCOPE = 200
+#: A complementary part may stand so many code points before or after a weak candidate, in the same block.
+SCOPE = 400
+#: What parts blocks.
+BLANK_LINE = r"\n[\x20\x09\x0D]*\n"
+#: Matches of a text that are worked on at once.
+CHUNK = 256
 IDENTIFIER, SECRET, ENDPOINT = 1, 2, 3
 MASK = "[SECRET]"
 
@@ -31,8 +37,6 @@ class Kind:
     most: int | None
     part: int
     base: bool
-    #: Whether it can support a weak candidate.
-    supports: bool = True
 
 
 #: Base kinds in the order in which they are listed at equal starts, then weak kinds.
@@ -40,15 +44,39 @@ KINDS = (
     Kind("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, None, SECRET, True),
     Kind("access", r"AKIA[A-Z0-9]+", 0, 20, None, IDENTIFIER, True),
     # The longest runs are matched, so asking for 24 in the pattern drops the same ones as a later test.
-    Kind("hex", r"[0-9a-f]{24,}", 0, 24, None, SECRET, True, supports=False),
+    Kind("hex", r"[0-9a-f]{24,}", 0, 24, None, SECRET, True),
     Kind("session", r"ASIA[A-Z0-9]+", 0, 20, None, IDENTIFIER, False),
-    Kind("key40", r"[A-Za-z0-9/+]{40,}", 0, 40, 40, SECRET, False),
+    # Keys as services make them: 32 signs and more, also in base64.
+    Kind("key", r"[A-Za-z0-9/+]{32,}={0,2}", 0, 32, 128, SECRET, False),
     Kind("endpoint", r"https?://[A-Za-z0-9._~:/?&=%@-]+", 0, 12, None, ENDPOINT, False),
 )
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
+def in_chunks(rows: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """Array of type ``kind`` with what ``step`` adds for each row, given a number carried on from 0.
+
+    ``step(at, row)`` returns the next number and an array. Rows are folded a chunk at a time, so no long array is
+    copied for every row.
+    """
+    none = F.array().cast(kind)
+
+    def add(acc: Column, row: Column) -> Column:
+        at, more = step(acc["at"], row)
+        return F.struct(at.alias("at"), F.concat(acc["out"], more).alias("out"))
+
+    def walk(acc: Column, chunk: Column) -> Column:
+        done = F.aggregate(chunk, F.struct(acc["at"].alias("at"), none.alias("out")), add)
+        # Bound once through a one-element array: used twice, it would be evaluated twice.
+        return F.get(F.transform(F.array(done), lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out"))), F.lit(0))
+
+    last = F.floor((F.size(rows) - 1) / F.lit(CHUNK)).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(rows, i * CHUNK + 1, F.lit(CHUNK)))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+    return F.when(F.size(rows) > 0, F.flatten(F.aggregate(chunks, start, walk, lambda acc: acc["out"]))).otherwise(none)
+
+
 def kind_spans(text: Column, number: int, kind: Kind) -> Column:
     """(start, kind, end) of each match, in code points, leftmost and not overlapping.
 
@@ -59,28 +87,29 @@ def kind_spans(text: Column, number: int, kind: Kind) -> Column:
     bounded = F.regexp_extract_all(text, pattern, F.lit(kind.group))
     gaps = F.split(text, kind.pattern, -1)
     rows = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), bounded.alias("bounded"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def add(acc: Column, row: Column) -> Column:
-        first = acc["at"] + F.length(row["gap"])
+    def step(at: Column, row: Column) -> tuple[Column, Column]:
+        first = at + F.length(row["gap"])
         last = first + F.coalesce(F.length(row["hit"]), F.lit(0))
         fits = F.length(row["bounded"]) >= kind.least
         if kind.most is not None:
             fits = fits & (F.length(row["bounded"]) <= kind.most)
         span = F.struct(first.alias("start"), F.lit(number).alias("kind"), last.alias("end"))
-        return F.struct(last.alias("at"), F.when(fits, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return last, F.when(fits, F.array(span)).otherwise(F.array().cast(SPAN))
 
-    found = F.aggregate(rows, start, add, lambda acc: acc["out"])
-    return F.when(text.rlike(kind.pattern), found).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(kind.pattern), in_chunks(rows, SPAN, step)).otherwise(F.array().cast(SPAN))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_base`` and ``_weak`` spans, and ``_key``, the text's digest if there is anything to link."""
+    """``docs`` with ``_base`` and ``_weak`` spans, ``_blanks`` (starts of blank lines), and ``_key``, the text's digest if there is anything to link."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.concat(*[kind_spans(text, i, k) for i, k in enumerate(KINDS) if k.base])
     weak = F.concat(*[kind_spans(text, i, k) for i, k in enumerate(KINDS) if not k.base])
     found = docs.withColumn("_base", F.sort_array(base)).withColumn("_weak", F.sort_array(weak))
-    return found.withColumn("_key", F.when((F.size("_weak") > 0) & (F.size("_base") + F.size("_weak") > 1), F.sha2(text, 256)))
+    found = found.withColumn("_key", F.when((F.size("_weak") > 0) & (F.size("_base") + F.size("_weak") > 1), F.sha2(text, 256)))
+    blank = Kind("blank", BLANK_LINE, 0, 0, None, 0, False)
+    blanks = F.transform(kind_spans(text, 0, blank), lambda s: s["start"])
+    return found.withColumn("_blanks", F.when(F.col("_key").isNotNull(), blanks))
 
 
 def _of(kinds: list[int], column: Column, value) -> Column:
@@ -97,17 +126,19 @@ def linked(found: DataFrame) -> DataFrame:
     one long text with very many candidates is parted over many keys.
     """
     every = list(range(len(KINDS)))
-    texts = found.where(F.col("_key").isNotNull()).select("_key", "_base", "_weak").dropDuplicates(["_key"])
-    spans = texts.select("_key", F.explode(F.concat("_base", "_weak")).alias("s")).select("_key", "s.*")
-    spans = spans.withColumn("part", _of(every, F.col("kind"), lambda k: k.part))
+    texts = found.where(F.col("_key").isNotNull()).select("_key", "_base", "_weak", "_blanks").dropDuplicates(["_key"])
+    spans = texts.select("_key", "_blanks", F.explode(F.concat("_base", "_weak")).alias("s"))
+    block = F.size(F.filter("_blanks", lambda b: b < F.col("s.start")))
+    spans = spans.select("_key", block.alias("block"), "s.*").withColumn("part", _of(every, F.col("kind"), lambda k: k.part))
     weak = spans.where(~_of(every, F.col("kind"), lambda k: k.base))
     near = F.sequence(F.floor((F.col("start") - SCOPE) / SCOPE), F.floor((F.col("end") + SCOPE) / SCOPE))
     weak = weak.withColumn("cell", F.explode(near))
-    other = spans.where(_of(every, F.col("kind"), lambda k: k.supports))
-    other = other.select("_key", F.col("part").alias("o_part"), F.col("start").alias("o_start"), F.col("end").alias("o_end"))
+    other = spans.select("_key", "block", F.col("part").alias("o_part"), F.col("start").alias("o_start"), F.col("end").alias("o_end"))
     other = other.withColumn("cell", F.explode(F.sequence(F.floor(F.col("o_start") / SCOPE), F.floor(F.col("o_end") / SCOPE))))
-    close = (F.col("o_part") != F.col("part")) & (F.col("o_start") < F.col("end") + SCOPE) & (F.col("o_end") > F.col("start") - SCOPE)
-    pairs = weak.join(other, ["_key", "cell"]).where(close)
+    close = (F.col("o_start") < F.col("end") + SCOPE) & (F.col("o_end") > F.col("start") - SCOPE)
+    # A key inside an endpoint, say, is one thing and not two parts.
+    apart = (F.col("o_start") >= F.col("end")) | (F.col("o_end") <= F.col("start"))
+    pairs = weak.join(other, ["_key", "block", "cell"]).where((F.col("o_part") != F.col("part")) & close & apart)
     span = F.struct("start", "kind", "end")
     return pairs.groupBy("_key").agg(F.collect_set(span).alias("_linked"))
 
@@ -150,24 +181,22 @@ def _with_links(found: DataFrame) -> DataFrame:
 def mask_secrets(docs: DataFrame, mask: str = MASK) -> DataFrame:
     """``docs`` with every reported span of the text replaced by ``mask``; overlapping spans become one.
 
-    All rows and columns stay; a null text stays null. Needs column text only.
+    All rows and columns stay, whatever the columns are called; a null text stays null. Needs column text only.
     """
-    columns = docs.columns
-    both = _with_links(candidates(docs))
+    # The row travels as one struct, so that its columns cannot clash with those added here. Candidates are read twice.
+    both = _with_links(stored(candidates(docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("_row"), "text"))))
     text = F.col("text")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def add(acc: Column, s: Column) -> Column:
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
         # Places are counted from 0; a span that begins inside the one before prolongs it.
-        fresh = s["start"] >= acc["at"]
-        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(fresh, out).otherwise(acc["out"]).alias("out"),
-        )
+        fresh = s["start"] >= at
+        more = F.array(F.substring(text, at + 1, s["start"] - at), F.lit(mask))
+        return F.greatest(at, s["end"]), F.when(fresh, more).otherwise(F.array().cast("array<string>"))
 
-    masked = F.aggregate("_spans", start, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return both.withColumn("text", F.when(F.size("_spans") > 0, masked).otherwise(text)).select(*columns)
+    rest = F.substring(text, F.array_max(F.transform("_spans", lambda s: s["end"])) + 1, F.length(text))
+    masked = F.concat(F.array_join(in_chunks(F.col("_spans"), "array<string>", step), ""), rest)
+    new = F.when(F.size("_spans") > 0, masked).otherwise(text)
+    return both.select(F.col("_row").withField("text", new).alias("_row")).select("_row.*")
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,12 +227,20 @@ def oracle() -> str:
     return f"""
     WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
     spans AS MATERIALIZED ({" UNION ALL ".join(parts)}),
-    marked AS (SELECT *, {case(lambda k: k.part)} AS part, {case(lambda k: str(k.base))} AS base, {case(lambda k: str(k.supports))} AS supports FROM spans),
+    blanks AS (
+      SELECT rid, list(CAST(s AS BIGINT)) AS at FROM (
+        SELECT rid, sum(length(gap)) OVER (PARTITION BY rid ORDER BY i)
+               + coalesce(sum(length(h)) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+        FROM (SELECT rid, unnest(range(len(hits))) AS i, unnest(hits) AS h, unnest(gaps[:len(hits)]) AS gap
+              FROM (SELECT rid, regexp_extract_all(t, {quoted(BLANK_LINE)}, 0) AS hits, regexp_split_to_array(t, {quoted(BLANK_LINE)}) AS gaps FROM texts
+                    WHERE rid IN (SELECT rid FROM spans)))) GROUP BY rid),
+    marked AS (SELECT spans.*, {case(lambda k: k.part)} AS part, {case(lambda k: str(k.base))} AS base,
+                      coalesce(len(list_filter(blanks.at, lambda x: x < spans.start)), 0) AS block FROM spans LEFT JOIN blanks USING (rid)),
     kept AS (
       SELECT *, false AS linked FROM marked WHERE base
       UNION ALL
       SELECT *, true FROM marked w WHERE NOT base AND EXISTS (
-        SELECT 1 FROM marked o WHERE o.rid = w.rid AND o.supports AND o.part <> w.part
+        SELECT 1 FROM marked o WHERE o.rid = w.rid AND o.block = w.block AND o.part <> w.part AND (o.start >= w."end" OR o."end" <= w.start)
         AND o.start < w."end" + {SCOPE} AND o."end" > w.start - {SCOPE})),
     summed AS (
       SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,

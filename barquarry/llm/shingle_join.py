@@ -16,6 +16,7 @@ close to 1 from any of them, so windows of width 2r around the borders would hol
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -505,14 +506,15 @@ def one_of_each_group(docs: DataFrame, size: int, percent: int) -> DataFrame:
     again = rows.where("n_shingles > 0").groupBy("doc_id", "digest").agg((F.count("*") > 1).alias("again"))
     keys = kept.select("doc_id", "digest").distinct().alias("k")
     keys = stored(keys.join(again.alias("g"), F.col("k.doc_id").eqNullSafe(F.col("g.doc_id")) & F.col("k.digest").eqNullSafe(F.col("g.digest")), "left").select("k.doc_id", "k.digest", F.coalesce("again", F.lit(False)).alias("again")))
-    texts = docs.withColumn("_digest", F.xxhash64("text"))
+    mark = f"_{uuid.uuid4().hex}"  # no column of the documents has this name
+    texts = docs.withColumn(mark, F.xxhash64("text"))
 
     def those(own: DataFrame) -> DataFrame:
         own = own.select(F.col("doc_id").alias("_doc_id"), F.col("digest").alias("_own"))
-        return texts.join(own, texts["doc_id"].eqNullSafe(own["_doc_id"]) & texts["_digest"].eqNullSafe(own["_own"]), "left_semi")
+        return texts.join(own, texts["doc_id"].eqNullSafe(own["_doc_id"]) & texts[mark].eqNullSafe(own["_own"]), "left_semi")
 
     once = those(keys.where("NOT again"))
-    more = those(keys.where("again")).dropDuplicates(["doc_id", "_digest"])
+    more = those(keys.where("again")).dropDuplicates(["doc_id", mark])
     return once.unionByName(more).select(*docs.columns)
 
 

@@ -6,6 +6,8 @@ each group of near copies one document stays; secrets are masked; what is left i
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,10 +36,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secrets in their texts masked and n_chars counted anew there."""
-    masked = secret_scan.mask_secrets(docs.withColumn("_before", F.xxhash64("text")))
-    changed = F.xxhash64("text") != F.col("_before")
+    before = f"_{uuid.uuid4().hex}"
+    masked = secret_scan.mask_secrets(docs.withColumn(before, F.xxhash64("text")))
+    changed = F.xxhash64("text") != F.col(before)
     kind = docs.schema["n_chars"].dataType
-    return masked.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars"))).drop("_before")
+    return masked.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars"))).drop(before)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
