@@ -18,13 +18,18 @@ with the same results:
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barquarry.session import computed_once
 
+if TYPE_CHECKING:
+    from barquarry.operators.strategy import Strategy
+
 ROWS_PER_GROUP_LIMIT = 200_000
 BLOCK_ROWS = 131_072
 # The longest window of a named column is 200 rows.
@@ -159,8 +164,17 @@ def choose_layout(
     lookahead: int = 1,
     lookback: int = LOOKBACK_ROWS,
     limit: int = ROWS_PER_GROUP_LIMIT,
+    strategies: Sequence[Strategy] = (),
 ) -> Layout:
-    """``lookback`` must cover the longest window asked (``indicators.longest_window``)."""
+    """``lookback`` must cover the longest window asked (``indicators.longest_window``), ``lookahead`` the longest hold.
+
+    Both are taken from ``strategies`` where these ask for more.
+    """
+    if strategies:
+        from barquarry.operators.indicators import longest_window
+
+        lookback = max(lookback, longest_window(n for s in strategies for n in s.columns))
+        lookahead = max(lookahead, *(s.max_hold for s in strategies))
     bound = longest_series(bars) if max_rows is None else max_rows
     if bound <= limit:
         return SymbolLayout(max_rows=bound)

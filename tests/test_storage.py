@@ -1,13 +1,12 @@
 """Result tables, repeated bars, mergeable bar states, bucketed bars and pages."""
 
-import datetime as dt
-
 import pytest
 from pyspark.sql import functions as F
 
 from barquarry.operators.indicators import add_technical
-from barquarry.operators.layout import SymbolLayout
-from barquarry.plans.presets import shipped
+from barquarry.operators.layout import BlockLayout, SymbolLayout, choose_layout
+from barquarry.operators.strategy import Strategy
+from barquarry.plans.presets import example, shipped
 from barquarry.plans.requests import backtest_request, requested_bars
 from barquarry.operators.summary import symbol_summary
 from barquarry.sources.bars import bar_states, bars_of, merge_states, split_duplicates, store_bars, stored_bars, usable_frames
@@ -148,5 +147,24 @@ def test_a_backtest_reads_its_bars_once(spark, make_bars, tmp_path):
     apart = symbol_summary(trades, 1_000_000.0, bars.select("symbol"), names)
     assert sorted(map(str, summary.collect())) == sorted(map(str, apart.collect()))
     assert summary.count() == 2 * len(names) and trades.where("strategy IS NULL").count() == 0
-    # Without a strategy that frames can follow, the symbols still come from the frame.
-    assert dt.date(2020, 1, 1) == bars.agg(F.min("date")).first()[0]
+
+
+@pytest.mark.parametrize(
+    "strategies",
+    [[example("PARTIAL_TP_STRATEGY")], [Strategy.from_mapping({"name": "LONG", "entry": ["CLOSE > 10"], "max_hold_days": 50})], [shipped()[0], example("PARTIAL_TP_STRATEGY")]],
+    ids=["fold", "long", "both"],
+)
+@pytest.mark.parametrize("layout", [SymbolLayout(), BlockLayout(block_rows=64, lookback=64, lookahead=50)], ids=["whole", "blocks"])
+def test_symbols_without_trades_are_in_every_summary(spark, make_bars, strategies, layout):
+    bars = make_bars([(10 + i % 7, 12 + i % 7, 9 + i % 7, 11 + i % 7) for i in range(150)], "A").unionByName(make_bars([(5, 6, 4, 5)] * 3, "QUIET"))
+    trades, summary = backtest_request(bars, strategies, layout, complete=True)
+    assert summary.count() == 2 * len(strategies)
+    assert {r.symbol for r in summary.collect()} == {"A", "QUIET"}
+    assert summary.agg(F.sum("total_trades")).first()[0] == trades.count()
+
+
+def test_layout_for_strategies(spark, make_bars):
+    bars = make_bars([(1, 2, 1, 2)] * 90)
+    long = Strategy.from_mapping({"name": "LONG", "entry": ["CLOSE > MA300"], "max_hold_days": 50})
+    layout = choose_layout(bars, limit=50, strategies=[long, *shipped()])
+    assert (layout.lookahead, layout.lookback) == (50, 300)
