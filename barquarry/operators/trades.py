@@ -363,7 +363,9 @@ def non_overlapping(
 ) -> DataFrame:
     """Candidates that become trades, in order, per (strategy, symbol)."""
     if layout.blocked:
-        return _by_pointers(computed_once(candidates), layout, max_hold)  # read twice
+        candidates = computed_once(candidates)  # read several times
+        marks = candidates.where(c("strategy").isNull()).drop("_block")
+        return _by_pointers(candidates.where(c("strategy").isNotNull()), layout, max_hold).unionByName(marks)
     keys = ["strategy", *layout.keys]
     fields = [n for n in candidates.columns if n not in keys and n != "entry_rn"]
     packed = F.struct("entry_rn", *fields)
