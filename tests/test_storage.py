@@ -154,7 +154,7 @@ def test_a_backtest_reads_its_bars_once(spark, make_bars, tmp_path):
     [[example("PARTIAL_TP_STRATEGY")], [Strategy.from_mapping({"name": "LONG", "entry": ["CLOSE > 10"], "max_hold_days": 50})], [shipped()[0], example("PARTIAL_TP_STRATEGY")]],
     ids=["fold", "long", "both"],
 )
-@pytest.mark.parametrize("layout", [SymbolLayout(), BlockLayout(block_rows=64, lookback=64, lookahead=50)], ids=["whole", "blocks"])
+@pytest.mark.parametrize("layout", [SymbolLayout(), BlockLayout(block_rows=64, lookback=256, lookahead=50)], ids=["whole", "blocks"])
 def test_symbols_without_trades_are_in_every_summary(spark, make_bars, strategies, layout):
     bars = make_bars([(10 + i % 7, 12 + i % 7, 9 + i % 7, 11 + i % 7) for i in range(150)], "A").unionByName(make_bars([(5, 6, 4, 5)] * 3, "QUIET"))
     trades, summary = backtest_request(bars, strategies, layout, complete=True)
