@@ -70,7 +70,7 @@ def in_order(rows: DataFrame, order: list[str], run: str) -> DataFrame:
             names = batch.column(run)
             if not len(at):
                 continue
-            _, codes = np.unique(np.array([("n" if x is None else f"s{x}") for x in names.to_pylist()], dtype=object).astype(str), return_inverse=True)
+            codes = names.dictionary_encode(null_encoding="encode").indices.to_numpy()
             fresh = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
             first = names[0].as_py()
             starts = at[fresh].copy()
