@@ -77,3 +77,10 @@ def test_awkward_rows(awkward, no_rows, identifier):
     assert lang.identify(no_rows, identifier).count() == 0
     nothing = lang.train(no_rows)
     assert {r.lang_pred for r in lang.identify(awkward, nothing).collect()} == {"und"}
+
+
+def test_a_language_of_the_same_script_is_rejected(identifier):
+    """Its letters are known, its runs of letters are not."""
+    random.seed(3)
+    other = [" ".join("".join(random.choices(["mon", "dru", "pes", "ank", "göl"], k=random.randint(1, 3))) for _ in range(80)) for _ in range(50)]
+    assert sum(identifier.judge(other)[2]) <= 2
