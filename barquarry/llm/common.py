@@ -88,15 +88,19 @@ def kept_in_worker(key: tuple, make: Callable[[], object]):
 
 def text_slices(texts: list, most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of ``texts`` with about ``most`` characters; a longer text stands alone."""
-    first = chars = 0
-    for i, text in enumerate(texts):
-        n = len(text) if text is not None else 0
-        if i > first and chars + n > most:
+    return size_slices([len(text) if text is not None else 0 for text in texts], most)
+
+
+def size_slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of ``sizes`` that add up to about ``most``; a larger one stands alone."""
+    first = total = 0
+    for i, n in enumerate(sizes):
+        if i > first and total + n > most:
             yield first, i
-            first, chars = i, 0
-        chars += n
-    if first < len(texts):
-        yield first, len(texts)
+            first, total = i, 0
+        total += n
+    if first < len(sizes):
+        yield first, len(sizes)
 
 
 def map_texts(docs: DataFrame, make: Callable[[], Callable[[list], list]], schema: str, keep: tuple[str, ...] = ("doc_id",), most: int = SLICE_CHARS) -> DataFrame:

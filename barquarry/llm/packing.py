@@ -17,19 +17,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from barquarry.llm.common import kept_in_worker, read, stored, text_slices
+from barquarry.llm.common import kept_in_worker, read, size_slices, stored, trimmed
 from barquarry.llm.token_counts import WordSplitter
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a Python worker keeps; beyond, it begins anew.
-WORDS_KEPT = 700_000
+WORDS_KEPT = 500_000
+#: Texts that are split into words at once have about so many characters.
+SPLIT_CHARS = 1_000_000
 #: Pieces of one length are numbered in groups of about so many.
 GROUP_ROWS = 100_000
 #: Search steps for the filling of one bin, and alternatives tried at a bin in one pass over plans after the other.
@@ -111,10 +114,12 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CA
         ids = word_ids(public_tokenizers.path(tokenizer))
         end = np.asarray([END_ID], dtype="<u4").tobytes()
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in text_slices(texts):
+            # Only a slice of the texts stands outside the batch.
+            sizes = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()
+            for a, b in size_slices(sizes, SPLIT_CHARS):
                 rows = []
-                for key, data in zip(keys[a:b], ids.encode(texts[a:b]), strict=True):
+                keys, texts = (batch.column(k).slice(a, b - a).to_pylist() for k in (0, 1))
+                for key, data in zip(keys, ids.encode(texts), strict=True):
                     data += end
                     for p, at in enumerate(range(0, len(data), step)):
                         part = data[at : at + step]
@@ -125,6 +130,7 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CA
                     [pa.array(c, type=t) for c, t in zip(columns, types, strict=True)],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+            trimmed()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
