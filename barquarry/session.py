@@ -37,7 +37,7 @@ def shared_folder(spark: SparkSession) -> str | None:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local["):
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
             return None
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="barquarry-"))
     return context.getCheckpointDir()
