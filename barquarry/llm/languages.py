@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barquarry.llm.common import filter_texts, map_texts, read, remainder
+from barquarry.llm.common import filter_texts, kept_in_worker, map_texts, read, remainder
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -207,6 +207,8 @@ def train(rows: DataFrame, order: int = ORDER, docs_each: int = TRAINING_DOCS) -
     """Models of the languages in ``rows`` (doc_id, text, lang), one task for each language."""
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
+        # What other operators have left in this worker goes first.
+        kept_in_worker(("languages",), lambda: None)
         texts = sorted(part["text"])
         model = fit(texts, order)
         # A fifth of the texts, scored by a model of the others, shows what the language's texts have.
@@ -226,7 +228,12 @@ def train(rows: DataFrame, order: int = ORDER, docs_each: int = TRAINING_DOCS) -
 
 def judged_by(identifier: Identifier, docs: DataFrame) -> Callable[[], Callable]:
     shared = docs.sparkSession.sparkContext.broadcast(identifier)
-    return lambda: shared.value.judge
+
+    def make() -> Callable:
+        kept_in_worker(("languages",), lambda: None)
+        return shared.value.judge
+
+    return make
 
 
 def identify(docs: DataFrame, identifier: Identifier) -> DataFrame:
