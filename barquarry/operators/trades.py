@@ -179,8 +179,8 @@ def exit_candidates(
 
     Up to ``FRAME_BARS`` bars are read from a forward frame, without a shuffle. Longer holds are
     found by crossing indexes over the bars of a group, on the partitioning that the windows left. Where stop
-    rules are not plain arithmetic they are searched in chunks of bars: each bar is packed into one
-    chunk, and only signal bars are matched with the chunks they may be held through.
+    rules are not plain arithmetic, signal bars are joined with the bars they may be held through; with a
+    trailing stop besides, those are packed into chunks.
     """
     keep = [*layout.keys, "date", "_rn", "CLOSE"] + (["_own"] if layout.blocked else [])
     narrow = frame.withColumns(entry_columns(strategies, amount)).withColumn("_bar", _bar(strategies))
@@ -191,7 +191,10 @@ def exit_candidates(
     for i, s in enumerate(strategies):
         if s.max_hold > FRAME_BARS:
             stops = _array_stops(s)
-            parts.append(_in_chunks(narrow, i, s, layout) if stops is None else _by_crossing(narrow, i, s, stops, layout))
+            if stops is not None:
+                parts.append(_by_crossing(narrow, i, s, stops, layout))
+            else:
+                parts.append(_by_pairs(narrow, i, s, layout) if s.trailing is None else _in_chunks(narrow, i, s, layout))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -284,6 +287,44 @@ def _by_crossing(narrow: DataFrame, i: int, s: Strategy, stops: list, layout: La
     return found.select(*kept, F.lit(s.name).alias("strategy"), F.when(c("exit_rn").isNotNull(), exit_).alias("exit"))
 
 
+def _by_pairs(narrow: DataFrame, i: int, s: Strategy, layout: Layout) -> DataFrame:
+    """Signals joined with the bars they may be held through; of each signal the first bar that ends it is kept.
+
+    Pairs are neither kept nor moved: they meet in chunks of bars and are aggregated there by fixed-width values.
+    """
+    keys = list(layout.keys)
+    # As long as a hold, so that a signal meets at most two.
+    size = max(CHUNK_BARS, s.max_hold)
+    chunk = lambda row: F.floor(row / F.lit(size))
+    names = [f"_qty{i}", f"_target{i}", f"_stop{i}"]
+    signal = [*keys, "_rn", "_date", "_price", *names]
+    signals = narrow.where(c(f"_qty{i}").isNotNull() & layout.own())
+    signals = signals.select(*keys, "_rn", c("date").alias("_date"), c("CLOSE").alias("_price"), *names)
+    late = c("rn") - c("_rn") >= s.max_hold
+    stops = [c(f"_stop{i}")] if s.fixed_stop else [value(rule, entry_price="_price") for rule in _stop_rules(s).values()]
+    tests = [(c("LOW") <= level, level, f"SL Hit (Level {n + 1})") for n, level in enumerate(stops)]
+    tests += [(c("HIGH") >= c(f"_target{i}"), c(f"_target{i}"), "TP Hit"), (late, c("CLOSE"), "MaxHold Exit")]
+    ends = reduce(lambda a, b: a | b, [F.coalesce(hit, F.lit(False)) for hit, _, _ in tests])
+    reach = F.sequence(chunk(c("_rn") + 1), chunk(c("_rn") + s.max_hold))
+    spread = signals.withColumn("_chunk", F.explode(reach)).alias("s")
+    bars = narrow.select(*keys, "_bar.*").where("usable").withColumn("_chunk", chunk(c("rn"))).alias("b")
+    meet = [c(f"s.{k}") == c(f"b.{k}") for k in (*keys, "_chunk")]
+    meet += [c("rn") > c("_rn"), c("rn") <= c("_rn") + s.max_hold, ends]
+    pairs = spread.join(bars, reduce(lambda a, b: a & b, meet), "left")
+    code, price = F.when(F.lit(False), 0), F.when(F.lit(False), F.lit(0.0))
+    for n, (hit, level, _) in enumerate(tests):
+        code, price = code.when(hit, n), price.when(hit, level)
+    found = pairs.select(*[c(f"s.{n}") for n in signal], "rn", "date", price.alias("_paid"), code.alias("_code"))
+    # Chunks in which nothing ends a signal leave a row without ``rn``.
+    firsts = [F.min_by(n, "rn").alias(n) for n in ("date", "_paid", "_code")]
+    first = found.groupBy(*signal).agg(F.min("rn").alias("rn"), *firsts)
+    reasons = F.array(*[F.lit(why) for _, _, why in tests])
+    exit_ = F.struct("rn", "date", c("_paid").alias("price"), F.get(reasons, c("_code")).alias("reason"), F.lit(True).alias("usable"))
+    first = first.select(*signal, F.when(c("rn").isNotNull(), exit_).alias("_exit"))
+    first = first.withColumnsRenamed({"_date": "date", "_price": "CLOSE"})
+    return first.select(*keys, _candidate(s, i, c("_exit")).alias("_cand")).select(*keys, "_cand.*")
+
+
 def _in_chunks(narrow: DataFrame, i: int, s: Strategy, layout: Layout) -> DataFrame:
     keys = list(layout.keys)
     chunk = lambda row: F.floor(row / F.lit(CHUNK_BARS))
