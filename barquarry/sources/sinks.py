@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barquarry.functions.scalars import fixed2, grouped_id
+from barquarry.session import computed_once
 
 PAGE_SIZES = (10, 25, 50, 100)
 
@@ -150,6 +151,7 @@ def write_pages(rows: DataFrame, order: Sequence[str], path: str, rows_per_range
     Rows are dealt out by ranges of ``order``, of about ``rows_per_range`` rows each; the directory has one
     row per range.
     """
+    rows = computed_once(rows)  # counted, sampled for the ranges and written
     ranges = max(1, -(-rows.count() // rows_per_range))
     dealt = rows.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())
     dealt.write.mode("overwrite").partitionBy("_range").parquet(f"{path}/rows")

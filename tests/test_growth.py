@@ -26,3 +26,17 @@ def test_rules_with_a_case_are_tested_pair_by_pair(spark, make_bars, hold):
     assert rows[0] == rows[1] and len(rows[0]) > 1
     # Signals that nothing ends stay open and give no trade.
     assert trades("CASE WHEN CLOSE < 0 THEN 1 END")[0].where("exit_reason LIKE 'SL%'").count() == 0
+
+
+def test_pages_compute_their_rows_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(983).mapInArrow(counted, "id bigint")
+    write_pages(rows, ["id"], f"{tmp_path}/pages", 100)
+    assert seen.value == 983
+    assert [r[0] for r in read_page(spark, f"{tmp_path}/pages", ["id"], 2, 10).collect()] == [*range(20, 30)]
