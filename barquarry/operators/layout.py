@@ -19,7 +19,7 @@ with the same results:
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,6 +34,8 @@ ROWS_PER_GROUP_LIMIT = 200_000
 BLOCK_ROWS = 131_072
 # The longest window of a named column is 200 rows.
 LOOKBACK_ROWS = 256
+# Rows that one task sorts for its windows.
+ROWS_PER_TASK = 250_000
 DAY_SECONDS = 86_400
 # Window lengths of named columns are at most this; longer ones say so in their names.
 SHORTEST_LOOKBACK = 64
@@ -43,15 +45,21 @@ SHORTEST_BLOCK = 32
 
 @dataclass(frozen=True)
 class SymbolLayout:
-    """One window group per symbol. ``max_rows`` is the proven length of the longest series."""
+    """One window group per symbol. ``max_rows`` is the proven length of the longest series.
+
+    ``tasks`` is the number of tasks that the symbols are dealt out to; Spark chooses it if there is none.
+    """
 
     max_rows: int | None = None
     keys: tuple[str, ...] = ("symbol",)
     helpers: tuple[str, ...] = ("_rn",)
     blocked: bool = False
     segment_rows: int | None = None
+    tasks: int | None = None
 
     def prepare(self, bars: DataFrame) -> DataFrame:
+        if self.tasks is not None:
+            bars = bars.repartition(self.tasks, "symbol")
         w = Window.partitionBy("symbol").orderBy("date")
         return bars.withColumn("_rn", F.row_number().over(w) - 1)
 
@@ -157,6 +165,19 @@ def grid_cells(ticks: DataFrame, ts: str, bar_seconds: int = DAY_SECONDS) -> int
     return int(row[1] // bar_seconds - row[0] // bar_seconds + 1)
 
 
+def tasks_of(rows: int) -> int:
+    """Tasks of about ``ROWS_PER_TASK`` rows each."""
+    return max(1, -(-rows // ROWS_PER_TASK))
+
+
+def with_tasks(layout: Layout, bars: DataFrame, rows: int) -> Layout:
+    """A layout by symbols with tasks for ``rows`` rows (a bound will do); few rows are left to Spark."""
+    tasks = tasks_of(rows)
+    if layout.blocked or tasks <= bars.sparkSession.sparkContext.defaultParallelism:
+        return layout
+    return replace(layout, tasks=tasks)
+
+
 def choose_layout(
     bars: DataFrame,
     *,

@@ -111,15 +111,19 @@ def _own_sums(
             for out, (u, q) in specs.items()
         }
     )
-    ends = {}
-    for out, (_, q) in specs.items():
-        local = F.col(f"_local_{out}")
-        total = local
-        for i in range(1, int(_VANISHED_EXPONENT / (_decades(q) * seg)) + 1):
-            weight = F.lit(q ** (seg * i))
-            total = total + weight * F.coalesce(roll.lag(local, seg * i), F.lit(0.0))
-        ends[f"_end_{out}"] = F.when(F.col("_j") == seg - 1, total)
-    df = df.withColumns(ends)
+    # Sums over 2, 4, 8, ... segments, each of two sums over half as many, until the earlier ones have vanished.
+    reach = {out: int(_VANISHED_EXPONENT / (_decades(q) * seg)) for out, (_, q) in specs.items()}
+    df = df.withColumns({f"_end_{out}": F.col(f"_local_{out}") for out in specs})
+    held = 1
+    while held <= max(reach.values()):
+        wider = {}
+        for out, (_, q) in specs.items():
+            if held <= reach[out]:
+                total = F.col(f"_end_{out}")
+                wider[f"_end_{out}"] = total + F.lit(q ** (seg * held)) * F.coalesce(roll.lag(total, seg * held), F.lit(0.0))
+        df = df.withColumns(wider)
+        held *= 2
+    df = df.withColumns({f"_end_{out}": F.when(F.col("_j") == seg - 1, F.col(f"_end_{out}")) for out in specs})
     df = df.withColumns(
         {
             out: F.col(f"_local_{out}")

@@ -22,7 +22,7 @@ from barquarry.operators.indicators import (
     add_technical,
     result_rows,
 )
-from barquarry.operators.layout import BlockLayout, Layout, SymbolLayout, choose_layout, grid_cells
+from barquarry.operators.layout import BlockLayout, Layout, SymbolLayout, choose_layout, grid_cells, with_tasks
 from barquarry.operators.rules import all_met, columns_used, value
 from barquarry.operators.strategy import Strategy, columns_of
 from barquarry.plans import oracle as o
@@ -141,6 +141,11 @@ def _cells(spark: SparkSession, sf_dir: str, base: str) -> int:
     return grid_cells(table(spark, sf_dir, name), ts, seconds)
 
 
+def _ticks(spark: SparkSession, sf_dir: str, base: str) -> int:
+    """Ticks of a base, by the counts that its files hold: no fewer than its bars."""
+    return table(spark, sf_dir, _TICKS[base][0]).count()
+
+
 def inputs(
     spark: SparkSession, sf_dir: str, base: str = "day", hold: int = 1
 ) -> tuple[DataFrame, Layout]:
@@ -152,7 +157,7 @@ def inputs(
         max_rows=_cells(spark, sf_dir, base),
         lookahead=hold,
     )
-    return bars, layout
+    return bars, with_tasks(layout, bars, _ticks(spark, sf_dir, base))
 
 
 def rounded(df: DataFrame, names: Sequence[str], digits: int = 4) -> DataFrame:
@@ -419,7 +424,9 @@ _AVERAGED = ["MACD_LINE", "MACD_SIGNAL", "MACD_HISTOGRAM", "ADX14", "ADX_PLUS",
 
 def _in_layout(layout: Layout, names: Sequence[str], base: str = "day") -> Query:
     def run(spark, d):
-        frame = result_rows(add_technical(_BARS[base](spark, d), layout, names, complete=True), layout)
+        bars = _BARS[base](spark, d)
+        dealt = layout if layout.blocked else with_tasks(layout, bars, _ticks(spark, d, base))
+        frame = result_rows(add_technical(bars, dealt, names, complete=True), dealt)
         return rounded(frame.select("symbol", "date", *names), names)
 
     return run

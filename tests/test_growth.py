@@ -2,6 +2,7 @@
 
 import pytest
 
+from barquarry.operators import layout as layouts
 from barquarry.operators.indicators import add_technical
 from barquarry.operators.layout import SymbolLayout
 from barquarry.operators.strategy import Strategy
@@ -40,3 +41,18 @@ def test_pages_compute_their_rows_once(spark, tmp_path):
     write_pages(rows, ["id"], f"{tmp_path}/pages", 100)
     assert seen.value == 983
     assert [r[0] for r in read_page(spark, f"{tmp_path}/pages", ["id"], 2, 10).collect()] == [*range(20, 30)]
+
+
+def test_segments_need_few_lags(make_bars):
+    bars = make_bars([(1, 2, 1, 1 + i % 5) for i in range(60)])
+    frame = add_technical(bars, SymbolLayout(max_rows=4096, segment_rows=8), ["MACD_LINE", "ADX14"])
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("lag(") < 150
+
+
+def test_tasks_grow_with_the_rows(make_bars):
+    bars = make_bars([(1, 2, 1, 2)] * 9)
+    dealt = layouts.with_tasks(SymbolLayout(), bars, 10**9)
+    assert dealt.tasks == 10**9 // layouts.ROWS_PER_TASK
+    plan = add_technical(bars, dealt, ["MA5"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and f", {dealt.tasks})" in plan
+    assert layouts.with_tasks(SymbolLayout(), bars, 1000).tasks is None
