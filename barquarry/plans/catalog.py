@@ -22,7 +22,7 @@ from barquarry.operators.indicators import (
     add_technical,
     result_rows,
 )
-from barquarry.operators.layout import BlockLayout, Layout, SymbolLayout, choose_layout, grid_cells, with_tasks
+from barquarry.operators.layout import BlockLayout, Layout, SymbolLayout, choose_layout, grid_cells, tasks_of, with_tasks
 from barquarry.operators.rules import all_met, columns_used, value
 from barquarry.operators.strategy import Strategy, columns_of
 from barquarry.plans import oracle as o
@@ -1019,7 +1019,7 @@ def _(spark, d):
 def _(spark, d):
     """The scan over bars stored in buckets by symbol: no exchange before the windows."""
     name = f"bars_{uuid.uuid4().hex}"
-    store_bars(day_bars(spark, d), name, 8, new_path(spark, "bars"))
+    store_bars(day_bars(spark, d), name, max(8, tasks_of(_ticks(spark, d, "day"))), new_path(spark, "bars"))
     strategies = _scan_strategies()
     frame = indicator_frame(stored_bars(spark, name), columns_of(strategies), SymbolLayout(), decimals=8, complete=True)
     return rounded(scan_op.scan(frame, strategies, SymbolLayout()), ["entry_price", "stop_loss", "take_profit"])

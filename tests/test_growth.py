@@ -7,6 +7,7 @@ from barquarry.operators.indicators import add_technical
 from barquarry.operators.layout import SymbolLayout
 from barquarry.operators.strategy import Strategy
 from barquarry.operators.trades import exit_candidates, in_range
+from barquarry.plans import catalog
 from barquarry.plans.requests import extract_trades
 from barquarry.sources.sinks import read_page, write_pages
 
@@ -56,3 +57,12 @@ def test_tasks_grow_with_the_rows(make_bars):
     plan = add_technical(bars, dealt, ["MA5"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and f", {dealt.tasks})" in plan
     assert layouts.with_tasks(SymbolLayout(), bars, 1000).tasks is None
+
+
+def test_buckets_grow_with_the_ticks(spark, monkeypatch):
+    asked = []
+    store = catalog.store_bars
+    monkeypatch.setattr(layouts, "ROWS_PER_TASK", 400)
+    monkeypatch.setattr(catalog, "store_bars", lambda bars, name, buckets, path: (asked.append(buckets), store(bars, name, buckets, path)))
+    assert catalog.QUERIES["s01_scan_from_buckets"](spark, "/root/testdata/sf0.001").count() > 0
+    assert asked == [15]
