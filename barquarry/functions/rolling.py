@@ -10,7 +10,7 @@ plan do not grow with n. Sums are only ever added, never subtracted, so no digit
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
@@ -22,10 +22,13 @@ LONGEST_PARTED = 250
 
 
 class Rolling:
-    """Frames sharing one partitioning and one order, so Spark plans them on a single sort."""
+    """Frames sharing one partitioning and one order, so Spark plans them on a single sort.
 
-    def __init__(self, keys: Sequence[str], order: str = "date") -> None:
-        self.keys, self.order = tuple(keys), order
+    ``runs`` has the columns that are never null but on the first so many rows of a series.
+    """
+
+    def __init__(self, keys: Sequence[str], order: str = "date", runs: Mapping[str, int] | None = None) -> None:
+        self.keys, self.order, self.runs = tuple(keys), order, runs or {}
         self.ordered = Window.partitionBy(*keys).orderBy(order)
         self.so_far = self.ordered.rowsBetween(Window.unboundedPreceding, 0)
         self.before = self.ordered.rowsBetween(Window.unboundedPreceding, -1)
@@ -54,6 +57,10 @@ class Rolling:
         last_null = F.max(F.when(c.isNull(), F.col("_rn"))).over(self.so_far)
         return F.col("_rn") - F.coalesce(last_null, F.lit(-1))
 
+    def run_of(self, source: str) -> Column:
+        """The run length of a named column: known from the row number, or the column added for it."""
+        return F.col("_rn") + (1 - self.runs[source]) if source in self.runs else F.col(f"_RUN_{source}")
+
     def total(self, c: Column) -> Column:
         return F.sum(c).over(self.so_far)
 

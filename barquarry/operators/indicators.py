@@ -124,6 +124,8 @@ _INPUTS = {
     "LOSS": (1, ("_LOSS",), lambda: c("_LOSS")),
     "STOCH": (2, ("STOCH_K",), lambda: c("STOCH_K")),
 }
+# Inputs that complete bars have on all rows but the first so many; volumes are not prices and may be absent.
+_COMPLETE_RUNS = {"CLOSE": 0, "HIGH": 0, "LOW": 0, "BODY": 0, "TR": 0, "GAIN": 1, "LOSS": 1}
 _ROLLING_NAME = re.compile(r"^_(RUN|SUM|TOP|BOTTOM)(\d*)_([A-Z]+)$")
 _RUNNING_NAME = re.compile(r"^_(HEAD|TAIL)_(SUM|TOP|BOTTOM)(\d+)_([A-Z]+)$")
 _WINDOWED_NAME = re.compile(r"^(VMA|MA|HH|LL)([1-9]\d*)$")
@@ -178,7 +180,7 @@ def _rolled(kind: str, n: int, source: str) -> Derived:
     """A rolling value that is null unless all n inputs are present."""
     held = _rolling_column(kind, n, source)
     name, run = f"_{kind}{n}_{source}", f"_RUN_{source}"
-    return Derived(held.stage, (name, run), lambda r: F.when(c(run) >= n, c(name)))
+    return Derived(held.stage, (name, run), lambda r: F.when(r.run_of(source) >= n, c(name)))
 
 
 def _mean(n: int, source: str) -> Derived:
@@ -285,7 +287,7 @@ def _sd20(r: Rolling) -> Column:
     """Sample deviation of 20 rows from two halves (parallel form of Chan et al.)."""
     apart = (c("_SUM10_CLOSE") - r.lag(c("_SUM10_CLOSE"), 10)) / 10.0
     squares = c("_SQ10") + r.lag(c("_SQ10"), 10) + apart * apart * 5.0
-    return F.when(c("_RUN_CLOSE") >= 20, F.sqrt(squares / 19.0))
+    return F.when(r.run_of("CLOSE") >= 20, F.sqrt(squares / 19.0))
 
 
 # Recurrences run between stages: output -> (input, decay).
@@ -349,7 +351,7 @@ def _derived() -> dict[str, Derived]:
         money.stage, money.needs + traded.needs, lambda r: money.build(r) / nz(traded.build(r))
     )
     d["VWAP"] = Derived(2, ("VWMA",), lambda r: c("VWMA"))
-    d["TRADE_FREQUENCY"] = Derived(2, ("VMA20",), lambda r: volume / nz(c("VMA20")) * 100)
+    d["TRADE_FREQUENCY"] = Derived(_LAST_STAGE, ("VMA20",), lambda r: volume / nz(c("VMA20")) * 100)
     d["_N_HIGH_VOL"] = Derived(3, ("VMA20",), lambda r: r.total(_ones(volume > c("VMA20") * 1.5)))
     d["HIGH_VOL_DAYS"] = Derived(4, ("_N_HIGH_VOL",), _last_rows_of("_N_HIGH_VOL", 30))
 
@@ -363,16 +365,16 @@ def _derived() -> dict[str, Derived]:
     d["ATR14"] = _mean(14, "TR")
     d["BB_MIDDLE"] = _mean(20, "CLOSE")
     d["_SD20"] = Derived(2, ("_SUM10_CLOSE", "_SQ10", "_RUN_CLOSE"), _sd20)
-    d["BB_UPPER"] = Derived(2, ("BB_MIDDLE", "_SD20"), lambda r: c("BB_MIDDLE") + c("_SD20") * 2)
-    d["BB_LOWER"] = Derived(2, ("BB_MIDDLE", "_SD20"), lambda r: c("BB_MIDDLE") - c("_SD20") * 2)
+    d["BB_UPPER"] = Derived(_LAST_STAGE, ("BB_MIDDLE", "_SD20"), lambda r: c("BB_MIDDLE") + c("_SD20") * 2)
+    d["BB_LOWER"] = Derived(_LAST_STAGE, ("BB_MIDDLE", "_SD20"), lambda r: c("BB_MIDDLE") - c("_SD20") * 2)
     d["BB_WIDTH"] = Derived(
-        2, ("BB_UPPER", "BB_LOWER"), lambda r: c("BB_UPPER") - c("BB_LOWER")
+        _LAST_STAGE, ("BB_UPPER", "BB_LOWER"), lambda r: c("BB_UPPER") - c("BB_LOWER")
     )
     d["BB_PERCENT_B"] = Derived(
-        2, ("BB_LOWER", "BB_WIDTH"), lambda r: (close - c("BB_LOWER")) / nz(c("BB_WIDTH"))
+        _LAST_STAGE, ("BB_LOWER", "BB_WIDTH"), lambda r: (close - c("BB_LOWER")) / nz(c("BB_WIDTH"))
     )
-    d["SUPPORT"] = Derived(2, ("MA20", "ATR14"), lambda r: c("MA20") - c("ATR14") * 1.5)
-    d["RESISTANCE"] = Derived(2, ("MA20", "ATR14"), lambda r: c("MA20") + c("ATR14") * 1.5)
+    d["SUPPORT"] = Derived(_LAST_STAGE, ("MA20", "ATR14"), lambda r: c("MA20") - c("ATR14") * 1.5)
+    d["RESISTANCE"] = Derived(_LAST_STAGE, ("MA20", "ATR14"), lambda r: c("MA20") + c("ATR14") * 1.5)
 
     # Momentum.
     gain, loss = _mean(14, "GAIN"), _mean(14, "LOSS")
@@ -391,10 +393,10 @@ def _derived() -> dict[str, Derived]:
         5, ("MACD_LINE", "MACD_SIGNAL"), lambda r: c("MACD_LINE") - c("MACD_SIGNAL")
     )
 
-    # Retracement levels.
+    # Retracement levels. Like bands they are row arithmetic, so they wait for the last stage: the second has many columns.
     for name, part in FIBONACCI.items():
         d[name] = Derived(
-            2, ("HH50", "LL50"), lambda r, p=part: c("HH50") - (c("HH50") - c("LL50")) * p
+            _LAST_STAGE, ("HH50", "LL50"), lambda r, p=part: c("HH50") - (c("HH50") - c("LL50")) * p
         )
 
     # Candles.
@@ -498,9 +500,9 @@ def _after(name: str) -> int:
     return _AVERAGES_2_AFTER if name in _AVERAGES_2 else _AVERAGES_1_AFTER
 
 
-def _passes(need: set[str]) -> dict[int, list[list[str]]]:
-    """Per stage, groups of columns to add one after the other so that inputs come first."""
-    computed = {n for n in need if averaged(n)} | {"ADX14"}
+def _passes(need: set[str], known: set[str]) -> dict[int, list[list[str]]]:
+    """Per stage, groups of columns to add one after the other so that inputs come first. ``known`` ones need no column."""
+    computed = {n for n in need if averaged(n)} | {"ADX14"} | known
     waiting = {n for n in need if n not in computed}
     ready = set(RAW_COLUMNS) | computed
     plan: dict[int, list[list[str]]] = {}
@@ -524,7 +526,7 @@ def _raw(bars: DataFrame, layout: Layout) -> DataFrame:
     numbered = layout.prepare(bars.select("symbol", "date", "open", "high", "low", "close", "volume"))
     keep = layout.helpers
     prices = [c(n.lower()).cast("double").alias(n) for n in RAW_COLUMNS if n != "PRICE"]
-    return numbered.select("symbol", "date", *keep, *prices).withColumn("PRICE", c("CLOSE"))
+    return numbered.select("symbol", "date", *keep, *prices)
 
 
 def _adx(df: DataFrame, roll: Rolling, layout: Layout) -> DataFrame:
@@ -538,14 +540,14 @@ def _adx(df: DataFrame, roll: Rolling, layout: Layout) -> DataFrame:
     return df.withColumn("ADX14", F.when(valid & (c("_BROKEN") == 0), c("_ADX")))
 
 
-def _fill_block_edges(df: DataFrame, layout: Layout, columns: list[str]) -> DataFrame:
+def _fill_block_edges(df: DataFrame, layout: Layout, at: dict[str, Column]) -> DataFrame:
     """Last known values from earlier blocks, for the rows a block cannot fill by itself.
 
     One row per block is aggregated and joined back on the key the blocks are partitioned by.
     """
-    has_adx = "ADX14" in columns
+    has_adx = "ADX14" in at
     aggs = [
-        F.max_by(c(n), F.when(c(n).isNotNull(), c("_rn"))).alias(f"_e_{n}") for n in columns
+        F.max_by(v, F.when(v.isNotNull(), c("_rn"))).alias(f"_e_{n}") for n, v in at.items()
     ]
     if has_adx:
         aggs.append(F.max("_BROKEN").alias("_e_broken"))
@@ -563,7 +565,7 @@ def _fill_block_edges(df: DataFrame, layout: Layout, columns: list[str]) -> Data
         "symbol",
         "_block",
         *(["_broken_before"] if has_adx else []),
-        *[F.last(c(f"_e_{n}"), ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in columns],
+        *[F.last(c(f"_e_{n}"), ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in at],
     )
     joined = df.join(carried, ["symbol", "_block"], "left")
     if has_adx:
@@ -574,23 +576,23 @@ def _fill_block_edges(df: DataFrame, layout: Layout, columns: list[str]) -> Data
 
 
 def _fill(
-    df: DataFrame, roll: Rolling, layout: Layout, columns: list[str], warmup: str, complete: bool
+    df: DataFrame, roll: Rolling, layout: Layout, at: dict[str, Column], warmup: str, complete: bool
 ) -> DataFrame:
     """Carry the last known value forward; what is still missing is warm-up and becomes 0."""
-    values = [n for n in columns if n not in CANDLE_FLAGS]
+    values = [n for n in at if n not in CANDLE_FLAGS]
     carried = [n for n in values if n in MAY_LAPSE or not complete]
     if layout.blocked and carried:
-        df = _fill_block_edges(df, layout, carried)
+        df = _fill_block_edges(df, layout, {n: at[n] for n in carried})
     filled = {}
     if warmup == "zero":
-        filled = {n: F.coalesce(c(n), F.lit(0.0)) for n in values if n not in carried}
+        filled = {n: F.coalesce(at[n], F.lit(0.0)) for n in values if n not in carried}
     for n in carried:
-        known = roll.last_known(F.when(layout.settled(), c(n)) if layout.blocked else c(n))
+        known = roll.last_known(F.when(layout.settled(), at[n]) if layout.blocked else at[n])
         if layout.blocked:
             known = F.coalesce(known, c(f"_c_{n}"))
         filled[n] = F.coalesce(known, F.lit(0.0)) if warmup == "zero" else known
     keep = ["symbol", "date", *layout.helpers]
-    ordered = [filled[n].alias(n) if n in filled else c(n) for n in columns]
+    ordered = [filled.get(n, at[n]).alias(n) for n in at]
     return df.select(*keep, *ordered)
 
 
@@ -618,11 +620,12 @@ def add_technical(
     need = _closure(names)
     if layout.blocked and longest_window(names) > layout.lookback:
         raise ValueError(f"the layout's lookback must be at least {longest_window(names)}")
-    roll = Rolling(layout.keys)
+    runs = _COMPLETE_RUNS if complete else {}
+    roll = Rolling(layout.keys, runs=runs)
     df = _raw(bars, layout)
     keep = ["symbol", "date", *layout.helpers]
-    plan = _passes(need)
-    packed: dict[str, str] = {}
+    plan = _passes(need, {f"_RUN_{source}" for source in runs})
+    packed: dict[str, str] = {"PRICE": "CLOSE"}
     for stage in range(_LAST_STAGE + 1):
         for names_at_once in plan.get(stage, []):
             df = df.withColumns({n: lookup(n).build(roll) for n in names_at_once})
@@ -633,11 +636,11 @@ def add_technical(
         df = _pack(df, f"_done{stage}", names, _read_by(later, need, stage), packed)
     if "ADX14" in need:
         df = _adx(df, roll, layout)
-    edge = ["_BROKEN"] if fill and layout.blocked and "ADX14" in need else []
-    df = df.select(*keep, *edge, *[c(packed.get(n, n)).alias(n) for n in names])
+    # Columns stay in their structs until the last select.
+    at = {n: c(packed.get(n, n)) for n in names}
     if not fill:
-        return df
-    return _fill(df, roll, layout, names, warmup, complete)
+        return df.select(*keep, *[at[n].alias(n) for n in names])
+    return _fill(df, roll, layout, at, warmup, complete)
 
 
 def _read_by(later: set[str], need: set[str], stage: int) -> set[str]:

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Sequence
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barquarry.functions import scalars
@@ -52,6 +52,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 AMOUNT = 1_000_000.0
+# More doubles than these are rounded as one array.
+_WIDE = 30
 c = F.col
 
 
@@ -165,12 +167,27 @@ def rounded(df: DataFrame, names: Sequence[str], digits: int = 4) -> DataFrame:
     keep = [n for n in df.columns if n not in names]
     kinds = dict(df.dtypes)
     shift = F.lit(float(f"1.37e-{digits + 3}"))
+    doubles = [n for n in names if kinds[n] == "double"]
+    if len(doubles) > _WIDE:
+        # One array in place of dozens of columns: the code made for them would be too long to be compiled to machine code.
+        place = {n: i for i, n in enumerate(doubles)}
+        array = F.transform(F.array(*[c(n) + shift for n in doubles]), lambda x: _half_up(x, digits))
+        packed = df.select(*keep, *[n for n in names if n not in place], array.alias("_rounded"))
+        return packed.select(*keep, *[F.get("_rounded", F.lit(place[n])).alias(n) if n in place else c(n) for n in names])
     return df.select(
         *keep,
         *[F.round(c(n) + shift, digits).alias(n) if kinds[n] == "double" else c(n) for n in names],
     )
 
 
+def _half_up(x: Column, digits: int) -> Column:
+    """``F.round`` by whole numbers, which needs no decimal number; near ties and for large values, where doubles could err, as it is."""
+    scale = float(10**digits)
+    whole = F.floor(x * scale + 0.5)
+    sure = (F.abs(x * scale - whole) < 0.49) & (F.abs(x) < 1e13 / scale)
+    return F.when(sure, whole / scale).otherwise(F.round(x, digits))
+
+
 def compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in for a compliance list: suppliers that owe nothing."""
     supplier = table(spark, sf_dir, "supplier").where(c("s_acctbal") >= 0)
@@ -425,7 +442,7 @@ _AVERAGED = ["MACD_LINE", "MACD_SIGNAL", "MACD_HISTOGRAM", "ADX14", "ADX_PLUS",
 def _in_layout(layout: Layout, names: Sequence[str], base: str = "day") -> Query:
     def run(spark, d):
         bars = _BARS[base](spark, d)
-        dealt = layout if layout.blocked else with_tasks(layout, bars, _ticks(spark, d, base))
+        dealt = with_tasks(layout, bars, _ticks(spark, d, base))
         frame = result_rows(add_technical(bars, dealt, names, complete=True), dealt)
         return rounded(frame.select("symbol", "date", *names), names)
 
@@ -571,7 +588,11 @@ _EXACT = f"{o.chain(_TREND_COLUMNS)}, x AS (SELECT symbol, date, rn, {o.exact(_T
 
 
 def exact_frame(spark, d, strategies, hold=1, base="day", extra=(), within=None):
-    bars, layout = (_BARS[base](spark, d), within) if within else inputs(spark, d, base, hold)
+    if within:
+        bars = _BARS[base](spark, d)
+        layout = with_tasks(within, bars, _ticks(spark, d, base))
+    else:
+        bars, layout = inputs(spark, d, base, hold)
     names = list(dict.fromkeys([*columns_of(strategies), *extra]))
     return indicator_frame(bars, names, layout, decimals=8, complete=True), layout
 
