@@ -168,3 +168,17 @@ def test_returns_look_back_over_their_lag(spark):
     bars = wavy_bars(spark, 400)
     with pytest.raises(ValueError, match="lookback"):
         add_technical(bars, BlockLayout(block_rows=128, lookback=64), ["PRICE_RETURN_100D_PCT"])
+
+
+def test_passes_over_blocks_move_no_rows(spark):
+    blocks = BlockLayout(block_rows=512, lookback=64, tasks=3)
+    frame = add_technical(wavy_bars(spark, 2_000), blocks, ["MA20", "RSI14"], warmup="null", fill=False)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "Exchange" not in plan and "SelectedBucketsCount: 3 out of 3" in plan
+
+
+def test_blocks_leave_no_table_behind(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    blocks = BlockLayout(block_rows=512, lookback=64)
+    assert result_rows(add_technical(wavy_bars(spark, 2_000), blocks, ["MA20"]), blocks).count() == 2_000
+    assert {t.name for t in spark.catalog.listTables()} == before
