@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from barquarry.llm.packing import CAPACITY, TOKENIZER, best_fit, fillings, least_bins, pack, pack_documents, plan_bins
+from barquarry.llm.packing import CAPACITY, TOKENIZER, WORDS_AT_ONCE, WORDS_KEPT, WordIds, best_fit, fillings, least_bins, pack, pack_documents, plan_bins
 
 
 def fewest(lengths, capacity):
@@ -128,3 +128,20 @@ def test_one_length_in_many_groups(spark):
 
 def test_no_rows(no_rows):
     assert pack_documents(no_rows).count() == 0
+
+
+def test_words_are_learned_in_small_parts():
+    ids = WordIds(public_tokenizers.path(TOKENIZER))
+    whole, asked = Tokenizer.from_file(public_tokenizers.path(TOKENIZER)), []
+    letters = "abcdefghijklmnopqrstuvwxyzäß"
+    texts = [" ".join(letters[i % 28] + letters[j] + letters[(i * j) % 28] + letters[k] for j in range(28) for k in range(28)) for i in range(28)]
+
+    class Watched:
+        def encode_batch_fast(self, batch, **options):
+            asked.extend(len(text.split(" ")) for text in batch)
+            return whole.encode_batch_fast(batch, **options)
+
+    ids.tokenizer = Watched()
+    found = ids.encode(texts)
+    assert max(asked) <= WORDS_AT_ONCE <= 5_000 and sum(asked) > WORDS_AT_ONCE and WORDS_KEPT <= 250_000
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in found] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
