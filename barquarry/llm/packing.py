@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import json
 import os
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from barquarry.llm.token_counts import WordSplitter
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a Python worker keeps; beyond, it begins anew.
+#: Words whose ids a Python worker keeps; beyond, it begins anew with a quarter of them, those met first.
 WORDS_KEPT = 250_000
 #: New words that are given to the library at once.
 WORDS_AT_ONCE = 5_000
@@ -47,6 +49,20 @@ MARK = np.array([0xFFFFFFFF], dtype="<u4")
 PLAN_STEPS = 12_000
 
 
+class KeptIds(dict):
+    """Ids of words as packed numbers; a printable ASCII word that is not there is merged by the library's model."""
+
+    def __init__(self, model, items=()):
+        super().__init__(items)
+        self.merged = model.tokenize
+
+    def __missing__(self, word: str) -> bytes:
+        # Such a word is its own byte-level form, so the merges are all that is left to do.
+        ids = [token.id for token in self.merged(word)]
+        self[word] = data = struct.pack(f"<{len(ids)}I", *ids)
+        return data
+
+
 class WordIds:
     """Ids of whole texts from the library's ids of their words, each distinct word encoded once."""
 
@@ -55,27 +71,24 @@ class WordIds:
 
         # A task has one core; the library's own threads would only hold memory.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.splitter = WordSplitter(spec)
+        # Words come to the library normalised and split, without added tokens.
+        steps = [{"type": "WhitespaceSplit"}, *spec["pre_tokenizer"]["pretokenizers"][1:]]
+        words = {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": steps}}
+        self.tokenizer = Tokenizer.from_str(json.dumps({**spec, **words}))
         end = spec["model"]["end_of_word_suffix"]
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        vocab = {**spec["model"]["vocab"], **{t["content"]: t["id"] for t in spec["added_tokens"]}}
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocab.items() if token.endswith(end)]] = True
         self.added = {t: np.asarray([vocab[t]], dtype="<u4").tobytes() for t in self.splitter.added}
-        self.kept: dict[str, bytes] = {}
-        self.forget()
-
-    def forget(self) -> None:
-        self.kept.clear()
-        self.kept.update(self.added)
-        self.kept["\n"] = MARK.tobytes()
+        self.kept = KeptIds(self.tokenizer.model, {**self.added, "\n": MARK.tobytes()})
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [self.splitter.parts(t) if t else [] for t in texts]
-        self.learn(set().union(*split))
+        self.learn(set().union(*(words for t, words in zip(texts, split) if t and not (t.isascii() and t.replace("\n", "").isprintable()))))
         return [b"".join(map(self.kept.__getitem__, words)) for words in split]
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -87,10 +100,12 @@ class WordIds:
         return ids[~marks], np.diff(np.flatnonzero(marks), prepend=-1) - 1
 
     def learn(self, words: set[str]) -> None:
+        """Make room, and learn those of the words that have other signs than printable ASCII."""
+        if len(self.kept) > WORDS_KEPT:
+            # Frequent words come early.
+            self.kept = KeptIds(self.tokenizer.model, islice(self.kept.items(), WORDS_KEPT // 4))
         kept = self.kept
-        if len(kept) > WORDS_KEPT:
-            self.forget()
-        new = list(words.difference(kept))
+        new = [w for w in words.difference(kept) if not (w.isascii() and w.isprintable())]
         for i in range(0, len(new), WORDS_AT_ONCE):
             part = new[i : i + WORDS_AT_ONCE]
             # Blanks part the words and leave no token; the last token of each is known by its mark. No offsets are asked for.

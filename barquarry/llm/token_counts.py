@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 
 import public_tokenizers
@@ -37,6 +38,13 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def ascii_form(pattern: str) -> re.Pattern | None:
+    """What the pattern is on ASCII texts, for the faster matcher that knows no Unicode classes; None if it asks for others than letters and digits."""
+    for inside, plain in (("[\\p{L}]", "[A-Za-z]"), ("[\\p{N}]", "[0-9]"), ("[^\\s\\p{L}\\p{N}]", "[^\\sA-Za-z0-9]")):
+        pattern = pattern.replace(inside, plain)
+    return None if "\\p" in pattern or "\\P" in pattern else re.compile(pattern, re.ASCII)
+
+
 class WordSplitter:
     """Normalisation and splitting of texts as the tokenizer file states them.
 
@@ -51,6 +59,7 @@ class WordSplitter:
             raise ValueError("the tokenizer file has another normaliser or splitter")
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.line_pattern = regex.compile("\n|" + split["pattern"]["Regex"])
+        self.ascii_pattern = ascii_form(split["pattern"]["Regex"]) or self.pattern
         self.added = [t["content"] for t in spec["added_tokens"]]
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")")
 
@@ -81,7 +90,8 @@ class WordSplitter:
         return [*self.line_pattern.findall(self.normal("\n".join(texts))), "\n"]
 
     def plain_words(self, text: str) -> list[str]:
-        return self.pattern.findall(self.normal(text))
+        text = self.normal(text)
+        return (self.ascii_pattern if text.isascii() else self.pattern).findall(text)
 
     def normal(self, text: str) -> str:
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from barquarry.llm import packing
 from barquarry.llm.packing import CAPACITY, TOKENIZER, WORDS_AT_ONCE, WORDS_KEPT, WordIds, best_fit, fillings, least_bins, pack, pack_documents, plan_bins
 
 
@@ -145,3 +146,24 @@ def test_words_are_learned_in_small_parts():
     found = ids.encode(texts)
     assert max(asked) <= WORDS_AT_ONCE <= 5_000 and sum(asked) > WORDS_AT_ONCE and WORDS_KEPT <= 250_000
     assert [np.frombuffer(x, dtype="<u4").tolist() for x in found] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_met_first_are_kept_when_there_is_no_more_room(monkeypatch):
+    monkeypatch.setattr(packing, "WORDS_KEPT", 40)
+    ids = WordIds(public_tokenizers.path(TOKENIZER))
+    library = Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
+    texts = ["the über café\tof ΑΣ it's", *(f"the über w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}ß x{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]} <|endoftext|> \x1f" for i in range(100))]
+    frequent = ids.encode(texts[:1]) and ids.kept["the"]
+    for t in texts:
+        assert np.frombuffer(ids.encode([t])[0], dtype="<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+        # The same bytes: not asked for again.
+        assert ids.kept["the"] is frequent and len(ids.kept) < 60
+
+
+def test_ascii_texts_are_split_as_by_the_tokenizer_s_pattern():
+    splitter = WordIds(public_tokenizers.path(TOKENIZER)).splitter
+    random.seed(3)
+    assert splitter.ascii_pattern is not splitter.pattern
+    for _ in range(3000):
+        text = "".join(random.choices([chr(i) for i in range(128)] + ["'s", "'ll", "'ve"], k=20)).lower()
+        assert splitter.plain_words(text) == splitter.pattern.findall(text)
