@@ -42,6 +42,10 @@ WORK_ROWS = 40_000
 SMALL_REGION = 64
 #: Bits of the vectors of sets up to WIDE_FROM shingles, and of larger ones.
 BITS, WIDE_BITS, WIDE_FROM = 512, 4096, 1024
+#: Sets of more shingles have wide vectors once only rows that stand in a pair are left.
+WIDE_AMONG_PAIRS_FROM = 64
+#: Pairs of wide vectors that are compared at once.
+WIDE_PAIRS = 20_000
 #: Bits of the fixed-size filter for the documents whose sets are made again.
 FILTER_BITS = 1 << 23
 WORDS_KEPT = 200_000
@@ -86,9 +90,9 @@ def shingler(size: int) -> Shingler:
     return kept_in_worker(("shingler", size), lambda: Shingler(size))
 
 
-def bit_vector(own: np.ndarray) -> bytes:
+def bit_vector(own: np.ndarray, wide_from: int = WIDE_FROM) -> bytes:
     """Parities of the shingles by hash: the Hamming distance never exceeds the symmetric difference."""
-    bits = WIDE_BITS if len(own) > WIDE_FROM else BITS
+    bits = WIDE_BITS if len(own) > wide_from else BITS
     odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -106,7 +110,7 @@ def pivots_of(own: np.ndarray, common: np.ndarray, counts: np.ndarray, percent:
     return own[np.lexsort((own, rank))[:width]]
 
 
-def described(docs: DataFrame, size: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def described(docs: DataFrame, size: int, percent: int, common: tuple[np.ndarray, np.ndarray], among: list[str]) -> DataFrame:
     """row, doc_id, digest (of the text), n, print (of the set), pivots and bits of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
     key_type = to_arrow_type(docs.schema["doc_id"].dataType)
@@ -130,7 +134,7 @@ def described(docs: DataFrame, size: int, percent: int, common: tuple[np.ndarray
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     made = docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, f"doc_id {kind}, digest long, n long, print binary, pivots binary, bits binary")
-    return stored(made.withColumn("row", F.monotonically_increasing_id()))
+    return stored(made.withColumn("row", F.monotonically_increasing_id()), among)
 
 
 def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -212,10 +216,12 @@ def near(i: np.ndarray, j: np.ndarray, n: np.ndarray, short: np.ndarray, wide: d
     apart = np.bitwise_count(short[i[at]] ^ short[j[at]]).sum(axis=1, dtype=np.int64)
     ok[at] = both[at] >= (100 + percent) * apart
     if wide:
-        for k in np.flatnonzero(ok):
-            a, b = wide.get(int(i[k])), wide.get(int(j[k]))
-            if a is not None and b is not None:
-                ok[k] = both[k] >= (100 + percent) * int(np.bitwise_count(a ^ b).sum())
+        at = np.flatnonzero(ok)
+        at = at[[a in wide and b in wide for a, b in zip(i[at].tolist(), j[at].tolist(), strict=True)]] if len(at) else at
+        for k in range(0, len(at), WIDE_PAIRS):
+            own = at[k : k + WIDE_PAIRS]
+            a, b = (np.stack([wide[x] for x in side[own].tolist()]) for side in (i, j))
+            ok[own] = both[own] >= (100 + percent) * np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
     return ok
 
 
@@ -370,15 +376,14 @@ def candidates(members: DataFrame, percent: int, spanning: bool) -> DataFrame:
     return members.select("pivot", "cell", "node", "n", "bits", "root").mapInArrow(run, "a long, b long").distinct()
 
 
-def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int, among: list[str], known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The pairs whose whole sets share enough, and the sets used (node, shingles).
+def sets_in(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, among: list[str]) -> DataFrame:
+    """The sets that stand in a pair: node, shingles, n, bits.
 
-    Sets are made again from the texts of the documents that stand in a pair, unless ``known`` has them; a
-    fixed-size bit filter, built by an aggregate, keeps the other texts from being moved.
+    They are made again from the texts of the documents; a fixed-size bit filter, built by an aggregate, keeps the
+    other texts from being moved.
     """
     spark = docs.sparkSession
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    nodes = nodes if known is None else nodes.join(known.select("node"), "node", "left_anti")
     asked = stored(classes.select("node", "doc_id", "print").join(nodes, "node"), among)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1
     cells = asked.select(F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits"))
@@ -396,12 +401,17 @@ def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, per
             for a, b in text_slices(texts, 1_000_000):
                 sets = [own.set_of(t) for t in texts[a:b]]
                 prints = [blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(prints, type=pa.binary()), pa.array([s.tobytes() for s in sets], type=pa.binary())], names=["print", "shingles"])
+                columns = [prints, [s.tobytes() for s in sets], [bit_vector(s, WIDE_AMONG_PAIRS_FROM) for s in sets]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.binary()) for c in columns], names=["print", "shingles", "bits"])
         trimmed()
 
-    made = docs.select((place - 1).alias("place"), "text").mapInArrow(run, "print binary, shingles binary")
-    sets = stored(made.join(asked.select("node", "print"), "print").select("node", "shingles").dropDuplicates(["node"]), among)
-    sets = sets if known is None else sets.unionAll(known)
+    made = docs.select((place - 1).alias("place"), "text").mapInArrow(run, "print binary, shingles binary, bits binary")
+    sets = made.join(asked.select("node", "print"), "print").select("node", "shingles", (F.length("shingles") / 8).cast("long").alias("n"), "bits")
+    return stored(sets.dropDuplicates(["node"]), among)
+
+
+def linked(pairs: DataFrame, sets: DataFrame, percent: int, among: list[str]) -> DataFrame:
+    """The pairs whose whole sets share enough."""
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
 
@@ -416,7 +426,7 @@ def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, per
         trimmed()
 
     found = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
-    return stored(found.mapInArrow(check, "a long, b long"), among), sets
+    return stored(found.mapInArrow(check, "a long, b long"), among)
 
 
 def components(links: DataFrame, among: list[str]) -> DataFrame:
@@ -454,31 +464,42 @@ def rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def grouped(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+def grouped(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT, among: list[str] | None = None) -> DataFrame:
     """doc_id, digest, n_shingles, component_id, row and group of every row of ``docs`` (doc_id, text, ...).
 
     component_id is the smallest doc_id that links reach. Null and empty texts, and texts of blanks,
     have no shingle, are linked with nothing and are groups of their own. Equal sets are linked
     always; repeated rows are one group. Other columns are ignored; texts are read whole; an empty
-    table gives an empty result.
+    table gives an empty result. The paths of the tables that the result reads are added to ``among``.
     """
-    every = described(docs, size, percent, common_shingles(docs, size))
+    among = [] if among is None else among
+    every = described(docs, size, percent, common_shingles(docs, size), among)
     full = every.where("n > 0")
     # One node for each distinct set: its first row. All that follows is about nodes.
-    first = stored(full.groupBy("print").agg(F.min("row").alias("node"), F.min("doc_id").alias("low")))
+    first = stored(full.groupBy("print").agg(F.min("row").alias("node"), F.min("doc_id").alias("low")), among)
     # Tables that only lead to the links are dropped when these are known.
-    scratch: list[str] = []
+    scratch, wide = [], []
     classes = full.withColumnRenamed("row", "node").join(first.select("node"), "node", "left_semi")
-    members, sizes = stored(regions(classes, percent, scratch), scratch), full.select(F.col("row").alias("node"), "n", "bits")
-    alone = members.join(sizes, "node").withColumn("root", F.col("node"))
-    links, sets = linked(stored(candidates(alone, percent, spanning=True), scratch), docs, classes, size, percent, scratch)
-    roots = components(links, scratch)
-    # Regions whose members are not all in one group yet are compared in full, across groups only.
-    now = rooted(members, roots)
-    apart = now.groupBy("pivot", "cell").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("pivot", "cell")
-    rest = stored(candidates(now.join(apart, ["pivot", "cell"]).join(sizes, "node"), percent, spanning=False), scratch)
-    more, _ = linked(rest, docs, classes, size, percent, scratch, sets)
-    roots = components(links.union(more), [])
+    members, sizes = stored(regions(classes, percent, wide), wide), full.select(F.col("row").alias("node"), "n", "bits")
+    pairs = stored(candidates(members.join(sizes, "node").withColumn("root", F.col("node")), percent, spanning=True), scratch)
+    sets = sets_in(pairs, docs, classes, size, scratch)
+    roots = components(linked(pairs, sets, percent, scratch), scratch)
+    # Every row that can link with another of its region stands in a pair by now: the others leave the regions. What is
+    # left has vectors that tell sets near the limit apart.
+    members = stored(members.join(sets.select("node", "n", "bits"), "node"), scratch)
+    dropped(docs.sparkSession, wide)
+    # Regions whose members are not all in one group yet are compared again, across groups only: first by pairs that
+    # connect them, so that groups with many links between them become one by a few, then in full.
+    for spanning in (True, False):
+        now = rooted(members, roots)
+        apart = now.groupBy("pivot", "cell").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("pivot", "cell")
+        rest = stored(candidates(now.join(apart, ["pivot", "cell"]), percent, spanning), scratch)
+        more = linked(rest.join(pairs, ["a", "b"], "left_anti"), sets, percent, scratch)
+        pairs = pairs.unionAll(rest)
+        if not more.isEmpty():
+            tied = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+            roots = components(tied.union(more), scratch)
+    roots = stored(roots, among)
     dropped(docs.sparkSession, scratch)
     named = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -499,7 +520,9 @@ def one_of_each_group(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     Rows without a shingle all stay.
     """
-    rows = stored(grouped(docs, size, percent))
+    made: list[str] = []
+    rows = stored(grouped(docs, size, percent, made))
+    dropped(docs.sparkSession, made)
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
     kept = rows.groupBy("group").agg(lead.alias("k")).select("k.row").join(rows, "row")
     # Texts are known by id and digest; rows repeated under the same two are told apart at the end.

@@ -148,3 +148,13 @@ def test_pairs_are_sent_in_slices(monkeypatch):
     start = np.arange(300) == 0
     slices = [len(i) for i, _ in j.region_pairs(start, n, bits, np.arange(300), 85, False)]
     assert max(slices) < 1300 and sum(slices) > 10_000
+
+
+def test_wide_vectors_tell_sets_near_the_limit_apart():
+    random_ = np.random.default_rng(4)
+    base = random_.integers(0, 2**63, 900).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[k * 90 :], random_.integers(0, 2**63, k * 90).astype(np.uint64)])) for k in (0, 1)]
+    n, both = np.array([len(s) for s in sets]), (np.array([0]), np.array([1]))
+    passed = [j.near(*both, n, *j.bits_matrix([j.bit_vector(s, wide) for s in sets]), 85) for wide in (j.WIDE_FROM, j.WIDE_AMONG_PAIRS_FROM)]
+    # 810 of 990 are shared, 81.8 %.
+    assert passed[0].tolist() == [True] and passed[1].tolist() == [False]
