@@ -5,7 +5,7 @@ once, in the last ``STRIDE`` places of one window; what stands before is context
 frequent id or a band of rarer ones, inside which ids have their counted shares, so the
 probabilities of all ids add up to one. Beside it stands a base score from word counts of all
 training documents: documents are dealt in blocks, a block's distinct words travel once each, and
-their counts come back to the block.
+their counts come back to the block. Texts are split and encoded once, for training and scoring.
 """
 
 from __future__ import annotations
@@ -18,12 +18,14 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from barquarry.llm.common import read, remainder, stored, text_slices
+from barquarry.llm.common import read, remainder, size_slices, stored, text_slices
 from barquarry.llm.packing import WordIds, word_ids
 
 TOKENIZER = "word_bpe_49k.json"
@@ -37,13 +39,17 @@ ROUNDS = 2
 LEARNED_BYTES = 1_000_000
 BATCH_WINDOWS = 256
 #: Windows that are scored at once.
-SCORED_WINDOWS = 256
+SCORED_WINDOWS = 128
+#: Windows of a batch that are worked on at once, so that their numbers stay near the processor.
+NEAR_WINDOWS = 128
 RATE = 0.15
 #: Weights travel in pieces of so many numbers.
 CHUNK = 1024
 #: Characters of a block of documents whose words are counted together, at least.
 BLOCK_CHARS = 24_000_000
 END_WORD = b" "
+#: Column of coded rows with the packed subword ids.
+IDS = "subword_ids"
 
 
 @dataclass
@@ -95,62 +101,157 @@ class Shape:
 
 
 #: The last STRIDE places look at all places up to their own.
-MASK = np.where(np.arange(WINDOW)[None, :] <= np.arange(WINDOW - STRIDE, WINDOW)[:, None], 0.0, -1e9).astype(np.float32)
+SEEN = (np.arange(WINDOW)[None, :] <= np.arange(WINDOW - STRIDE, WINDOW)[:, None]).astype(np.float32)
 #: Input row of places before the text.
 PAD = OWN_INPUTS + SHARED_INPUTS
+#: Vectors end in a 1, which takes up biases and sums, and in a number that keeps attention off places before the text.
+ONE, OFF, WIDE = WIDTH, WIDTH + 1, WIDTH + 2
+FAR = np.float32(-1e9)
+#: Numbers of the cells of the input vectors.
+CELLS = np.arange((PAD + 1) * WIDE).reshape(PAD + 1, WIDE)
+#: Exponents up to this size need no shift.
+SAFE = 60
+
+
+def widened(matrix: np.ndarray, *more: np.ndarray, columns: int = WIDE) -> np.ndarray:
+    """``matrix`` in the corner of a larger one, with the rows ``more`` below it."""
+    out = np.zeros((max(WIDE, len(matrix) + len(more)), columns), dtype=matrix.dtype)
+    out[: len(matrix), : matrix.shape[1]] = matrix
+    for k, row in enumerate(more, len(matrix)):
+        out[k, : len(row)] = row
+    return out
+
+
+def prepared(w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The weights as the products use them.
+
+    Query and key meet only in their product, and values are made after mixing, so that neither is
+    made for all places of a window.
+    """
+    embed = np.zeros((len(w["embed"]), WIDE), dtype=w["embed"].dtype)
+    embed[:, :WIDTH] = w["embed"]
+    embed[:, ONE] = 1
+    embed[PAD, OFF] = FAR
+    place = np.zeros((WINDOW, WIDE), dtype=embed.dtype)
+    place[:, :WIDTH] = w["place"]
+    match = widened(w["query"] @ w["key"].T * np.float32(WIDTH**-0.5))
+    # No vector is longer than this.
+    longest = sum(np.sqrt(np.square(w[k]).sum(1).max()) for k in ("embed", "place"))
+    most_match = longest**2 * np.sqrt(np.square(match).sum())
+    match[ONE, OFF] = 1
+    out = np.concatenate([w["out"], w["out_bias"][None]])
+    return {
+        "embed": embed, "place": place, "match": match, "longest": longest, "most_match": most_match, "value": widened(w["value"]),
+        "inner": widened(w["inner"], w["inner_bias"], columns=HIDDEN), "out": out, "most_out": np.abs(out).sum(0).max(),
+    }
+
+
+def shifted(a: np.ndarray, axis: int) -> None:
+    a -= a.max(axis=axis, keepdims=True)
+
+
+def large(a: np.ndarray) -> bool:
+    return max(a.max(), -a.min()) > SAFE
+
+
+def hidden(p: dict[str, np.ndarray], x: np.ndarray) -> dict[str, np.ndarray]:
+    """Inner units at the last STRIDE places of each window of input rows ``x``, and what led to them."""
+    n = len(x)
+    e = p["embed"].take(x, axis=0)
+    e += p["place"]
+    tail = e[:, WINDOW - STRIDE :].reshape(-1, WIDE)
+    turned = np.ascontiguousarray(e.transpose(0, 2, 1))
+    t = tail @ p["match"]
+    # Behind the attention's exponents there is room for their slopes.
+    both = np.empty((n, 2 * STRIDE, WINDOW), dtype=e.dtype)
+    a = both[:, :STRIDE]
+    np.matmul(t.reshape(n, STRIDE, WIDE), turned, out=a)
+    # A text's first place is its start sign, so every place sees at least one that is in the text.
+    if p["most_match"] > SAFE and p["longest"] * np.sqrt(np.einsum("ij,ij->i", t, t).max()) > SAFE:
+        a += np.where(SEEN > 0, np.float32(0), FAR)
+        shifted(a, 2)
+    np.exp(a, out=a)
+    a *= SEEN
+    mixed = (a @ e).reshape(-1, WIDE)
+    total = mixed[:, ONE : ONE + 1].copy()
+    mixed /= total
+    h = mixed @ p["value"]
+    h += tail
+    z = h @ p["inner"]
+    np.tanh(z, out=z)
+    g = np.ones((len(h), HIDDEN + 1), dtype=e.dtype)
+    g[:, :HIDDEN] = z
+    return {"e": e, "tail": tail, "turned": turned, "t": t, "both": both, "mixed": mixed, "total": total, "h": h, "z": z, "g": g}
+
+
+def exponents(p: dict[str, np.ndarray], g: np.ndarray) -> np.ndarray:
+    """Log weights of the outputs, shifted by row where they may be large."""
+    logits = g @ p["out"]
+    # Inner units lie between -1 and 1.
+    if p["most_out"] > SAFE and large(logits):
+        shifted(logits, 1)
+    return logits
 
 
 def forward(w: dict[str, np.ndarray], x: np.ndarray) -> dict[str, np.ndarray]:
     """Log probabilities of the outputs at the last STRIDE places of each window of input rows ``x``."""
-    c: dict[str, np.ndarray] = {"x": w["embed"][x] + w["place"]}
-    tail = c["x"][:, WINDOW - STRIDE :]
-    c["q"], c["k"], c["v"] = tail @ w["query"], c["x"] @ w["key"], c["x"] @ w["value"]
-    a = c["q"] @ c["k"].transpose(0, 2, 1)
-    a *= np.float32(WIDTH**-0.5)
-    a += MASK
-    a += np.where(x == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
-    # A text's first place is its start sign, so every place sees at least one that is no pad.
-    a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
-    c["a"] = a
-    c["h"] = tail + a @ c["v"]
-    c["g"] = np.tanh(c["h"] @ w["inner"] + w["inner_bias"])
-    logits = c["g"].reshape(-1, HIDDEN) @ w["out"] + w["out_bias"]
-    logits -= logits.max(axis=1, keepdims=True)
-    total = np.exp(logits).sum(axis=1, keepdims=True)
-    logits -= np.log(total)
-    c["log"] = logits
+    p = prepared(w)
+    c = hidden(p, x)
+    logits = exponents(p, c["g"])
+    c["log"] = logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
     return c
 
 
 def gradient(w: dict[str, np.ndarray], x: np.ndarray, target: np.ndarray, counted: np.ndarray, shape: Shape) -> np.ndarray:
     """Slope of the mean log probability of ``target`` at the places ``counted``."""
-    c = forward(w, x)
-    flat_target, flat_counted = target.ravel(), counted.ravel()
-    d = -np.exp(c["log"])
-    d[np.arange(len(d)), flat_target] += 1
-    d *= (flat_counted / max(1, flat_counted.sum())).astype(np.float32)[:, None]
-    g = {"out": c["g"].reshape(-1, HIDDEN).T @ d, "out_bias": d.sum(0)}
-    dg = (d @ w["out"].T).reshape(c["g"].shape) * (1 - c["g"] ** 2)
-    g["inner"] = c["h"].reshape(-1, WIDTH).T @ dg.reshape(-1, HIDDEN)
-    g["inner_bias"] = dg.sum((0, 1))
-    dh = dg @ w["inner"].T
-    da = dh @ c["v"].transpose(0, 2, 1)
-    dv = c["a"].transpose(0, 2, 1) @ dh
-    ds = c["a"] * (da - (da * c["a"]).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
-    dq, dk = ds @ c["k"], ds.transpose(0, 2, 1) @ c["q"]
-    tail = c["x"][:, WINDOW - STRIDE :].reshape(-1, WIDTH)
-    whole = c["x"].reshape(-1, WIDTH)
-    g["query"], g["key"], g["value"] = tail.T @ dq.reshape(-1, WIDTH), whole.T @ dk.reshape(-1, WIDTH), whole.T @ dv.reshape(-1, WIDTH)
-    dx = dk @ w["key"].T + dv @ w["value"].T
-    dx[:, WINDOW - STRIDE :] += dh + dq @ w["query"].T
-    g["place"] = dx.sum(0)
-    embed = np.zeros(w["embed"].shape, dtype=np.float32)
-    for k in range(WIDTH):
-        embed[:, k] = np.bincount(x.ravel(), weights=dx[..., k].ravel(), minlength=len(embed))
-    g["embed"] = embed
-    return np.concatenate([g[n].ravel() for n in shape.names]).astype(np.float32)
+    p = prepared(w)
+    weight = counted / -max(1, np.count_nonzero(counted))
+    parts = [slopes(p, x[i : i + NEAR_WINDOWS], target[i : i + NEAR_WINDOWS], weight[i : i + NEAR_WINDOWS]) for i in range(0, len(x), NEAR_WINDOWS)]
+    g = {k: sum(part[k] for part in parts) for k in parts[0]}
+    match = g["match"][:WIDTH, :WIDTH] * np.float32(WIDTH**-0.5)
+    # What the last two numbers of vectors would learn is left out.
+    found = {
+        "embed": g["embed"].reshape(CELLS.shape)[:, :WIDTH], "place": g["place"][:, :WIDTH], "query": match @ w["key"], "key": match.T @ w["query"],
+        "value": g["value"][:WIDTH, :WIDTH], "inner": g["inner"][:WIDTH], "inner_bias": g["inner"][ONE], "out": g["out"][:HIDDEN], "out_bias": g["out"][HIDDEN],
+    }
+    return np.concatenate([found[k].ravel() for k in shape.names]).astype(np.float32)
+
+
+def slopes(p: dict[str, np.ndarray], x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Slopes of the sum of log probabilities, each times minus its weight, by the prepared matrices."""
+    c = hidden(p, x)
+    n, e, both, mixed, z = len(x), c["e"], c["both"], c["mixed"], c["z"]
+    d = exponents(p, c["g"])
+    np.exp(d, out=d)
+    total = d @ np.ones(d.shape[1], dtype=d.dtype)
+    # The slope of a row's log weights is its exponents less their total at the target, times its share.
+    d.ravel()[np.arange(0, d.size, d.shape[1]) + target.ravel()] -= total
+    share = (weight.ravel() / total).astype(d.dtype)[:, None]
+    c["g"] *= share
+    dz = d @ p["out"][:HIDDEN].T
+    dz *= share
+    z *= z
+    np.subtract(1, z, out=z)
+    dz *= z
+    dh = dz @ p["inner"].T
+    # Slopes of the mixing: what a place's value adds, less the mean over all places, which is a 1's part.
+    dm = dh @ p["value"].T
+    dm[:, ONE] = (dm * mixed) @ np.full(WIDE, -1, dtype=dm.dtype)
+    dm /= c["total"]
+    pairs = np.empty((n, 2 * STRIDE, WIDE), dtype=e.dtype)
+    pairs[:, :STRIDE] = dm.reshape(n, STRIDE, WIDE)
+    pairs[:, STRIDE:] = c["t"].reshape(n, STRIDE, WIDE)
+    ds = both[:, STRIDE:]
+    np.matmul(dm.reshape(n, STRIDE, WIDE), c["turned"], out=ds)
+    ds *= both[:, :STRIDE]
+    dt = (ds @ e).reshape(-1, WIDE)
+    dx = both.transpose(0, 2, 1) @ pairs
+    found = {"out": c["g"].T @ d, "inner": c["h"].T @ dz, "value": mixed.T @ dh, "match": c["tail"].T @ dt}
+    dh += dt @ p["match"].T
+    dx[:, WINDOW - STRIDE :] += dh.reshape(n, STRIDE, WIDE)
+    found["place"] = dx.reshape(n, -1).sum(0).reshape(WINDOW, WIDE)
+    found["embed"] = np.bincount(CELLS.take(x.ravel(), axis=0).ravel(), weights=dx.ravel(), minlength=CELLS.size)
+    return found
 
 
 def streams(sequences: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,34 +275,11 @@ def streams(sequences: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(read_), np.concatenate(asked), np.concatenate(owner)
 
 
-def log_probabilities(w: dict[str, np.ndarray], x: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural log probability of output ``target`` at the last STRIDE places of each window.
-
-    The forward pass without what only training needs: exponents are bounded from above instead of
-    shifted, and the attention's weights are summed by the product that applies them.
-    """
-    e = w["embed"].take(x, axis=0)
-    e += w["place"]
-    tail = e[:, WINDOW - STRIDE :]
-    a = (tail @ w["scaled_query"]) @ (e @ w["key"]).transpose(0, 2, 1)
-    np.minimum(a, np.float32(60), out=a)
-    a += MASK
-    padded = np.flatnonzero(x[:, WINDOW - STRIDE - 1] == PAD)
-    if len(padded):
-        a[padded] += np.where(x[padded] == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
-    np.exp(a, out=a)
-    value = np.ones((*e.shape[:2], WIDTH + 1), dtype=np.float32)
-    np.matmul(e, w["value"], out=value[:, :, :WIDTH])
-    mixed = a @ value
-    h = mixed[:, :, :WIDTH] / mixed[:, :, WIDTH:]
-    h += tail
-    g = h.reshape(-1, WIDTH) @ w["inner"]
-    g += w["inner_bias"]
-    logits = np.tanh(g, out=g) @ w["out"]
-    logits += w["out_bias"]
-    np.minimum(logits, np.float32(60), out=logits)
+def log_probabilities(p: dict[str, np.ndarray], x: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Natural log probability of output ``target`` at the last STRIDE places of each window, by prepared weights."""
+    logits = exponents(p, hidden(p, x)["g"])
     own = logits[np.arange(len(logits)), target.ravel()]
-    total = np.exp(logits, out=logits) @ np.ones(logits.shape[1], dtype=np.float32)
+    total = np.exp(logits, out=logits) @ np.ones(logits.shape[1], dtype=logits.dtype)
     return own - np.log(total)
 
 
@@ -219,15 +297,14 @@ class Model:
         """log10 probability of each sequence of ids followed by the end."""
         if not sequences:
             return np.empty(0)
-        w = self.shape.split(self.weights)
-        w["scaled_query"] = w["query"] * np.float32(WIDTH**-0.5)
+        p = prepared(self.shape.split(self.weights))
         v = self.vocabulary
         read_, asked, owner = streams(sequences, len(v.outputs) - 1)
         out = np.zeros(len(sequences))
         for i in range(0, len(read_), SCORED_WINDOWS):
             ids = asked[i : i + SCORED_WINDOWS]
             there = ids >= 0
-            value = log_probabilities(w, self.inputs(read_[i : i + SCORED_WINDOWS]), np.where(there, v.outputs[ids], 0))
+            value = log_probabilities(p, self.inputs(read_[i : i + SCORED_WINDOWS]), np.where(there, v.outputs[ids], 0))
             value = value.reshape(ids.shape).astype(np.float64) / np.log(10) + v.share[ids]
             per_window = np.where(there, value, 0.0).sum(1)
             out += np.bincount(owner[i : i + SCORED_WINDOWS], weights=per_window, minlength=len(out))
@@ -238,12 +315,12 @@ def fit_locally(vocabulary: Vocabulary, weights: np.ndarray, sequences: list[np.
     """One pass of Adagrad ascent over the windows of the sequences, from ``weights``; adds to ``history``."""
     model = Model(vocabulary, weights.copy())
     read_, asked, _ = streams(sequences, len(vocabulary.outputs) - 1)
+    inputs, counted = model.inputs(read_), asked >= 0
+    target = np.where(counted, vocabulary.outputs[asked], 0)
     order = np.random.default_rng(seed).permutation(len(read_))
     for i in range(0, len(order), BATCH_WINDOWS):
         at = order[i : i + BATCH_WINDOWS]
-        counted = asked[at] >= 0
-        target = np.where(counted, vocabulary.outputs[asked[at]], 0)
-        slope = gradient(model.shape.split(model.weights), model.inputs(read_[at]), target, counted, model.shape)
+        slope = gradient(model.shape.split(model.weights), inputs[at], target[at], counted[at], model.shape)
         history += slope * slope
         model.weights += np.float32(RATE) * slope / np.sqrt(history)
     return model.weights
@@ -253,39 +330,53 @@ def text_ids(coder: WordIds, texts: list[str | None]) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype="<u4").astype(np.int64) for x in coder.encode(texts)]
 
 
+def id_range(tokenizer: str) -> tuple[int, str]:
+    """How many ids there are with the end, and the type in which they are stored."""
+    size = len(word_ids(public_tokenizers.path(tokenizer)).ends) + 1
+    return size, "<u2" if size <= 1 << 16 else "<u4"
+
+
+def is_coded(rows: DataFrame) -> bool:
+    """Whether ``rows`` are those of ``coded``, or some of them."""
+    return {IDS, "block", "doc", "at", "n"} <= set(rows.columns)
+
+
+def subwords(rows: DataFrame, tokenizer: str) -> DataFrame:
+    """Packed subword ids of each text."""
+    path, (_, packed) = public_tokenizers.path(tokenizer), id_range(tokenizer)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = word_ids(path)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in text_slices(texts):
+                yield pa.RecordBatch.from_arrays([pa.array([x.astype(packed).tobytes() for x in text_ids(coder, texts[a:b])], type=pa.binary())], names=[IDS])
+
+    return rows.select("text").mapInArrow(run, f"{IDS} binary")
+
+
 def train(rows: DataFrame, tokenizer: str = TOKENIZER, rounds: int = ROUNDS) -> Model:
-    """The model of a table with a column text, by passes whose task weights are averaged.
+    """The model of a table with a column text, or of coded rows, by passes whose task weights are averaged.
 
     Every row counts for the vocabulary and gives its windows to every pass. Each round every task goes
     through its own documents from the common weights, and the means of the tasks' weights, taken in
     small pieces, are the next common ones. Only counts by id (as many as the tokenizer has) and
     weights (about 20,000 numbers) reach the driver.
     """
-    path = public_tokenizers.path(tokenizer)
-    size = len(word_ids(path).ends) + 1
-    packed = "<u2" if size <= 1 << 16 else "<u4"
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, counted = word_ids(path), np.zeros(size, dtype=np.int64)
-
-        def made(*columns) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.int64()), strict=True)], names=["ids", "id", "n"])
+    size, packed = id_range(tokenizer)
+    ids = (rows if is_coded(rows) else stored(subwords(rows, tokenizer))).select(IDS)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in text_slices(texts):
-                data = [np.frombuffer(x, dtype="<u4") for x in coder.encode(texts[a:b])]
-                counted += np.bincount(np.concatenate(data), minlength=size)
-                counted[-1] += b - a
-                yield made([x.astype(packed).tobytes() for x in data], [None] * (b - a), [None] * (b - a))
+            data = batch.column(0).to_pylist()
+            counted += np.bincount(np.frombuffer(b"".join(data), dtype=packed), minlength=size)
+            counted[-1] += len(data)
         there = np.flatnonzero(counted)
-        yield made([None] * len(there), there, counted[there])
+        yield pa.RecordBatch.from_arrays([pa.array(there, type=pa.int32()), pa.array(counted[there])], names=["id", "n"])
 
-    # Packed ids of each row, and for each task one row per id with its count.
-    both = stored(rows.select("text").mapInArrow(encode, "ids binary, id int, n long"))
-    ids = both.where(F.col("ids").isNotNull()).select("ids")
     counts = np.zeros(size)
-    for r in both.where(F.col("id").isNotNull()).groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in ids.mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r["id"]] = r["n"]
     vocabulary = Vocabulary.of(counts)
     weights = Shape.of(vocabulary.n_outputs).start()
@@ -325,12 +416,25 @@ def train(rows: DataFrame, tokenizer: str = TOKENIZER, rounds: int = ROUNDS) ->
     return Model(vocabulary, weights)
 
 
+class Numbers(dict):
+    """Numbers of words as they come; ``new`` has those not yet encoded."""
+
+    def __init__(self):
+        super().__init__({END_WORD: 0})
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
 class Block:
     """Words of a block of documents, numbered as they come; number 0 is the end. Blanks part subwords too."""
 
     def __init__(self, coder: WordIds):
         self.coder = coder
-        self.places: dict[bytes, int] = {END_WORD: 0}
+        self.places = Numbers()
         self.sizes, self.pool = np.zeros(1, dtype=np.int64), np.empty(0, dtype=np.int64)
         self.trained = np.zeros(1, dtype=np.int64)
         self.chars = 0
@@ -339,12 +443,11 @@ class Block:
         """Subword ids, word numbers and their counts of each text; training texts are counted."""
         # Blanks of bytes.split are those that part words here, and lower() changes A-Z only.
         split = [(t or "").encode("utf-8").lower().split() for t in texts]
-        new = list(set().union(*split).difference(self.places))
-        ids, sizes = self.coder.encode_words([w.decode("utf-8", "replace") for w in new])
-        self.places.update(zip(new, range(len(self.places), len(self.places) + len(new))))
-        self.sizes, self.pool = np.concatenate([self.sizes, sizes]), np.concatenate([self.pool, ids])
         lengths = np.array([len(w) for w in split])
         words = np.fromiter(map(self.places.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(lengths.sum()))
+        new, self.places.new = self.places.new, []
+        ids, sizes = self.coder.encode_words([w.decode("utf-8", "replace") for w in new])
+        self.sizes, self.pool = np.concatenate([self.sizes, sizes]), np.concatenate([self.pool, ids])
         # Ids of all words in order, from the pool.
         starts = np.cumsum(self.sizes) - self.sizes
         n = self.sizes[words]
@@ -364,21 +467,21 @@ class Block:
         return np.split(taken, last[:-1]), np.split(at.astype(np.int32), cuts), np.split(counts.astype(np.int32), cuts)
 
 
-def count_in_blocks(rows: DataFrame, model: Model, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Each text's model score and word numbers, and each block's words with their training counts.
+def coded(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """Each text's subword ids and word numbers, and each block's words with their training counts.
 
-    Rows with a doc number: doc_id, held_out, score and, as packed 32-bit numbers, the places of the
-    text's words in the block and how often it has them. Rows without: a stretch of the block's
-    words, from place ``first`` on, and how often training texts have them.
+    Rows with a doc number: doc_id, held_out, the text's subword ids and, as packed 32-bit numbers, the
+    places of its words in the block and how often it has them. Rows without: a stretch of the block's
+    words, from place ``first`` on, and how often training texts have them. Texts are split and encoded
+    here alone; training and scoring read the ids.
     """
-    path = public_tokenizers.path(tokenizer)
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    path, (_, packed) = public_tokenizers.path(tokenizer), id_range(tokenizer)
     key_type = rows.schema["doc_id"].dataType
     id_type = to_arrow_type(key_type)
-    fields = [("block", pa.int64()), ("doc", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("at", pa.binary()), ("n", pa.binary()), ("first", pa.int64()), ("counts", pa.list_(pa.int64())), ("words", pa.list_(pa.binary()))]
+    fields = [("block", pa.int64()), ("doc", pa.int64()), ("held_out", pa.bool_()), (IDS, pa.binary()), ("at", pa.binary()), ("n", pa.binary()), ("first", pa.int64()), ("counts", pa.list_(pa.int64())), ("words", pa.list_(pa.binary()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, own = word_ids(path), shared.value
+        coder = word_ids(path)
         part, number, docs_before = TaskContext.get().partitionId(), 0, 0
         block = Block(coder)
 
@@ -396,7 +499,7 @@ def count_in_blocks(rows: DataFrame, model: Model, tokenizer: str = TOKENIZER) -
             for a, b in text_slices(texts, 1_000_000):
                 k, none = b - a, [None] * (b - a)
                 ids, at, n = block.add(texts[a:b], held[a:b])
-                yield made(keys[a:b], [(part << 32) | number] * k, range(docs_before, docs_before + k), held[a:b], own.score(ids), [x.tobytes() for x in at], [x.tobytes() for x in n], none, none, none)
+                yield made(keys[a:b], [(part << 32) | number] * k, range(docs_before, docs_before + k), held[a:b], [x.astype(packed).tobytes() for x in ids], [x.tobytes() for x in at], [x.tobytes() for x in n], none, none, none)
                 docs_before += k
                 if block.chars >= BLOCK_CHARS:
                     yield from words_of_block()
@@ -404,19 +507,37 @@ def count_in_blocks(rows: DataFrame, model: Model, tokenizer: str = TOKENIZER) -
         if block.chars or docs_before:
             yield from words_of_block()
 
-    schema = f"doc_id {key_type.simpleString()}, block long, doc long, held_out boolean, score double, at binary, n binary, first long, counts array<long>, words array<binary>"
+    schema = f"doc_id {key_type.simpleString()}, block long, doc long, held_out boolean, {IDS} binary, at binary, n binary, first long, counts array<long>, words array<binary>"
     return stored(rows.select("doc_id", "text", "held_out").mapInArrow(run, schema))
 
 
+def model_scores(texts: DataFrame, model: Model, tokenizer: str) -> DataFrame:
+    """Coded rows with the model's score in place of the subword ids."""
+    _, packed = id_range(tokenizer)
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            data, rest = batch.column(0), batch.drop_columns(IDS)
+            for a, b in size_slices(pc.binary_length(data).to_pylist(), LEARNED_BYTES):
+                part = rest.slice(a, b - a)
+                score = own.score([np.frombuffer(x, dtype=packed).astype(np.int64) for x in data.slice(a, b - a).to_pylist()])
+                yield part.append_column("score", pa.array(score))
+
+    kept = texts.select(IDS, "doc_id", "block", "held_out", "at", "n")
+    return kept.mapInArrow(run, StructType([*kept.drop(IDS).schema, StructField("score", DoubleType())]))
+
+
 def lm_scores(rows: DataFrame, model: Model, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Scores of every row of ``rows`` (doc_id, text, held_out); held-out rows are not counted.
+    """Scores of every row of ``rows`` (doc_id, text, held_out), or of coded rows; held-out rows are not counted.
 
     A null text is empty: one token, the end. Repeated rows are counted and scored each; other
     columns are ignored; texts are read whole; an empty table gives an empty result; without training
     rows nothing is known and every token has the same base probability.
     """
-    both = count_in_blocks(rows, model, tokenizer)
-    texts = both.where(F.col("doc").isNotNull()).select("doc_id", "block", "doc", "held_out", "score", "at", "n")
+    both = rows if is_coded(rows) else coded(rows, tokenizer)
+    texts = model_scores(both.where(F.col("doc").isNotNull()), model, tokenizer)
     words = both.where(F.col("doc").isNull()).select("block", "first", F.posexplode(F.arrays_zip("counts", "words")).alias("k", "w"))
     words = words.select("block", (F.col("first") + F.col("k")).cast("int").alias("at"), F.col("w.counts").alias("n"), F.col("w.words").alias("word"))
     # One row per word and block: a word met everywhere has no more rows than there are blocks.
@@ -443,4 +564,5 @@ def lm_scores(rows: DataFrame, model: Model, tokenizer: str = TOKENIZER) -> Data
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 7) == 2).alias("held_out"))
-    return lm_scores(docs, train(docs.where(~F.col("held_out"))))
+    both = coded(docs)
+    return lm_scores(both, train(both.where(F.col("doc").isNotNull() & ~F.col("held_out"))))

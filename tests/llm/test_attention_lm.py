@@ -60,6 +60,47 @@ def test_gradient_is_the_numerical_one(vocabulary):
         assert slope[k] == pytest.approx((value(weights + d) - value(weights - d)) / 2e-4, rel=2e-2, abs=1e-6)
 
 
+def windows(vocabulary, factor=1):
+    shape = a.Shape.of(vocabulary.n_outputs)
+    read, asked, _ = a.streams([np.arange(20), np.arange(50, 153), np.arange(300, 311)], 599)
+    target = np.where(asked >= 0, vocabulary.outputs[asked], 0)
+    w = shape.split(shape.start() * np.float32(factor))
+    return shape, w, a.Model(vocabulary, shape.start()).inputs(read), target, asked >= 0
+
+
+def test_slopes_of_pieces_add_up_to_those_of_a_batch(vocabulary, monkeypatch):
+    shape, w, x, target, counted = windows(vocabulary)
+    whole = a.gradient(w, x, target, counted, shape)
+    monkeypatch.setattr(a, "NEAR_WINDOWS", 3)
+    assert np.allclose(a.gradient(w, x, target, counted, shape), whole, atol=1e-6)
+
+
+@pytest.mark.parametrize("factor", [1, 6, 40])
+def test_exponents_are_shifted_where_they_may_be_large(vocabulary, monkeypatch, factor):
+    shape, w, x, target, counted = windows(vocabulary, factor)
+    plain = a.log_probabilities(a.prepared(w), x, target), a.gradient(w, x, target, counted, shape)
+    monkeypatch.setattr(a, "SAFE", 1e-3)
+    shifted = a.log_probabilities(a.prepared(w), x, target), a.gradient(w, x, target, counted, shape)
+    assert np.isfinite(plain[0][counted.ravel()]).all() and np.isfinite(plain[1]).all()
+    assert np.allclose(plain[0][counted.ravel()], shifted[0][counted.ravel()], rtol=1e-4, atol=1e-4)
+    assert np.allclose(plain[1], shifted[1], rtol=1e-3, atol=1e-4)
+
+
+def test_texts_are_encoded_once_for_training_and_scoring(spark, awkward, tmp_path, monkeypatch):
+    texts = corpus(60) + [r.text for r in awkward.collect()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    given, train = [], a.train
+    monkeypatch.setattr(a, "train", lambda rows: given.append(rows) or train(rows, rounds=0))
+    assert a.op10_lm_scoring(spark, str(tmp_path)).count() == len(texts)
+    # Training reads ids, not texts, and they are the library's.
+    assert "text" not in given[0].columns
+    _, packed = a.id_range(a.TOKENIZER)
+    got = {r.doc_id: np.frombuffer(r[a.IDS], dtype=packed).tolist() for r in given[0].select("doc_id", a.IDS).collect()}
+    ids = a.text_ids(a.word_ids(a.public_tokenizers.path(a.TOKENIZER)), texts)
+    assert got == {i: x.tolist() for i, x in enumerate(ids) if zlib.crc32(str(i).encode()) % 7 != 2}
+
+
 def corpus(n):
     random.seed(4)
     return [" ".join(random.choices(["the cat", "sat on", "a mat", "Red dog", "ran"], k=random.randint(0, 40))) for _ in range(n)]
