@@ -8,8 +8,8 @@ the windows of one stage share a single sort, and a stage may use the columns of
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass, replace
 from functools import lru_cache, reduce
 from operator import add
 
@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 
 from barquarry.functions.rolling import LARGE_ROWS, LONGEST_PARTED, Rolling, extreme_parts, sum_parts
 from barquarry.functions.scalars import flag, nz
+from barquarry.operators import bar_arrays
+from barquarry.operators.bar_arrays import FIRST_FULL_DX, WILDER_DECAY, WILDER_ROWS, ema_step
 from barquarry.operators.layout import SHORTEST_LOOKBACK, Layout
 from barquarry.operators.recurrence import decayed_sums
+from barquarry.session import computed_once
 
 # Names of the 61 technical columns.
 RAW_COLUMNS = ["OPEN", "HIGH", "LOW", "CLOSE", "PRICE", "VOLUME"]
@@ -74,6 +77,9 @@ TECHNICAL_COLUMNS = [
     "HIGH_VOL_DAYS",
 ]
 
+# From so many columns on, bars of short series are worked in arrays too; fewer are windows, which need no Python.
+ARRAY_COLUMNS = 30
+
 # Columns that can lose their value in mid-series although every bar is complete: quotients
 # whose divisor can be zero.
 MAY_LAPSE = {
@@ -92,16 +98,9 @@ MAY_LAPSE = {
     "ADX_MINUS",
 }
 
-WILDER_ROWS = 14
-WILDER_DECAY = 13.0 / 14.0
-
 c = F.col
 
 
-def ema_step(span: int) -> float:
-    return 2.0 / (span + 1)
-
-
 @dataclass(frozen=True)
 class Derived:
     """One derived column: its stage, the derived columns it reads, and its expression."""
@@ -269,14 +268,11 @@ def _shadow_flag(long_side: Callable[[], Column], short_side: Callable[[], Colum
     )
 
 
-_FIRST_FULL_DX = 2 * WILDER_ROWS - 1
-
-
 def _adx_input(r: Rolling) -> Column:
-    in_seed = c("_rn").between(WILDER_ROWS, _FIRST_FULL_DX)
+    in_seed = c("_rn").between(WILDER_ROWS, FIRST_FULL_DX)
     return (
-        F.when(c("_rn") < _FIRST_FULL_DX, F.lit(0.0))
-        .when(c("_rn") == _FIRST_FULL_DX, F.avg(F.when(in_seed, c("_DX"))).over(r.so_far))
+        F.when(c("_rn") < FIRST_FULL_DX, F.lit(0.0))
+        .when(c("_rn") == FIRST_FULL_DX, F.avg(F.when(in_seed, c("_DX"))).over(r.so_far))
         .otherwise(c("_DX") / float(WILDER_ROWS))
     )
 
@@ -524,17 +520,17 @@ def _raw(bars: DataFrame, layout: Layout) -> DataFrame:
     numbered = layout.prepare(bars.select("symbol", "date", "open", "high", "low", "close", "volume"))
     keep = layout.helpers
     prices = [c(n.lower()).cast("double").alias(n) for n in RAW_COLUMNS if n != "PRICE"]
-    return numbered.select("symbol", "date", *keep, *prices)
+    return numbered.select("symbol", "date", *keep, *(["_more"] if layout.blocked else []), *prices)
 
 
 def _adx(df: DataFrame, roll: Rolling, layout: Layout) -> DataFrame:
     """ADX from row 27 on. A missing DX later on makes every following value missing."""
     broken = layout.settled() & (
-        ((c("_rn") == _FIRST_FULL_DX) & c("_IN_ADX").isNull())
-        | ((c("_rn") > _FIRST_FULL_DX) & c("_DX").isNull())
+        ((c("_rn") == FIRST_FULL_DX) & c("_IN_ADX").isNull())
+        | ((c("_rn") > FIRST_FULL_DX) & c("_DX").isNull())
     )
     df = df.withColumn("_BROKEN", F.max(flag(broken)).over(roll.so_far))
-    valid = (c("_rn") >= _FIRST_FULL_DX) & (c("_SERIES_ROWS") >= 2 * WILDER_ROWS)
+    valid = (c("_rn") >= FIRST_FULL_DX) & (c("_SERIES_ROWS") >= 2 * WILDER_ROWS)
     return df.withColumn("ADX14", F.when(valid & (c("_BROKEN") == 0), c("_ADX")))
 
 
@@ -602,15 +598,18 @@ def add_technical(
     fill: bool = True,
     warmup: str = "zero",
     complete: bool = False,
+    decimals: int | None = None,
+    shift: float = 0.0,
+    latest: bool = False,
 ) -> DataFrame:
-    """Bars with indicator columns.
+    """Bars with indicator columns, rounded to ``decimals`` if given, after ``shift`` is added.
 
     The result keeps symbol, date and the row number ``_rn`` (and, in a block layout, the
     neighbour rows marked by ``_own``; ``result_rows`` drops them). ``warmup='null'`` leaves
     rows without enough history null, so that rules on them are not met; ``fill=False`` also
     skips carrying values forward. ``complete=True`` promises bars without nulls (bars made
     from ticks, or the usable part of ``split_rejects``): only columns that can lapse on such
-    bars are then carried.
+    bars are then carried. ``latest=True`` says that only the last bar of each series is read; others may be left out.
     """
     if warmup not in ("zero", "null"):
         raise ValueError("warmup must be 'zero' or 'null'")
@@ -620,6 +619,8 @@ def add_technical(
         raise ValueError(f"the layout's lookback must be at least {longest_window(names)}")
     roll = Rolling(layout.keys)
     df = _raw(bars, layout)
+    if fill and complete and _in_arrays(names, layout):
+        return _by_arrays(df, layout, names, need, warmup, decimals, shift, latest)
     keep = ["symbol", "date", *layout.helpers]
     plan = _passes(need)
     packed: dict[str, str] = {"PRICE": "CLOSE"}
@@ -635,9 +636,85 @@ def add_technical(
         df = _adx(df, roll, layout)
     # Columns stay in their structs until the last select.
     at = {n: c(packed.get(n, n)) for n in names}
-    if not fill:
-        return df.select(*keep, *[at[n].alias(n) for n in names])
-    return _fill(df, roll, layout, at, warmup, complete)
+    done = _fill(df, roll, layout, at, warmup, complete) if fill else df.select(*keep, *[at[n].alias(n) for n in names])
+    if decimals is None:
+        return done
+    return done.withColumns({n: F.round(c(n) + shift if shift else c(n), decimals) for n, kind in done.dtypes if kind == "double"})
+
+
+def _in_arrays(names: Sequence[str], layout: Layout) -> bool:
+    """Long series, and many columns; windows beyond the parted ones and forced segments stay windows of the engine."""
+    short = all(bar_arrays.known(n) for n in names) and longest_window(names) <= LONGEST_PARTED
+    return short and layout.segment_rows is None and (layout.blocked or len(names) >= ARRAY_COLUMNS)
+
+
+def _by_arrays(
+    df: DataFrame, layout: Layout, names: list[str], need: set[str], warmup: str, decimals: int | None, shift: float, latest: bool
+) -> DataFrame:
+    """The columns made in arrays (``bar_arrays``), and in a block layout ``_ends``: the last row of its group.
+
+    A block layout is read by a pass for what each block leaves to the next, another for averages of averages, and one
+    for the columns. The first two need no block without a successor, and the second only the rows of the blocks themselves.
+    """
+    keys = list(layout.keys)
+    work = bar_arrays.Pass(
+        keys=tuple(keys),
+        kept=("symbol", "date", *layout.helpers),
+        names=tuple(names),
+        recurrences=tuple(sorted(n for n in need if averaged(n))),
+        carried=tuple(n for n in names if n in MAY_LAPSE),
+        zero=warmup == "zero",
+        block_rows=layout.block_rows if layout.blocked else None,
+        digits=decimals,
+        shift=shift,
+        latest=latest and layout.blocked,
+    )
+    kinds = {n: "double" for n in names} | {n: "int" for n in names if n in CANDLE_FLAGS}
+    if not layout.blocked:
+        df = df.withColumn("_at", c("_rn"))
+        return df.mapInArrow(work.columns, _schema(df, work.kept, {**kinds, "_ends": "boolean"})).drop("_ends")
+    # The window that numbers the rows of a group also sees to it that groups lie together and in order.
+    in_group = F.row_number().over(Window.partitionBy(*keys).orderBy("_rn")) - 1
+    before = None
+    ended = df.where("_more").select(*keys, "_rn", "HIGH", "LOW", "CLOSE", "VOLUME")
+    first = [n for n in work.recurrences if n not in bar_arrays.SECOND]
+    left = [*first, *[f"known_{n}" for n in work.carried if not n.startswith("ADX")]]
+    if left:
+        work = replace(work, left=tuple(left))
+        before = computed_once(_carried(ended.withColumn("_at", in_group), work, work.ends))
+    second = [n for n in work.recurrences if n in bar_arrays.SECOND]
+    late = [*second, *[f"known_{n}" for n in work.carried if n in ("ADX_PLUS", "ADX_MINUS")]]
+    late += ["broken", "known_ADX14", "shown"] if "_ADX" in second else []
+    if late:
+        # True ranges and moves read one row back.
+        begin = c("_block") * F.lit(layout.block_rows)
+        inside = ended.where(c("_rn").between(begin - 1, begin + layout.block_rows - 1)).drop("VOLUME")
+        work = replace(work, before=tuple(left), left=tuple(late))
+        more = _carried(_joined(inside.withColumn("_at", in_group), before, keys), work, work.second_ends)
+        both = F.concat(c("a._before"), c("b._before")).alias("_before")
+        before = computed_once(before.alias("a").join(more.alias("b"), keys).select(*keys, both))
+    work = replace(work, before=(*left, *[n for n in late if n != "shown"]))
+    df = (df.where("NOT _more") if latest else df).drop("_more").withColumn("_at", in_group)
+    if before is not None:
+        df = _joined(df, before, keys)
+    return df.mapInArrow(work.columns, _schema(df, work.kept, {**kinds, "_ends": "boolean"}))
+
+
+def _joined(df: DataFrame, before: DataFrame, keys: list[str]) -> DataFrame:
+    """What is left to a block, on its first row."""
+    return df.join(before, keys, "left").withColumn("_before", F.when(c("_at") == 0, c("_before")))
+
+
+def _schema(df: DataFrame, kept: Iterable[str], kinds: dict[str, str]) -> str:
+    types = dict(df.dtypes)
+    return ", ".join(f"`{n}` {kind}" for n, kind in {**{n: types[n] for n in kept}, **kinds}.items())
+
+
+def _carried(df: DataFrame, work: bar_arrays.Pass, ends: Callable) -> DataFrame:
+    """One row per block after the first: what the blocks before leave to it, of what a pass finds at the end of each."""
+    blocks = df.mapInArrow(ends, _schema(df, work.keys, {f"_e_{n}": "double" for n in work.left}))
+    blocks = blocks.withColumn("_at", F.row_number().over(Window.partitionBy("symbol").orderBy("_block")) - 1)
+    return blocks.mapInArrow(work.carry, _schema(df, work.keys, {"_before": "binary"}))
 
 
 def _read_by(later: set[str], need: set[str], stage: int) -> set[str]:
@@ -672,4 +749,4 @@ def _pack(
 def result_rows(df: DataFrame, layout: Layout) -> DataFrame:
     """Each bar once: drops the neighbour rows of a block layout and the helper columns."""
     out = df.where(layout.own()) if layout.blocked else df
-    return out.drop(*layout.helpers)
+    return out.drop(*layout.helpers, "_ends")

@@ -76,7 +76,8 @@ class BlockLayout:
 
     Rows are numbered per symbol and day and the days' counts are added up, so numbering needs
     no group longer than the bars of one day, whatever the distance between bars.
-    Blocks are dealt out to ``tasks`` tasks (as many as a shuffle has partitions if none are given) and put in
+    Series that are known to be short enough for one group (``whole``) are numbered in one.
+    ``_more`` marks the rows of blocks that have a block after them. Blocks are dealt out to ``tasks`` tasks (as many as a shuffle has partitions if none are given) and put in
     order once; what is written keeps the deal, so passes over it move nothing.
     """
 
@@ -88,6 +89,7 @@ class BlockLayout:
     helpers: tuple[str, ...] = ("_rn", "_block", "_own", "_last")
     blocked: bool = True
     tasks: int | None = None
+    whole: bool = False
 
     def __post_init__(self) -> None:
         if self.lookahead > self.block_rows:
@@ -105,6 +107,23 @@ class BlockLayout:
 
     def prepare(self, bars: DataFrame) -> DataFrame:
         size = self.block_rows
+        numbered = self._numbered_whole(bars) if self.whole else self._numbered_by_day(bars)
+        home = F.floor(F.col("_rn") / F.lit(size))
+        offset_in_block = F.col("_rn") % F.lit(size)
+        onward = F.sequence(home, F.floor((F.col("_rn") + self.lookback) / F.lit(size)))
+        back = F.when((offset_in_block < self.lookahead) & (home > 0), F.array(home - 1))
+        copies = F.concat(onward, F.coalesce(back, F.array().cast("array<bigint>")))
+        blocks = (
+            numbered.withColumn("_home", home)
+            .withColumn("_block", F.explode(copies))
+            .withColumn("_own", F.col("_block") == F.col("_home"))
+            .withColumn("_more", (F.col("_block") + 1) * F.lit(size) < F.col("_rows"))
+            .drop("_home", "_rows")
+        )
+        tasks = self.tasks or int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return dealt_once(blocks, self.keys, "date", tasks)
+
+    def _numbered_by_day(self, bars: DataFrame) -> DataFrame:
         sliced = bars.withColumn("_slice", F.to_date("date"))
         # One row per (symbol, day): the rows before each day, and the end of the series.
         series = Window.partitionBy("symbol").orderBy("_slice")
@@ -118,28 +137,23 @@ class BlockLayout:
                 "_slice",
                 F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
                 F.max("_end").over(whole).alias("_last"),
+                F.sum("_n").over(whole).alias("_rows"),
             )
         )
         in_slice = Window.partitionBy("symbol", "_slice").orderBy("date")
-        numbered = (
+        return (
             sliced.withColumn("_pos", F.row_number().over(in_slice) - 1)
             .join(offsets, ["symbol", "_slice"])
             .withColumn("_rn", F.col("_offset") + F.col("_pos"))
             .drop("_slice", "_pos", "_offset")
         )
-        home = F.floor(F.col("_rn") / F.lit(size))
-        offset_in_block = F.col("_rn") % F.lit(size)
-        onward = F.sequence(home, F.floor((F.col("_rn") + self.lookback) / F.lit(size)))
-        back = F.when((offset_in_block < self.lookahead) & (home > 0), F.array(home - 1))
-        copies = F.concat(onward, F.coalesce(back, F.array().cast("array<bigint>")))
-        blocks = (
-            numbered.withColumn("_home", home)
-            .withColumn("_block", F.explode(copies))
-            .withColumn("_own", F.col("_block") == F.col("_home"))
-            .drop("_home")
-        )
-        tasks = self.tasks or int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return dealt_once(blocks, self.keys, "date", tasks)
+
+    def _numbered_whole(self, bars: DataFrame) -> DataFrame:
+        series = Window.partitionBy("symbol").orderBy("date")
+        whole = series.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        known = bars.where(F.col("symbol").isNotNull() & F.col("date").isNotNull())
+        place = (F.row_number().over(series) - 1).cast("bigint")
+        return known.withColumns({"_rn": place, "_last": F.max("date").over(whole), "_rows": F.count(F.lit(1)).over(whole)})
 
     def own(self) -> Column:
         """The row belongs to this block and is part of its result."""
@@ -174,11 +188,15 @@ def tasks_of(rows: int) -> int:
     return max(1, -(-rows // ROWS_PER_TASK))
 
 
-def with_tasks(layout: Layout, bars: DataFrame, rows: int) -> Layout:
-    """A layout with tasks for ``rows`` rows (a bound will do); few rows in a layout by symbols are left to Spark."""
+def with_tasks(layout: Layout, bars: DataFrame, rows: int, longest: int | None = None) -> Layout:
+    """A layout with tasks for ``rows`` rows (a bound will do); few rows in a layout by symbols are left to Spark.
+
+    ``longest`` is the proven length of the longest series, if there is one.
+    """
     least = bars.sparkSession.sparkContext.defaultParallelism
     if layout.blocked:
-        return replace(layout, tasks=max(least, tasks_of(rows * layout.max_rows // layout.block_rows)))
+        whole = longest is not None and longest <= ROWS_PER_GROUP_LIMIT
+        return replace(layout, tasks=max(least, tasks_of(rows * layout.max_rows // layout.block_rows)), whole=whole)
     tasks = tasks_of(rows)
     return layout if tasks <= least else replace(layout, tasks=tasks)
 

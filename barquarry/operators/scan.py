@@ -16,6 +16,8 @@ from barquarry.operators.strategy import Strategy
 
 def latest_bars(frame: DataFrame, layout: Layout) -> DataFrame:
     """Last row of every series, found on the sort order the indicators already have."""
+    if "_ends" in frame.columns:
+        return frame.where(F.col("_ends") & layout.own()).drop("_ends")
     following = F.lead("date", 1).over(Rolling(layout.keys).ordered)
     return (
         frame.withColumn("_next", following)

@@ -442,7 +442,7 @@ _AVERAGED = ["MACD_LINE", "MACD_SIGNAL", "MACD_HISTOGRAM", "ADX14", "ADX_PLUS",
 def _in_layout(layout: Layout, names: Sequence[str], base: str = "day") -> Query:
     def run(spark, d):
         bars = _BARS[base](spark, d)
-        dealt = with_tasks(layout, bars, _ticks(spark, d, base))
+        dealt = with_tasks(layout, bars, _ticks(spark, d, base), _cells(spark, d, base))
         frame = result_rows(add_technical(bars, dealt, names, complete=True), dealt)
         return rounded(frame.select("symbol", "date", *names), names)
 
@@ -587,14 +587,14 @@ _TREND_COLUMNS = ["OPEN", "HIGH", "LOW", "CLOSE", "VOLUME", "MA20", "VMA20", "AT
 _EXACT = f"{o.chain(_TREND_COLUMNS)}, x AS (SELECT symbol, date, rn, {o.exact(_TREND_COLUMNS)} FROM ind)"
 
 
-def exact_frame(spark, d, strategies, hold=1, base="day", extra=(), within=None):
+def exact_frame(spark, d, strategies, hold=1, base="day", extra=(), within=None, latest=False):
     if within:
         bars = _BARS[base](spark, d)
-        layout = with_tasks(within, bars, _ticks(spark, d, base))
+        layout = with_tasks(within, bars, _ticks(spark, d, base), _cells(spark, d, base))
     else:
         bars, layout = inputs(spark, d, base, hold)
     names = list(dict.fromkeys([*columns_of(strategies), *extra]))
-    return indicator_frame(bars, names, layout, decimals=8, complete=True), layout
+    return indicator_frame(bars, names, layout, decimals=8, complete=True, latest=latest), layout
 
 
 @register(
@@ -814,7 +814,7 @@ def _scan_strategies() -> list[Strategy]:
 
 def _scan_hits(spark, d, within=None):
     strategies = _scan_strategies()
-    frame, layout = exact_frame(spark, d, strategies, within=within)
+    frame, layout = exact_frame(spark, d, strategies, within=within, latest=True)
     return scan_op.scan(frame, strategies, layout)
 
 

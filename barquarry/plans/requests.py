@@ -82,17 +82,16 @@ def indicator_frame(
     decimals: int | None = None,
     warmup: str = "zero",
     complete: bool = False,
+    latest: bool = False,
 ) -> DataFrame:
-    """Bars with just the columns some rules need, technical and fundamental."""
+    """Bars with just the columns some rules need, technical and fundamental; ``latest`` as in ``add_technical``."""
     technical = [n for n in columns if n not in FUNDAMENTAL_COLUMNS]
-    frame = add_technical(bars, layout, technical, warmup=warmup, complete=complete)
-    if decimals is not None:
-        doubles = [n for n, t in frame.dtypes if t == "double"]
-        frame = frame.withColumns({n: F.round(n, decimals) for n in doubles})
+    frame = add_technical(bars, layout, technical, warmup=warmup, complete=complete, decimals=decimals, latest=latest)
     if len(technical) < len(columns):
         if snapshots is None:
             raise ValueError("rules name fundamental columns but no snapshots are given")
-        frame = add_fundamentals(bars, frame, snapshots, layout, as_of)
+        # A join may move rows.
+        frame = add_fundamentals(bars, frame.drop("_ends"), snapshots, layout, as_of)
     return frame
 
 
@@ -119,6 +118,7 @@ def scan_request(
         as_of=as_of,
         decimals=decimals,
         complete=True,
+        latest=True,
     )
     return scan_rows(scan(frame, strategies, layout), compliance, amount)
 
