@@ -55,23 +55,26 @@ def first_exits(
     stops: Sequence[tuple[Rule, bool]],
     trailing: float | None,
     hold: int,
+    last: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(bar, price, reason) of the first exit of each of ``entries``; bar is NONE where the data ends first.
 
     ``bars`` are the columns of a series in order, ``usable`` marks bars on which an exit may be. ``stops`` are
-    rules in order of their levels, each with whether it names nothing but the entry price.
+    rules in order of their levels, each with whether it names nothing but the entry price. Where ``bars`` are of several series,
+    one after the other, ``last`` has for each entry the last bar of its series.
     """
     high, low, close = bars["HIGH"], bars["LOW"], bars["CLOSE"]
     n, count = len(close), len(entries)
     price = close[entries]
     own = {"ENTRY_PRICE": price}
-    start, end = entries + 1, np.minimum(entries + hold, n - 1)
+    last = np.full(count, n - 1) if last is None else last
+    start, end = entries + 1, np.minimum(entries + hold, last)
     highs = Extremes(np.where(usable, high, -np.inf), hold)
     lows = Extremes(np.where(usable, -low, -np.inf), hold)
     target = np.where(np.isnan(target), np.inf, target)
     first = highs.first_reaching(target, start, end)
     due = entries + hold
-    first = np.where((due < n) & usable[np.minimum(due, n - 1)], np.minimum(first, due), first)
+    first = np.where((due <= last) & usable[np.minimum(due, n - 1)], np.minimum(first, due), first)
     frozen = [np.broadcast_to(rule(own), (count,)).astype(float) if fixed else None for rule, fixed in stops]
     for level in frozen:
         if level is not None:

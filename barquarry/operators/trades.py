@@ -30,6 +30,7 @@ from pyspark.sql.types import StructType
 
 from barquarry.functions.rolling import Rolling
 from barquarry.functions.scalars import days_held, display_symbol, iso_date, range_days, share_count
+from barquarry.operators import bar_arrays
 from barquarry.operators.layout import Layout
 from barquarry.operators.crossing import NONE, first_exits
 from barquarry.operators.rules import ENTRY_PRICE, all_met, arithmetic, columns_used, per_bar, value
@@ -177,20 +178,27 @@ def exit_candidates(
 
     ``marks`` adds for the last bar of each symbol a row without strategy and exit.
 
-    Up to ``FRAME_BARS`` bars are read from a forward frame, without a shuffle. Longer holds are
+    Where the frame comes in order (``_ends`` marks the last bar of each group), all strategies whose stop rules are plain
+    arithmetic are searched in one pass over it. Otherwise up to ``FRAME_BARS`` bars are read from a forward frame, without a shuffle, and longer holds are
     found by crossing indexes over the bars of a group, on the partitioning that the windows left. Where stop
     rules are not plain arithmetic, signal bars are joined with the bars they may be held through; with a
     trailing stop besides, those are packed into chunks.
     """
-    keep = [*layout.keys, "date", "_rn", "CLOSE"] + (["_own"] if layout.blocked else [])
+    ordered = "_ends" in frame.columns
+    keep = [*layout.keys, "date", "_rn", "CLOSE"] + (["_own"] if layout.blocked else []) + (["_ends"] if ordered else [])
     narrow = frame.withColumns(entry_columns(strategies, amount)).withColumn("_bar", _bar(strategies))
     columns = [f"_{x}{i}" for i in range(len(strategies)) for x in ("qty", "target", "stop")]
     narrow = narrow.select(*keep, "_bar", *columns)
-    short = [(i, s) for i, s in enumerate(strategies) if s.max_hold <= FRAME_BARS]
-    parts = [_in_frames(narrow, short, layout, marks)] if short or marks else []
-    for i, s in enumerate(strategies):
+    stops_of = {i: _array_stops(s) for i, s in enumerate(strategies)}
+    at_once = [(i, s, stops_of[i]) for i, s in enumerate(strategies) if ordered and stops_of[i] is not None]
+    left = [(i, s) for i, s in enumerate(strategies) if not ordered or stops_of[i] is None]
+    short = [(i, s) for i, s in left if s.max_hold <= FRAME_BARS]
+    parts = [_in_order(narrow, at_once, layout, marks)] if at_once or (marks and ordered) else []
+    if short or (marks and not ordered):
+        parts.append(_in_frames(narrow, short, layout, marks and not ordered))
+    for i, s in left:
         if s.max_hold > FRAME_BARS:
-            stops = _array_stops(s)
+            stops = stops_of[i]
             if stops is not None:
                 parts.append(_by_crossing(narrow, i, s, stops, layout))
             else:
@@ -248,43 +256,87 @@ def _array_stops(s: Strategy) -> list | None:
     return None if any(f is None for f in found) else [(f, names <= {ENTRY_PRICE}) for f, names in found]
 
 
-def _by_crossing(narrow: DataFrame, i: int, s: Strategy, stops: list, layout: Layout) -> DataFrame:
-    keys = list(layout.keys)
-    own = layout.own()
-    level = {"qty": f"_qty{i}", "target": f"_target{i}", "stop": f"_stop{i}"}
-    data = narrow.select(*keys, "_bar.*", own.alias("_mine"), *[c(v).cast("double").alias(f"_{k}") for k, v in level.items()])
-    columns = columns_used(_stop_rules(s).values())
-    columns = list(dict.fromkeys(["HIGH", "LOW", "CLOSE", *columns]))
-    hold, trailing, fixed = max(1, s.max_hold), s.trailing, s.fixed_stop
-
-    def find(table: pa.Table) -> pa.Table:
-        table = table.take(pc.sort_indices(table["rn"]))
-        get = lambda name: table[name].to_numpy()
-        qty = get("_qty")
-        entries = np.flatnonzero(~np.isnan(qty) & get("_mine").astype(bool))
-        bars = {name: table[name].cast(pa.float64()).to_numpy() for name in columns}
-        stop, target = get("_stop")[entries], get("_target")[entries]
-        rules = [(lambda _: stop, True)] if fixed else stops
-        at, price, reason = first_exits(bars, get("usable").astype(bool), entries, target, rules, trailing, hold)
-        none = at == NONE
-        exit_at = pa.array(np.where(none, 0, at), mask=none)
-        entry = pa.array(entries)
-        null_of = lambda x: pa.array(x, mask=np.isnan(x))
-        made = [table[k].take(entry) for k in keys]
-        made += [table["rn"].take(entry), table["date"].take(entry), table["CLOSE"].take(entry).cast(pa.float64())]
-        made += [pa.array(qty[entries]), null_of(stop), null_of(target), table["rn"].take(exit_at), table["date"].take(exit_at)]
-        made += [pa.array(price, mask=none), pa.array(reason, pa.string(), mask=none)]
-        return pa.table(made, names=names)
+def _exits(table: pa.Table | pa.RecordBatch, keys: Sequence[str], i: int, columns: Sequence[str], stops: list, how: tuple, last: np.ndarray | None = None) -> list[pa.Array]:
+    """Columns of the candidates of strategy ``i`` among the bars of a table: keys, entry, size and levels, exit.
 
+    ``how`` is the longest hold, the trailing stop, and whether the stop is fixed. ``last`` has the last bar of each bar's group.
+    """
+    hold, trailing, fixed = how
+    qty, stop, target = (bar_arrays.floats(table[f"_{x}{i}"]) for x in ("qty", "stop", "target"))
+    entries = np.flatnonzero(~np.isnan(qty) & bar_arrays.booleans(table["_mine"]))
+    bars = {name: bar_arrays.floats(table[name]) for name in columns}
+    stop, target = stop[entries], target[entries]
+    rules = [(lambda _: stop, True)] if fixed else stops
+    end = None if last is None else last[entries]
+    at, price, reason = first_exits(bars, bar_arrays.booleans(table["usable"]), entries, target, rules, trailing, hold, end)
+    none = at == NONE
+    exit_at = pa.array(np.where(none, 0, at), mask=none)
+    entry = pa.array(entries)
+    null_of = lambda x: pa.array(x, mask=np.isnan(x))
+    made = [table[k].take(entry) for k in keys]
+    made += [table["rn"].take(entry), table["date"].take(entry), table["CLOSE"].take(entry).cast(pa.float64())]
+    made += [pa.array(qty[entries]), null_of(stop), null_of(target), table["rn"].take(exit_at), table["date"].take(exit_at)]
+    return [*made, pa.array(price, mask=none), pa.array(reason, pa.string(), mask=none)]
+
+
+def _search(narrow: DataFrame, numbered: Sequence[tuple[int, Strategy]], layout: Layout) -> tuple[DataFrame, list[str], dict[str, str]]:
+    """What a search for exits reads, the columns it tests, and the names and types of what ``_exits`` returns."""
+    keys = list(layout.keys)
+    levels = [c(f"_{x}{i}").cast("double").alias(f"_{x}{i}") for i, _ in numbered for x in ("qty", "target", "stop")]
+    data = narrow.select(*keys, "_bar.*", layout.own().alias("_mine"), *[n for n in narrow.columns if n == "_ends"], *levels)
+    columns = columns_used(rule for _, s in numbered for rule in _stop_rules(s).values())
     kinds = dict(data.dtypes)
     fields = {k: kinds[k] for k in keys}
     fields |= {"entry_rn": kinds["rn"], "entry_date": kinds["date"], "entry_price": "double", "qty": "double", "stop_loss": "double", "take_profit": "double"}
     fields |= {"exit_rn": kinds["rn"], "exit_date": kinds["date"], "exit_price": "double", "exit_reason": "string"}
+    return data, list(dict.fromkeys(["HIGH", "LOW", "CLOSE", *columns])), fields
+
+
+def _as_candidates(found: DataFrame, strategy: Column) -> DataFrame:
+    exit_ = F.struct(c("exit_rn").alias("rn"), c("exit_date").alias("date"), c("exit_price").alias("price"), c("exit_reason").alias("reason"), F.lit(True).alias("usable"))
+    kept = [n for n in found.columns if not n.startswith("exit_") and n != "strategy"]
+    return found.select(*kept, strategy.alias("strategy"), F.when(c("exit_rn").isNotNull(), exit_).alias("exit"))
+
+
+def _how(s: Strategy) -> tuple[int, float | None, bool]:
+    return max(1, s.max_hold), s.trailing, s.fixed_stop
+
+
+def _by_crossing(narrow: DataFrame, i: int, s: Strategy, stops: list, layout: Layout) -> DataFrame:
+    keys, how = list(layout.keys), _how(s)
+    data, columns, fields = _search(narrow, [(i, s)], layout)
     names = list(fields)
+
+    def find(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table["rn"]))
+        return pa.table(_exits(table.combine_chunks(), keys, i, columns, stops, how), names=names)
+
     found = data.groupBy(*keys).applyInArrow(find, ", ".join(f"`{k}` {v}" for k, v in fields.items()))
-    exit_ = F.struct(c("exit_rn").alias("rn"), c("exit_date").alias("date"), c("exit_price").alias("price"), c("exit_reason").alias("reason"), F.lit(True).alias("usable"))
-    kept = [n for n in names if not n.startswith("exit_")]
-    return found.select(*kept, F.lit(s.name).alias("strategy"), F.when(c("exit_rn").isNotNull(), exit_).alias("exit"))
+    return _as_candidates(found, F.lit(s.name))
+
+
+def _in_order(narrow: DataFrame, numbered: Sequence[tuple[int, Strategy, list]], layout: Layout, marks: bool) -> DataFrame:
+    """The candidates of several strategies in one pass over bars that lie in order, many groups at a time."""
+    keys = list(layout.keys)
+    data, columns, fields = _search(narrow, [(i, s) for i, s, _ in numbered], layout)
+    fields = {**fields, "strategy": "string"}
+    searches = [(i, s.name, stops, _how(s)) for i, s, stops in numbered]
+
+    def find(batches):
+        for batch in bar_arrays.whole_groups(batches):
+            starts, ends = bar_arrays.groups_in_order(batch, keys)
+            last = np.repeat(ends, ends - starts + 1)
+            with np.errstate(all="ignore"):
+                for i, name, stops, how in searches:
+                    made = _exits(batch, keys, i, columns, stops, how, last)
+                    yield pa.RecordBatch.from_arrays([*made, pa.array([name] * len(made[0]), pa.string())], names=list(fields))
+            if marks:
+                at = pa.array(ends[bar_arrays.booleans(batch["_mine"])[ends]])
+                made = [batch[k].take(at) for k in keys] + [batch["rn"].take(at), batch["date"].take(at), batch["CLOSE"].take(at).cast(pa.float64())]
+                kinds = [pa.float64()] * 3 + [batch["rn"].type, batch["date"].type, pa.float64(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([*made, *[pa.nulls(len(at), kind) for kind in kinds]], names=list(fields))
+
+    return _as_candidates(data.mapInArrow(find, ", ".join(f"`{k}` {v}" for k, v in fields.items())), c("strategy"))
 
 
 def _by_pairs(narrow: DataFrame, i: int, s: Strategy, layout: Layout) -> DataFrame:
@@ -415,18 +467,32 @@ def non_overlapping(
     return grouped.select(*keys, F.inline(_kept(c("cands"), F.lit(0), kind)))
 
 
-def pointers(entry: np.ndarray, free: np.ndarray) -> np.ndarray:
-    """For each candidate (ascending entry rows) the number of the first one at or after its exit."""
-    return np.searchsorted(entry, free, side="left")
+def first_at(entry: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The first candidate of a block that starts at or after a row, or the block's end. Entry rows ascend in each block."""
+    low, high = starts[block], ends[block]
+    while (open_ := low < high).any():
+        middle = (low + high) // 2
+        before = open_ & (entry[np.minimum(middle, len(entry) - 1)] < row)
+        low, high = np.where(before, middle + 1, low), np.where(open_ & ~before, middle, high)
+    return low
 
 
-def free_after(entry: np.ndarray, free: np.ndarray) -> np.ndarray:
-    """For each candidate, where the series is free when a chain that takes it has left the block.
+def _pointers(entry: np.ndarray, free: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each candidate the number of the first one of its block at or after its exit; that of none is the number of all."""
+    block = np.repeat(np.arange(len(starts)), ends - starts)
+    to = first_at(entry, starts, ends, block, free)
+    return np.where(to < ends[block], to, len(entry))
+
+
+def free_after(entry: np.ndarray, free: np.ndarray, starts: np.ndarray | None = None, ends: np.ndarray | None = None) -> np.ndarray:
+    """For each candidate, where the series is free when a chain that takes it has left the block (one block, if none are given).
 
     Pointer doubling: each round lets every candidate jump as far again, so a block of n takes log n rounds.
     """
     n = len(entry)
-    to = np.append(pointers(entry, free), n)
+    if starts is None:
+        starts, ends = np.array([0]), np.array([n])
+    to = np.append(_pointers(entry, free, starts, ends), n)
     out = np.append(free, NEVER)
     while (to[:n] < n).any():
         out = np.where(to < n, out[to], out)
@@ -434,45 +500,60 @@ def free_after(entry: np.ndarray, free: np.ndarray) -> np.ndarray:
     return out[:n]
 
 
-def chain_from(entry: np.ndarray, free: np.ndarray, start: int) -> list[int]:
-    """Numbers of the candidates taken when the series is free from row ``start`` on."""
-    to, taken = pointers(entry, free), []
-    at = int(np.searchsorted(entry, start, side="left"))
-    while at < len(entry):
+def chains_from(entry: np.ndarray, free: np.ndarray, starts: np.ndarray, ends: np.ndarray, free_from: np.ndarray) -> np.ndarray:
+    """Numbers of the candidates taken when the series of each block is free from its row ``free_from`` on, in order."""
+    to, taken = _pointers(entry, free, starts, ends), []
+    at = first_at(entry, starts, ends, np.arange(len(starts)), free_from)
+    at = at[at < ends]
+    while len(at):
         taken.append(at)
-        at = int(to[at])
-    return taken
+        at = to[at]
+        at = at[at < len(entry)]
+    return np.sort(np.concatenate(taken)) if taken else np.zeros(0, dtype=np.int64)
+
+
+def chain_from(entry: np.ndarray, free: np.ndarray, start: int) -> list[int]:
+    """Numbers of the candidates of one block taken when the series is free from row ``start`` on."""
+    return chains_from(entry, free, np.array([0]), np.array([len(entry)]), np.array([start])).tolist()
 
 
 def _by_pointers(candidates: DataFrame, layout: Layout, max_hold: int) -> DataFrame:
-    """Non-overlapping candidates of long series; a task holds the candidates of one block."""
+    """Non-overlapping candidates of long series; a task works the candidates of many blocks at a time."""
     keys, size, reach = ["strategy", "symbol", "_block"], layout.block_rows, max(1, max_hold)
-    narrow = candidates.select(*keys, "entry_rn", _free_after(F.struct("exit")).alias("free"))
-
-    def answer(table: pa.Table) -> pa.Table:
-        table = table.sort_by("entry_rn")
-        entry, free = table["entry_rn"].to_numpy(), table["free"].to_numpy()
-        begin = int(table["_block"][0].as_py()) * size
-        asked = begin + np.arange(reach + 1)
-        at = np.searchsorted(entry, asked, side="left")
-        out = np.append(free_after(entry, free), 0)
-        after = np.where(at < len(entry), out[at], asked)
-        one = table.select(keys).slice(0, 1)
-        return one.append_column("begin", pa.array([begin])).append_column("after", pa.array([after.tolist()], pa.list_(pa.int64())))
-
-    answers = narrow.groupBy(*keys).applyInArrow(answer, "strategy string, symbol string, _block bigint, begin bigint, after array<bigint>")
-    starts = computed_once(_block_starts(answers))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("entry_rn")) - 1
+    narrow = candidates.select(*keys, "entry_rn", _free_after(F.struct("exit")).alias("free")).withColumn("_at", place)
+
+    def answer(batches):
+        for batch in bar_arrays.whole_groups(batches):
+            starts, ends, entry, free = _blocks_of(batch, "free")
+            begin = batch["_block"].to_numpy()[starts] * size
+            asked = begin[:, None] + np.arange(reach + 1)
+            at = first_at(entry, starts, ends, np.repeat(np.arange(len(starts)), reach + 1), asked.ravel()).reshape(asked.shape)
+            out = np.append(free_after(entry, free, starts, ends), 0)
+            after = np.where(at < ends[:, None], out[np.minimum(at, len(entry))], asked)
+            offsets = pa.array(np.arange(len(starts) + 1, dtype=np.int32) * (reach + 1))
+            made = [*[batch[k].take(pa.array(starts)) for k in keys], pa.array(begin), pa.ListArray.from_arrays(offsets, pa.array(after.ravel()))]
+            yield pa.RecordBatch.from_arrays(made, names=[*keys, "begin", "after"])
+
+    answers = narrow.mapInArrow(answer, "strategy string, symbol string, _block bigint, begin bigint, after array<bigint>")
+    starts_of = computed_once(_block_starts(answers))
     names = candidates.columns
     schema = candidates.schema
 
-    def take(table: pa.Table) -> pa.Table:
-        table = table.take(pc.sort_indices(table["entry_rn"]))
-        free = table["_free"].to_numpy()
-        taken = chain_from(table["entry_rn"].to_numpy(), free, int(table["_free_from"][0].as_py()))
-        return table.select(names).take(pa.array(taken, type=pa.int64()))
+    def take(batches):
+        for batch in bar_arrays.whole_groups(batches):
+            starts, ends, entry, free = _blocks_of(batch, "_free")
+            taken = chains_from(entry, free, starts, ends, batch["_free_from"].to_numpy()[starts])
+            yield batch.select(names).take(pa.array(taken))
+
+    ready = candidates.withColumn("_free", _free_after(F.struct("exit"))).join(starts_of, keys).withColumn("_at", place)
+    return ready.mapInArrow(take, schema).drop("_block")
+
 
-    ready = candidates.withColumn("_free", _free_after(F.struct("exit"))).join(starts, keys)
-    return ready.groupBy(*keys).applyInArrow(take, schema).drop("_block")
+def _blocks_of(batch: pa.RecordBatch, free: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First row of each block and the one after its last, and of each candidate the row it starts and the one it leaves free."""
+    starts = np.flatnonzero(batch["_at"].to_numpy() == 0)
+    return starts, np.append(starts[1:], batch.num_rows), batch["entry_rn"].to_numpy().astype(np.int64), batch[free].to_numpy()
 
 
 def _block_starts(answers: DataFrame) -> DataFrame:

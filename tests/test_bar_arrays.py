@@ -1,6 +1,7 @@
-"""Columns made in arrays are those of the windows, in short series and in blocks."""
+"""Columns made in arrays are those of the windows, in short series and in blocks, and exits found in order are those of frames."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,9 @@ from barquarry.operators.indicators import TECHNICAL_COLUMNS, add_technical, res
 from barquarry.operators.layout import BlockLayout, SymbolLayout
 from barquarry.operators.scan import scan
 from barquarry.operators.strategy import Strategy
+from barquarry.operators.trades import in_range
 from barquarry.plans import catalog
+from barquarry.plans.requests import extract_trades
 from tests.test_layout import compare, wavy_bars
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -34,7 +37,7 @@ def test_arrays_give_the_columns_of_windows(spark, layout, monkeypatch):
     compare(a, b.toPandas(), names)
 
 
-@pytest.mark.parametrize("name", ["block_scan"])
+@pytest.mark.parametrize("name", ["block_scan", "block_trades"])
 def test_large_queries_work_in_arrays(spark, name):
     plan = plan_of(catalog.QUERIES[name](spark, SF_DIR))
     assert "var_pop" not in plan and "collect_list(_bar" not in plan
@@ -49,6 +52,25 @@ def test_a_missing_close_is_an_error_of_averages(spark):
         add_technical(bars, blocks, ["MACD_LINE"], complete=True).collect()
 
 
+@pytest.mark.parametrize("marks", [False, True])
+def test_exits_in_order_are_those_of_frames(spark, marks):
+    bars = wavy_bars(spark, 1_500, symbols=("HOT", "COLD"))
+    strategies = [
+        Strategy.from_mapping({"name": "A", "entry": ["CLOSE > MA20"], "tp": ["CLOSE + ATR14"], "sl": ["CLOSE - ATR14"], "max_hold_days": 6}),
+        Strategy.from_mapping({"name": "B", "entry": ["CLOSE < MA5"], "ts": "1%", "sl": ["ENTRY_PRICE * 0.98", "LL20"], "max_hold_days": 9}),
+        Strategy.from_mapping({"name": "C", "entry": ["RSI14 > 50"], "tp": ["CLOSE * 1.2"], "stop": "fixed", "sl": ["CLOSE * 0.9"], "max_hold_days": 60}),
+        Strategy.from_mapping({"name": "D", "entry": ["CLOSE > MA5"], "sl": ["CASE WHEN CLOSE > 100 THEN MA5 ELSE 1 END"], "max_hold_days": 4}),
+    ]
+    columns = list(dict.fromkeys(n for s in strategies for n in s.columns))
+    found = []
+    for layout, complete in ((SymbolLayout(), False), (BlockLayout(block_rows=256, lookback=128, lookahead=60), True)):
+        frame = in_range(add_technical(bars, layout, columns, complete=complete, decimals=8), layout, start="2017-07-20")
+        assert ("_ends" in frame.columns) == complete
+        found.append(sorted((tuple(map(str, r)) for r in extract_trades(frame, strategies, 1e6, layout, marks).collect())))
+    assert found[0] == found[1]
+    assert {r[0] for r in found[0]} == {"A", "B", "C", "D"} | ({"None"} if marks else set())
+
+
 def test_a_scan_reads_last_blocks_only(spark):
     bars = wavy_bars(spark, 1_024 + 40, symbols=("HOT", "COLD"))
     s = [Strategy.from_mapping({"name": "ANY", "entry": ["CLOSE > 0", "ADX14 >= 0", "RSI14 > 0"], "tp": ["CLOSE + ATR14 + MACD_SIGNAL"]})]
@@ -60,6 +82,17 @@ def test_a_scan_reads_last_blocks_only(spark):
     assert found[0] == found[1] and len(found[0]) == 2 and rows == 2
 
 
+def test_rows_that_were_moved_are_refused():
+    def batch(symbols, rn, ends):
+        return pa.RecordBatch.from_pydict({"symbol": symbols, "rn": rn, "_ends": ends})
+
+    starts, ends = bar_arrays.groups_in_order(batch(["A", "A", "B"], [0, 1, 0], [False, True, True]), ["symbol"])
+    assert starts.tolist() == [0, 2] and ends.tolist() == [1, 2]
+    for odd in ((["A", "B", "A"], [0, 0, 1], [False, True, True]), (["A", "A", "B"], [1, 0, 0], [False, True, True]), (["A", "A"], [0, 1], [False, False])):
+        with pytest.raises(ValueError, match="in order"):
+            bar_arrays.groups_in_order(batch(*odd), ["symbol"])
+
+
 def test_rounding_is_that_of_spark(spark):
     values = [0.00005, -0.00005, 1.00015, 2.5e-9, 0.0, 1e15 + 0.3, -1e300, float("inf"), 123456.78905, -1e-9, 1.005, 99999.999999995, -7.000000005]
     values += (np.random.default_rng(3).normal(0, 1e5, 500)).round(9).tolist()
