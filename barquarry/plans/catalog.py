@@ -378,8 +378,7 @@ def _(spark, d):
 
 def indicators(spark, d, names, base="day", digits=4):
     bars, layout = inputs(spark, d, base)
-    frame = result_rows(add_technical(bars, layout, names, complete=True), layout)
-    return rounded(frame.select("symbol", "date", *names), names, digits)
+    return _rounded_indicators(bars, layout, names, digits)
 
 
 def _rounded_indicators(bars: DataFrame, layout: Layout, names: Sequence[str], digits: int = 4) -> DataFrame:

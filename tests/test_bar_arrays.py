@@ -37,7 +37,7 @@ def test_arrays_give_the_columns_of_windows(spark, layout, monkeypatch):
     compare(a, b.toPandas(), names)
 
 
-@pytest.mark.parametrize("name", ["block_all_61_columns", "block_scan", "block_trades"])
+@pytest.mark.parametrize("name", ["w28_w29_all_61_columns", "block_all_61_columns", "block_scan", "block_trades"])
 def test_large_queries_work_in_arrays(spark, name):
     plan = plan_of(catalog.QUERIES[name](spark, SF_DIR))
     assert "var_pop" not in plan and "collect_list(_bar" not in plan
